@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codonlake.llm import bpe, decontamination, jaccard_join, language_id, license_scan, quality_classifier, quality_rules, toxicity, url_filter
+from codonlake.llm import bpe, decontamination, jaccard_join, language_id, license_scan, quality_classifier, quality_rules, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_url_filter": url_filter.op3_url_filter,
     "op4_decontamination": decontamination.op4_decontamination,
     "op5_quality_classifier": quality_classifier.op5_quality_classifier,
+    "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op8_language_id": language_id.op8_language_id,
     "op9_license_scan": license_scan.op9_license_scan,
