@@ -14,5 +14,6 @@ QUERIES = {
     "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op8_language_id": language_id.op8_language_id,
     "op9_license_scan": license_scan.op9_license_scan,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES: dict[str, str] = {"op3_url_filter": url_filter.OP3_SQL}
