@@ -154,13 +154,13 @@ def feature_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exons numbered along the gene's strand."""
     f = _features(spark, sf_dir)
     order = F.when(F.col("strand") == "-", -F.col("lo")).otherwise(F.col("lo"))
-    return f.select("gene", "line", F.row_number().over(W.partitionBy("gene").orderBy(order, "line")).cast("long").alias("number"))
+    return f.select("gene", "line", F.row_number().over(W.partitionBy("gene").orderBy(order, "line", "hi")).cast("long").alias("number"))
 
 
 def intron_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Introns between neighbouring exons, with the mean of their scores and the phase."""
-    w = W.partitionBy("gene").orderBy("lo", "line")
-    before = W.partitionBy("gene").orderBy("lo", "line").rowsBetween(W.unboundedPreceding, -1)
+    w = W.partitionBy("gene").orderBy("lo", "line", "hi")
+    before = W.partitionBy("gene").orderBy("lo", "line", "hi").rowsBetween(W.unboundedPreceding, -1)
     f = _features(spark, sf_dir).withColumns({"prev_hi": F.lag("hi").over(w), "prev_score": F.lag("score").over(w), "coding": F.sum(F.col("hi") - F.col("lo") + 1).over(before)})
     return f.where("prev_hi + 1 < lo").select("gene", (F.col("prev_hi") + 1).alias("intron_start"), (F.col("lo") - 1).alias("intron_end"), F.round((F.col("prev_score") + F.col("score")) / 2, 6).alias("score"), F.pmod(3 - F.col("coding") % 3, F.lit(3)).alias("phase"))
 
@@ -215,7 +215,7 @@ def read_introns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FEAT = _LINE + ", f AS (SELECT *, min(strand0) OVER (PARTITION BY gene) AS strand FROM l)"
-_INTRON = _FEAT + ", i AS (SELECT gene, prev_hi + 1 AS intron_start, lo - 1 AS intron_end, round((prev_score + score) / 2, 6) AS score, CAST((3 - coding % 3) % 3 AS BIGINT) AS phase FROM (SELECT *, lag(hi) OVER w AS prev_hi, lag(score) OVER w AS prev_score, sum(hi - lo + 1) OVER (PARTITION BY gene ORDER BY lo, line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS coding FROM f WINDOW w AS (PARTITION BY gene ORDER BY lo, line)) WHERE prev_hi + 1 < lo)"
+_INTRON = _FEAT + ", i AS (SELECT gene, prev_hi + 1 AS intron_start, lo - 1 AS intron_end, round((prev_score + score) / 2, 6) AS score, CAST((3 - coding % 3) % 3 AS BIGINT) AS phase FROM (SELECT *, lag(hi) OVER w AS prev_hi, lag(score) OVER w AS prev_score, sum(hi - lo + 1) OVER (PARTITION BY gene ORDER BY lo, line, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS coding FROM f WINDOW w AS (PARTITION BY gene ORDER BY lo, line, hi)) WHERE prev_hi + 1 < lo)"
 _SWEEP = _SPANS + ", p AS (SELECT event_type, lo AS start, 1 AS d FROM s UNION ALL SELECT event_type, hi, -1 FROM s), q AS (SELECT event_type, start, sum(d) AS d FROM p GROUP BY ALL), c AS (SELECT event_type, start, lead(start) OVER w AS \"end\", CAST(sum(d) OVER (PARTITION BY event_type ORDER BY start) AS BIGINT) AS depth FROM q WINDOW w AS (PARTITION BY event_type ORDER BY start))"
 _FROM = {("O", "F"): (1, 900), ("P", "F"): (1, 900), ("F", "O"): (10, 10**9), ("F", "P"): (0, 400)}
 _OK = " OR ".join(f"(ks[j] = '{u}' AND ks[i + 1] = '{d}' AND ds[i + 1] - ds[j] BETWEEN {a} AND {b})" for (u, d), (a, b) in _FROM.items())
@@ -240,14 +240,14 @@ ORACLES = {
     "chain_rules": f"WITH {_CHAIN} SELECT cust, ord, chain_score FROM z",
     "chain_max": f"WITH {_CHAIN} SELECT cust, ord, chain_score FROM (SELECT *, row_number() OVER (PARTITION BY cust ORDER BY chain_score DESC, ord) AS k FROM z) WHERE k = 1",
     "gene_summary": f"WITH {_FEAT} SELECT gene, strand, count(*) AS n_exons, min(lo) AS gene_start, max(hi) AS gene_end, round(sum(score), 6) AS gene_score FROM f GROUP BY ALL",
-    "feature_number": f"WITH {_FEAT} SELECT gene, line, row_number() OVER (PARTITION BY gene ORDER BY CASE WHEN strand = '-' THEN -lo ELSE lo END, line) AS number FROM f",
+    "feature_number": f"WITH {_FEAT} SELECT gene, line, row_number() OVER (PARTITION BY gene ORDER BY CASE WHEN strand = '-' THEN -lo ELSE lo END, line, hi) AS number FROM f",
     "intron_lag": f"WITH {_INTRON} SELECT * FROM i",
     "exon_merge": f"WITH {_FEAT}, m AS (SELECT *, CASE WHEN lo > max(hi) OVER (PARTITION BY gene ORDER BY lo, line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 1 ELSE 0 END AS new FROM f), g AS (SELECT *, sum(new) OVER (PARTITION BY gene ORDER BY lo, line) AS part FROM m) SELECT gene, min(lo) AS lo, max(hi) AS hi, round(sum(score), 6) AS score FROM g GROUP BY gene, part",
     "gene_rpkm": f"WITH {_FEAT}, g AS (SELECT gene, min(lo) AS a, max(hi) AS b, round(sum(score), 6) AS s FROM f GROUP BY gene) SELECT gene, round(s / ((b - a + 1) / 1000.0) / ((SELECT sum(s) FROM g) / 1e6), 4)::DOUBLE AS rpkm FROM g",
     "intron_class": "SELECT CASE WHEN l_discount * 100 + l_tax * 100 > 14 AND l_quantity > 40 THEN 'U12gtag' WHEN l_discount * 100 + l_tax * 100 > 14 THEN 'U12atac' WHEN l_discount * 100 > l_tax * 100 THEN 'U2gcag' ELSE 'U2' END AS kind, l_returnflag AS strand, count(*) AS n, round(avg(l_quantity), 6) AS mean_quantity FROM lineitem GROUP BY ALL",
     "type_rollup": "SELECT l_linestatus AS strand, l_returnflag AS kind, count(*) AS n, round(sum(l_quantity), 6) AS total FROM lineitem GROUP BY ROLLUP (l_linestatus, l_returnflag)",
     "dedup_state": "SELECT DISTINCT l_partkey, l_suppkey, l_returnflag, l_linestatus FROM lineitem",
-    "bed_blocks": "WITH b AS (SELECT l_orderkey AS name, l_linenumber AS i, CAST(sum(CAST(l_quantity AS BIGINT) + 10) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS BIGINT) AS e, CAST(l_quantity AS BIGINT) AS size FROM lineitem), x AS (SELECT name, i, e - size - 10 AS lo, e - 10 AS hi FROM b) SELECT name, 'exon' AS kind, lo, hi FROM x UNION ALL SELECT name, 'intron', hi, nxt FROM (SELECT name, hi, lead(lo) OVER (PARTITION BY name ORDER BY i) AS nxt FROM x) WHERE nxt IS NOT NULL",
+    "bed_blocks": "WITH b AS (SELECT l_orderkey AS name, l_linenumber AS i, CAST(sum(CAST(l_quantity AS BIGINT) + 10) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity ROWS UNBOUNDED PRECEDING) AS BIGINT) AS e, CAST(l_quantity AS BIGINT) AS size FROM lineitem), x AS (SELECT name, i, e - size - 10 AS lo, e - 10 AS hi FROM b) SELECT name, 'exon' AS kind, lo, hi FROM x UNION ALL SELECT name, 'intron', hi, nxt FROM (SELECT name, hi, lead(lo) OVER (PARTITION BY name ORDER BY lo) AS nxt FROM x) WHERE nxt IS NOT NULL",
     "read_introns": f"WITH {_INTRON} SELECT intron_start % 10000 AS lo, intron_end % 10000 AS hi, count(*) AS reads FROM i GROUP BY ALL",
 }
 QUERIES = {name: globals()[name] for name in ORACLES}
