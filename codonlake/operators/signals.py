@@ -113,15 +113,20 @@ class CodingTrack:
 
 
 def coding_potentials(exons: DataFrame, frags: DataFrame, iso: Isochore) -> DataFrame:
-    """Rows (exon_id, potential) of (exon_id, locus, frag, strand, left_pos, right_pos, frame): each fragment's exons meet its sequence in one task."""
+    """Rows (exon_id, potential, head, tail: two bases at either end) of (exon_id, locus, frag, strand, left_pos, right_pos, frame): each fragment's exons meet its sequence in one task."""
     shared = exons.sparkSession.sparkContext.broadcast(iso)
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, out = left.column("exon_id"), []
+        ids, out, heads, tails = left.column("exon_id"), [], [], []
         if right.num_rows and left.num_rows:
-            track, l1 = CodingTrack(digits(right.column("seq")[0].as_py().encode()), shared.value), right.column("l1")[0].as_py()
-            out = [track.potential(a - l1, b - l1, f) for a, b, f in zip(*(left.column(c).to_pylist() for c in ("left_pos", "right_pos", "frame")), strict=True)]
-        return pa.table({"exon_id": ids if out else ids.slice(0, 0), "potential": pa.array(out, pa.float64())})
+            seq, l1 = right.column("seq")[0].as_py(), right.column("l1")[0].as_py()
+            track = CodingTrack(digits(seq.encode()), shared.value)
+            for a, b, f in zip(*(left.column(c).to_pylist() for c in ("left_pos", "right_pos", "frame")), strict=True):
+                a, b = a - l1, b - l1
+                out.append(track.potential(a, b, f))
+                heads.append(seq[a : a + 2])
+                tails.append(seq[max(0, b - 1) : b + 1])
+        return pa.table({"exon_id": ids if out else ids.slice(0, 0), "potential": pa.array(out, pa.float64()), "head": pa.array(heads, pa.string()), "tail": pa.array(tails, pa.string())})
 
     by = ["locus", "frag", "strand"]
-    return exons.groupBy(*by).cogroup(frags.select(*by, "l1", "seq").groupBy(*by)).applyInArrow(run, "exon_id long, potential double")
+    return exons.groupBy(*by).cogroup(frags.select(*by, "l1", "seq").groupBy(*by)).applyInArrow(run, "exon_id long, potential double, head string, tail string")

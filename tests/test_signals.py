@@ -67,3 +67,17 @@ def test_printed_scores(spark):
     got = {r.exon_id: r.potential for r in signals.coding_potentials(frame, frags, p).collect()}
     bad = [(i, got[i], w) for i, w in enumerate(want) if abs(got[i] - w) > 0.0051]
     assert not bad, (len(bad), len(want), bad[:5])
+
+
+@there
+def test_known_genes(spark):
+    from codonlake.operators.exons import predict
+
+    got = sorted((r.start, r.end_, r.strand, r.type, round(r.score, 2)) for r in predict(formats.read_fasta(spark, FASTA).cache(), params.read(PARAM, blanks_block=False)).collect())
+    want = []
+    for line in open(GOLD):
+        c = line.rstrip("\n").split("\t")
+        if len(c) == 9 and c[2] == "CDS":
+            want.append((int(c[3]), int(c[4]), c[6], dict(x.split("=", 1) for x in c[8].split(";"))["exon_type"], float(c[5])))
+    assert [x[:4] for x in got] == [x[:4] for x in sorted(want)]
+    assert all(abs(a[4] - b[4]) < 0.011 for a, b in zip(got, sorted(want), strict=True))
