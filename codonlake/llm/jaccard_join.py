@@ -37,7 +37,7 @@ from pyspark.sql.window import Window as W
 
 from codonlake.llm.graph import components
 from codonlake.llm.kernels import LOWER, SPACED, blocks, mix, ngrams, span_hashes, words
-from codonlake.llm.session import discard, stash, table, tune, whole_texts
+from codonlake.llm.session import discard, fewer, stash, table, tune, whole_texts
 
 _U = np.uint64
 #: Buckets of the table of shingle counts and of a document's histogram.
@@ -213,7 +213,7 @@ class _Search:
             need = need.join(self.sets.select("doc_id"), "doc_id", "left_anti")
         need = stash(need, "need")
         if need.limit(1).count():
-            new = stash(whole_sets(self.docs.join(need, "doc_id", "left_semi").select("doc_id", "text"), self.n).dropDuplicates(["doc_id"]), "sets")
+            new = stash(whole_sets(self.docs.join(need, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text"), self.n), "sets")
             self.sets = new if self.sets is None else self.sets.unionByName(new)
         if self.sets is None:
             return
@@ -285,7 +285,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, hub_rounds: i
         rep = rep.join(known.select(F.col("node").alias("rep"), "component"), "rep", "left")
     else:
         rep = rep.withColumn("component", F.lit(None).cast("long"))
-    return rep.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    return fewer(rep).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

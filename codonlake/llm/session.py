@@ -21,11 +21,19 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def fewer(df: DataFrame) -> DataFrame:
+    """``df`` in an eighth of the shuffle partitions, but four for each core at least: narrow rows make small files
+    otherwise. Partitions are read one after another, so a task needs no more memory."""
+    spark = df.sparkSession
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.coalesce(max(4 * spark.sparkContext.defaultParallelism, -(-shuffle // 8)))
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/codonlake/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    fewer(df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stash_path = path
     return out
