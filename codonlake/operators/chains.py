@@ -48,7 +48,8 @@ def best_chain(left: np.ndarray, right: np.ndarray, kind: list[str], score: np.n
             taken[c] = k
             if rule.most is not None and best[c] >= 0 and left[e] - right[best[c]] > rule.most:
                 best[c] = -1
-                for p in reversed(queue[:k]):
+                for j in range(k - 1, -1, -1):
+                    p = queue[j]
                     if left[e] - right[p] > rule.most:
                         break
                     if p < e and total[p] > 0 and (best[c] < 0 or total[p] > total[best[c]]):

@@ -125,7 +125,8 @@ def best_genes(exons: list[tuple], length: int, rules: list[Rule]) -> list[int]:
             f = need[e]
             if rule.most is not None and own[f] >= 0 and left[e] - right[own[f]] > rule.most:
                 own[f] = -1
-                for p in reversed(queue[:k]):
+                for j in range(k - 1, -1, -1):
+                    p = queue[j]
                     if left[e] - right[p] > rule.most:
                         break
                     if give[p] == f and total[p] > 0 and (own[f] < 0 or total[p] > total[own[f]]):

@@ -69,11 +69,29 @@ def test_printed_scores(spark):
     assert not bad, (len(bad), len(want), bad[:5])
 
 
+def test_genes_of_small_exons(spark):
+    from codonlake.operators.genes import features, genes, introns, with_bases
+
+    seqs = spark.createDataFrame([("s", "CCATGAAAGTCCAGGGTAACC")], "locus string, seq string")
+    rows = [("s", 1, "+", "First", 3, 8, 0, 2.0, 1.5, 0.5, 0.1), ("s", 1, "+", "Terminal", 13, 19, 0, 3.0, 0.5, 0.25, 0.75)]
+    exons = spark.createDataFrame(rows, "locus string, gene long, strand string, type string, start long, end_ long, frame int, score double, potential double, left_score double, right_score double")
+    found = genes(with_bases(exons, seqs))
+    g = found.first()
+    assert (g.cds, g.protein, g.score, g.n_exons) == ("ATGAAAAGGGTAA", "MKRV", 5.0, 2)
+    gap = introns(exons).first()
+    assert (gap.start, gap.end_, round(gap.score, 3)) == (9, 12, 0.175)
+    assert features(exons, found).count() == 6
+
+
+@pytest.mark.skipif(not os.environ.get("CODONLAKE_SLOW"), reason="takes minutes; set CODONLAKE_SLOW=1")
 @there
 def test_known_genes(spark):
     from codonlake.operators.exons import predict
+    from codonlake.operators.genes import features, genes, introns, with_bases
 
-    got = sorted((r.start, r.end_, r.strand, r.type, round(r.score, 2)) for r in predict(formats.read_fasta(spark, FASTA).cache(), params.read(PARAM, blanks_block=False)).collect())
+    seqs = formats.read_fasta(spark, FASTA).cache()
+    exons = predict(seqs, params.read(PARAM, blanks_block=False)).cache()
+    got = sorted((r.start, r.end_, r.strand, r.type, round(r.score, 2)) for r in exons.collect())
     want = []
     for line in open(GOLD):
         c = line.rstrip("\n").split("\t")
@@ -81,3 +99,20 @@ def test_known_genes(spark):
             want.append((int(c[3]), int(c[4]), c[6], dict(x.split("=", 1) for x in c[8].split(";"))["exon_type"], float(c[5])))
     assert [x[:4] for x in got] == [x[:4] for x in sorted(want)]
     assert all(abs(a[4] - b[4]) < 0.011 for a, b in zip(got, sorted(want), strict=True))
+    found = genes(with_bases(exons, seqs)).cache()
+    rows = {r.gene: r for r in found.collect()}
+    assert [round(rows[i].score, 2) for i in (1, 2, 3)] == pytest.approx([19.09, 12.51, 1208.40], abs=0.02)
+    text, kind, gene = {}, None, 0
+    for line in open(GOLD):
+        if line.startswith(">"):
+            kind, gene = line.split("predicted_")[1].split("_")[0], int(line.rsplit("_", 1)[1])
+            text[kind, gene] = ""
+        elif kind:
+            text[kind, gene] += line.strip()
+    for i in (1, 2, 3):
+        assert rows[i].cds == text["CDS", i]
+        assert rows[i].protein == text["protein", i]
+    lines = [r.value for r in formats.gff3_lines(features(exons, found)).collect()]
+    assert len(lines) == 3 + 3 + 2 * len(got) and all(x.count("\t") == 8 for x in lines)
+    gaps = introns(exons).collect()
+    assert len(gaps) == len(got) - 3 and all(r.start <= r.end_ for r in gaps)
