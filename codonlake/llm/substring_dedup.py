@@ -7,10 +7,9 @@ Only positions that are the minimum of some LEAST neighbours have one, and those
 the tree, so a text gives about 2 n / LEAST windows for each function. A passage that two texts
 share has the same min-hash in both, so its windows meet in one group for every function.
 
-In a group each window joins the group's first occurrence (smallest doc_id, then place), never
-all others; the join keeps windows whose spans, laid over one another at c, have LEAST shingles in
-common. Documents and first occurrences that meet under AGREE functions at least are verified:
-the maximal segments in which eight of nine shingles match are taken, and a segment counts when it
+In a group each window joins the group's first occurrence (smallest doc_id, then place); the join
+keeps windows whose spans, laid over one another at c, have LEAST shingles in common. Documents and
+first occurrences that meet under AGREE functions at least are verified: the maximal segments in which eight of nine shingles match are taken, and a segment counts when it
 has LEAST shingles and its Jaccard similarity with the matching part of the first document is at
 least SIMILAR. The first occurrence stays; repeats within one document are not looked at.
 
@@ -22,11 +21,12 @@ without_repeats() and ignored otherwise.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -40,6 +40,8 @@ SHINGLE, LEAST, FUNCTIONS, AGREE, SIMILAR = 5, 46, 3, 2, 0.8
 PLACE, REACH = 23, 20
 #: Spans of first occurrences are widened to multiples of this, so that many documents ask for the same ones.
 STEP = 64
+#: In each round of couples a group has so many times the heads of the round before.
+GROWTH = 4
 _SALTS = [_U(0x9E3779B97F4A7C15 * (2 * f + 1) & (2**64 - 1)) for f in range(16)]
 
 
@@ -199,24 +201,59 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(v, k) for v, k in zip(cols, [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.float64()], strict=True)], names)
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, first_word, last_word, of_doc_id, of_first_word, similarity): passages that a document of a smaller id has, too."""
-    tune(docs.sparkSession)
-    docs = whole_texts(docs).where(F.col("doc_id").isNotNull())
-    group = W.partitionBy("key")
-    c, before, after = (lambda x: F.shiftright(x, 2 * REACH)), (lambda x: F.shiftright(x, REACH).bitwiseAND(2**REACH - 1)), (lambda x: x.bitwiseAND(2**REACH - 1))
-    at, of = F.col("at"), F.col("head.at")
-    met = (
-        windows(docs)
-        .withColumn("head", F.min(F.struct("doc", "at")).over(group))
-        .where(F.col("head.doc") != F.col("doc"))
-        .withColumns({"left": F.least(before(at), before(of)), "right": F.least(after(at), after(of))})
-        .where(F.col("left") + F.col("right") + 1 >= LEAST)
-        .select("doc", F.col("head.doc").alias("head"), "key", F.struct((c(at) - F.col("left")).alias("a"), (c(at) + F.col("right")).alias("b"), (c(at) - c(of)).alias("shift")).alias("frame"))
-    )
-    # one row for each document and first occurrence; frames of one document number 6 n / LEAST at most
-    grouped = met.groupBy("doc", "head").agg(F.collect_list(F.struct("key", "frame")).alias("met")).where(F.size(F.array_distinct("met.key")) >= AGREE)
-    spread = F.col("met.frame")
+def _shift(x: Column) -> Column:
+    return F.shiftright(x, 2 * REACH)
+
+
+def _before(x: Column) -> Column:
+    return F.shiftright(x, REACH).bitwiseAND(2**REACH - 1)
+
+
+def _after(x: Column) -> Column:
+    return x.bitwiseAND(2**REACH - 1)
+
+
+def _frame(at: Column, of: Column) -> Column:
+    """Struct (a, b, shift): the spans of two windows laid over one another, by the first one's places."""
+    left, right = F.least(_before(at), _before(of)), F.least(_after(at), _after(of))
+    return F.struct((_shift(at) - left).alias("a"), (_shift(at) + right).alias("b"), (_shift(at) - _shift(of)).alias("shift"))
+
+
+def _wide(frame: str) -> Column:
+    return F.col(frame + ".b") - F.col(frame + ".a") + 1 >= LEAST
+
+
+def couples(rest: DataFrame) -> DataFrame:
+    """Rows (key, doc, at, by) for two windows of a document under different functions whose spans hold both of their
+    shingles: a passage of which both are the minimum makes the same couple in every text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            ends, inner = lists.offsets.to_numpy().tolist(), lists.values
+            keys, ats, docs = inner.field(0).to_numpy(), inner.field(1).to_numpy(), batch.column(0).to_numpy()
+            for i in range(batch.num_rows):
+                key, at = keys[ends[i] : ends[i + 1]], ats[ends[i] : ends[i + 1]]
+                order = np.argsort(at, kind="stable")
+                key, at = key[order], at[order]
+                c = at >> (2 * REACH)
+                lo, hi = c - ((at >> REACH) & (2**REACH - 1)), c + (at & (2**REACH - 1))
+                u, v = np.searchsorted(c, lo), np.searchsorted(c, hi, "right")
+                for p in range(0, len(c), 4096):
+                    n = (v - u)[p : p + 4096]
+                    x = np.repeat(np.arange(p, p + len(n)), n)
+                    y = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(u[p : p + 4096], n)
+                    keep = (key[x] < key[y]) & (lo[y] <= c[x]) & (c[x] <= hi[y])
+                    x, y = x[keep], y[keep]
+                    both = mix(mix(key[x].view(_U)) ^ key[y].view(_U)).view(np.int64)
+                    yield pa.record_batch([pa.array(k, pa.int64()) for k in (both, np.full(len(x), docs[i]), at[x], at[y])], ["key", "doc", "at", "by"])
+
+    return rest.groupBy("doc").agg(F.collect_list(F.struct("key", "at")).alias("all")).mapInArrow(run, "key long, doc long, at long, by long")
+
+
+def _verify(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """What documents repeat of first occurrences; rows (doc, head, frames)."""
+    spread = F.col("frames")
     lo, hi = F.array_min(spread.getField("a")), F.array_max(spread.getField("b"))
     back = F.transform(spread, lambda f: f["a"] - f["shift"]), F.transform(spread, lambda f: f["b"] - f["shift"])
     pairs = stash(
@@ -248,6 +285,56 @@ def repeats(docs: DataFrame) -> DataFrame:
     return out
 
 
+def _unsettled(rest: DataFrame, found: DataFrame, *ats: str) -> DataFrame:
+    """The rows of ``rest`` none of whose shingles ``ats`` is in a passage of ``found``."""
+    spans = found.groupBy(F.col("doc_id").alias("doc")).agg(F.collect_list(F.struct(F.col("first_word").alias("p"), (F.col("last_word") - (SHINGLE - 1)).alias("q"))).alias("spans"))
+    inside = F.exists("spans", lambda s: functools.reduce(Column.__or__, [(s["p"] <= _shift(F.col(c))) & (_shift(F.col(c)) <= s["q"]) for c in ats]))
+    return rest.join(spans, "doc", "left").where(~F.coalesce(inside, F.lit(False))).select("key", "doc", *ats)
+
+
+def repeats(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, first_word, last_word, of_doc_id, of_first_word, similarity): passages that a document of a smaller id has, too."""
+    tune(docs.sparkSession)
+    docs = whole_texts(docs).where(F.col("doc_id").isNotNull())
+    place, group = F.struct("doc", "at"), W.partitionBy("key")
+    # each window and its group's first occurrence; groups of one document go
+    rows = stash(windows(docs).withColumns({"head": F.min(place).over(group), "end": F.max("doc").over(group)}).where(F.col("head.doc") != F.col("end")).drop("end"), "rows")
+    met = rows.where(F.col("head.doc") != F.col("doc")).select("doc", F.col("head.doc").alias("head"), "key", _frame(F.col("at"), F.col("head.at")).alias("frame")).where(_wide("frame"))
+    # one row for each document and first occurrence; frames of one document number 2 FUNCTIONS n / LEAST at most
+    grouped = met.groupBy("doc", "head").agg(F.collect_list(F.struct("key", "frame")).alias("met")).where(F.size(F.array_distinct("met.key")) >= AGREE)
+    found = [_verify(docs, grouped.select("doc", "head", F.col("met.frame").alias("frames")))]
+    # what no passage explains meets again, couple by couple
+    rest = stash(couples(_unsettled(rows, found[0], "at")), "rest")
+    discard(rows)
+    heads, order = 1, group.orderBy("doc", "at", "by")
+    while True:
+        one = rest.withColumns({"rank": F.row_number().over(order), "least": F.min("doc").over(group), "most": F.max("doc").over(group)})
+        ranked = stash(one.where("least != most").drop("least", "most"), "ranked")
+        discard(rest)
+        if ranked.isEmpty():
+            break
+        # the next heads of each group meet all that follows them, and one another
+        nexts = ranked.where(F.col("rank") <= heads).select("key", F.col("doc").alias("head"), F.col("at").alias("of_at"), F.col("by").alias("of_by"), F.col("rank").alias("of_rank"))
+        both = (
+            ranked.join(nexts, "key")
+            .where("rank > of_rank and doc != head")
+            .select("doc", "head", "at", "by", _frame(F.col("at"), F.col("of_at")).alias("f"), _frame(F.col("by"), F.col("of_by")).alias("g"))
+            .where(_wide("f") & _wide("g") & _shift(F.col("at")).between(F.col("g.a"), F.col("g.b")) & _shift(F.col("by")).between(F.col("f.a"), F.col("f.b")))
+        )
+        found.append(_verify(docs, both.groupBy("doc", "head").agg(F.array_distinct(F.flatten(F.collect_list(F.array("f", "g")))).alias("frames"))))
+        rest = stash(_unsettled(ranked.where(F.col("rank") > heads), found[-1], "at", "by"), "rest")
+        discard(ranked)
+        heads *= GROWTH
+    discard(ranked)
+    if len(found) == 1:
+        return found[0]
+    # later frames may cover a passage of the same two documents again
+    every = stash(functools.reduce(DataFrame.union, found).distinct(), "repeats")
+    for f in found:
+        discard(f)
+    return every
+
+
 def without_repeats(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the words of ``found`` (doc_id, first_word, last_word) cut out; documents left without a word go."""
     spark = docs.sparkSession

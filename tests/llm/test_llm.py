@@ -206,6 +206,20 @@ def test_substring_dedup(spark, docs, rows):
     assert 10_008 not in cut or len(cut[10_008]) < 100
 
 
+def made_up(rng, n):
+    return [f"u{x}" for x in rng.integers(0, 10**12, n)]
+
+
+def test_substring_dedup_behind_another_head(spark):
+    """Two texts share a passage each of whose shingles an earlier, otherwise different text holds, too."""
+    rng = np.random.default_rng(3)
+    passage = made_up(rng, 60)
+    texts = [made_up(rng, 50) + passage[i : i + 5] + made_up(rng, 50) for i in range(56) for _ in range(8)]
+    texts += [made_up(rng, 40) + passage + made_up(rng, 40) for _ in range(3)]
+    found = substring_dedup.repeats(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.of_doc_id, r.first_word, r.last_word) for r in found) == [(449, 448, 40, 99), (450, 448, 40, 99)]
+
+
 def test_license_scan(docs, rows, empty):
     word, phrases = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), [(p.split(), v) for p, v in license_scan.BASE.items()]
     got = {r.doc_id: r for r in license_scan.scan(docs).collect()}
