@@ -9,7 +9,8 @@ share has the same min-hash in both, so its windows meet in one group for every
 
 In a group each window joins the group's first occurrence (smallest doc_id, then place); the join
 keeps windows whose spans, laid over one another at c, have LEAST shingles in common. Documents and
-first occurrences that meet under AGREE functions at least are verified: the maximal segments in which eight of nine shingles match are taken, and a segment counts when it
+first occurrences that meet under AGREE functions at least (at similarity 0.8, 0.97 of the passages
+with one minimum for each function) are verified: the maximal segments in which eight of nine shingles match are taken, and a segment counts when it
 has LEAST shingles and its Jaccard similarity with the matching part of the first document is at
 least SIMILAR. The first occurrence stays; repeats within one document are not looked at.
 
@@ -35,11 +36,13 @@ from codonlake.llm.segments import maximal_segments
 from codonlake.llm.session import discard, stash, table, tune, whole_texts
 
 _U = np.uint64
-SHINGLE, LEAST, FUNCTIONS, AGREE, SIMILAR = 5, 46, 3, 2, 0.8
+SHINGLE, LEAST, FUNCTIONS, AGREE, SIMILAR = 5, 46, 4, 2, 0.8
 #: Bits of a window's place and of its reach to either side, packed in one number; a longer reach counts as the largest.
 PLACE, REACH = 23, 20
 #: Spans of first occurrences are widened to multiples of this, so that many documents ask for the same ones.
 STEP = 64
+#: Gaps of this many shingles can lie within a passage whose parts are too short to count alone.
+BRIDGE = 2 * LEAST // 8
 #: In each round of couples a group has so many times the heads of the round before.
 GROWTH = 4
 _SALTS = [_U(0x9E3779B97F4A7C15 * (2 * f + 1) & (2**64 - 1)) for f in range(16)]
@@ -133,22 +136,43 @@ def runs(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def dense(hit: np.ndarray) -> list[tuple[int, int, float]]:
-    """Maximal segments (first, last, score) in which at least eight of nine positions are hits, from either end:
-    sequences of one length that share 8/9 of their shingles have a Jaccard similarity of 0.8."""
+    """Segments (first, last, score) in which at least eight of nine positions are hits: sequences of one length that
+    share 8/9 of their shingles have a Jaccard similarity of 0.8. Those that are so dense from either end, and over
+    gaps of up to BRIDGE positions those of LEAST positions that are so as a whole (one changed word in 50)."""
     lo, hi = runs(hit)
-    return maximal_segments(lo.tolist(), hi.tolist(), (hi - lo + 1).tolist(), 8.0)
+    out = maximal_segments(lo.tolist(), hi.tolist(), (hi - lo + 1).tolist(), 8.0)
+    wide = []
+    for chain in np.split(np.arange(len(lo)), np.flatnonzero(lo[1:] - hi[:-1] - 1 > BRIDGE) + 1):
+        if len(chain) < 2 or hi[chain[-1]] - lo[chain[0]] + 1 < LEAST:
+            continue
+        u, v = lo[chain], hi[chain]
+        hits = np.cumsum(v - u + 1)
+        score = hits - 8 * (v - u[0] + 1 - hits)
+        before = score - (v - u + 1)
+        # the last run that ends no lower than this one begins
+        most = np.maximum.accumulate(score[::-1])  # the largest score of the last 1, 2, ... runs
+        far = len(chain) - 1 - np.searchsorted(most, before)
+        end = -1
+        for i, j in enumerate(far.tolist()):
+            if j > max(i, end) and v[j] - u[i] + 1 >= LEAST:
+                wide.append((int(u[i]), int(v[j]), float(score[j] - before[i])))
+                end = j
+    return sorted([z for z in out if not any(p <= z[0] and z[1] <= q for p, q, _ in wide)] + wide) if wide else out
 
 
 def _placed(part: np.ndarray, first: np.ndarray, at: int) -> tuple[int, float] | None:
     """Start of the part of ``first`` near ``at`` that is most like ``part``, and their Jaccard similarity."""
     u, v = max(0, at - LEAST), min(len(first), at + len(part) + LEAST)
-    inside = dense(np.isin(first[u:v], part))
-    if not inside:
-        return None
-    lo, hi, _ = max(inside, key=lambda z: z[2])
-    mine, theirs = np.unique(part), np.unique(first[u + lo : u + hi + 1])
-    both = len(np.intersect1d(mine, theirs, assume_unique=True))
-    return u + lo, both / (len(mine) + len(theirs) - both)
+    mine, best = np.unique(part), None
+    for lo, hi, _ in dense(np.isin(first[u:v], part)):
+        if hi - lo + 1 < SIMILAR * len(mine):
+            continue
+        theirs = np.unique(first[u + lo : u + hi + 1])
+        both = len(np.intersect1d(mine, theirs, assume_unique=True))
+        like = both / (len(mine) + len(theirs) - both)
+        if best is None or like > best[1]:
+            best = u + lo, like
+    return best
 
 
 def repeated(own: np.ndarray, first: np.ndarray, frames: list[tuple[int, int, int]]) -> list[tuple[int, int, int, float]]:
