@@ -8,7 +8,8 @@ page without a rule of its own is blocked when its class holds a blocked URL and
 allowed one; a page's own rule always stands.
 
 Edge cases: a null URL, or one without "://", has empty host and path and fits no rule; repeated
-pages get the same verdict each; null html has no links; an empty table gives an empty result;
+pages get the same verdict each; null html has no links; all links of a page count, relative ones
+against its URL, in letters of either case; an empty table gives an empty result;
 extra columns are ignored. Of two rules of the same host and path, allow wins.
 """
 
@@ -72,16 +73,42 @@ def plain(url: Column) -> Column:
     return F.regexp_replace(bare, r"[?&]$", "")
 
 
+def resolved(base: Column, ref: Column) -> Column:
+    """What the reference ``ref`` of a page at the URL ``base`` leads to."""
+    root = F.regexp_extract(base, r"^[^:/?#]+://[^/?#]*", 0)
+    bare = F.regexp_replace(base, r"(?s)[?#].*$", "")
+    path = F.substring(bare, F.length(root) + 1, F.length(bare))
+    here = F.when(F.contains(path, F.lit("/")), F.regexp_extract(path, r"(?s)^.*/", 0)).otherwise("/")
+    step = F.regexp_extract(ref, r"^[^?#]*", 0)
+    tail = F.substring(ref, F.length(step) + 1, F.length(ref))
+    parts = F.split(F.concat(F.when(F.startswith(step, F.lit("/")), F.lit("")).otherwise(here), step), "/", -1)
+    parts = F.slice(F.concat(parts, F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))), 2, F.length(base) + F.length(ref) + 2)
+    walked = F.aggregate(
+        parts,
+        F.array().cast("array<string>"),
+        lambda s, x: F.when(x == ".", s).when(x == "..", F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0)))).otherwise(F.concat(s, F.array(x))),
+    )
+    return (
+        F.when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), ref)
+        .when(F.startswith(ref, F.lit("//")), F.concat(F.regexp_extract(base, r"^[^:/?#]+:", 0), ref))
+        .when(F.startswith(ref, F.lit("#")), F.concat(F.regexp_replace(base, r"(?s)#.*$", ""), ref))
+        .when(F.startswith(ref, F.lit("?")), F.concat(bare, ref))
+        .otherwise(F.concat(root, F.lit("/"), F.array_join(walked, "/"), tail))
+    )
+
+
+def _tags(html: Column, keyword: str, tag: str, attribute: str) -> Column:
+    """The values of ``attribute`` in all tags of the page that fit ``tag``."""
+    found = F.when(F.contains(F.lower(html), F.lit(keyword)), F.regexp_extract_all(html, F.lit(tag), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    return F.filter(F.transform(found, lambda t: F.regexp_extract(t, attribute, 1)), lambda v: v != "")
+
+
 def alias_edges(pages: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
     """Distinct edges (u, v) between URLs that lead to one another."""
     html = F.coalesce(F.col("html"), F.lit(""))
-    link = F.when(F.contains(html, F.lit("canonical")), F.regexp_extract(html, r"(?i)<link\b[^>]*\brel=[\"']?canonical[\"']?[^>]*>", 0)).otherwise("")
-    refresh = F.when(F.contains(html, F.lit("refresh")), F.regexp_extract(html, r"(?i)<meta\b[^>]*\bhttp-equiv=[\"']?refresh[\"']?[^>]*>", 0)).otherwise("")
-    targets = F.array(
-        plain(F.col("url")),
-        F.regexp_extract(link, r"(?i)\bhref=[\"']?([^\"'\s>]+)", 1),
-        F.regexp_extract(refresh, r"(?i)\burl=[\"']?([^\"'\s>;]+)", 1),
-    )
+    links = _tags(html, "canonical", r"(?i)<link\b[^>]*\brel=[\"']?canonical[\"']?[^>]*>", r"(?i)\bhref=[\"']?([^\"'\s>]+)")
+    refreshes = _tags(html, "refresh", r"(?i)<meta\b[^>]*\bhttp-equiv=[\"']?refresh[\"']?[^>]*>", r"(?i)\burl=[\"']?([^\"'\s>;]+)")
+    targets = F.concat(F.array(plain(F.col("url"))), F.transform(F.concat(links, refreshes), lambda v: resolved(F.col("url"), v)))
     edges = pages.where(F.contains("url", F.lit("://"))).select(F.col("url").alias("u"), F.explode(targets).alias("v"))
     if redirects is not None:
         edges = edges.union(redirects.select(F.col("src"), F.col("dst")))

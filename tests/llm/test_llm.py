@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from codonlake.llm import bpe, decontamination, graph, jaccard_join, language_id, license_scan, quality_classifier, quality_rules, substring_dedup, toxicity, url_filter
 from codonlake.llm.segments import maximal_segments
@@ -132,6 +133,18 @@ def test_url_filter(spark):
     assert url_filter.judge(pages.limit(0), url_filter.RULES).count() == 0
 
 
+def test_url_aliases_of_raw_pages(spark):
+    u = "http://x.net/p/q/r.html?k=1#f"
+    refs = {"/en/1": "http://x.net/en/1", "//h.org/x": "http://h.org/x", "a": "http://x.net/p/q/a", "../b?c=/../d": "http://x.net/p/b?c=/../d", "./": "http://x.net/p/q/", "..": "http://x.net/p/", "../../../z": "http://x.net/z", "?j=2": "http://x.net/p/q/r.html?j=2", "#g": "http://x.net/p/q/r.html?k=1#g", "HTTPS://Y.de/k": "HTTPS://Y.de/k"}
+    got = spark.createDataFrame([(u, v) for v in refs], "u string, v string").select("v", url_filter.resolved(F.col("u"), F.col("v"))).collect()
+    assert dict(map(tuple, got)) == refs
+    assert spark.createDataFrame([("http://x.net", "a")], "u string, v string").select(url_filter.resolved(F.col("u"), F.col("v"))).first()[0] == "http://x.net/a"
+    html = '<META HTTP-EQUIV="Refresh" CONTENT="0; URL=/m"><LINK REL="CANONICAL" HREF="//example.org/es/1"><link rel=canonical href=n>'
+    pages = spark.createDataFrame([(1, "http://x.net/a/b", html), (2, "http://x.net/m", None), (3, "http://x.net/a/n", None), (4, "http://x.net/n", None)], "page_id long, url string, html string")
+    rules = [("block", "example.org", "/es/")]
+    assert {r.page_id: r.verdict for r in url_filter.judge(pages, rules).collect()} == {1: "block", 2: "block", 3: "block", 4: "allow"}
+
+
 def test_decontamination(spark, sf, docs, rows, empty):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text")
     items = [tuple(r) for r in bench.collect()] + [(900, "The same the same"), (901, None), (902, "w3 x3 w4 x4 w5 x5 w6 x6 w7 x7 w8 x8")]
