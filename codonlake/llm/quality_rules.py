@@ -22,11 +22,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from codonlake.llm.session import bounded, stash, table
+from codonlake.llm.session import stash, table
 
 GAP = r"[\x20\x09-\x0D]+"
-#: Bound of the labelled holdout (rows), false-rejection rate, error level, price of a good document.
-HOLDOUT, ALPHA, DELTA, COST = 20_000, 0.01, 0.05, 10.0
+#: False-rejection rate, error level, price of a good document.
+ALPHA, DELTA, COST = 0.01, 0.05, 10.0
 #: Cutoffs, from loose to tight.
 GRID = [round(0.8 * 0.85**i, 4) for i in range(30)]
 RULES = ("symbol", "shout", "dup_line", "repeat")
@@ -110,14 +110,13 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.expr(f"aggregate(if(k < 1, cast(array() as array<bigint>), sequence(1L, k)), {start}, (s, i) -> {state}, s -> s.s)")
 
 
-def fit_cutoffs(docs: DataFrame, labels: DataFrame, holdout: int = HOLDOUT, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+def fit_cutoffs(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """One row (stratum, cutoffs array<double>, null where nothing is certified) for each of the three strata, at most.
 
-    ``holdout`` bounds the labelled documents that are used.
+    All labelled documents are counted.
     """
-    sample = bounded(labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")), holdout, "quality")
-    # at most 1.25 * holdout rows of two numbers: bounded, whatever the size of the corpus
-    held = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    marked = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    held = docs.select("doc_id", "text").join(marked, "doc_id")
     seen = with_statistics(held).where(~base_failed())
     cuts = F.array(*[F.lit(c) for c in GRID])
     # the first cutoff of the grid that rejects: all tighter ones do, too

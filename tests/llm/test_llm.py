@@ -109,6 +109,14 @@ def test_quality_rules(spark, sf, docs, rows, empty):
     assert quality_rules.keep_good(empty, labels.limit(0)).count() == 0
 
 
+def test_quality_rules_count_all_labels(spark):
+    """A stratum with 1 % of 60,000 labels is certified: 600 good documents prove a cutoff, a third of them doesn't."""
+    good, bad = " ".join(f"word{i}" for i in range(120)), " ".join(f"###{i}" for i in range(120))
+    rows = spark.range(60_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 600, good).when(F.col("id") < 700, bad).otherwise("").alias("text"), F.when(F.col("id").between(600, 699), 0).otherwise(1).alias("quality"))
+    cutoffs = quality_rules.fit_cutoffs(rows.drop("quality"), rows.drop("text")).collect()
+    assert [r.stratum for r in cutoffs] == [1] and cutoffs[0].cutoffs[0] is not None
+
+
 def test_binomial_tail_is_exact(spark):
     from math import comb, log
 
