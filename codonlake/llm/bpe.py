@@ -243,12 +243,17 @@ class Coder:
             return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)
         stop = np.append(start[1:], len(buf))
         _, first, place = np.unique(span_hashes(buf, start, stop), return_index=True, return_inverse=True)
-        known = self.perfect.find(span_hashes_at(buf, start[first], stop[first]))
+        odd = np.flatnonzero(~equal_spans(buf, start, stop, buf, start[first][place], stop[first][place]))
+        if len(odd):  # another pre-token of the same hash: each stands for itself
+            place[odd] = len(first) + np.arange(len(odd))
+            first = np.concatenate([first, odd])
+        known = self.perfect.find(span_hashes(buf, start[first], stop[first]))
         raw = buf.tobytes()
         lo, hi = start[first].tolist(), stop[first].tolist()
         whole = known >= 0
         # the perfect hash knows 64 bits of a token; its bytes decide
-        whole[whole] = self._same(buf, start[first][whole], stop[first][whole], known[whole])
+        of = known[whole]
+        whole[whole] = equal_spans(buf, start[first][whole], stop[first][whole], self.blob, self.at[of], self.at[of] + self.size[of])
         rest = np.flatnonzero(~whole)
         merged = [self.recall(raw[lo[x] : hi[x]]) for x in rest.tolist()]
         count = np.ones(len(known), np.int64)
@@ -261,25 +266,20 @@ class Coder:
         upto = np.concatenate([[0], np.cumsum(count[place])])
         return ids, upto[np.searchsorted(start, offs)]
 
-    def _same(self, buf: np.ndarray, lo: np.ndarray, hi: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        same = hi - lo == self.size[ids]
-        a = ragged(buf, lo[same], (hi - lo)[same]) == ragged(self.blob, self.at[ids][same], self.size[ids][same])
-        if len(a) and not a.all():
-            size = (hi - lo)[same]
-            same[np.flatnonzero(same)] = np.logical_and.reduceat(a, np.cumsum(size) - size)
-        return same
-
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of the tokens."""
         return ragged(self.blob, self.at[ids], self.size[ids])
 
 
-def span_hashes_at(buf: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """span_hashes() of spans in any order."""
-    order = np.argsort(lo, kind="stable")
-    out = np.empty(len(lo), _U)
-    out[order] = span_hashes(buf, lo[order], hi[order])
-    return out
+def equal_spans(a: np.ndarray, lo: np.ndarray, hi: np.ndarray, b: np.ndarray, from_: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Which spans of ``a`` hold the same bytes as those of ``b``."""
+    size = hi - lo
+    same = size == to - from_
+    look = np.flatnonzero(same & ((lo != from_) | (a is not b)) & (size > 0))
+    off = ragged(a, lo[look], size[look]) != ragged(b, from_[look], size[look])
+    if off.any():
+        same[look] = ~np.logical_or.reduceat(off, np.cumsum(size[look]) - size[look])
+    return same
 
 
 def ragged(data: np.ndarray, lo: np.ndarray, size: np.ndarray) -> np.ndarray:

@@ -6,6 +6,7 @@ bytes is a word character in both word classes, so bytes decide.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,9 +23,9 @@ ALNUM = np.zeros(256, bool)
 ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 
 _U = np.uint64
-_BASE = _U(0x9E3779B97F4A7C15 | 1)
-_BYTES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**63, 256, dtype=np.int64).astype(_U) * _U(2) + _U(1)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Spans of up to so many bytes are hashed eight bytes at a time, longer ones by BLAKE2.
+STEPPED = 256
+_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], _U)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,15 +35,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = max(BLOCK + 1, n)
-    if size not in _powers:
-        _powers.clear()
-        inv = _U(pow(int(_BASE), -1, 1 << 64))
-        _powers[size] = tuple(np.cumprod(np.concatenate([np.ones(1, _U), np.full(size, b, _U)])) for b in (_BASE, inv))
-    return _powers[size]
-
-
 def blocks(batch: pa.RecordBatch, text: str = "text", limit: int = BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets from 0) of runs of whole texts of up to ``limit`` bytes, one text at least."""
     col = batch.column(batch.schema.get_field_index(text))
@@ -81,18 +73,20 @@ def words(buf: np.ndarray, offs: np.ndarray, kind: np.ndarray) -> tuple[np.ndarr
 
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans that don't overlap, in order; memory stays bounded for very long texts."""
-    out = np.empty(len(starts), _U)
-    i = 0
-    while i < len(starts):
-        j = len(starts) if len(buf) <= BLOCK else max(i + 1, int(np.searchsorted(ends, starts[i] + BLOCK, "right")))
-        lo, hi = int(starts[i]), int(ends[j - 1])
-        power, inverse = _power(hi - lo)
-        pre = np.zeros(hi - lo + 1, _U)
-        np.cumsum(_BYTES[buf[lo:hi]] * power[: hi - lo], out=pre[1:])
-        s = starts[i:j] - lo
-        out[i:j] = mix((pre[ends[i:j] - lo] - pre[s]) * inverse[s])
-        i = j
+    """64-bit hashes of byte spans, in any order. Each step mixes eight bytes into the state of the spans that have them."""
+    size = ends - starts
+    out = mix((size.astype(_U) + _U(1)) * _U(0x9E3779B97F4A7C15))
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(padded) - 7,), "<u8", padded, 0, (1,))
+    live = np.flatnonzero((size > 0) & (size <= STEPPED))
+    at, left, state = starts[live], size[live], out[live]
+    while len(live):
+        state = mix(state * _U(0xD6E8FEB86659FD93) ^ (eight[at] & _MASK[np.minimum(left, 8)]))
+        more = left > 8
+        out[live[~more]] = state[~more]
+        live, at, left, state = live[more], at[more] + 8, left[more] - 8, state[more]
+    for i in np.flatnonzero(size > STEPPED).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(np.ascontiguousarray(buf[starts[i] : ends[i]]), digest_size=8).digest(), "little")
     return out
 
 
