@@ -1,32 +1,40 @@
 """N-gram Jaccard self-join by T-occurrence search, to connected components.
 
 A document is the set of its distinct n-word shingles (64-bit hashes). Two documents link when
-their Jaccard similarity reaches num / 100. T, the overlap they need, follows from their sizes,
-and the inverted lists of a document are divided as in DivideSkip:
-
-* its short lists, those of its n - T + 1 rarest shingles, are merged: rows (shingle, document) go
-  through one sorted shuffle, which is the merge of the lists, and any partner must turn up here;
-* its long lists, the rest, are never merged: candidates are probed by binary search in the
-  sorted shingles of their partner.
-
-"Rare" is by an order that all documents share: how often a shingle's bucket occurs in the corpus,
-counted in a table of fixed size over all documents, then the hash. The order only sets the cost.
-
-Copies meet first (equal sets have one representative), so a group of copies never pairs up. In
-a list every document meets the list's first document; links found there merge documents into
-components, and then only documents of one list that are still in different components meet, the
-best linked first. So a large group of near copies costs its size, not its square, and no link
-between components is lost. Candidates are cut by an upper bound of the overlap (histograms of
-shingle hashes), which is exact, before any shingle set is moved.
+their Jaccard similarity reaches num / 100. T, the overlap they need, follows from their sizes, and
+the inverted lists of a document are divided as in DivideSkip:
+
+* L = T - need long lists, those of its most frequent shingles, are never merged;
+* the short lists, the other n - L, are merged: rows (shingle, document) go through one sorted
+  shuffle, and a pair of documents that reaches T must meet in at least ``need`` of them (the
+  smaller of both documents' numbers), so pairs are counted and those below are dropped;
+* pairs that remain are probed: each shingle of the smaller set, those of the long lists included,
+  is looked up in the sorted set of the other by binary search.
+
+"Frequent" is by an order that all documents share: how often a shingle's bucket occurs in the
+corpus, counted in a table of fixed size over all documents, then the hash. It only sets the cost.
+
+Copies meet first (equal sets have one representative), so a group of copies never pairs up. Then
+every document meets the first document of its lists, the one it meets most often before the
+others, and the best linked one; links found there merge documents into classes, and the counted
+search runs over documents of one list that are still in different classes. So a large group of
+near copies costs its size, not its square, and no link between classes is lost. In that search a
+list is dealt by bands of set size, so only sizes that may link meet.
+
+Lists of shingles from crowded buckets are dealt over several groups by document; the groups' first
+documents meet one another, too. Candidates are cut by an upper bound of the overlap (histograms of
+shingle hashes), which is exact, before any text is moved.
 
 Edge cases: null and empty texts and those without words have the empty set, link with nothing
 and are their own component; a text of fewer words than n is one shingle; repeated rows and equal
-texts share a component; rows with a null id are left out; empty tables give empty results;
-extra columns are ignored.
+texts share a component; rows of one id with different texts are one document, linked by its largest
+set (the larger hash on a tie), though each row has its own n_shingles; rows with a null id are left
+out; empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,13 +43,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from codonlake.llm.graph import components
+from codonlake.llm.graph import Classes
 from codonlake.llm.kernels import LOWER, SPACED, blocks, mix, ngrams, span_hashes, words
-from codonlake.llm.session import discard, fewer, stash, table, tune, whole_texts
+from codonlake.llm.session import discard, fewer, sieve, stash, table, tune, whole_texts
 
 _U = np.uint64
 #: Buckets of the table of shingle counts and of a document's histogram.
 COUNT_BITS, BINS = 17, 256
+#: Occurrences of a bucket, over the mean, from which its lists are dealt over groups; and the least such number.
+CROWDED, GROUP = 2, 1000
 
 
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, n: int) -> Iterator[np.ndarray]:
@@ -58,15 +68,27 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray, n: int) -> Iterator[np.ndarr
             yield ngrams(h[a:b], b - a, salt=1) if b > a else h[:0]
 
 
+def set_hashes(x: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit hashes of a set."""
+    if not len(x):
+        return 0, 0
+    return int(np.add.reduce(mix(x)).view(np.int64)), int(np.bitwise_xor.reduce(mix(x ^ _U(0xA5A5A5A5A5A5A5A5))).view(np.int64))
+
+
 def bucket(x: np.ndarray) -> np.ndarray:
     return (x >> _U(64 - COUNT_BITS)).astype(np.int64)
 
 
-def least_overlap(n: np.ndarray, num: int) -> np.ndarray:
+def least_overlap(n: int, num: int) -> int:
     """Shingles of a set of ``n`` that any linked set must share: ceil(num / 100 * n)."""
     return -(-num * n // 100)
 
 
+def needed(n, num: int):
+    """Short lists that a linked pair must meet in, for a set of ``n``: one more for each eight lists that T leaves."""
+    return (n - n * num // 100) // 8 + 1
+
+
 def profiles(docs: DataFrame, n: int) -> DataFrame:
     """(doc_id, n, s1, s2) for each document, s1 and s2 a 128-bit hash of its set, and for each task one row of ``counts``."""
 
@@ -82,8 +104,7 @@ def profiles(docs: DataFrame, n: int) -> DataFrame:
                         counts += np.bincount(bucket(x), minlength=len(counts)) if len(x) > 20000 else 0
                         if len(x) <= 20000:
                             np.add.at(counts, bucket(x), 1)
-                        s1[i] = np.add.reduce(mix(x)).view(np.int64)
-                        s2[i] = np.bitwise_xor.reduce(mix(x ^ _U(0xA5A5A5A5A5A5A5A5))).view(np.int64)
+                        s1[i], s2[i] = set_hashes(x)
                 yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(size), pa.array(s1), pa.array(s2), pa.nulls(b - a, pa.binary())], names)
         if counts.any():
             none = pa.nulls(1, pa.int64())
@@ -111,45 +132,43 @@ def summed(rows: DataFrame, tasks: int) -> np.ndarray:
     return np.frombuffer(got.counts, np.int64) if got else np.zeros(1 << COUNT_BITS, np.int64)
 
 
+def groups_of(counts: np.ndarray) -> np.ndarray:
+    """How many groups the lists of each bucket are dealt over."""
+    most = max(GROUP, CROWDED * int(counts.sum()) // len(counts))
+    return np.maximum(-(-counts // most), 1)
+
+
 def short_lists(docs: DataFrame, n: int, num: int, counts: np.ndarray) -> DataFrame:
-    """(doc_id, n, short: its rarest shingles, bins: histogram of all of them)."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, 2**31 - 1).astype(np.int32))
+    """(doc_id, n, s1, s2, short: its rarest shingles, part: the group of each (-1: the only one), bins: histogram of all)."""
+    shared = docs.sparkSession.sparkContext.broadcast((np.minimum(counts, 2**31 - 1).astype(np.int32), np.minimum(groups_of(counts), 2**15).astype(np.int32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = shared.value
+        common, groups = shared.value
         for batch in batches:
             for a, b, buf, offs in blocks(batch):
-                size, short, bins = [], [], []
+                size, one, two, short, part, bins = [], [], [], [], [], []
                 for x in shingle_sets(buf, offs, n):
                     k = len(x)
-                    take = k - int(least_overlap(np.int64(k), num)) + 1 if k else 0
-                    order = np.argsort(common[bucket(x)], kind="stable")[:take]
+                    t = least_overlap(k, num)
+                    take = k - t + min(needed(k, num), t) if k else 0
+                    at = bucket(x)
+                    order = np.argsort(common[at], kind="stable")[:take]
+                    h1, h2 = set_hashes(x)
+                    of = groups[at[order]]
                     size.append(k)
+                    one.append(h1)
+                    two.append(h2)
                     short.append(x[order].view(np.int64))
-                    bins.append(np.minimum(np.bincount((x & _U(BINS - 1)).astype(np.int64), minlength=BINS), 65535).astype("<u2").tobytes())
-                upto = np.concatenate([[0], np.cumsum([len(s) for s in short])])
-                lists = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(np.concatenate(short) if short else np.zeros(0, np.int64)))
-                yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(size, pa.int64()), lists, pa.array(bins, pa.binary())], ["doc_id", "n", "short", "bins"])
-
-    return docs.mapInArrow(run, "doc_id long, n long, short array<long>, bins binary")
+                    part.append(np.where(of > 1, (h1 & 0x7FFFFFFF) % of, -1).astype(np.int32))
+                    bins.append(np.minimum(np.bincount((x & _U(BINS - 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes())
+                upto = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in short])]), pa.int32())
+                flat = lambda v, kind: pa.ListArray.from_arrays(upto, pa.array(np.concatenate(v) if v else np.zeros(0, kind)))
+                yield pa.record_batch(
+                    [batch.column(0).slice(a, b - a), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), flat(short, np.int64), flat(part, np.int32), pa.array(bins, pa.binary())],
+                    ["doc_id", "n", "s1", "s2", "short", "part", "bins"],
+                )
 
-
-def whole_sets(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, shingles): the sorted set, five bytes each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, buf, offs in blocks(batch):
-                out = [np.ascontiguousarray((x >> _U(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes() for x in shingle_sets(buf, offs, n)]
-                yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(out, pa.binary())], ["doc_id", "shingles"])
-
-    return docs.mapInArrow(run, "doc_id long, shingles binary")
-
-
-def _unpack(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    return out.view("<u8").ravel()
+    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, short array<long>, part array<int>, bins binary")
 
 
 def _possible(num: int):
@@ -157,25 +176,34 @@ def _possible(num: int):
         for t in batches:
             if t.num_rows:
                 na, nb = (t.column(i).to_numpy() for i in (2, 3))
-                x, y = (np.frombuffer(b"".join(t.column(i).to_pylist()), "<u2").reshape(-1, BINS) for i in (4, 5))
+                x, y = (np.frombuffer(b"".join(t.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (4, 5))
                 most = np.minimum(x, y).sum(1, dtype=np.int64)
-                most[((x == 65535) & (y == 65535)).any(1)] = 1 << 40
+                most[((x == 255) & (y == 255)).any(1)] = 1 << 40
                 ok = most * (100 + num) >= num * (na + nb)
                 yield pa.RecordBatch.from_arrays(t.columns[:4], ["a", "b", "na", "nb"]).filter(pa.array(ok))
 
     return run
 
 
-def _linked(num: int):
+def _sets(texts: pa.Array, n: int) -> list[np.ndarray]:
+    batch = pa.record_batch([texts.cast(pa.large_string())], ["text"])
+    return [x for _, _, buf, offs in blocks(batch) for x in shingle_sets(buf, offs, n)]
+
+
+def _linked(n: int, num: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            na, nb = (t.column(i).to_numpy() for i in (2, 3))
-            ok = []
-            for i, (x, y) in enumerate(zip(t.column(4), t.column(5), strict=True)):
-                x, y = sorted((_unpack(x.as_py()), _unpack(y.as_py())), key=len)
+            na, nb, b = (t.column(i).to_numpy() for i in (2, 3, 1))
+            # rows come in runs of one b: its set is made once
+            lead = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else np.zeros(0, np.int64)
+            run_of = np.searchsorted(lead, np.arange(len(b)), "right") - 1
+            theirs, ok = _sets(t.column(5).take(pa.array(lead)), n), []
+            for i, x in enumerate(_sets(t.column(4), n)):
+                y = theirs[run_of[i]]
+                x, y = sorted((x, y), key=len)
                 at = np.searchsorted(y, x)  # the binary probes
                 both = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(x) else 0
-                ok.append(both * (100 + num) >= num * int(na[i] + nb[i]))
+                ok.append({len(x), len(y)} == {int(na[i]), int(nb[i])} and both * (100 + num) >= num * int(na[i] + nb[i]))
             yield pa.RecordBatch.from_arrays(t.columns[:2], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
@@ -195,11 +223,10 @@ class _Search:
 
     def __init__(self, docs: DataFrame, bins: DataFrame, n: int, num: int):
         self.docs, self.bins, self.n, self.num = docs, bins, n, num
-        self.sets: DataFrame | None = None
-        self.links: DataFrame | None = None
+        self.classes, self.degrees = Classes(), None
 
     def test(self, pairs: DataFrame) -> None:
-        """Add the linked ones of ``pairs`` (a, b, na, nb) to the links."""
+        """Merge the classes of the linked ones of ``pairs`` (a, b, na, nb)."""
         h = self.bins
         bounded = (
             pairs.join(h.select(F.col("doc_id").alias("a"), F.col("bins").alias("ha")), "a")
@@ -208,84 +235,96 @@ class _Search:
             .mapInArrow(_possible(self.num), "a long, b long, na long, nb long")
         )
         left = stash(bounded, "possible")
-        need = left.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        if self.sets is not None:
-            need = need.join(self.sets.select("doc_id"), "doc_id", "left_anti")
-        need = stash(need, "need")
-        if need.limit(1).count():
-            new = stash(whole_sets(self.docs.join(need, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text"), self.n), "sets")
-            self.sets = new if self.sets is None else self.sets.unionByName(new)
-        if self.sets is None:
+        if left.isEmpty():
+            discard(left)
             return
-        s = self.sets
+        wanted = sieve(left.select(F.explode(F.array("a", "b")).alias("doc")), "doc")
+        texts = self.docs.where(wanted(F.col("doc_id")))
         linked = (
-            left.join(s.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
-            .join(s.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
-            .select("a", "b", "na", "nb", "sa", "sb")
-            .mapInArrow(_linked(self.num), "a long, b long")
+            left.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
+            .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+            .select("a", "b", "na", "nb", "ta", "tb")
+            .mapInArrow(_linked(self.n, self.num), "a long, b long")
         )
         new = stash(linked, "links")
-        self.links = new if self.links is None else self.links.unionByName(new)
         discard(left)
-
-    def classes(self) -> DataFrame | None:
-        return None if self.links is None else stash(components(self.links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "classes")
-
-
-def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, hub_rounds: int = 2) -> DataFrame:
+        if not new.isEmpty():
+            self.classes.merge(new)
+            found = new.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count("*").alias("degree"))
+            if self.degrees is not None:
+                found = found.unionByName(self.degrees).groupBy("doc").agg(F.sum("degree").alias("degree"))
+            found, old = stash(found, "degrees"), self.degrees
+            self.degrees = found
+            discard(old)
+        discard(new)
+
+    def apart(self, pairs: DataFrame) -> DataFrame:
+        """Those pairs whose ends are in different classes."""
+        both = self.classes.of(self.classes.of(pairs, "a", "ca"), "b", "cb")
+        return both.where("ca != cb").drop("ca", "cb")
+
+
+def _met(rows: DataFrame, other: str, num: int) -> DataFrame:
+    """Pairs (a, b, na, nb) of documents and the struct ``other`` (doc, n, at), counted."""
+    o = F.col(other)
+    ok = rows.where((F.col("doc") != o["doc"]) & _may_link((F.col("n"), F.col("at")), (o["n"], o["at"]), num))
+    return ok.select(F.col("doc").alias("a"), o["doc"].alias("b"), F.col("n").alias("na"), o["n"].alias("nb"))
+
+
+def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, hub_rounds: int = 1) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     tune(spark)
     docs = whole_texts(docs).where(F.col("doc_id").isNotNull())
-    seen = stash(profiles(docs, n), "profiles")
+    seen = stash(profiles(docs, n), "profiles", scan=True)
     every = seen.where(F.col("doc_id").isNotNull()).drop("counts")
     tables = seen.where(F.col("counts").isNotNull()).select("counts")
-    first = stash(every.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")), "reps")
-    rows = stash(short_lists(docs, n, num, summed(tables, max(1, tables.count()))).join(first.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "short")
-    bins = rows.select("doc_id", "bins")
-
-    entries = rows.select(F.posexplode("short").alias("at", "shingle"), F.col("doc_id").alias("doc"), "n")
-    a_list = W.partitionBy("shingle")
-    live = stash(
-        entries.withColumns({"size": F.count("*").over(a_list), "head": F.min(F.struct("doc", "n", "at")).over(a_list)}).where("size > 1"),
-        "live",
-    )
-    search = _Search(docs, bins, n, num)
-    search.test(
-        live.where((F.col("doc") != F.col("head.doc")) & _may_link((F.col("n"), F.col("at")), (F.col("head.n"), F.col("head.at")), num))
-        .select(F.col("doc").alias("a"), F.col("head.doc").alias("b"), F.col("n").alias("na"), F.col("head.n").alias("nb"))
-        .distinct()
-    )
-    # lists of two are done; in the others, documents of different components meet
-    longer = live.where("size > 2").select("shingle", "doc", "n", "at", F.col("head.doc").alias("head"))
-    for k in range(hub_rounds + 1):
-        known = search.classes()
-        entries = longer
-        if known is not None:
-            degree = search.links.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count("*").alias("degree"))
-            entries = entries.join(known.select(F.col("node").alias("doc"), F.col("component").alias("class")), "doc", "left").join(degree, "doc", "left")
-        else:
-            entries = entries.withColumns({"class": F.lit(None).cast("long"), "degree": F.lit(None).cast("long")})
-        entries = entries.withColumns({"class": F.coalesce("class", "doc"), "degree": F.coalesce("degree", F.lit(0))})
-        mixed = entries.withColumns({"low": F.min("class").over(a_list), "high": F.max("class").over(a_list), "hub": F.max(F.struct("degree", F.expr("-doc").alias("neg"), "n", "at", "class")).over(a_list)}).where("low != high")
-        if k < hub_rounds:
-            hub = F.col("hub")
-            pairs = mixed.where((F.col("class") != hub["class"]) & (F.col("doc") != F.col("head")) & (-hub["neg"] != F.col("head")) & _may_link((F.col("n"), F.col("at")), (hub["n"], hub["at"]), num))
-            pairs = pairs.select(F.col("doc").alias("a"), (-hub["neg"]).alias("b"), F.col("n").alias("na"), hub["n"].alias("nb")).distinct()
-        else:
-            rest = stash(mixed.where(F.col("doc") != F.col("head")).select("shingle", "doc", "n", "at", "class"), "rest")
-            x, y = (rest.select("shingle", *[F.col(c).alias(c + s) for c in ("doc", "n", "at", "class")]) for s in "xy")
-            pairs = x.join(y, "shingle").where((F.col("docx") < F.col("docy")) & (F.col("classx") != F.col("classy")) & _may_link((F.col("nx"), F.col("atx")), (F.col("ny"), F.col("aty")), num))
-            pairs = pairs.select(F.col("docx").alias("a"), F.col("docy").alias("b"), F.col("nx").alias("na"), F.col("ny").alias("nb")).distinct()
-        search.test(pairs)
-        discard(known)
-    known = search.classes()
-    rep = every.join(first, ["n", "s1", "s2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
-    if known is not None:
-        rep = rep.join(known.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    else:
-        rep = rep.withColumn("component", F.lit(None).cast("long"))
-    return fewer(rep).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    counts = summed(tables, max(1, tables.count()))
+    # of rows of one id the largest set stands for the document; of equal sets the smallest id
+    one = every.where("n > 0").groupBy("doc_id").agg(F.max(F.struct("n", "s1", "s2")).alias("set")).select("doc_id", "set.*")
+    first = stash(one.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")), "reps")
+    rows = stash(short_lists(docs, n, num, counts).join(first.withColumnRenamed("rep", "doc_id"), ["doc_id", "n", "s1", "s2"], "left_semi").dropDuplicates(["doc_id"]).drop("s1", "s2"), "short")
+
+    entries = rows.select(F.posexplode(F.arrays_zip("short", "part")).alias("at", "x"), F.col("doc_id").alias("doc"), "n")
+    entries = entries.select(F.col("x.short").alias("shingle"), F.col("x.part").alias("part"), "doc", "n", F.col("at").cast("int").alias("at"))
+    a_list = W.partitionBy("shingle", "part")
+    live = stash(entries.withColumns({"size": F.count("*").over(a_list), "head": F.min(F.struct("doc", "n", "at")).over(a_list)}).where("size > 1 or part >= 0"), "live")
+    search = _Search(docs, rows.select("doc_id", "bins"), n, num)
+    # the groups of a dealt list meet by their first documents
+    heads = live.where("part >= 0 and doc = head.doc").select("shingle", "doc", "n", "at")
+    tops = heads.join(heads.groupBy("shingle").agg(F.min(F.struct("doc", "n", "at")).alias("top")), "shingle")
+    met = stash(_met(live, "head", num).unionByName(_met(tops, "top", num)).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("times")), "met")
+    # first the partner that a document meets most often, then those that are still apart
+    best = met.groupBy("a", "na").agg(F.max(F.struct("times", (-F.col("b")).alias("neg"), "nb")).alias("x"))
+    search.test(best.select("a", (-F.col("x.neg")).alias("b"), "na", F.col("x.nb").alias("nb")))
+    search.test(search.apart(met.drop("times")))
+    discard(met)
+    for _ in range(hub_rounds):
+        if search.degrees is None:
+            break
+        linked = search.classes.of(live.select("shingle", "part", "doc", "n", "at").join(search.degrees, "doc", "left"), "doc", "class")
+        hub = linked.withColumns({"low": F.min("class").over(a_list), "high": F.max("class").over(a_list), "hub": F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), (-F.col("doc")).alias("neg"), "doc", "n", "at")).over(a_list)}).where("low != high")
+        search.test(search.apart(_met(hub, "hub", num).distinct()))
+    # T-occurrence search among documents of different classes
+    linked = search.classes.of(live.select("shingle", "doc", "n", "at"), "doc", "class")
+    mixed = linked.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("shingle")
+    step = 1.000001 * math.log(100 / num)
+    rest = stash(linked.join(mixed, "shingle", "left_semi").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / step).cast("int")), "rest")
+    discard(live)
+    x = rest.select("shingle", *[F.col(c).alias(c + "x") for c in ("doc", "n", "at", "class")], F.explode(F.array(F.col("band") - 1, "band")).alias("band"))
+    y = rest.select("shingle", "band", *[F.col(c).alias(c + "y") for c in ("doc", "n", "at", "class")])
+    # each pair once: from the larger set, or the larger id, to the other
+    pairs = x.join(y, ["shingle", "band"]).where(f"struct(nx, docx) > struct(ny, docy) and classx != classy and ny * 100 >= nx * {num}")
+    counted = pairs.groupBy(F.col("docx").alias("a"), F.col("docy").alias("b"), F.col("nx").alias("na"), F.col("ny").alias("nb")).agg(F.count("*").alias("times"), F.min("atx").alias("ia"), F.min("aty").alias("ib"))
+    need = "least((n - n * {num} div 100) div 8 + 1, (n * {num} + 99) div 100)".format(num=num)
+    enough = f"times >= least({need.replace('n ', 'na ')}, {need.replace('n ', 'nb ')})"
+    search.test(counted.where(F.expr(enough) & _may_link((F.col("na"), F.col("ia")), (F.col("nb"), F.col("ib")), num)).select("a", "b", "na", "nb"))
+    discard(rest)
+    rep = every.join(one.join(first, ["n", "s1", "s2"]).select("doc_id", "rep"), "doc_id", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep"))
+    out = stash(search.classes.of(rep, "rep", "component").select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id")), "components")
+    for done in (seen, first, rows, search.classes.rows, search.degrees):
+        discard(done)
+    return fewer(out)
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

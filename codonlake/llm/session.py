@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,9 +15,11 @@ ARROW_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one where it is unset (tests on one machine)."""
+    """The folder of spark.checkpoint.dir; where it is unset and the master is local, a temporary one."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -29,11 +33,14 @@ def fewer(df: DataFrame) -> DataFrame:
     return df.coalesce(max(4 * spark.sparkContext.defaultParallelism, -(-shuffle // 8)))
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a table in the shared folder and read it back: cuts lineage, survives lost executors."""
+def stash(df: DataFrame, name: str, scan: bool = False) -> DataFrame:
+    """Write ``df`` to a table in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    What comes from a shuffle is narrow and goes into fewer() files; a ``scan`` of texts keeps its tasks.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/codonlake/{name}-{uuid.uuid4().hex}"
-    fewer(df).write.parquet(path)
+    (df if scan else fewer(df)).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stash_path = path
     return out
@@ -51,6 +58,7 @@ def discard(df: DataFrame | None) -> None:
 def tune(spark: SparkSession) -> None:
     """Small Arrow batches, so that a run of very long texts stays within a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +88,22 @@ def bounded(df: DataFrame, rows: int, salt: str, key: str = "doc_id") -> DataFra
     return df.where(u < rows / n).limit(rows + rows // 4)
 
 
-def renamed_clashes(df: DataFrame, own: set[str]) -> DataFrame:
-    """Drop columns of ``df`` whose names an operator is about to add."""
-    return df.drop(*[c for c in df.columns if c in own])
+def sieve(ids: DataFrame, column: str, bits: int = 24) -> Callable[[Column], Column]:
+    """A test that all values of ``column`` pass, and of others about as many as values fall on a bit.
+
+    It is a bit table of fixed size (2 MB), so it may be part of a plan whatever the data; in front of
+    a join it keeps most rows without a partner out of the shuffle. When it fills up it only lets more through.
+    """
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
+    each = ids.select(spot(F.col(column)).alias("b")).groupBy(F.shiftright("b", 6).cast("int").alias("w"))
+    got = each.agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("x")).toArrow()
+    words = np.zeros(1 << (bits - 6), "<i8")
+    words[got.column(0).to_numpy()] = got.column(1).to_numpy()
+    raw = F.lit(words.tobytes())
+
+    def passes(value: Column) -> Column:
+        b = spot(value)
+        byte = F.conv(F.hex(F.substring(raw, (F.shiftright(b, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+        return F.getbit(byte, (b % 8).cast("int")) == 1
+
+    return passes
