@@ -238,8 +238,7 @@ class _Search:
         if left.isEmpty():
             discard(left)
             return
-        wanted = sieve(left.select(F.explode(F.array("a", "b")).alias("doc")), "doc")
-        texts = self.docs.where(wanted(F.col("doc_id")))
+        texts = sieve(self.docs, left.select(F.explode(F.array("a", "b")).alias("doc")), "doc")
         linked = (
             left.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
             .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,22 +89,26 @@ def bounded(df: DataFrame, rows: int, salt: str, key: str = "doc_id") -> DataFra
     return df.where(u < rows / n).limit(rows + rows // 4)
 
 
-def sieve(ids: DataFrame, column: str, bits: int = 24) -> Callable[[Column], Column]:
-    """A test that all values of ``column`` pass, and of others about as many as values fall on a bit.
+def sieve(docs: DataFrame, ids: DataFrame, column: str, bits: int = 24) -> DataFrame:
+    """The rows of ``docs`` (doc_id first) whose id falls on a bit of the ids in ``column``: all with one of those ids, few others.
 
-    It is a bit table of fixed size (2 MB), so it may be part of a plan whatever the data; in front of
-    a join it keeps most rows without a partner out of the shuffle. When it fills up it only lets more through.
+    The bit table is broadcast and has a fixed size (2 MB); in front of a join it keeps most texts
+    without a partner out of the shuffle. When it fills up it only lets more through.
     """
-    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
-    each = ids.select(spot(F.col(column)).alias("b")).groupBy(F.shiftright("b", 6).cast("int").alias("w"))
-    got = each.agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("x")).toArrow()
+    mask = (1 << bits) - 1
+    c = F.col(column)
+    spot = c.bitwiseXOR(F.shiftrightunsigned(c, 24)).bitwiseXOR(F.shiftrightunsigned(c, 48)).bitwiseAND(F.lit(mask))
+    each = ids.select(spot.alias("b")).groupBy(F.shiftright("b", 6).cast("int").alias("w"))
+    got = each.agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("x")).toArrow()  # 2^18 rows at most
     words = np.zeros(1 << (bits - 6), "<i8")
     words[got.column(0).to_numpy()] = got.column(1).to_numpy()
-    raw = F.lit(words.tobytes())
+    shared = docs.sparkSession.sparkContext.broadcast(words.view(np.uint64))
 
-    def passes(value: Column) -> Column:
-        b = spot(value)
-        byte = F.conv(F.hex(F.substring(raw, (F.shiftright(b, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
-        return F.getbit(byte, (b % 8).cast("int")) == 1
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for batch in batches:
+            x = batch.column(0).to_numpy().view(np.uint64)
+            b = (x ^ (x >> np.uint64(24)) ^ (x >> np.uint64(48))) & np.uint64(mask)
+            yield batch.filter(pa.array((table[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63))) & np.uint64(1) == 1))
 
-    return passes
+    return docs.mapInArrow(run, docs.schema)
