@@ -5,19 +5,33 @@ subsequences of at least LEAST shingles (50 words) that share their min-hash pos
 windows (l, c, r): the node c of the Cartesian tree over the hashes and the span of its subtree.
 Only positions that are the minimum of some LEAST neighbours have one, and those suffice to build
 the tree, so a text gives about 2 n / LEAST windows for each function. A passage that two texts
-share has the same min-hash in both, so its windows meet in one group for every function.
-
-In a group each window joins the group's first occurrence (smallest doc_id, then place); the join
-keeps windows whose spans, laid over one another at c, have LEAST shingles in common. Documents and
-first occurrences that meet under AGREE functions at least (at similarity 0.8, 0.97 of the passages
-with one minimum for each function) are verified: the maximal segments in which eight of nine shingles match are taken, and a segment counts when it
-has LEAST shingles and its Jaccard similarity with the matching part of the first document is at
-least SIMILAR. The first occurrence stays; repeats within one document are not looked at.
+share has the same min-hash in both, so its windows meet in one group for every function; groups of
+one document go. What stays is searched in three steps:
+
+1. Any LEAST shingles around c hold the 23 that begin, or the 24 that end, at c. Windows that agree
+   in one of these contexts, too, join the first of them (smallest doc_id, then place).
+2. Windows that no passage found explains, though others share their context, are taken apart into
+   their subsequences of LEAST shingles; equal ones join the first. Word for word, no passage of 50
+   words that an earlier document holds is left after that, whatever stands around its parts elsewhere.
+3. Of the windows that are still unexplained, two of a document under different functions whose
+   spans, laid over one another, hold LEAST shingles and both minima form a couple: an interval join
+   of windows that agree in enough hashes. Equal couples join the first, and so do documents whose
+   single windows have a first occurrence in common under AGREE keys, wherever these lie. So passages
+   with changed words meet that have no context in common.
+
+Documents and first occurrences that met are verified on their words: the maximal segments in which
+eight of nine shingles match are taken, and a segment counts when it has LEAST shingles and its
+Jaccard similarity with the matching part of the first document is at least SIMILAR. The first
+occurrence stays; repeats within one document are not looked at.
+
+Every text that a group joins is its first one, so work grows with the windows, not with pairs. Keys
+that a part of the documents (1 in SAMPLED) shows to be common are dealt over several groups; that
+only places rows.
 
 Edge cases: null and empty texts and those under 50 words have no windows; rows of one doc_id are
-one document (one of its texts is taken); rows with a null id are left out; equal texts all point
-to the one of the smallest id; empty tables give empty results; extra columns are kept by
-without_repeats() and ignored otherwise.
+one document (windows of all its texts count, passages are verified on one of them); rows with a null
+id are left out; equal texts all point to the one of the smallest id; empty tables give empty
+results; extra columns are kept by without_repeats() and ignored otherwise.
 """
 
 from __future__ import annotations
@@ -33,19 +47,19 @@ from pyspark.sql.window import Window as W
 
 from codonlake.llm.kernels import LOWER, SPACED, blocks, mix, ngrams, sliding_min, span_hashes, words
 from codonlake.llm.segments import maximal_segments
-from codonlake.llm.session import discard, stash, table, tune, whole_texts
+from codonlake.llm.session import discard, sieve, stash, table, tune, whole_texts
 
 _U = np.uint64
 SHINGLE, LEAST, FUNCTIONS, AGREE, SIMILAR = 5, 46, 4, 2, 0.8
-#: Bits of a window's place and of its reach to either side, packed in one number; a longer reach counts as the largest.
-PLACE, REACH = 23, 20
 #: Spans of first occurrences are widened to multiples of this, so that many documents ask for the same ones.
 STEP = 64
 #: Gaps of this many shingles can lie within a passage whose parts are too short to count alone.
 BRIDGE = 2 * LEAST // 8
-#: In each round of couples a group has so many times the heads of the round before.
-GROWTH = 4
+#: One in so many documents is looked at for common keys; windows of one key and group, and keys dealt out, at most.
+SAMPLED, GROUP, COMMON = 64, 2000, 10_000
 _SALTS = [_U(0x9E3779B97F4A7C15 * (2 * f + 1) & (2**64 - 1)) for f in range(16)]
+_ODD = _U(0xD1342543DE82EF95)
+SPANS = "__repeated_spans"
 
 
 def compact_windows(x: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,48 +99,90 @@ def _shingles(buf: np.ndarray, offs: np.ndarray) -> Iterator[np.ndarray]:
         yield g[a : max(a, b - SHINGLE + 1)]
 
 
-def windows(docs: DataFrame) -> DataFrame:
-    """Rows (key, doc, at): the key stands for hash function and value, ``at`` packs c, c - l and r - c."""
+def doubled(g: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of ``k`` neighbours, k a power of two, by doubling."""
+    have = 1
+    while have < k:
+        g = mix(g[: max(0, len(g) - have)] * _ODD + g[have:])
+        have *= 2
+    return g
+
+
+def _picked(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return h[np.clip(at, 0, len(h) - 1)]
+
+
+def contexts(g: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """16-bit hashes of the 23 shingles from c on and the 24 up to c; of no meaning where the text is too short."""
+    h = doubled(g, 16)
+    ahead = mix(_picked(h, c) * _ODD + _picked(h, c + 7))
+    back = mix(_picked(h, c - 23) * _ODD + _picked(h, c - 15))
+    return (ahead >> _U(48)).astype(np.int64), (back >> _U(48)).astype(np.int64)
+
+
+def windows(docs: DataFrame, common: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """Rows (key, part, doc, at, near): the key stands for hash function and value, ``at`` packs c with c - l and r - c (45
+    at most, more than that never matters to LEAST shingles around c), ``near`` the two contexts. ``part`` is the group of
+    a common key (keys, numbers of groups), else -1."""
+    shared = docs.sparkSession.sparkContext.broadcast(common) if common is not None and len(common[0]) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, groups = shared.value if shared is not None else (None, None)
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for a, _, buf, offs in blocks(batch):
-                out: list[list[np.ndarray]] = [[] for _ in range(3)]
+                out: list[list[np.ndarray]] = [[] for _ in range(4)]
                 for i, g in enumerate(_shingles(buf, offs)):
                     if len(g) < LEAST:
                         continue
                     for salt in _SALTS[:FUNCTIONS]:
                         x = mix(g ^ salt)
                         lo, c, hi = compact_windows(x, LEAST)
-                        at = (c << (2 * REACH)) | (np.minimum(c - lo, 2**REACH - 1) << REACH) | np.minimum(hi - c, 2**REACH - 1)
-                        for col, v in zip(out, (x[c].view(np.int64), np.full(len(c), ids[a + i]), at), strict=True):
+                        ahead, back = contexts(g, c)
+                        at = (c << 12) | (np.minimum(c - lo, LEAST - 1) << 6) | np.minimum(hi - c, LEAST - 1)
+                        for col, v in zip(out, (x[c].view(np.int64), np.full(len(c), ids[a + i]), at, (ahead << 16) | back), strict=True):
                             col.append(v)
                 if out[0]:
-                    cols = [np.concatenate(v) for v in out]
-                    yield pa.record_batch([pa.array(v, pa.int64()) for v in cols], ["key", "doc", "at"])
+                    key, doc, at, near = (np.concatenate(v) for v in out)
+                    part = np.full(len(key), -1, np.int32)
+                    if keys is not None:
+                        place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                        hit = keys[place] == key
+                        part[hit] = (mix(doc[hit].astype(np.int64).view(_U)) % groups[place[hit]].astype(_U)).astype(np.int32)
+                    yield pa.record_batch([pa.array(key), pa.array(part), pa.array(doc, pa.int64()), pa.array(at), pa.array(near)], ["key", "part", "doc", "at", "near"])
 
-    return docs.mapInArrow(run, "key long, doc long, at long")
+    return docs.mapInArrow(run, "key long, part int, doc long, at long, near long")
+
+
+def common_keys(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Keys that many documents have, sorted, and over how many groups each is dealt; COMMON keys at most."""
+    some = docs.where(F.pmod(F.xxhash64(F.lit("common"), "doc_id"), F.lit(SAMPLED)) == 0)
+    n = windows(some).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") * SAMPLED >= GROUP).orderBy(F.desc("n"), "key").limit(COMMON).toArrow()
+    keys, n = n.column(0).to_numpy(), n.column(1).to_numpy()
+    order = np.argsort(keys)
+    return keys[order], (1 + n * SAMPLED // GROUP)[order]
 
 
 def slices(docs: DataFrame) -> DataFrame:
-    """(doc_id, lo, hi, shingles) for each span (lo, hi) of the column ``spans``: shingles lo to hi - 1, four bytes each."""
+    """(doc_id, lo, hi, body) for each span (lo, hi) of the column ``spans``: the words of shingles lo to hi - 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans = batch.column(2)
             for a, b, buf, offs in blocks(batch):
                 ids, lo, hi, out = [], [], [], []
-                for i, x in enumerate(_shingles(buf, offs)):
-                    x = (x >> _U(32)).astype("<u4")
+                starts, ends, first = words(buf, offs, SPACED)
+                for i in range(b - a):
+                    p, q = int(first[i]), int(first[i + 1])
                     for s in spans[a + i].as_py():
+                        u, v = p + max(0, s["lo"]), min(q, p + s["hi"] + SHINGLE - 1)
                         ids.append(batch.column(0)[a + i].as_py())
                         lo.append(s["lo"])
                         hi.append(s["hi"])
-                        out.append(x[max(0, s["lo"]) : s["hi"]].tobytes())
-                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "lo", "hi", "shingles"])
+                        out.append(buf[starts[u] : ends[v - 1]].tobytes().decode() if u < v else "")
+                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(out, pa.string())], ["doc_id", "lo", "hi", "body"])
 
-    return docs.mapInArrow(run, "doc_id long, lo long, hi long, shingles binary")
+    return docs.mapInArrow(run, "doc_id long, lo long, hi long, body string")
 
 
 def runs(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -211,45 +267,100 @@ def repeated(own: np.ndarray, first: np.ndarray, frames: list[tuple[int, int, in
     return out
 
 
+def _each(bodies: pa.Array) -> list[np.ndarray]:
+    batch = pa.record_batch([bodies.cast(pa.large_string())], ["text"])
+    return [x for _, _, buf, offs in blocks(batch) for x in _shingles(buf, offs)]
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "first_word", "last_word", "of_doc_id", "of_first_word", "similarity"]
     for t in batches:
         rows = []
         doc, head, lo, first_lo = (t.column(i).to_numpy() for i in range(4))
-        for i in range(t.num_rows):
+        # rows of one first occurrence follow one another: its shingles are made once
+        lead = np.flatnonzero(np.concatenate([[True], (head[1:] != head[:-1]) | (first_lo[1:] != first_lo[:-1])])) if len(head) else np.zeros(0, np.int64)
+        theirs = _each(t.column(6).take(pa.array(lead)))
+        of = np.searchsorted(lead, np.arange(len(head)), "right") - 1
+        for i, own in enumerate(_each(t.column(5))):
             u, v = max(0, int(lo[i])), max(0, int(first_lo[i]))
             frames = [(f["a"] - u, f["b"] - u, f["shift"] - u + v) for f in t.column(4)[i].as_py()]
-            own, first = (np.frombuffer(t.column(k)[i].as_py(), "<u4") for k in (5, 6))
-            rows += [(int(doc[i]), a + u, b + u + SHINGLE - 1, int(head[i]), c + v, s) for a, b, c, s in repeated(own, first, frames)]
+            if len(own) and len(theirs[of[i]]):
+                rows += [(int(doc[i]), a + u, b + u + SHINGLE - 1, int(head[i]), c + v, s) for a, b, c, s in repeated(own, theirs[of[i]], frames)]
         cols = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
         yield pa.record_batch([pa.array(v, k) for v, k in zip(cols, [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.float64()], strict=True)], names)
 
 
-def _shift(x: Column) -> Column:
-    return F.shiftright(x, 2 * REACH)
+def _place(x: Column) -> Column:
+    return F.shiftright(x, 12)
 
 
 def _before(x: Column) -> Column:
-    return F.shiftright(x, REACH).bitwiseAND(2**REACH - 1)
+    return F.shiftright(x, 6).bitwiseAND(63)
 
 
 def _after(x: Column) -> Column:
-    return x.bitwiseAND(2**REACH - 1)
+    return x.bitwiseAND(63)
 
 
 def _frame(at: Column, of: Column) -> Column:
     """Struct (a, b, shift): the spans of two windows laid over one another, by the first one's places."""
     left, right = F.least(_before(at), _before(of)), F.least(_after(at), _after(of))
-    return F.struct((_shift(at) - left).alias("a"), (_shift(at) + right).alias("b"), (_shift(at) - _shift(of)).alias("shift"))
+    return F.struct((_place(at) - left).alias("a"), (_place(at) + right).alias("b"), (_place(at) - _place(of)).alias("shift"))
 
 
 def _wide(frame: str) -> Column:
     return F.col(frame + ".b") - F.col(frame + ".a") + 1 >= LEAST
 
 
+def _heads(rows: DataFrame, *places: str) -> DataFrame:
+    """(key, head: struct of doc and ``places`` of the first row) of the keys of more than one document."""
+    return rows.groupBy("key").agg(F.min(F.struct("doc", *places)).alias("head"), F.max("doc").alias("end")).where("head.doc != end").drop("end")
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """Rows (key, doc, at) of windows by key and context; a window has the contexts that lie within its span."""
+    near = lambda side, bits: F.struct(F.lit(side).alias("side"), bits.alias("bits"))
+    sides = F.array(
+        F.when(_after(F.col("at")) >= 22, near(0, F.shiftright("near", 16))),
+        F.when(_before(F.col("at")) >= 23, near(1, F.col("near").bitwiseAND(0xFFFF))),
+    )
+    each = rows.select("key", "doc", "at", F.explode(F.filter(sides, lambda x: x.isNotNull())).alias("x"))
+    return each.select(F.xxhash64("key", "x.side", "x.bits").alias("key"), "doc", "at")
+
+
+def _met(rows: DataFrame, frames: list[Column], *places: str) -> DataFrame:
+    """Rows (key, doc, head, frame): windows of a key and its first occurrence in another document."""
+    both = rows.join(_heads(rows, *places), "key").where("doc != head.doc")
+    return both.select("key", "doc", F.col("head.doc").alias("first"), F.explode(F.array(*frames)).alias("frame")).withColumnRenamed("first", "head")
+
+
+def _positions(docs: DataFrame, rest: DataFrame) -> DataFrame:
+    """Rows (key, doc, at): the subsequences of LEAST shingles around the windows ``rest`` (doc, at) within their spans."""
+    need = stash(rest.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set("at").alias("ats")), "need")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, _, buf, offs in blocks(batch):
+                for i, g in enumerate(_shingles(buf, offs)):
+                    at = np.array(batch.column(2)[a + i].as_py(), np.int64)
+                    c = at >> 12
+                    lo, hi = np.maximum(c - ((at >> 6) & 63), c - LEAST + 1), np.minimum(c, c + (at & 63) - LEAST + 1)
+                    mark = np.zeros(len(g) + 1, np.int64)
+                    ok = (lo <= hi) & (lo >= 0) & (hi + LEAST <= len(g))
+                    np.add.at(mark, lo[ok], 1)
+                    np.add.at(mark, hi[ok] + 1, -1)
+                    start = np.flatnonzero(np.cumsum(mark) > 0)
+                    h = doubled(g, 32)
+                    key = mix(h[start] * _ODD + h[start + LEAST - 32]).view(np.int64) if len(start) else start
+                    yield pa.record_batch([pa.array(key, pa.int64()), pa.array(np.full(len(start), batch.column(0)[a + i].as_py()), pa.int64()), pa.array(start, pa.int64())], ["key", "doc", "at"])
+
+    texts = sieve(docs, need, "doc_id").join(need, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "ats")
+    return texts.mapInArrow(run, "key long, doc long, at long")
+
+
 def couples(rest: DataFrame) -> DataFrame:
-    """Rows (key, doc, at, by) for two windows of a document under different functions whose spans hold both of their
-    shingles: a passage of which both are the minimum makes the same couple in every text."""
+    """Rows (key, doc, at, by) for two windows of a document under different functions whose spans, laid over one another,
+    hold LEAST shingles and both minima: a passage of which both are the minimum makes the same couple in every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -260,23 +371,24 @@ def couples(rest: DataFrame) -> DataFrame:
                 key, at = keys[ends[i] : ends[i + 1]], ats[ends[i] : ends[i + 1]]
                 order = np.argsort(at, kind="stable")
                 key, at = key[order], at[order]
-                c = at >> (2 * REACH)
-                lo, hi = c - ((at >> REACH) & (2**REACH - 1)), c + (at & (2**REACH - 1))
+                c = at >> 12
+                lo, hi = c - ((at >> 6) & 63), c + (at & 63)
                 u, v = np.searchsorted(c, lo), np.searchsorted(c, hi, "right")
                 for p in range(0, len(c), 4096):
                     n = (v - u)[p : p + 4096]
                     x = np.repeat(np.arange(p, p + len(n)), n)
                     y = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(u[p : p + 4096], n)
-                    keep = (key[x] < key[y]) & (lo[y] <= c[x]) & (c[x] <= hi[y])
+                    keep = (key[x] < key[y]) & (lo[y] <= c[x]) & (c[x] <= hi[y]) & (np.minimum(hi[x], hi[y]) - np.maximum(lo[x], lo[y]) + 1 >= LEAST)
                     x, y = x[keep], y[keep]
                     both = mix(mix(key[x].view(_U)) ^ key[y].view(_U)).view(np.int64)
                     yield pa.record_batch([pa.array(k, pa.int64()) for k in (both, np.full(len(x), docs[i]), at[x], at[y])], ["key", "doc", "at", "by"])
 
-    return rest.groupBy("doc").agg(F.collect_list(F.struct("key", "at")).alias("all")).mapInArrow(run, "key long, doc long, at long, by long")
+    return rest.groupBy("doc").agg(F.collect_set(F.struct("key", "at")).alias("all")).mapInArrow(run, "key long, doc long, at long, by long")
 
 
-def _verify(docs: DataFrame, grouped: DataFrame) -> DataFrame:
-    """What documents repeat of first occurrences; rows (doc, head, frames)."""
+def _verify(docs: DataFrame, met: DataFrame, name: str) -> DataFrame:
+    """What documents repeat of first occurrences; rows (doc, head, frame)."""
+    grouped = met.groupBy("doc", "head").agg(F.collect_set("frame").alias("frames"))
     spread = F.col("frames")
     lo, hi = F.array_min(spread.getField("a")), F.array_max(spread.getField("b"))
     back = F.transform(spread, lambda f: f["a"] - f["shift"]), F.transform(spread, lambda f: f["b"] - f["shift"])
@@ -284,7 +396,7 @@ def _verify(docs: DataFrame, grouped: DataFrame) -> DataFrame:
         grouped.select(
             "doc",
             "head",
-            spread.alias("frames"),
+            "frames",
             (lo - LEAST).alias("lo"),
             (hi + LEAST + 1).alias("hi"),
             (F.floor((F.array_min(back[0]) - 2 * LEAST) / STEP) * STEP).alias("first_lo"),
@@ -295,16 +407,17 @@ def _verify(docs: DataFrame, grouped: DataFrame) -> DataFrame:
     # the spans of one document: those of its own frames, and of first occurrences as many as their length allows
     asked = pairs.select(F.explode(F.array(F.struct(F.col("doc").alias("doc_id"), "lo", "hi"), F.struct(F.col("head").alias("doc_id"), F.col("first_lo").alias("lo"), F.col("first_hi").alias("hi")))).alias("x")).select("x.*").distinct()
     need = stash(asked.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "need")
-    texts = docs.join(need, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "spans")
+    texts = sieve(docs, need, "doc_id").join(need, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "spans")
     cut = stash(slices(texts), "slices")
-    own, first = ([F.col("doc_id").alias(k), F.col("lo").alias(a), F.col("hi").alias(b), F.col("shingles").alias(s)] for k, a, b, s in (("doc", "lo", "hi", "own"), ("head", "first_lo", "first_hi", "first")))
+    discard(need)
+    own, first = ([F.col("doc_id").alias(k), F.col("lo").alias(a), F.col("hi").alias(b), F.col("body").alias(s)] for k, a, b, s in (("doc", "lo", "hi", "own"), ("head", "first_lo", "first_hi", "first")))
     full = (
         pairs.join(cut.select(*own), ["doc", "lo", "hi"])
         .join(cut.select(*first), ["head", "first_lo", "first_hi"])
         .select("doc", "head", "lo", "first_lo", "frames", "own", "first")
     )
-    out = stash(full.mapInArrow(_verified, "doc_id long, first_word int, last_word int, of_doc_id long, of_first_word int, similarity double"), "repeats")
-    for done in (pairs, need, cut):
+    out = stash(full.mapInArrow(_verified, "doc_id long, first_word int, last_word int, of_doc_id long, of_first_word int, similarity double"), name)
+    for done in (pairs, cut):
         discard(done)
     return out
 
@@ -312,46 +425,38 @@ def _verify(docs: DataFrame, grouped: DataFrame) -> DataFrame:
 def _unsettled(rest: DataFrame, found: DataFrame, *ats: str) -> DataFrame:
     """The rows of ``rest`` none of whose shingles ``ats`` is in a passage of ``found``."""
     spans = found.groupBy(F.col("doc_id").alias("doc")).agg(F.collect_list(F.struct(F.col("first_word").alias("p"), (F.col("last_word") - (SHINGLE - 1)).alias("q"))).alias("spans"))
-    inside = F.exists("spans", lambda s: functools.reduce(Column.__or__, [(s["p"] <= _shift(F.col(c))) & (_shift(F.col(c)) <= s["q"]) for c in ats]))
-    return rest.join(spans, "doc", "left").where(~F.coalesce(inside, F.lit(False))).select("key", "doc", *ats)
+    inside = F.exists("spans", lambda s: functools.reduce(Column.__or__, [(s["p"] <= _place(F.col(c))) & (_place(F.col(c)) <= s["q"]) for c in ats]))
+    return rest.join(spans, "doc", "left").where(~F.coalesce(inside, F.lit(False))).drop("spans")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, first_word, last_word, of_doc_id, of_first_word, similarity): passages that a document of a smaller id has, too."""
     tune(docs.sparkSession)
     docs = whole_texts(docs).where(F.col("doc_id").isNotNull())
-    place, group = F.struct("doc", "at"), W.partitionBy("key")
-    # each window and its group's first occurrence; groups of one document go
-    rows = stash(windows(docs).withColumns({"head": F.min(place).over(group), "end": F.max("doc").over(group)}).where(F.col("head.doc") != F.col("end")).drop("end"), "rows")
-    met = rows.where(F.col("head.doc") != F.col("doc")).select("doc", F.col("head.doc").alias("head"), "key", _frame(F.col("at"), F.col("head.at")).alias("frame")).where(_wide("frame"))
-    # one row for each document and first occurrence; frames of one document number 2 FUNCTIONS n / LEAST at most
-    grouped = met.groupBy("doc", "head").agg(F.collect_list(F.struct("key", "frame")).alias("met")).where(F.size(F.array_distinct("met.key")) >= AGREE)
-    found = [_verify(docs, grouped.select("doc", "head", F.col("met.frame").alias("frames")))]
-    # what no passage explains meets again, couple by couple
-    rest = stash(couples(_unsettled(rows, found[0], "at")), "rest")
+    group = W.partitionBy("key", "part")
+    several = F.min("doc").over(group) != F.max("doc").over(group)
+    rows = stash(windows(docs, common_keys(docs)).withColumn("several", several).where("several or part >= 0").drop("several", "part"), "rows")
+    by_context = _shared(rows)
+    at, of = F.col("at"), F.col("head.at")
+    found = [_verify(docs, _met(by_context, [_frame(at, of)], "at").where(_wide("frame")), "found")]
+    # contexts that several unexplained documents share, word for word
+    rest = _unsettled(by_context, found[0], "at")
+    rest = stash(rest.join(_heads(rest, "at").select("key"), "key", "left_semi").select("doc", "at").distinct(), "rest")
+    exact = stash(_positions(docs, rest), "exact")
+    discard(rest)
+    frame = F.struct(at.alias("a"), (at + LEAST - 1).alias("b"), (at - of).alias("shift"))
+    found.append(_verify(docs, _met(exact, [frame], "at"), "found"))
+    discard(exact)
+    # what is left: couples, and documents whose windows have a first occurrence in common under AGREE keys
+    rest = stash(_unsettled(rows, found[0].union(found[1]), "at").select("key", "doc", "at"), "rest")
     discard(rows)
-    heads, order = 1, group.orderBy("doc", "at", "by")
-    while True:
-        one = rest.withColumns({"rank": F.row_number().over(order), "least": F.min("doc").over(group), "most": F.max("doc").over(group)})
-        ranked = stash(one.where("least != most").drop("least", "most"), "ranked")
-        discard(rest)
-        if ranked.isEmpty():
-            break
-        # the next heads of each group meet all that follows them, and one another
-        nexts = ranked.where(F.col("rank") <= heads).select("key", F.col("doc").alias("head"), F.col("at").alias("of_at"), F.col("by").alias("of_by"), F.col("rank").alias("of_rank"))
-        both = (
-            ranked.join(nexts, "key")
-            .where("rank > of_rank and doc != head")
-            .select("doc", "head", "at", "by", _frame(F.col("at"), F.col("of_at")).alias("f"), _frame(F.col("by"), F.col("of_by")).alias("g"))
-            .where(_wide("f") & _wide("g") & _shift(F.col("at")).between(F.col("g.a"), F.col("g.b")) & _shift(F.col("by")).between(F.col("f.a"), F.col("f.b")))
-        )
-        found.append(_verify(docs, both.groupBy("doc", "head").agg(F.array_distinct(F.flatten(F.collect_list(F.array("f", "g")))).alias("frames"))))
-        rest = stash(_unsettled(ranked.where(F.col("rank") > heads), found[-1], "at", "by"), "rest")
-        discard(ranked)
-        heads *= GROWTH
-    discard(ranked)
-    if len(found) == 1:
-        return found[0]
+    pairs = stash(couples(rest), "couples")
+    both = _met(pairs, [_frame(at, of), _frame(F.col("by"), F.col("head.by"))], "at", "by").where(_wide("frame"))
+    single = _met(rest, [_frame(at, of)], "at").where(_wide("frame")).groupBy("doc", "head").agg(F.collect_set(F.struct("key", "frame")).alias("all"))
+    single = single.where(F.size(F.array_distinct("all.key")) >= AGREE).select("doc", "head", F.explode("all.frame").alias("frame"))
+    found.append(_verify(docs, both.drop("key").unionByName(single), "found"))
+    discard(rest)
+    discard(pairs)
     # later frames may cover a passage of the same two documents again
     every = stash(functools.reduce(DataFrame.union, found).distinct(), "repeats")
     for f in found:
@@ -361,10 +466,9 @@ def repeats(docs: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the words of ``found`` (doc_id, first_word, last_word) cut out; documents left without a word go."""
-    spark = docs.sparkSession
-    tune(spark)
-    spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("first_word", "last_word")).alias("__spans"))
-    whole = docs.join(spans, "doc_id", "left").select(*docs.columns, "__spans")
+    tune(docs.sparkSession)
+    spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("first_word", "last_word")).alias(SPANS))
+    whole = docs.join(spans, "doc_id", "left").select(*docs.columns, SPANS)
     names = docs.columns
     at = names.index(text)
 
