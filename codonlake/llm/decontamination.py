@@ -1,19 +1,21 @@
 """Benchmark decontamination by winnowing.
 
 Words are compared in runs of GRAM words. Of every WINDOW neighbouring runs the one with the
-smallest hash is kept, in documents and in benchmark items alike, so every shared span of
-GRAM + WINDOW - 1 words (the window of the contract: 10) holds a fingerprint that both sides
-keep. Document fingerprints are looked up among those of the benchmark, and each hit is extended
-to the windows around it, whose bytes are compared. Items shorter than a window are looked up by
-their own length.
+smallest hash is kept as a fingerprint, in documents and in benchmark items alike, so every shared
+span of GRAM + WINDOW - 1 words (the window of the contract: 10) holds a fingerprint that both sides
+keep. A document's fingerprint that the benchmark has, too, is extended to the windows around it;
+these are joined with the windows of the items by 128 bits of hash. Items shorter than a window are
+looked up by their own length.
 
-The benchmark is taken in blocks of a fixed number of words; each block is broadcast and the
-documents are scanned once for each block, so nothing that is broadcast grows with the data. A
-document never leaves its task.
+Documents are read once. Which fingerprints the benchmark has is told by a bit table of fixed size
+(2 MB), built by Spark and broadcast: as it fills up, more windows come to the join, and none is lost.
+Windows of the benchmark are broadcast up to BLOCK_WORDS words and shuffled beyond. Hits of a row
+meet by a key of that row, so rows of one id, or of none, stay apart.
 
 Edge cases: null and empty texts have no words; items without words are left out; items of the
 same id are one item; null item ids read as the text "null" in the digest. An empty benchmark
-gives no hits, empty documents an empty table. Extra columns are ignored.
+gives no hits, empty documents an empty table; repeated rows and rows with a null id each have a row
+of their own. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,14 +28,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codonlake.llm.kernels import ALNUM, LOWER, blocks, inside, ngrams, sliding_min, span_hashes, words
-from codonlake.llm.session import table, tune, whole_texts
+from codonlake.llm.kernels import ALNUM, LOWER, blocks, mix, ngrams, sliding_min, span_hashes, words
+from codonlake.llm.session import stash, table, tune
 
 GRAM, WINDOW = 6, 5
 SPAN = GRAM + WINDOW - 1
-#: Words of the benchmark in one block, and so the bound of what is broadcast (some 60 bytes a word).
+#: Words of the benchmark up to which its windows (some 40 bytes a word) are broadcast.
 BLOCK_WORDS = 400_000
-SCHEMA = "doc_id long, n_words long, hits array<struct<item: string, first: int, last: int>>"
+#: Bits of the table of fingerprints.
+BITS = 24
+_U = np.uint64
+_HIT = "array<struct<item: string, first: int, last: int>>"
 
 
 def winnowed(grams: np.ndarray) -> np.ndarray:
@@ -47,159 +52,129 @@ def winnowed(grams: np.ndarray) -> np.ndarray:
     return np.flatnonzero(keep)
 
 
-class Items:
-    """Fingerprints, windows and words of one block of benchmark items."""
+def grams_at(h: np.ndarray, at: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
+    """Hashes of the runs of ``k`` words at some places; the length is part of the hash."""
+    g = np.full(len(at), _U(0x9E3779B97F4A7C15 + 2 * (64 * salt + k)), _U)
+    for t in range(k):
+        g = g * _U(0xD1342543DE82EF95) + h[at + t]
+    return mix(g)
 
-    def __init__(self, ids: list[str], texts: list[str]):
-        batch = pa.record_batch([pa.array(texts, pa.string())], ["text"])
-        self.ids = ids
-        every = [(buf, offs) for _, _, buf, offs in blocks(batch, limit=1 << 62)]
-        buf, offs = every[0] if every else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
-        buf = LOWER[buf]
-        self.raw = buf.tobytes()
-        self.starts, self.ends, first = words(buf, offs, ALNUM)
-        size = np.diff(first)
-        h = span_hashes(buf, self.starts, self.ends)
-        self.item = np.repeat(np.arange(len(ids)), size)
-        self.words = len(h)
-        print_at = winnowed(ngrams(h, GRAM))
-        ok = inside(first, len(h), GRAM)
-        print_at = print_at[ok[print_at]]
-        g = ngrams(h, GRAM)[print_at]
-        order = np.argsort(g, kind="stable")
-        self.prints, self.print_at = g[order], print_at[order]
-        self.windows, self.whole = ngrams(h, SPAN), inside(first, len(h), SPAN)
-        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for k in range(1, SPAN):
-            at = first[:-1][size == k]
-            if len(at):
-                g = ngrams(h, k)[at]
-                order = np.argsort(g, kind="stable")
-                self.short[k] = g[order], at[order]
-
-    def same(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, p: int, q: int, k: int) -> bool:
-        """Whether ``k`` words from word ``p`` of a block are those from word ``q`` of the items."""
-        return all(
-            raw[a:b] == self.raw[c:d]
-            for a, b, c, d in zip(starts[p : p + k], ends[p : p + k], self.starts[q : q + k], self.ends[q : q + k], strict=True)
-        )
-
-
-def matches(keys: np.ndarray, sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs (position in ``keys``, position in ``sorted_keys``) with the same key."""
-    lo, hi = np.searchsorted(sorted_keys, keys, "left"), np.searchsorted(sorted_keys, keys, "right")
-    n = hi - lo
-    some = np.flatnonzero(n)
-    n, lo = n[some], lo[some]
-    back = np.repeat(np.cumsum(n) - n, n)
-    return np.repeat(some, n), np.repeat(lo, n) + np.arange(int(n.sum())) - back
-
-
-def find(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, items: Items) -> list[tuple[int, int, int]]:
-    """(first word, end word, item) of all windows of a block that occur in an item."""
-    h = span_hashes(buf, starts, ends)
-    n, found = len(h), []
-    if n >= SPAN and len(items.prints):
-        grams = ngrams(h, GRAM)
-        at = winnowed(grams)
-        # most fingerprints are in no item: a bit table of their low bits comes first
-        at = at[items.filter[(grams[at] & np.uint64(0xFFFFF)).astype(np.int64)]] if hasattr(items, "filter") else at
-        i, j = matches(grams[at], items.prints)
-        p, q = at[i], items.print_at[j]
-        wide, whole = ngrams(h, SPAN), inside(first, n, SPAN)
-        for t in range(WINDOW):
-            a, b = p - t, q - t
-            ok = (a >= 0) & (b >= 0) & (a < len(wide)) & (b < len(items.windows))
-            a, b = a[ok], b[ok]
-            ok = whole[a] & items.whole[b] & (wide[a] == items.windows[b])
-            found += [(x, y, SPAN) for x, y in zip(a[ok].tolist(), b[ok].tolist(), strict=True)]
-    for k, (keys, where) in items.short.items():
-        g = ngrams(h, k)
-        if len(g):
-            at = np.flatnonzero(inside(first, n, k) & items.bits(k)[(g & np.uint64(0xFFFFF)).astype(np.int64)])
-            i, j = matches(g[at], keys)
-            found += [(x, y, k) for x, y in zip(at[i].tolist(), where[j].tolist(), strict=True)]
-    if not found:
-        return []
-    raw, out = buf.tobytes(), []
-    # a run of windows along one diagonal is compared once
-    diagonals: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for x, y, k in set(found):
-        diagonals.setdefault((x - y, int(items.item[y])), []).append((x, x + k))
-    for (shift, item), spans in diagonals.items():
-        spans.sort()
-        merged = [spans[0]]
-        for a, b in spans[1:]:
-            if a <= merged[-1][1]:
-                merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
-            else:
-                merged.append((a, b))
-        for a, b in merged:
-            if items.same(raw, starts, ends, a, a - shift, b - a):
-                out.append((a, b, item))
-            else:  # two texts of one hash: each window by itself
-                out += [(x, y, item) for x, y in spans if a <= x < b and items.same(raw, starts, ends, x, x - shift, y - x)]
-    return out
 
+def fingerprints(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the fingerprints of all texts of a block (word hashes, first words of the texts)."""
+    grams = ngrams(h, GRAM)
+    at = winnowed(grams)
+    text = np.searchsorted(first, at, "right") - 1
+    at = at[at + GRAM <= first[text + 1]] if len(at) else at
+    return at, grams[at]
 
-def _bit_table(keys: np.ndarray) -> np.ndarray:
-    bits = np.zeros(1 << 20, bool)
-    bits[(keys & np.uint64(0xFFFFF)).astype(np.int64)] = True
-    return bits
 
-
-def scan(docs: DataFrame, items: Items) -> DataFrame:
-    """Rows (doc_id, n_words, hits): item and first and last word of every hit run; one block of items."""
-    tune(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+def _hashed(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, word hashes, index of each text's first word) of blocks."""
+    for a, b, buf, offs in blocks(batch):
+        buf = LOWER[buf]
+        starts, ends, first = words(buf, offs, ALNUM)
+        yield a, b, span_hashes(buf, starts, ends), first
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Items (item, text) to rows (item, size, h1, h2) of their windows and rows (size, print) of what finds them."""
+    names = ["item", "size", "h1", "h2", "print"]
+    for batch in batches:
+        for a, b, h, first in _hashed(batch):
+            size = np.diff(first)
+            text = np.repeat(np.arange(b - a), size)
+            at = np.flatnonzero(np.arange(len(h)) + np.minimum(size[text], SPAN) <= first[1:][text]) if len(h) else np.zeros(0, np.int64)
+            k = np.minimum(size[text[at]], SPAN)
+            for n in np.unique(k).tolist():
+                own = at[k == n]
+                h1, h2 = grams_at(h, own, n), grams_at(h, own, n, 1)
+                ids = batch.column(0).take(pa.array(a + text[own]))
+                yield pa.record_batch([ids, pa.array(np.full(len(own), n), pa.int32()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(h1.view(np.int64) if n < SPAN else np.zeros(len(own), np.int64))], names)
+            _, prints = fingerprints(h, first)
+            none = pa.nulls(len(prints), pa.int64())
+            yield pa.record_batch([pa.nulls(len(prints), pa.string()), pa.array(np.full(len(prints), SPAN), pa.int32()), none, none, pa.array(prints.view(np.int64))], names)
+
+
+def bit_table(prints: DataFrame) -> np.ndarray:
+    """The bits of the column ``print``: 2^18 words come to the driver at most."""
+    spot = F.col("print").bitwiseAND(F.lit((1 << BITS) - 1))
+    each = prints.select(spot.alias("b")).groupBy(F.shiftright("b", 6).cast("int").alias("w"))
+    got = each.agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("x")).toArrow()
+    out = np.zeros(1 << (BITS - 6), "<i8")
+    out[got.column(0).to_numpy()] = got.column(1).to_numpy()
+    return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool)
+
+
+def candidates(docs: DataFrame, known: np.ndarray, sizes: list[int]) -> DataFrame:
+    """Rows (row, doc_id, n_words, near): the windows of each row around fingerprints that the benchmark may have."""
+    shared = docs.sparkSession.sparkContext.broadcast((np.packbits(known, bitorder="little"), sizes))
+    mask = _U((1 << BITS) - 1)
+    kind = pa.struct([("h1", pa.int64()), ("h2", pa.int64()), ("first", pa.int32()), ("size", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        own.filter = _bit_table(own.prints)
-        tables = {k: _bit_table(keys) for k, (keys, _) in own.short.items()}
-        own.bits = tables.__getitem__
+        packed, short = shared.value
+        bits = np.unpackbits(packed, bitorder="little").view(bool)
         for batch in batches:
-            for a, b, buf, offs in blocks(batch):
-                buf = LOWER[buf]
-                starts, ends, first = words(buf, offs, ALNUM)
-                hits: list[list] = [[] for _ in range(b - a)]
-                if len(starts):
-                    doc = np.repeat(np.arange(b - a), np.diff(first))
-                    for x, y, item in find(buf, starts, ends, first, own):
-                        d = int(doc[x])
-                        hits[d].append({"item": own.ids[item], "first": int(x - first[d]), "last": int(y - 1 - first[d])})
-                yield pa.record_batch(
-                    [batch.column(0).slice(a, b - a), pa.array(np.diff(first), pa.int64()), pa.array(hits, pa.list_(pa.struct([("item", pa.string()), ("first", pa.int32()), ("last", pa.int32())])))],
-                    ["doc_id", "n_words", "hits"],
-                )
-
-    return whole_texts(docs).mapInArrow(run, SCHEMA)
-
-
-def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[Items]:
-    """The benchmark in blocks of about ``block_words`` words: only one block is on the driver at a time."""
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    ids, texts, n = [], [], 0
-    for row in rows.orderBy("id", "text").toLocalIterator():
-        ids.append(row.id)
-        texts.append(row.text)
-        n += len(row.text) // 5 + 1
-        if n >= block_words:
-            yield Items(ids, texts)
-            ids, texts, n = [], [], 0
-    if ids:
-        yield Items(ids, texts)
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Rows (doc_id, n_words, hits) for every row of ``docs``; ``hits`` are those of all blocks."""
-    scans = [scan(docs, items) for items in item_blocks(benchmark, block_words)] or [scan(docs, Items([], []))]
-    out = scans[0]
-    if len(scans) > 1:  # the same document from each block: rows with hits meet again
-        for more in scans[1:]:
-            out = out.union(more.where(F.size("hits") > 0))
-        out = out.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"))
-    return out
+            for a, b, h, first in _hashed(batch):
+                found = []
+                if len(h):
+                    at, prints = fingerprints(h, first)
+                    at = at[bits[(prints & mask).astype(np.int64)]]
+                    start = np.unique((at[:, None] - np.arange(WINDOW)[None, :]).ravel())
+                    text = np.searchsorted(first, start, "right") - 1
+                    ok = (start >= 0) & (start + SPAN <= first[np.clip(text, 0, b - a - 1) + 1])
+                    found.append((SPAN, start[ok]))
+                    text = np.repeat(np.arange(b - a), np.diff(first))
+                    for k in short:
+                        at = np.flatnonzero(np.arange(len(h)) + k <= first[1:][text])
+                        found.append((k, at[bits[(grams_at(h, at, k) & mask).astype(np.int64)]]))
+                place = np.concatenate([x for _, x in found]) if found else np.zeros(0, np.int64)
+                size = np.concatenate([np.full(len(x), k) for k, x in found]) if found else place
+                h1, h2 = (np.concatenate([grams_at(h, x, k, salt) for k, x in found]) if found else np.zeros(0, _U) for salt in (0, 1))
+                order = np.argsort(place, kind="stable")
+                place = place[order]
+                text = np.searchsorted(first, place, "right") - 1
+                inner = pa.StructArray.from_arrays([pa.array(h1[order].view(np.int64)), pa.array(h2[order].view(np.int64)), pa.array((place - first[text]).astype(np.int32)), pa.array(size[order].astype(np.int32))], fields=list(kind))
+                upto = np.searchsorted(text, np.arange(b - a + 1))
+                lists = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), inner)
+                yield pa.record_batch([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(np.diff(first), pa.int64()), lists], ["row", "doc_id", "n_words", "near"])
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(run, f"row long, doc_id {dict(docs.dtypes)['doc_id']}, n_words long, near array<struct<h1: long, h2: long, first: int, size: int>>")
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows (row, hits: first, size, item) to runs of each item: windows that touch or overlap become one."""
+    for batch in batches:
+        out = []
+        for hits in batch.column(1).to_pylist():
+            hits.sort(key=lambda x: (x["item"], x["first"]))
+            own: list[dict] = []
+            for x in hits:
+                last = x["first"] + x["size"] - 1
+                if own and own[-1]["item"] == x["item"] and x["first"] <= own[-1]["last"] + 1:
+                    own[-1]["last"] = max(last, own[-1]["last"])
+                else:
+                    own.append({"item": x["item"], "first": x["first"], "last": last})
+            out.append(own)
+        yield pa.record_batch([batch.column(0), pa.array(out, pa.list_(pa.struct([("item", pa.string()), ("first", pa.int32()), ("last", pa.int32())])))], ["row", "hits"])
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, broadcast_words: int = BLOCK_WORDS) -> DataFrame:
+    """Rows (doc_id, n_words, hits) for every row of ``docs``: each hit is an item and the first and last word of a run of its windows."""
+    tune(docs.sparkSession)
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
+    both = stash(items.mapInArrow(_windows, "item string, size int, h1 long, h2 long, print long"), "windows", scan=True)
+    own = both.where("h1 is not null").select("item", "size", "h1", "h2").distinct()
+    sizes = sorted(r["size"] for r in both.where(f"size < {SPAN}").select("size").distinct().collect())  # nine at most
+    near = stash(candidates(docs, bit_table(both.where(f"size < {SPAN} or h1 is null")), sizes), "near", scan=True)
+    if both.count() <= 2 * broadcast_words:
+        own = F.broadcast(own)
+    met = near.select("row", F.explode("near").alias("x")).select("row", "x.*").join(own, ["h1", "h2", "size"])
+    hits = met.groupBy("row").agg(F.collect_list(F.struct("item", "first", "size")).alias("hits")).mapInArrow(_runs, f"row long, hits {_HIT}")
+    out = near.select("row", "doc_id", "n_words").join(hits, "row", "left")
+    return out.select("doc_id", "n_words", F.coalesce("hits", F.array().cast(_HIT)).alias("hits"))
 
 
 def digest(found: DataFrame) -> DataFrame:
