@@ -16,8 +16,8 @@ corpus, counted in a table of fixed size over all documents, then the hash. It o
 
 Copies meet first (equal sets have one representative), so a group of copies never pairs up. Then
 every document meets the first document of its lists, the one it meets most often before the
-others, and the best linked one; links found there merge documents into classes, and the counted
-search runs over documents of one list that are still in different classes. So a large group of
+others, and its neighbours in an order of each list's own; links found there merge documents into
+classes, and the counted search runs over documents of one list that are still in different classes. So a large group of
 near copies costs its size, not its square, and no link between classes is lost. In that search a
 list is dealt by bands of set size, so only sizes that may link meet.
 
@@ -223,7 +223,7 @@ class _Search:
 
     def __init__(self, docs: DataFrame, bins: DataFrame, n: int, num: int):
         self.docs, self.bins, self.n, self.num = docs, bins, n, num
-        self.classes, self.degrees = Classes(), None
+        self.classes = Classes()
 
     def test(self, pairs: DataFrame) -> None:
         """Merge the classes of the linked ones of ``pairs`` (a, b, na, nb)."""
@@ -249,12 +249,6 @@ class _Search:
         discard(left)
         if not new.isEmpty():
             self.classes.merge(new)
-            found = new.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count("*").alias("degree"))
-            if self.degrees is not None:
-                found = found.unionByName(self.degrees).groupBy("doc").agg(F.sum("degree").alias("degree"))
-            found, old = stash(found, "degrees"), self.degrees
-            self.degrees = found
-            discard(old)
         discard(new)
 
     def apart(self, pairs: DataFrame) -> DataFrame:
@@ -270,7 +264,7 @@ def _met(rows: DataFrame, other: str, num: int) -> DataFrame:
     return ok.select(F.col("doc").alias("a"), o["doc"].alias("b"), F.col("n").alias("na"), o["n"].alias("nb"))
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, hub_rounds: int = 1) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, near_rounds: int = 2) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     tune(spark)
@@ -298,12 +292,14 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, hub_rounds: i
     search.test(best.select("a", (-F.col("x.neg")).alias("b"), "na", F.col("x.nb").alias("nb")))
     search.test(search.apart(met.drop("times")))
     discard(met)
-    for _ in range(hub_rounds):
-        if search.degrees is None:
-            break
-        linked = search.classes.of(live.select("shingle", "part", "doc", "n", "at").join(search.degrees, "doc", "left"), "doc", "class")
-        hub = linked.withColumns({"low": F.min("class").over(a_list), "high": F.max("class").over(a_list), "hub": F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), (-F.col("doc")).alias("neg"), "doc", "n", "at")).over(a_list)}).where("low != high")
-        search.test(search.apart(_met(hub, "hub", num).distinct()))
+    for k in range(near_rounds):
+        # in lists of several classes each document meets its neighbours in an order of the list's own: in a group of
+        # near copies that is another few documents in every list, which joins most of it before the counted search
+        linked = search.classes.of(live.select("shingle", "part", "doc", "n", "at"), "doc", "class")
+        mixed = linked.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("shingle")
+        order = a_list.orderBy(F.xxhash64(F.lit(k), "shingle", "doc"))
+        near = linked.join(mixed, "shingle", "left_semi").withColumn("near", F.lag(F.struct("doc", "n", "at")).over(order))
+        search.test(search.apart(_met(near.where("near is not null"), "near", num).distinct()))
     # T-occurrence search among documents of different classes
     linked = search.classes.of(live.select("shingle", "doc", "n", "at"), "doc", "class")
     mixed = linked.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("shingle")
@@ -312,16 +308,19 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, hub_rounds: i
     discard(live)
     x = rest.select("shingle", *[F.col(c).alias(c + "x") for c in ("doc", "n", "at", "class")], F.explode(F.array(F.col("band") - 1, "band")).alias("band"))
     y = rest.select("shingle", "band", *[F.col(c).alias(c + "y") for c in ("doc", "n", "at", "class")])
-    # each pair once: from the larger set, or the larger id, to the other
-    pairs = x.join(y, ["shingle", "band"]).where(f"struct(nx, docx) > struct(ny, docy) and classx != classy and ny * 100 >= nx * {num}")
-    counted = pairs.groupBy(F.col("docx").alias("a"), F.col("docy").alias("b"), F.col("nx").alias("na"), F.col("ny").alias("nb")).agg(F.count("*").alias("times"), F.min("atx").alias("ia"), F.min("aty").alias("ib"))
+    # each pair once: from the larger set, or the larger id, to the other. At the k-th list that two sets share, no more than
+    # k - 1 and what follows it can be shared in all: a linked pair passes in its first ``need`` lists, and is counted there
     need = "least((n - n * {num} div 100) div 8 + 1, (n * {num} + 99) div 100)".format(num=num)
-    enough = f"times >= least({need.replace('n ', 'na ')}, {need.replace('n ', 'nb ')})"
+    least = lambda n, m: f"least({need.replace('n ', n + ' ')}, {need.replace('n ', m + ' ')})"
+    room = f"({least('nx', 'ny')} - 1 + least(nx - atx, ny - aty)) * (100 + {num}) >= (nx + ny) * {num}"
+    pairs = x.join(y, ["shingle", "band"]).where(f"struct(nx, docx) > struct(ny, docy) and classx != classy and ny * 100 >= nx * {num} and {room}")
+    counted = pairs.groupBy(F.col("docx").alias("a"), F.col("docy").alias("b"), F.col("nx").alias("na"), F.col("ny").alias("nb")).agg(F.count("*").alias("times"), F.min("atx").alias("ia"), F.min("aty").alias("ib"))
+    enough = f"times >= {least('na', 'nb')}"
     search.test(counted.where(F.expr(enough) & _may_link((F.col("na"), F.col("ia")), (F.col("nb"), F.col("ib")), num)).select("a", "b", "na", "nb"))
     discard(rest)
     rep = every.join(one.join(first, ["n", "s1", "s2"]).select("doc_id", "rep"), "doc_id", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep"))
     out = stash(search.classes.of(rep, "rep", "component").select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id")), "components")
-    for done in (seen, first, rows, search.classes.rows, search.degrees):
+    for done in (seen, first, rows, search.classes.rows):
         discard(done)
     return fewer(out)
 
