@@ -19,7 +19,8 @@ one document go. What stays is searched in three steps:
    single windows have a first occurrence in common under AGREE keys, wherever these lie. So passages
    with changed words meet that have no context in common.
 
-Documents and first occurrences that met are verified on their words: the maximal segments in which
+Texts that are equal as a whole (but for A-Z and a-z) point to the first of them and take no part in
+the steps. Documents and first occurrences that met are verified on their words: the maximal segments in which
 eight of nine shingles match are taken, and a segment counts when it has LEAST shingles and its
 Jaccard similarity with the matching part of the first document is at least SIMILAR. The first
 occurrence stays; repeats within one document are not looked at.
@@ -37,6 +38,7 @@ results; extra columns are kept by without_repeats() and ignored otherwise.
 from __future__ import annotations
 
 import functools
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,31 +64,43 @@ _ODD = _U(0xD1342543DE82EF95)
 SPANS = "__repeated_spans"
 
 
+def smaller_neighbours(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each position the nearest one before it that is no larger (-1: none) and the next one that is smaller (len: none).
+
+    Those are the edges of its subtree in the Cartesian tree. All pointers jump at once along what is
+    known so far, so chains shorten by half in each round.
+    """
+    n = len(x)
+    left, right, todo = np.arange(-1, n - 1), np.arange(1, n + 1), np.arange(n)
+    while len(todo):
+        todo = todo[left[todo] >= 0]
+        todo = todo[x[left[todo]] > x[todo]]
+        left[todo] = left[left[todo]]
+    todo = np.arange(n)
+    while len(todo):
+        todo = todo[right[todo] < n]
+        todo = todo[x[right[todo]] >= x[todo]]
+        right[todo] = right[right[todo]]
+    return left, right
+
+
 def compact_windows(x: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(l, c, r) of all compact windows of at least ``least`` positions; of equal values the first is the minimum.
 
-    A stack of rising values runs over the minima of windows: the Cartesian tree of the positions
-    whose subtree is that wide. What is next smaller to such a position is one itself.
+    They are the nodes of the Cartesian tree whose subtree is that wide. Only positions that are the
+    minimum of some window can be such a node, and what is next smaller to one of them is one itself.
     """
     n = len(x)
     if n < least:
         z = np.zeros(0, np.int64)
         return z, z, z
     low = sliding_min(x, least)
-    keep = np.zeros(n, bool)
     # a position is the minimum of a window that holds it if the largest of the minima around it is its own value
     pad = np.concatenate([np.zeros(least - 1, x.dtype), low, np.zeros(least - 1, x.dtype)])
-    keep = ~sliding_min(~pad, least) == x
-    at = np.flatnonzero(keep)
-    value, left, right = x[at].tolist(), [0] * len(at), [n - 1] * len(at)
-    stack: list[int] = []
-    place = at.tolist()
-    for i, v in enumerate(value):
-        while stack and value[stack[-1]] > v:
-            right[stack.pop()] = place[i] - 1
-        left[i] = place[stack[-1]] + 1 if stack else 0
-        stack.append(i)
-    lo, hi = np.array(left, np.int64), np.array(right, np.int64)
+    at = np.flatnonzero(~sliding_min(~pad, least) == x)
+    left, right = smaller_neighbours(x[at])
+    lo = np.where(left >= 0, at[left] + 1, 0)
+    hi = np.where(right < len(at), at[np.minimum(right, len(at) - 1)] - 1, n - 1)
     wide = hi - lo + 1 >= least
     return lo[wide], at[wide], hi[wide]
 
@@ -154,6 +168,27 @@ def windows(docs: DataFrame, common: tuple[np.ndarray, np.ndarray] | None = None
     return docs.mapInArrow(run, "key long, part int, doc long, at long, near long")
 
 
+def copies(docs: DataFrame) -> DataFrame:
+    """(doc, head, n): documents of n words, as many as a passage has at least, whose only text an earlier one has letter for
+    letter, and the first of those."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, buf, offs in blocks(batch):
+                low = LOWER[buf]
+                _, _, first = words(low, offs, SPACED)
+                raw = memoryview(low)
+                texts = [hashlib.blake2b(raw[offs[i] : offs[i + 1]], digest_size=16).digest() for i in range(b - a)]
+                yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(np.diff(first), pa.int64()), pa.array(texts, pa.binary())], ["doc_id", "n", "print"])
+
+    prints = stash(docs.mapInArrow(run, "doc_id long, n long, print binary"), "prints", scan=True)
+    one = prints.groupBy(F.col("doc_id").alias("doc")).agg(F.min("print").alias("print"), F.max("print").alias("other"), F.min("n").alias("n")).where((F.col("print") == F.col("other")) & (F.col("n") >= LEAST + SHINGLE - 1))
+    first = one.groupBy("print").agg(F.min("doc").alias("head"), F.count("*").alias("times")).where("times > 1").select("print", "head")
+    out = stash(one.join(first, "print").where("doc != head").select("doc", "head", "n"), "copies")
+    discard(prints)
+    return out
+
+
 def common_keys(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Keys that many documents have, sorted, and over how many groups each is dealt; COMMON keys at most."""
     some = docs.where(F.pmod(F.xxhash64(F.lit("common"), "doc_id"), F.lit(SAMPLED)) == 0)
@@ -260,6 +295,8 @@ def repeated(own: np.ndarray, first: np.ndarray, frames: list[tuple[int, int, in
     # and what is the same word for word along a frame's shift
     for shift in sorted({s for _, _, s in frames}):
         i, j = max(0, shift), min(len(own), len(first) + shift)
+        if i >= j:
+            continue
         lo, hi = runs(own[i:j] == first[i - shift : j - shift])
         for p, q in zip((lo + i).tolist(), (hi + i).tolist(), strict=True):
             if q - p + 1 >= LEAST and not any(u <= p and q <= v for u, v, _, _ in out):
@@ -435,7 +472,10 @@ def repeats(docs: DataFrame) -> DataFrame:
     docs = whole_texts(docs).where(F.col("doc_id").isNotNull())
     group = W.partitionBy("key", "part")
     several = F.min("doc").over(group) != F.max("doc").over(group)
-    rows = stash(windows(docs, common_keys(docs)).withColumn("several", several).where("several or part >= 0").drop("several", "part"), "rows")
+    # texts that are the same as a whole are known by their hash; only the first of them is searched
+    same = copies(docs)
+    rows = windows(docs, common_keys(docs)).withColumn("several", several).where("several or part >= 0").drop("several", "part")
+    rows = stash(rows.join(same.select("doc"), "doc", "left_anti").select("key", "doc", "at", "near"), "rows")
     by_context = _shared(rows)
     at, of = F.col("at"), F.col("head.at")
     found = [_verify(docs, _met(by_context, [_frame(at, of)], "at").where(_wide("frame")), "found")]
@@ -458,9 +498,10 @@ def repeats(docs: DataFrame) -> DataFrame:
     discard(rest)
     discard(pairs)
     # later frames may cover a passage of the same two documents again
-    every = stash(functools.reduce(DataFrame.union, found).distinct(), "repeats")
-    for f in found:
-        discard(f)
+    whole = same.select("doc", F.lit(0), (F.col("n") - 1).cast("int"), "head", F.lit(0), F.lit(1.0))
+    every = stash(functools.reduce(DataFrame.union, found).distinct().union(whole), "repeats")
+    for done in (*found, same):
+        discard(done)
     return every
 
 
