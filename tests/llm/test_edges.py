@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from codonlake.llm import bpe, decontamination, graph, jaccard_join, kernels, segments, session, substring_dedup, toxicity
+from codonlake.llm import bpe, decontamination, graph, jaccard_join, kernels, license_scan, segments, session, substring_dedup, toxicity
 
 TEXT = "doc_id long, text string"
 
@@ -259,3 +259,53 @@ def test_maximal_segments_are_those_of_the_definition():
             return [] if top[0] <= 1e-12 else [*best(a, top[2]), (top[2], top[3]), *best(top[3] + 1, b)]
 
         assert [(a, b) for a, b, _ in got] == best(0, len(x))
+
+
+def every_signature(text):
+    """Detections (first, end, label, sure) by trying each signature alone, then containment."""
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    hits = []
+    for rank, (keyword, label, sure, pattern) in enumerate(license_scan.signatures()):
+        if keyword in low:
+            hits += [(m.start(), -m.end(), rank, label, sure) for m in re.finditer(pattern, low, re.ASCII)]
+    out, end = [], 0
+    for a, neg, _, label, sure in sorted(hits):
+        if -neg > end:
+            out.append((a, -neg, label, sure))
+            end = -neg
+    return out
+
+
+LINES = """licensed under cc by-nc 4.0.
+cc  by-nc 4.0 and cc-by-nc-sa 3 and cc by
+cc1by, cc4by and accby
+Licensed under the Apache License, Version 2.0 (the "License")
+GNU General Public License v3 or later; gpl-2.0+; gnu gpl 2
+available under the terms of the GNU Lesser General Public License version 2.1 or (at your option) any later version
+SPDX-License-Identifier: GPL-2.0-or-later
+spdx-license-identifier: mit spdx-license-identifier: made-up-1.0 spdx-license-identifier: apache-2.0-only
+mit license mit/x11 license MIT (Expat) License commit license
+the new bsd license, BSD 3-Clause License, bsd-style licence, freebsd license, 2-clause BSD license
+creative commons attribution-noncommercial-sharealike 4.0 Creative Commons Attribution license
+apache license 2.05 apache license 1.1 php license 3.01
+mozilla public license 2.0, the unlicense, all rights reserved; released into the public domain
+released under the gnu license; published under the terms of sil open font license, version 1.1"""
+
+
+def test_license_signatures_one_by_one(spark):
+    lines = [*LINES.split("\n"), LINES, LINES.upper(), "", "Kelvin \u212a \u0130 mit license"]
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(list(enumerate(lines)), TEXT)).collect()}
+    for i, text in enumerate(lines):
+        want = every_signature(text)
+        assert [(d.a, d.e, d.identifier, d.sure) for d in got[i].detections] == want, text
+        assert set(filter(None, got[i].identifiers.split(","))) == {x[2] for x in want}
+        assert set(filter(None, got[i].labels.split(","))) == {re.sub(r"-or-later$|-[0-9]+[.][0-9]+(-or-later)?$", "", x[2]) for x in want} | set(filter(None, got[i].base_labels.split(",")))
+    assert got[0].labels == "cc-by,cc-by-nc" and "gpl-3.0-or-later" in got[4].identifiers and got[2].labels == ""
+    assert len({x[1] for x in license_scan.signatures()}) > 200
+
+
+def test_license_scan_of_many_hits(spark):
+    text = "mit license, gnu gpl 3.0; " * 4000
+    r = license_scan.scan(spark.createDataFrame([(1, text), (1, text), (None, None)], TEXT)).collect()
+    assert sorted(len(x.detections) for x in r) == [0, 8000, 8000]
+    assert [(x.labels, x.identifiers) for x in r if x.doc_id] == [("gpl,mit", "gpl-3.0,mit")] * 2
