@@ -1,17 +1,19 @@
 """Quality rules with risk-controlled thresholds; DataFrame functions only.
 
 Statistics of a text become rules "reject when a ratio is over its cutoff". Cutoffs are chosen on
-labelled holdouts, for each stratum (length band) and rule: going from the loosest cutoff of a
-fixed grid to the tightest, a cutoff is certified while an exact binomial test shows that good
-documents are rejected at a rate of at most ALPHA. The level DELTA is divided by the number of
-strata and rules (Bonferroni); along the grid the tests are in a fixed order, which needs no
-further correction. Of the certified cutoffs the one is used that rejects the most bad documents,
-with COST times the share of rejected good ones taken off. Where labels are too few for a proof
-nothing is rejected beyond the base.
+all labelled holdouts, for each stratum (length band) apart. The rules tighten together, along a fixed
+path from loose to tight (PATHS), and what is tested at each step is their union: a step is certified
+while an exact binomial test shows that good documents are rejected, by any of the rules, at a rate
+of at most ALPHA. The level DELTA is divided by the number of strata (Bonferroni); along the path the
+tests are in a fixed order, which needs no further correction. So with probability 1 - DELTA no
+stratum loses more than ALPHA of its good documents to the method. Of the certified steps the one is
+used that rejects the most bad documents, with COST times the share of rejected good ones taken off.
+Where labels are too few for a proof nothing is rejected beyond the base.
 
 Edge cases: a null or empty text has no words and fails the base; null statistics don't occur;
 repeated rows get the same verdict each; an empty table gives an empty result; without labels
-only the base decides. Extra columns stay as they are, whatever their names.
+only the base decides; labels of one id count once, as bad if any says so. Extra columns stay as they
+are, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,9 +29,11 @@ from codonlake.llm.session import stash, table
 GAP = r"[\x20\x09-\x0D]+"
 #: False-rejection rate, error level, price of a good document.
 ALPHA, DELTA, COST = 0.01, 0.05, 10.0
-#: Cutoffs, from loose to tight.
-GRID = [round(0.8 * 0.85**i, 4) for i in range(30)]
-RULES = ("symbol", "shout", "dup_line", "repeat")
+#: Loosest and tightest cutoff of each rule: shares of characters, characters, lines and words. All take STEPS steps.
+PATHS = {"symbol": (0.8, 0.01), "shout": (0.9, 0.2), "dup_line": (0.9, 0.1), "repeat": (0.2, 0.05)}
+STEPS = 30
+GRIDS = [[round(a * (b / a) ** (i / (STEPS - 1)), 4) for i in range(STEPS)] for a, b in PATHS.values()]
+STRATA = 3
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_shouts", "n_lines")
 P = "__quality_"
 
@@ -92,6 +96,11 @@ def _rule_values() -> Column:
     return F.array(*[_ratio(a, b) for a, b in ratios])
 
 
+def _reaches(value: Column):
+    """Whether a cutoff lets a value pass."""
+    return lambda c: value <= c
+
+
 def base_failed() -> Column:
     return (F.col(P + "n_words") < 10) | (100 * F.col(P + "n_repeat_words") > 20 * F.col(P + "n_words"))
 
@@ -111,32 +120,31 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 
 
 def fit_cutoffs(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """One row (stratum, cutoffs array<double>, null where nothing is certified) for each of the three strata, at most.
+    """One row (stratum, cutoffs: one for each rule) for each stratum where a step is certified.
 
     All labelled documents are counted.
     """
     marked = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     held = docs.select("doc_id", "text").join(marked, "doc_id")
     seen = with_statistics(held).where(~base_failed())
-    cuts = F.array(*[F.lit(c) for c in GRID])
-    # the first cutoff of the grid that rejects: all tighter ones do, too
-    places = F.transform(_rule_values(), lambda v: F.size(F.filter(cuts, lambda c: v <= c)))
-    hits = seen.select(_stratum().alias("stratum"), "quality", F.posexplode(places).alias("rule", "step"))
+    # the first step at which any rule rejects: all tighter ones do, too
+    values = _rule_values()
+    first = F.least(*[F.size(F.filter(F.array(*[F.lit(c) for c in grid]), _reaches(values[r]))) for r, grid in enumerate(GRIDS)])
+    hits = seen.select(_stratum().alias("stratum"), "quality", first.alias("step"))
     side = lambda good: F.sum(F.when((F.col("quality") == 1) == good, 1).otherwise(0))
-    counts = stash(hits.groupBy("stratum", "rule", "step").agg(side(True).alias("good"), side(False).alias("bad")), "counts")
-    key = W.partitionBy("stratum", "rule")
-    upto = key.orderBy("step").rowsBetween(W.unboundedPreceding, 0)
-    steps = F.explode(F.sequence(F.lit(0), F.lit(len(GRID) - 1))).alias("step")
-    full = counts.select("stratum", "rule").distinct().select("stratum", "rule", steps).join(counts, ["stratum", "rule", "step"], "left").na.fill(0, ["good", "bad"]).withColumn("cutoff", F.get(cuts, "step"))
-    totals = counts.groupBy("stratum", "rule").agg(F.sum("good").alias("n"), F.sum("bad").alias("m"))
-    curve = full.withColumns({"k": F.sum("good").over(upto), "caught": F.sum("bad").over(upto)}).join(totals, ["stratum", "rule"])
-    level = math.log(delta / (3 * len(RULES)))
+    counts = stash(hits.groupBy("stratum", "step").agg(side(True).alias("good"), side(False).alias("bad")), "counts")
+    upto = W.partitionBy("stratum").orderBy("step").rowsBetween(W.unboundedPreceding, 0)
+    steps = F.explode(F.sequence(F.lit(0), F.lit(STEPS - 1))).alias("step")
+    full = counts.select("stratum").distinct().select("stratum", steps).join(counts, ["stratum", "step"], "left").na.fill(0, ["good", "bad"])
+    totals = counts.groupBy("stratum").agg(F.sum("good").alias("n"), F.sum("bad").alias("m"))
+    curve = full.withColumns({"k": F.sum("good").over(upto), "caught": F.sum("bad").over(upto)}).join(totals, "stratum")
+    level = math.log(delta / STRATA)
     tested = curve.withColumn("proved", (F.col("n") > 0) & (F.col("k") <= alpha * F.col("n")) & (F.when(F.col("k") <= alpha * F.col("n"), binomial_tail(F.col("k"), F.col("n"), alpha)) <= level))
     certified = tested.withColumn("holds", F.min(F.col("proved").cast("int")).over(upto)).where("holds = 1")
     gain = F.col("caught") / F.greatest("m", F.lit(1)) - COST * F.col("k") / F.col("n")
-    best = certified.withColumn("gain", gain).where("gain > 0").groupBy("stratum", "rule").agg(F.max(F.struct("gain", F.col("cutoff"))).alias("best"))
-    made = best.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "best.cutoff"))).alias("by_rule"))
-    return stash(made.select("stratum", F.array(*[F.try_element_at("by_rule", F.lit(i)) for i in range(len(RULES))]).alias("cutoffs")), "cutoffs")
+    best = certified.withColumn("gain", gain).where("gain > 0").groupBy("stratum").agg(F.max(F.struct("gain", (-F.col("step")).alias("neg"))).alias("best"))
+    cutoffs = F.array(*[F.get(F.array(*[F.lit(c) for c in grid]), -F.col("best.neg")) for grid in GRIDS])
+    return stash(best.select("stratum", cutoffs.alias("cutoffs")), "cutoffs")
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:

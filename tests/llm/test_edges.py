@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from codonlake.llm import bpe, decontamination, graph, jaccard_join, kernels, license_scan, segments, session, substring_dedup, toxicity
+from codonlake.llm import bpe, decontamination, graph, jaccard_join, kernels, license_scan, quality_rules, segments, session, substring_dedup, toxicity
 
 TEXT = "doc_id long, text string"
 
@@ -309,3 +309,47 @@ def test_license_scan_of_many_hits(spark):
     r = license_scan.scan(spark.createDataFrame([(1, text), (1, text), (None, None)], TEXT)).collect()
     assert sorted(len(x.detections) for x in r) == [0, 8000, 8000]
     assert [(x.labels, x.identifiers) for x in r if x.doc_id] == [("gpl,mit", "gpl-3.0,mit")] * 2
+
+
+def test_quality_cutoffs_against_brute_force(spark):
+    """Two strata with labels enough and one with too few; the union of the rules is what is certified."""
+    rng = np.random.default_rng(14)
+    rows, labels = [], []
+    for n, good, bad in ((40, 600, 120), (200, 900, 90), (1200, 30, 10)):
+        for i in range(good + bad):
+            w = made_up(rng, n)
+            ok = i < good
+            symbols, shouts = rng.integers(0, 3) if ok else rng.integers(0, n), rng.integers(0, 2) if ok else rng.integers(0, n)
+            for p in rng.integers(0, n, symbols):
+                w[p] += "#" * 9
+            for p in rng.integers(0, n, shouts):
+                w[p] = w[p].upper() + "A" * 40
+            rows.append((len(rows), " ".join(w)))
+            labels.append((len(labels), int(ok)))
+    docs, marks = spark.createDataFrame(rows, TEXT), spark.createDataFrame(labels, "doc_id long, quality int")
+    got = {r.stratum: r.cutoffs for r in quality_rules.fit_cutoffs(docs, marks).collect()}
+    P = quality_rules.P
+    seen = quality_rules.with_statistics(docs).where(~quality_rules.base_failed()).select("doc_id", quality_rules._rule_values().alias("v"), F.col(P + "n_words").alias("n")).collect()
+    mark = dict(labels)
+    want = {}
+    for stratum in range(3):
+        own = [(r.v, mark[r.doc_id]) for r in seen if (0 if r.n < 100 else 1 if r.n < 1000 else 2) == stratum]
+        n, m = sum(y for _, y in own), sum(1 - y for _, y in own)
+        best = None
+        for s in range(quality_rules.STEPS):
+            cut = [g[s] for g in quality_rules.GRIDS]
+            hit = [y for v, y in own if any(x > c for x, c in zip(v, cut, strict=True))]
+            k, caught = sum(hit), len(hit) - sum(hit)
+            tail = sum(math.comb(n, i) * 0.01**i * 0.99 ** (n - i) for i in range(k + 1))
+            if k > 0.01 * n or tail > 0.05 / 3:
+                break
+            gain = caught / max(m, 1) - quality_rules.COST * k / n
+            if gain > 0 and (best is None or gain > best[0] + 1e-12):
+                best = gain, cut
+        if best:
+            want[stratum] = best[1]
+    assert got == want and set(want) == {0, 1}
+    kept = {r.doc_id for r in quality_rules.keep_good(docs, marks).collect()}
+    for stratum, (a, b) in {0: (0, 600), 1: (720, 1620)}.items():
+        assert len([d for d in range(a, b) if d not in kept]) <= 0.02 * (b - a), stratum
+    assert len([d for d in range(600, 720) if d not in kept]) > 60
