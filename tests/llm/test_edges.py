@@ -2,12 +2,13 @@
 
 import math
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from codonlake.llm import bpe, decontamination, graph, jaccard_join, kernels, license_scan, quality_rules, segments, session, substring_dedup, toxicity
+from codonlake.llm import bpe, decontamination, graph, jaccard_join, kernels, language_id, license_scan, quality_rules, segments, session, substring_dedup, toxicity
 
 TEXT = "doc_id long, text string"
 
@@ -353,3 +354,63 @@ def test_quality_cutoffs_against_brute_force(spark):
     for stratum, (a, b) in {0: (0, 600), 1: (720, 1620)}.items():
         assert len([d for d in range(a, b) if d not in kept]) <= 0.02 * (b - a), stratum
     assert len([d for d in range(600, 720) if d not in kept]) > 60
+
+
+def test_presence_kernel_against_sets(spark):
+    rng = np.random.default_rng(15)
+    texts = ["", "a", "ab", "Été ñandú", *["".join(rng.choice(list("abcdeé "), rng.integers(1, 60))) for _ in range(40)]]
+    low = [bytes(c + 32 if 65 <= c <= 90 else c for c in t.encode()) for t in texts]
+    grams = [{t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)} for t in low]
+    marks = [g for g in grams[10:20] if g]
+    every = sorted({x for g in marks for x in g}, key=lambda x: (len(x), x))
+    base = {1: 0, 2: 256, 3: 256 + 65536}
+    codes = np.array([base[len(x)] + int.from_bytes(x, "big") for x in every], np.int32)
+    by = np.array([[float(x in g) for g in marks] for x in every], np.float32)
+    model = language_id.Model(codes, by, by.sum(0))
+    offs = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    got = language_id.kernel(np.frombuffer("".join(texts).encode(), np.uint8), offs, model, model.slots())
+    known = set(every)
+    want = [[len(g & m) / math.sqrt(max(1, len(g & known)) * len(m)) for m in marks] for g in grams]
+    assert np.allclose(got, want, atol=1e-5)
+
+
+def test_language_id_has_no_bound_on_languages(spark):
+    """150 languages of an alphabet each, one row of which is known by few texts."""
+    rows = []
+    for k in range(150):
+        word = "".join(chr(0x4E00 + 7 * k + j) for j in range(5))
+        rows += [(len(rows) + i, " ".join([word] * (5 + i)), f"l{k:03}") for i in range(4)]
+    docs = spark.createDataFrame(rows, TEXT + ", lang string")
+    got = language_id.predict(docs, language_id.fit(docs)).join(docs, "doc_id").collect()
+    assert sum(r.lang_pred == r.lang for r in got) >= 0.95 * len(rows)
+
+
+def test_pipeline_stages_with_odd_rows(spark, sf):
+    import corpus_pipeline as C
+
+    rng = np.random.default_rng(16)
+    words = [made_up(rng, 120) for _ in range(6)]
+    bench = " ".join(r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").limit(1).collect())
+    join = lambda *w: " ".join(x for part in w for x in part)
+    rows = [
+        (1, join(words[0])), (1, join(words[0])), (1, join(words[1])), (None, join(words[2])), (None, join(words[3])), (None, join(words[3])),
+        (2, join(words[0])), (3, None), (3, ""), (4, join(words[4], words[5][:60])), (5, join(words[5][:60], made_up(rng, 60))), (None, bench), (6, bench + " x"),
+    ]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], TEXT + ", lang string, source string, n_chars long")
+    stages = dict(C.STAGES)
+    one = stages["jaccard_join"](spark, docs, sf).cache()
+    got = sorted(((r.doc_id, r.text) for r in one.collect()), key=repr)
+    texts = Counter(t for _, t in got)
+    assert one.columns == docs.columns and all(n == 1 for n in texts.values()) and len([t for t in texts if not t]) == 2
+    assert set(texts) == {t for _, t in rows if t not in (bench, bench + " x")} | ({bench, bench + " x"} & set(texts)) and len({bench, bench + " x"} & set(texts)) == 1
+    two = stages["substring_dedup"](spark, docs, sf)
+    assert two.columns == docs.columns
+    left = sorted(((r.doc_id, r.text) for r in two.collect() if r.text), key=repr)
+    assert (1, join(words[1])) in left and (None, join(words[2])) in left and (4, join(words[4], words[5][:60])) in left
+    assert [len(t.split()) for d, t in left if d == 5] == [60]
+    assert sum(t == join(words[0]) for _, t in left) in (1, 2)  # equal rows have one key: both stay, or document 2 does
+    three = sorted(((r.doc_id, r.text) for r in stages["decontamination"](spark, docs, sf).collect()), key=repr)
+    assert three == sorted([r for r in rows if r[1] not in (bench, bench + " x")], key=repr)
+    assert stages["byte_bpe"](spark, docs, sf).count() == len(rows)
+    for name, stage in C.STAGES:
+        assert stage(spark, docs.limit(0), sf).count() == 0, name
