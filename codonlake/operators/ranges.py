@@ -41,15 +41,27 @@ def running_sum(df: DataFrame, by: list[str], pos: str, value: Column, out: str)
     return df.withColumn(out, F.sum(value).over(W.partitionBy(*by).orderBy(pos).rowsBetween(W.unboundedPreceding, 0)))
 
 
-def sweep(intervals: DataFrame, by: list[str], lo: str, hi: str) -> DataFrame:
+def sweep(intervals: DataFrame, by: list[str], lo: str, hi: str, bin_size: int | None = None) -> DataFrame:
     """Coverage of half-open intervals as rows (by, start, end, depth) of constant depth over 0.
 
-    Ends count once each before they are ordered, so common ends don't pile up.
+    Ends count once each before they are ordered, so common ends don't pile up. With a ``bin_size`` the
+    positions of one key are swept in bins of that size, each from the depth at which the bins before it
+    end: only a row for each bin is ordered as a whole.
     """
     ends = intervals.where(F.col(hi) > F.col(lo)).select(*by, F.explode(F.array(F.struct(F.col(lo).alias("at"), F.lit(1).alias("d")), F.struct(F.col(hi).alias("at"), F.lit(-1).alias("d")))).alias("e"))
     steps = ends.groupBy(*by, F.col("e.at").alias("start")).agg(F.sum("e.d").alias("d"))
-    w = W.partitionBy(*by).orderBy("start")
-    return steps.withColumns({"depth": F.sum("d").over(w.rowsBetween(W.unboundedPreceding, 0)), "end": F.lead("start").over(w)}).where("depth > 0").select(*by, "start", "end", "depth")
+    if bin_size is None:
+        w = W.partitionBy(*by).orderBy("start")
+        out = steps.withColumns({"depth": F.sum("d").over(w.rowsBetween(W.unboundedPreceding, 0)), "end": F.lead("start").over(w)})
+    else:
+        steps = steps.withColumn("__bin", F.floor(F.col("start") / bin_size))
+        order = W.partitionBy(*by).orderBy("__bin")
+        bins = steps.groupBy(*by, "__bin").agg(F.sum("d").alias("__sum"), F.min("start").alias("__first"))
+        bins = bins.withColumns({"__before": F.coalesce(F.sum("__sum").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "__next": F.lead("__first").over(order)})
+        w = W.partitionBy(*by, "__bin").orderBy("start")
+        inner = steps.withColumns({"__run": F.sum("d").over(w.rowsBetween(W.unboundedPreceding, 0)), "__end": F.lead("start").over(w)})
+        out = inner.join(bins, [*by, "__bin"]).withColumns({"depth": F.col("__before") + F.col("__run"), "end": F.coalesce("__end", "__next")})
+    return out.where("depth > 0").select(*by, "start", "end", "depth")
 
 
 def without_near(left: DataFrame, right: DataFrame, by: list[str], pos: str, before: int, after: int) -> DataFrame:

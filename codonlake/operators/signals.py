@@ -53,6 +53,61 @@ def words(d: np.ndarray, k: int, cardinal: int) -> np.ndarray:
     return out
 
 
+def motif_sites(seqs: DataFrame, motifs: dict[str, tuple[str, ...]]) -> DataFrame:
+    """Rows (doc_id, pos, kind) of (doc_id, seq): where a word of each kind begins. Only sites become rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = list(motifs)
+        for batch in batches:
+            ids, seqs = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+            found: list[tuple[int, int, np.ndarray]] = []
+            for i, seq in enumerate(seqs):
+                b = np.frombuffer(seq.encode(), np.uint8)
+                for k, name in enumerate(names):
+                    size = len(motifs[name][0])
+                    n = len(b) - size + 1
+                    if n <= 0:
+                        continue
+                    hit = np.zeros(n, bool)
+                    for word in motifs[name]:
+                        one = b[:n] == ord(word[0])
+                        for j in range(1, size):
+                            one &= b[j : n + j] == ord(word[j])
+                        hit |= one
+                    found.append((i, k, np.flatnonzero(hit)))
+            size = [len(x) for *_, x in found]
+            doc, kind = (np.repeat([f[c] for f in found], size).astype(np.int64) if found else np.zeros(0, np.int64) for c in (0, 1))
+            pos = np.concatenate([x for *_, x in found]) if found else np.zeros(0, np.int64)
+            yield pa.record_batch([pa.array(ids[doc], pa.int64()), pa.array(pos, pa.int64()), pa.array(names, pa.string()).take(pa.array(kind))], ["doc_id", "pos", "kind"])
+
+    return seqs.select("doc_id", "seq").mapInArrow(run, "doc_id long, pos long, kind string")
+
+
+def running_tracks(seqs: DataFrame, tables: dict[str, list[int]], step: int = 1) -> DataFrame:
+    """Rows (doc_id, and for each table an array) of (doc_id, seq): whole-number running sums over a sequence.
+
+    A table has a value for each word of A, C, G, T and N, as a number in base 5; with a ``step`` sums run
+    over every step-th word, for each start by itself.
+    """
+    sizes = {name: round(np.log(len(t)) / np.log(5)) for name, t in tables.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = {name: np.array(t, np.int64) for name, t in tables.items()}
+        for batch in batches:
+            out: dict[str, list[np.ndarray]] = {name: [] for name in own}
+            for seq in batch.column(1).to_pylist():
+                d = digits(seq.encode())
+                for name, table in own.items():
+                    v = table[words(d, sizes[name], 5)]
+                    for f in range(step):
+                        v[f::step] = np.cumsum(v[f::step])
+                    out[name].append(v)
+            cols = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in v])]), pa.int32()), pa.array(np.concatenate(v) if v else np.zeros(0, np.int64))) for v in out.values()]
+            yield pa.record_batch([batch.column(0), *cols], ["doc_id", *own])
+
+    return seqs.select("doc_id", "seq").mapInArrow(run, "doc_id long, " + ", ".join(f"{name} array<long>" for name in tables))
+
+
 def profile_scores(d: np.ndarray, p: Profile, rescale: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(position, score) of every whole window; a position is the window's start plus the profile's offset."""
     w = words(d, p.order + 1, 5)

@@ -28,7 +28,7 @@ _SPANS = _E + ", s AS (SELECT event_id, event_type, at_s AS lo, at_s + 60 + size
 
 def coverage_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Depth of overlapping event spans of each type."""
-    out = R.sweep(_spans(spark, sf_dir), ["event_type"], "lo", "hi")
+    out = R.sweep(_spans(spark, sf_dir), ["event_type"], "lo", "hi", 86400)
     return out.select("event_type", "start", "end", F.col("depth").cast("long").alias("depth"))
 
 
@@ -77,9 +77,8 @@ def local_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def anti_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Purchases with no click of any user within 120 seconds."""
-    e = _events(spark, sf_dir).select(F.lit(1).alias("all"), "event_type", "event_id", "at").withColumn("day", F.floor(F.col("at") / 86400))
-    kinds = [r.event_type for r in e.select("event_type").distinct().orderBy("event_type").limit(2).collect()]
-    left, right = e.where(F.col("event_type") == kinds[0]), e.where(F.col("event_type") == kinds[-1])
+    e = _events(spark, sf_dir).select("event_type", "event_id", "at").withColumn("day", F.floor(F.col("at") / 86400))
+    left, right = e.where("event_type = 'purchase'"), e.where("event_type = 'click'")
     # windows don't cross partitions: what is within reach of a day's border goes to both days
     near = [right.select("day", "at"), right.where("at % 86400 < 120").select((F.col("day") - 1).alias("day"), "at"), right.where("at % 86400 >= 86280").select((F.col("day") + 1).alias("day"), "at")]
     out = R.without_near(left.select("day", "event_id", "at"), near[0].union(near[1]).union(near[2]), ["day"], "at", 120, 121)
@@ -232,7 +231,7 @@ ORACLES = {
     "peak_edges": f"WITH {_TRACK}, u AS (SELECT event_type, hour, sum(n) OVER (PARTITION BY event_type ORDER BY hour) AS total FROM t), v AS (SELECT *, lead(total, 6) OVER w AS nxt, lag(total, 6) OVER w AS prv FROM u WINDOW w AS (PARTITION BY event_type ORDER BY hour)) SELECT event_type, hour, round(10 * ((nxt - total) / 6.0 - (total - prv) / 6.0), 6)::DOUBLE AS edge FROM v WHERE nxt IS NOT NULL AND prv IS NOT NULL",
     "cluster_edges": f"WITH {_TRACK}, g AS (SELECT *, hour - row_number() OVER (PARTITION BY event_type ORDER BY hour) AS run FROM t) SELECT event_type, min(hour) AS first_hour, max(hour) AS last_hour, CAST(sum(n) AS BIGINT) AS n FROM g GROUP BY event_type, run",
     "local_peaks": f"WITH {_TRACK} SELECT event_type, hour, n FROM (SELECT *, lag(n) OVER w AS b, lead(n) OVER w AS o FROM t WINDOW w AS (PARTITION BY event_type ORDER BY hour)) WHERE n > b AND n > o AND n > 2",
-    "anti_near": f"WITH {_E}, k AS (SELECT DISTINCT event_type FROM events ORDER BY 1 LIMIT 2), x AS (SELECT min(event_type) AS a, max(event_type) AS b FROM k) SELECT event_id, at_s AS \"at\" FROM e WHERE event_type = (SELECT a FROM x) AND NOT EXISTS (SELECT 1 FROM e AS c WHERE c.event_type = (SELECT b FROM x) AND c.at_s BETWEEN e.at_s - 120 AND e.at_s + 120)",
+    "anti_near": f"WITH {_E} SELECT event_id, at_s AS \"at\" FROM e WHERE event_type = 'purchase' AND NOT EXISTS (SELECT 1 FROM e AS c WHERE c.event_type = 'click' AND c.at_s BETWEEN e.at_s - 120 AND e.at_s + 120)",
     "asof_prev": f"WITH {_E} SELECT event_id, user_id, at_s AS \"at\", max(at_s) OVER (PARTITION BY user_id ORDER BY at_s RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_at FROM e",
     "asof_next": f"WITH {_E} SELECT event_id, at_s AS \"at\", min(CASE WHEN event_type = 'purchase' THEN at_s END) OVER (PARTITION BY user_id ORDER BY at_s RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS next_at FROM e",
     "evidence_expand": "WITH o AS (SELECT o_orderkey AS locus, o_orderstatus AS s FROM orders), k AS (SELECT locus, s, unnest(CASE WHEN s = 'O' THEN ['Intron', 'UTR_5prime_Intron', 'UTR_3prime_Intron'] ELSE ['Internal'] END) AS kind FROM o), f AS (SELECT locus, kind, unnest(CASE WHEN s = 'P' THEN [locus % 3] ELSE [0, 1, 2] END) AS frame FROM k) SELECT locus, kind, CASE WHEN kind LIKE 'UTR%' THEN (3 - frame) % 3 ELSE frame END AS frame, CASE WHEN kind LIKE 'UTR%' THEN frame END AS rest FROM f",

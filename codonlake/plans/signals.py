@@ -5,12 +5,15 @@ Each query has the same rows as its SQL in ORACLES. Texts are taken whole.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from codonlake.functions.dna import AS_BASES, CODONS, LETTERS, STOPS, amino_acids, digit, oligo_index, pseudo_dna, remainder, reverse_complement, split_codon_left, split_codon_right, split_words, words_of_bases
+from codonlake.functions.dna import AS_BASES, CODONS, LETTERS, STOPS, amino_acids, oligo_index, pseudo_dna, remainder, reverse_complement, split_codon_left, split_codon_right, split_words, words_of_bases
 from codonlake.operators import ranges as R
+from codonlake.operators.signals import fragments, motif_sites, running_tracks, scan
+from codonlake.sources.params import Profile
 
 #: A made-up weight matrix of six positions for ACGTN, in eighths, so that sums are exact.
 WEIGHTS = [[(3 * i + 5 * b + i * b) % 17 - 8 for b in range(4)] + [-2] for i in range(6)]
@@ -25,11 +28,6 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", pseudo_dna(F.col("text")).alias("seq"))
 
 
-def codons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows (doc_id, pos, word) of all runs of three bases."""
-    return split_words(sequences(spark, sf_dir), 3)
-
-
 _SEQ = f"seqs AS (SELECT doc_id, translate(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g'), '{LETTERS}', '{AS_BASES}') AS seq FROM documents)"
 _BASE = f"{_SEQ}, bases AS (SELECT doc_id, unnest(string_split(seq, '')) AS base, unnest(range(length(seq))) AS pos FROM seqs WHERE seq <> '')"
 _W3 = _BASE + ", words AS (SELECT * FROM (SELECT doc_id, pos, base || lead(base, 1) OVER w || lead(base, 2) OVER w AS word FROM bases WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) WHERE word IS NOT NULL)"
@@ -54,26 +52,26 @@ def translate_codons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pwm_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows of six whose summed weights reach the cutoff. Words repeat, so each word is scored once and joined back."""
-    words = split_words(sequences(spark, sf_dir), 6)
-    table = F.array(*[F.array(*[F.lit(x) for x in row]) for row in WEIGHTS])
-    score = sum((F.get(F.get(table, F.lit(i)), digit(F.substring("word", i + 1, 1))) for i in range(6)), F.lit(0))
-    return words.withColumn("score", score.cast("long")).where(F.col("score") >= CUTOFF).select("doc_id", F.col("pos").cast("long").alias("pos"), "score")
+    """Windows of six whose summed weights reach the cutoff, by the engine's own scan (whole numbers, so sums are exact)."""
+    seqs = sequences(spark, sf_dir).select(F.col("doc_id").cast("string").alias("locus"), F.length("seq").cast("long").alias("length"), "seq")
+    profile = Profile(6, 0, CUTOFF, 0, weights=np.array(WEIGHTS, np.float32))
+    found = scan(fragments(seqs, FRAGMENT, OVERLAP, "+"), {"site": profile})
+    # a window in an overlap is found in both fragments
+    return found.select(F.col("locus").cast("long").alias("doc_id"), "pos", F.col("score").cast("long").alias("score")).distinct()
 
 
 def gc_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Running G+C at each 500th base."""
-    b = split_words(sequences(spark, sf_dir), 1)
-    run = R.running_sum(b, ["doc_id"], "pos", F.col("word").isin("G", "C").cast("long"), "gc")
-    return run.where("pos % 500 = 0").select("doc_id", F.col("pos").cast("long").alias("pos"), "gc")
+    """Running G+C at every base, as a digest of the whole track."""
+    t = running_tracks(sequences(spark, sf_dir), {"gc": [0, 1, 1, 0, 0]})
+    return t.select("doc_id", F.size("gc").cast("long").alias("n"), F.coalesce(F.element_at("gc", -1), F.lit(0)).alias("total"), F.md5(F.array_join(F.col("gc").cast("array<string>"), ",").cast("binary")).alias("digest"))
 
 
 def gc_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G+C share of the 200 bases on either side, at each 250th base."""
-    b = split_words(sequences(spark, sf_dir), 1)
-    w = W.partitionBy("doc_id").orderBy("pos").rowsBetween(-200, 200)
-    out = b.withColumns({"gc": F.sum(F.col("word").isin("G", "C").cast("long")).over(w), "n": F.sum((F.col("word") != "N").cast("long")).over(w)}).where("pos % 250 = 0 and n > 0")
-    return out.select("doc_id", F.col("pos").cast("long").alias("pos"), F.round(F.col("gc") / F.col("n").cast("double"), 6).alias("share"))
+    """G+C and known bases within 200 on either side of every base, as a digest of the whole track: two lookups in running sums."""
+    t = running_tracks(sequences(spark, sf_dir), {"gc": [0, 1, 1, 0, 0], "known": [1, 1, 1, 1, 0]}).where("size(gc) > 0")
+    between = lambda x: f"({x}[least(i + 200, size({x}) - 1)] - if(i > 200, {x}[greatest(i - 201, 0)], 0L))"
+    text = F.expr(f"transform(sequence(0, size(gc) - 1), i -> concat({between('gc')}, '/', {between('known')}))")
+    return t.select("doc_id", F.md5(F.array_join(text, ",").cast("binary")).alias("digest"))
 
 
 def isochore_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,9 +84,9 @@ def isochore_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stop_in_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each start codon's first stop codon in its frame (null without one)."""
-    c = codons(spark, sf_dir).where(F.col("word").isin("ATG", *STOPS)).withColumns({"pos": F.col("pos").cast("long"), "frame": (F.col("pos") % 3).cast("long")})
-    out = R.next_at_or_after(c, ["doc_id", "frame"], "pos", F.col("word") != "ATG", "stop")
-    return out.where("word = 'ATG'").select("doc_id", F.col("pos").alias("start"), "frame", "stop")
+    c = motif_sites(sequences(spark, sf_dir), {"start": ("ATG",), "stop": STOPS}).withColumn("frame", F.col("pos") % 3)
+    out = R.next_at_or_after(c, ["doc_id", "frame"], "pos", F.col("kind") == "stop", "stop")
+    return out.where("kind = 'start'").select("doc_id", F.col("pos").alias("start"), "frame", "stop")
 
 
 def single_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,17 +97,17 @@ def single_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def orf_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Open reading frames between neighbouring stops of a frame, 60 bases at least."""
-    c = codons(spark, sf_dir).where(F.col("word").isin(*STOPS)).withColumns({"pos": F.col("pos").cast("long"), "frame": (F.col("pos") % 3).cast("long")})
+    c = motif_sites(sequences(spark, sf_dir), {"stop": STOPS}).withColumn("frame", F.col("pos") % 3)
     w = W.partitionBy("doc_id", "frame").orderBy("pos")
     return c.withColumn("stop", F.lead("pos").over(w)).where("stop - pos - 3 >= 60").select("doc_id", "frame", (F.col("pos") + 3).alias("start"), "stop")
 
 
 def _sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Starts, acceptors (AG), donors (GT) and stops, each with a score from its place."""
-    c = codons(spark, sf_dir).withColumn("pos", F.col("pos").cast("long"))
-    kind = F.when(F.col("word") == "ATG", "start").when(F.col("word").isin(*STOPS), "stop")
-    both = c.select("doc_id", "pos", "word", F.explode(F.filter(F.array(kind, F.when(F.substring("word", 1, 2) == "AG", F.lit("acceptor")), F.when(F.substring("word", 1, 2) == "GT", F.lit("donor"))), lambda x: x.isNotNull())).alias("kind"))
-    return both.withColumn("score", F.pmod(F.col("pos") * 7919 + F.col("doc_id") * 31, F.lit(1000)))
+    """Starts, acceptors (AG), donors (GT) and stops, each with a score from its place. A site's codon is whole."""
+    seqs = sequences(spark, sf_dir)
+    two = {"acceptor": "AG", "donor": "GT"}
+    motifs = {"start": ("ATG",), "stop": STOPS} | {kind: tuple(w + b for b in "ACGTN") for kind, w in two.items()}
+    return motif_sites(seqs, motifs).withColumn("score", F.pmod(F.col("pos") * 7919 + F.col("doc_id") * 31, F.lit(1000)))
 
 
 def first_exons_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,11 +144,12 @@ def terminal_exons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def zero_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A donor right behind an acceptor (an exon of no length), both of good score."""
-    s = _sites(spark, sf_dir).where("score > 300")
-    a = s.where("kind = 'acceptor'").select("doc_id", F.col("pos").alias("acceptor"), F.col("score").alias("acc_score"))
-    d = s.where("kind = 'donor'").select("doc_id", (F.col("pos") - 2).alias("acceptor"), F.col("score").alias("don_score"))
-    return a.join(d, ["doc_id", "acceptor"])
+    """A donor right behind an acceptor (an exon of no length), both of good score: the site's next neighbour is two on."""
+    s = _sites(spark, sf_dir).where("kind in ('acceptor', 'donor') and score > 300")
+    w = W.partitionBy("doc_id").orderBy("pos", "kind")
+    s = s.withColumn("on", F.collect_list(F.when(F.col("kind") == "donor", F.struct("pos", "score"))).over(w.rowsBetween(1, 2)))
+    met = s.where("kind = 'acceptor'").withColumn("d", F.get(F.filter("on", lambda x: x["pos"] == F.col("pos") + 2), F.lit(0))).where("d is not null")
+    return met.select("doc_id", F.col("pos").alias("acceptor"), F.col("score").alias("acc_score"), F.col("d.score").alias("don_score"))
 
 
 def utr_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,20 +162,20 @@ def utr_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split_codons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often each pair of codon halves would make a stop at a junction."""
-    c = codons(spark, sf_dir).withColumn("frame", F.col("pos") % 3)
-    both = c.select(split_codon_left(F.col("frame"), F.col("word")).cast("long").alias("left_value"), split_codon_right(F.col("frame"), F.col("word")).cast("long").alias("right_value"))
-    return both.groupBy("left_value", "right_value").agg(F.count("*").alias("n"))
+    """How often each pair of codon halves would make a stop at a junction: words of three are counted by place in the
+    codon before anything is shuffled."""
+    c = split_words(sequences(spark, sf_dir), 3).withColumn("frame", F.col("pos") % 3)
+    n = c.groupBy("frame", "word").agg(F.count("*").alias("n"))
+    return n.groupBy(split_codon_left(F.col("frame"), F.col("word")).cast("long").alias("left_value"), split_codon_right(F.col("frame"), F.col("word")).cast("long").alias("right_value")).agg(F.sum("n").alias("n"))
 
 
 def markov_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coding potential of every open reading frame: the sum of codon weights by two lookups in a running sum."""
-    c = codons(spark, sf_dir).withColumns({"pos": F.col("pos").cast("long"), "frame": (F.col("pos") % 3).cast("long"), "weight": F.pmod(oligo_index(F.col("word"), 3) * 37, F.lit(19)) - 9})
-    run = R.running_sum(c, ["doc_id", "frame"], "pos", F.col("weight"), "total")
-    stops = run.where(F.col("word").isin(*STOPS))
-    w = W.partitionBy("doc_id", "frame").orderBy("pos")
-    out = stops.withColumns({"stop": F.lead("pos").over(w), "upto": F.lead(F.col("total") - F.col("weight")).over(w)}).where("stop - pos - 3 >= 60")
-    return out.select("doc_id", "frame", (F.col("pos") + 3).alias("start"), "stop", (F.col("upto") - F.col("total")).alias("potential"))
+    seqs = sequences(spark, sf_dir)
+    track = running_tracks(seqs, {"total": [i * 37 % 19 - 9 for i in range(125)]}, step=3)
+    orfs = orf_scan(spark, sf_dir).groupBy("doc_id").agg(F.collect_list(F.struct("frame", "start", "stop")).alias("orfs"))
+    each = orfs.join(track, "doc_id").select("doc_id", F.expr("inline(transform(orfs, o -> struct(o.frame as frame, o.start as start, o.stop as stop, total[int(o.stop) - 3] - total[int(o.start) - 3] as potential)))"))
+    return each.select("doc_id", "frame", "start", "stop", "potential")
 
 
 def fragment_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,7 +185,7 @@ def fragment_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = F.greatest(F.lit(0), F.floor((F.col("size") - 1 - OVERLAP) / hop)).cast("long")
     parts = s.select("doc_id", "size", last.alias("last"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("fragment"))
     parts = parts.select("doc_id", "fragment", (F.col("fragment") * hop).alias("l1"), F.least(F.col("fragment") * hop + FRAGMENT - 1, F.col("size") - 1).alias("l2"), (F.col("fragment") == F.col("last")).alias("is_last"))
-    starts = codons(spark, sf_dir).where("word = 'ATG'").select("doc_id", F.col("pos").cast("long").alias("pos"))
+    starts = motif_sites(sequences(spark, sf_dir), {"start": ("ATG",)}).select("doc_id", "pos")
     owned = R.range_join(parts.withColumn("hi", F.when(F.col("is_last"), F.col("l2") + 1).otherwise(F.col("l1") + hop)), starts, ["doc_id"], "l1", "hi", "pos", 1024)
     n = owned.groupBy("doc_id", "fragment").agg(F.count("*").alias("starts"))
     return parts.join(n, ["doc_id", "fragment"], "left").select("doc_id", "fragment", "l1", "l2", "is_last", F.coalesce("starts", F.lit(0)).alias("starts"))
@@ -216,8 +215,8 @@ ORACLES = {
     "oligo_counts": f"WITH {_BASE}{_W5} SELECT word, CAST({_IDX5} AS BIGINT) AS idx, count(*) AS n FROM w5 GROUP BY word",
     "translate_codons": f"WITH {_W3}, p AS (SELECT doc_id, string_agg({_CODON}, '' ORDER BY pos) AS protein FROM words WHERE pos % 3 = 0 GROUP BY doc_id) SELECT doc_id, length(coalesce(protein, '')) AS n_aa, md5(coalesce(protein, '')) AS digest FROM seqs LEFT JOIN p USING (doc_id)",
     "pwm_scan": f"WITH {_BASE}{_W6} SELECT doc_id, pos, CAST({_SUM6} AS BIGINT) AS score FROM w6 WHERE {_SUM6} >= {CUTOFF}",
-    "gc_prefix": f"WITH {_BASE} SELECT doc_id, pos, CAST(gc AS BIGINT) AS gc FROM (SELECT doc_id, pos, sum(CASE WHEN base IN ('G', 'C') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS gc FROM bases) WHERE pos % 500 = 0",
-    "gc_context": f"WITH {_BASE} SELECT doc_id, pos, round(gc / CAST(n AS DOUBLE), 6) AS share FROM (SELECT doc_id, pos, sum(CASE WHEN base IN ('G', 'C') THEN 1 ELSE 0 END) OVER w AS gc, sum(CASE WHEN base <> 'N' THEN 1 ELSE 0 END) OVER w AS n FROM bases WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 200 PRECEDING AND 200 FOLLOWING)) WHERE pos % 250 = 0 AND n > 0",
+    "gc_prefix": f"WITH {_BASE}, t AS (SELECT doc_id, pos, CAST(sum(CASE WHEN base IN ('G', 'C') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS BIGINT) AS gc FROM bases), g AS (SELECT doc_id, count(*) AS n, max(gc) AS total, md5(string_agg(gc::VARCHAR, ',' ORDER BY pos)) AS digest FROM t GROUP BY doc_id) SELECT doc_id, coalesce(n, 0) AS n, coalesce(total, 0) AS total, coalesce(digest, md5('')) AS digest FROM seqs LEFT JOIN g USING (doc_id)",
+    "gc_context": f"WITH {_BASE}, t AS (SELECT doc_id, pos, CAST(sum(CASE WHEN base IN ('G', 'C') THEN 1 ELSE 0 END) OVER w AS BIGINT) AS gc, CAST(sum(CASE WHEN base <> 'N' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS n FROM bases WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 200 PRECEDING AND 200 FOLLOWING)) SELECT doc_id, md5(string_agg(gc || '/' || n, ',' ORDER BY pos)) AS digest FROM t GROUP BY doc_id",
     "isochore_assign": f"WITH {_SEQ}, g AS (SELECT doc_id, 100 * length(regexp_replace(seq, '[^GC]', '', 'g')) / CAST(length(seq) AS DOUBLE) AS gc FROM seqs WHERE seq <> ''), r AS (SELECT * FROM (VALUES {', '.join(map(str, ISOCHORES))}) v(i, lo, hi)) SELECT doc_id, round(gc, 6) AS gc, CAST(min(i) AS BIGINT) AS isochore FROM g LEFT JOIN r ON gc >= lo AND gc <= hi GROUP BY doc_id, gc",
     "stop_in_frame": f"WITH {_W3}, f AS (SELECT doc_id, pos, word, min(CASE WHEN word <> 'ATG' THEN pos END) OVER (PARTITION BY doc_id, pos % 3 ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS stop FROM words WHERE word = 'ATG' OR word IN {_STOP}) SELECT doc_id, pos AS start, pos % 3 AS frame, stop FROM f WHERE word = 'ATG'",
     "single_genes": f"WITH {_W3}, f AS (SELECT doc_id, pos, word, min(CASE WHEN word <> 'ATG' THEN pos END) OVER (PARTITION BY doc_id, pos % 3 ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS stop FROM words WHERE word = 'ATG' OR word IN {_STOP}) SELECT doc_id, pos AS start, stop, stop - pos AS length FROM f WHERE word = 'ATG' AND stop - pos >= 60",
@@ -225,7 +224,7 @@ ORACLES = {
     "first_exons_topk": f"WITH {_SITES}, f AS (SELECT doc_id, pos, kind, min(CASE WHEN kind = 'stop' THEN pos END) OVER (PARTITION BY doc_id, pos % 3 ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS stop FROM sites WHERE kind IN ('start', 'stop')), m AS (SELECT f.doc_id, f.pos AS start, d.pos AS donor, d.score, row_number() OVER (PARTITION BY f.doc_id, f.pos ORDER BY d.score DESC, d.pos) AS k FROM f JOIN sites d ON d.doc_id = f.doc_id AND d.kind = 'donor' AND d.pos >= f.pos + 2 AND d.pos < f.stop + 3 WHERE f.kind = 'start' AND f.stop IS NOT NULL) SELECT doc_id, start, donor, score FROM m WHERE k <= 5",
     "internal_exons_topk": f"WITH {_SITES}{_CLOSED}, m AS (SELECT c.doc_id, c.acceptor, c.frame, d.pos AS donor, d.score, row_number() OVER (PARTITION BY c.doc_id, c.acceptor, c.frame ORDER BY d.score DESC, d.pos DESC) AS k FROM closed c JOIN sites d ON d.doc_id = c.doc_id AND d.kind = 'donor' AND d.pos >= c.acceptor + 18 AND d.pos < c.stop WHERE c.acceptor IS NOT NULL AND c.stop IS NOT NULL) SELECT doc_id, acceptor, CAST(frame AS BIGINT) AS frame, donor, score, CAST((3 - (donor - (acceptor + frame) + 1) % 3) % 3 AS BIGINT) AS rest FROM m WHERE k <= 3",
     "terminal_exons": f"WITH {_SITES}{_CLOSED} SELECT doc_id, acceptor, CAST(frame AS BIGINT) AS frame, stop FROM closed WHERE acceptor IS NOT NULL AND stop IS NOT NULL",
-    "zero_length": f"WITH {_SITES} SELECT a.doc_id, a.pos AS acceptor, a.score AS acc_score, d.score AS don_score FROM sites a JOIN sites d ON a.doc_id = d.doc_id AND d.pos = a.pos + 2 WHERE a.kind = 'acceptor' AND d.kind = 'donor' AND a.score > 300 AND d.score > 300",
+    "zero_length": f"WITH {_SITES}, z AS (SELECT doc_id, pos, kind, score, lead(CASE WHEN kind = 'donor' THEN pos END, 1) OVER w AS p1, lead(CASE WHEN kind = 'donor' THEN score END, 1) OVER w AS s1, lead(CASE WHEN kind = 'donor' THEN pos END, 2) OVER w AS p2, lead(CASE WHEN kind = 'donor' THEN score END, 2) OVER w AS s2 FROM sites WHERE kind IN ('acceptor', 'donor') AND score > 300 WINDOW w AS (PARTITION BY doc_id ORDER BY pos, kind)) SELECT doc_id, pos AS acceptor, score AS acc_score, CASE WHEN p1 = pos + 2 THEN s1 ELSE s2 END AS don_score FROM z WHERE kind = 'acceptor' AND (p1 = pos + 2 OR p2 = pos + 2)",
     "utr_topk": f"WITH {_SITES}, m AS (SELECT s.doc_id, s.pos AS stop, a.pos AS acceptor, a.score - 2 * (a.pos - s.pos) AS worth FROM sites s JOIN sites a ON a.doc_id = s.doc_id AND a.kind = 'acceptor' AND a.pos > s.pos AND a.pos < s.pos + 300 WHERE s.kind = 'stop') SELECT doc_id, stop, acceptor, worth FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, stop ORDER BY worth DESC, acceptor) AS k FROM m) WHERE k <= 4",
     "split_codons": f"WITH {_W3}, v AS (SELECT CASE WHEN pos % 3 = 1 AND word[1] = 'A' THEN 2 WHEN pos % 3 = 1 AND word[1] = 'G' THEN 3 WHEN pos % 3 = 2 AND word[1:2] IN ('AG', 'AA', 'GA') THEN 1 ELSE 0 END AS left_value, CASE WHEN pos % 3 = 2 AND word[3] = 'T' THEN 1 WHEN pos % 3 = 1 AND word[2:3] = 'TG' THEN 2 WHEN pos % 3 = 1 AND word[2:3] = 'TA' THEN 3 ELSE 0 END AS right_value FROM words) SELECT CAST(left_value AS BIGINT) AS left_value, CAST(right_value AS BIGINT) AS right_value, count(*) AS n FROM v GROUP BY ALL",
     "markov_prefix": f"WITH {_W3}, t AS (SELECT doc_id, pos, word, weight, sum(weight) OVER (PARTITION BY doc_id, pos % 3 ORDER BY pos ROWS UNBOUNDED PRECEDING) AS total FROM (SELECT *, ({_IDX3}) * 37 % 19 - 9 AS weight FROM words)), s AS (SELECT *, lead(pos) OVER w AS stop, lead(total - weight) OVER w AS upto FROM t WHERE word IN {_STOP} WINDOW w AS (PARTITION BY doc_id, pos % 3 ORDER BY pos)) SELECT doc_id, pos % 3 AS frame, pos + 3 AS start, stop, CAST(upto - total AS BIGINT) AS potential FROM s WHERE stop - pos - 3 >= 60",
