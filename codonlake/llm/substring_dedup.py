@@ -113,6 +113,17 @@ def _shingles(buf: np.ndarray, offs: np.ndarray) -> Iterator[np.ndarray]:
         yield g[a : max(a, b - SHINGLE + 1)]
 
 
+def block_shingles(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, whether they belong to one text, index of each text's first) of all runs of SHINGLE words of a block."""
+    starts, ends, first = words(LOWER[buf], offs, SPACED)
+    g = ngrams(span_hashes(LOWER[buf], starts, ends), SHINGLE)
+    own = np.ones(len(g), bool)
+    for t in range(1, SHINGLE):  # runs that begin in a text's last words go on in the next text
+        end = first[1:] - t
+        own[end[(end >= first[:-1]) & (end < len(g))]] = False
+    return g, own, first
+
+
 def doubled(g: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all runs of ``k`` neighbours, k a power of two, by doubling."""
     have = 1
@@ -126,9 +137,8 @@ def _picked(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return h[np.clip(at, 0, len(h) - 1)]
 
 
-def contexts(g: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """16-bit hashes of the 23 shingles from c on and the 24 up to c; of no meaning where the text is too short."""
-    h = doubled(g, 16)
+def contexts(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """16-bit hashes of the 23 shingles from c on and the 24 up to c, of doubled(shingles, 16); of no meaning where the text is too short."""
     ahead = mix(_picked(h, c) * _ODD + _picked(h, c + 7))
     back = mix(_picked(h, c - 23) * _ODD + _picked(h, c - 15))
     return (ahead >> _U(48)).astype(np.int64), (back >> _U(48)).astype(np.int64)
@@ -145,19 +155,22 @@ def windows(docs: DataFrame, common: tuple[np.ndarray, np.ndarray] | None = None
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for a, _, buf, offs in blocks(batch):
-                out: list[list[np.ndarray]] = [[] for _ in range(4)]
-                for i, g in enumerate(_shingles(buf, offs)):
-                    if len(g) < LEAST:
-                        continue
-                    for salt in _SALTS[:FUNCTIONS]:
-                        x = mix(g ^ salt)
-                        lo, c, hi = compact_windows(x, LEAST)
-                        ahead, back = contexts(g, c)
-                        at = (c << 12) | (np.minimum(c - lo, LEAST - 1) << 6) | np.minimum(hi - c, LEAST - 1)
-                        for col, v in zip(out, (x[c].view(np.int64), np.full(len(c), ids[a + i]), at, (ahead << 16) | back), strict=True):
-                            col.append(v)
-                if out[0]:
-                    key, doc, at, near = (np.concatenate(v) for v in out)
+                g, own, first = block_shingles(buf, offs)
+                if len(g) < LEAST:
+                    continue
+                h, out = doubled(g, 16), []
+                for salt in _SALTS[:FUNCTIONS]:
+                    # what isn't a shingle is smaller than all of them, so no window reaches over it
+                    x = np.where(own, np.maximum(mix(g ^ salt), _U(1)), _U(0))
+                    lo, c, hi = compact_windows(x, LEAST)
+                    real = own[c]
+                    lo, c, hi = lo[real], c[real], hi[real]
+                    text = np.searchsorted(first, c, "right") - 1
+                    ahead, back = contexts(h, c)
+                    at = ((c - first[text]) << 12) | (np.minimum(c - lo, LEAST - 1) << 6) | np.minimum(hi - c, LEAST - 1)
+                    out.append((x[c].view(np.int64), ids[a + text], at, (ahead << 16) | back))
+                if any(len(o[0]) for o in out):
+                    key, doc, at, near = (np.concatenate(v) for v in zip(*out, strict=True))
                     part = np.full(len(key), -1, np.int32)
                     if keys is not None:
                         place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
@@ -350,8 +363,8 @@ def _wide(frame: str) -> Column:
 
 
 def _heads(rows: DataFrame, *places: str) -> DataFrame:
-    """(key, head: struct of doc and ``places`` of the first row) of the keys of more than one document."""
-    return rows.groupBy("key").agg(F.min(F.struct("doc", *places)).alias("head"), F.max("doc").alias("end")).where("head.doc != end").drop("end")
+    """(key, head: struct of doc and ``places`` of the first row, times) of the keys of more than one document."""
+    return rows.groupBy("key").agg(F.min(F.struct("doc", *places)).alias("head"), F.max("doc").alias("end"), F.count("*").alias("times")).where("head.doc != end").drop("end")
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -366,8 +379,14 @@ def _shared(rows: DataFrame) -> DataFrame:
 
 
 def _met(rows: DataFrame, frames: list[Column], *places: str) -> DataFrame:
-    """Rows (key, doc, head, frame): windows of a key and its first occurrence in another document."""
-    both = rows.join(_heads(rows, *places), "key").where("doc != head.doc")
+    """Rows (key, doc, head, frame): windows of a key and its first occurrence in another document.
+
+    The first occurrences of common keys (COMMON of them at most) are broadcast, so the rows of such a key stay where they are.
+    """
+    heads = stash(_heads(rows, *places), "heads")
+    most = max(GROUP, (heads.agg(F.sum("times")).first()[0] or 0) // COMMON)
+    hot, cold = F.broadcast(heads.where(F.col("times") > most)), heads.where(F.col("times") <= most)
+    both = rows.join(hot, "key").unionByName(rows.join(hot.select("key"), "key", "left_anti").join(cold, "key")).where("doc != head.doc")
     return both.select("key", "doc", F.col("head.doc").alias("first"), F.explode(F.array(*frames)).alias("frame")).withColumnRenamed("first", "head")
 
 
