@@ -3,10 +3,10 @@
 import duckdb
 import pytest
 
-from codonlake.plans import intervals, signals
+from codonlake.plans import files, intervals, signals
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-PLANS = {k: (m.QUERIES[k], m.ORACLES[k]) for m in (signals, intervals) for k in m.QUERIES}
+PLANS = {k: (m.QUERIES[k], m.ORACLES[k]) for m in (signals, intervals, files) for k in m.QUERIES}
 
 
 def plain(v):
