@@ -4,10 +4,10 @@ A document is the set of its distinct n-word shingles (64-bit hashes). Two docum
 their Jaccard similarity reaches num / 100. T, the overlap they need, follows from their sizes, and
 the inverted lists of a document are divided as in DivideSkip:
 
-* L = T - need long lists, those of its most frequent shingles, are never merged;
+* L = T - NEED long lists, those of its most frequent shingles, are never merged;
 * the short lists, the other n - L, are merged: rows (shingle, document) go through one sorted
-  shuffle, and a pair of documents that reaches T must meet in at least ``need`` of them (the
-  smaller of both documents' numbers), so pairs are counted and those below are dropped;
+  shuffle, and a pair of documents that reaches T must meet in at least NEED of them, so pairs are
+  counted and those below are dropped;
 * pairs that remain are probed: each shingle of the smaller set, those of the long lists included,
   is looked up in the sorted set of the other by binary search.
 
@@ -19,7 +19,8 @@ every document meets the first document of its lists, the one it meets most ofte
 others, and its neighbours in an order of each list's own; links found there merge documents into
 classes, and the counted search runs over documents of one list that are still in different classes. So a large group of
 near copies costs its size, not its square, and no link between classes is lost. In that search a
-list is dealt by bands of set size, so only sizes that may link meet.
+list is dealt by bands of set size, so only sizes that may link meet, and a pair is left out where
+its places in the list or the bitmaps of both sets show that too much is not shared.
 
 Lists of shingles from crowded buckets are dealt over several groups by document; the groups' first
 documents meet one another, too. Candidates are cut by an upper bound of the overlap (histograms of
@@ -84,9 +85,10 @@ def least_overlap(n: int, num: int) -> int:
     return -(-num * n // 100)
 
 
-def needed(n, num: int):
-    """Short lists that a linked pair must meet in, for a set of ``n``: one more for each eight lists that T leaves."""
-    return (n - n * num // 100) // 8 + 1
+#: Short lists that a linked pair must meet in (fewer where T is less).
+NEED = 2
+#: Words of 64 bits in a document's bitmap of shingle hashes.
+MAP = 8
 
 
 def profiles(docs: DataFrame, n: int) -> DataFrame:
@@ -139,18 +141,18 @@ def groups_of(counts: np.ndarray) -> np.ndarray:
 
 
 def short_lists(docs: DataFrame, n: int, num: int, counts: np.ndarray) -> DataFrame:
-    """(doc_id, n, s1, s2, short: its rarest shingles, part: the group of each (-1: the only one), bins: histogram of all)."""
+    """(doc_id, n, s1, s2, short: its rarest shingles, part: the group of each (-1: the only one), bins and map: histogram and bitmap of all)."""
     shared = docs.sparkSession.sparkContext.broadcast((np.minimum(counts, 2**31 - 1).astype(np.int32), np.minimum(groups_of(counts), 2**15).astype(np.int32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, groups = shared.value
         for batch in batches:
             for a, b, buf, offs in blocks(batch):
-                size, one, two, short, part, bins = [], [], [], [], [], []
+                size, one, two, short, part, bins, maps = [], [], [], [], [], [], []
                 for x in shingle_sets(buf, offs, n):
                     k = len(x)
                     t = least_overlap(k, num)
-                    take = k - t + min(needed(k, num), t) if k else 0
+                    take = k - t + min(NEED, t) if k else 0
                     at = bucket(x)
                     order = np.argsort(common[at], kind="stable")[:take]
                     h1, h2 = set_hashes(x)
@@ -161,14 +163,18 @@ def short_lists(docs: DataFrame, n: int, num: int, counts: np.ndarray) -> DataFr
                     short.append(x[order].view(np.int64))
                     part.append(np.where(of > 1, (h1 & 0x7FFFFFFF) % of, -1).astype(np.int32))
                     bins.append(np.minimum(np.bincount((x & _U(BINS - 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes())
+                    bit = np.zeros(64 * MAP, np.uint8)
+                    bit[((x >> _U(8)) & _U(64 * MAP - 1)).astype(np.int64)] = 1
+                    maps.append(np.packbits(bit, bitorder="little").view("<i8"))
                 upto = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in short])]), pa.int32())
+                eight = pa.ListArray.from_arrays(pa.array(MAP * np.arange(len(maps) + 1), pa.int32()), pa.array(np.concatenate(maps) if maps else np.zeros(0, np.int64)))
                 flat = lambda v, kind: pa.ListArray.from_arrays(upto, pa.array(np.concatenate(v) if v else np.zeros(0, kind)))
                 yield pa.record_batch(
-                    [batch.column(0).slice(a, b - a), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), flat(short, np.int64), flat(part, np.int32), pa.array(bins, pa.binary())],
-                    ["doc_id", "n", "s1", "s2", "short", "part", "bins"],
+                    [batch.column(0).slice(a, b - a), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), flat(short, np.int64), flat(part, np.int32), pa.array(bins, pa.binary()), eight],
+                    ["doc_id", "n", "s1", "s2", "short", "part", "bins", "map"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, short array<long>, part array<int>, bins binary")
+    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, short array<long>, part array<int>, bins binary, map array<long>")
 
 
 def _possible(num: int):
@@ -223,10 +229,10 @@ class _Search:
 
     def __init__(self, docs: DataFrame, bins: DataFrame, n: int, num: int):
         self.docs, self.bins, self.n, self.num = docs, bins, n, num
-        self.classes = Classes()
+        self.classes, self.degrees = Classes(), None
 
-    def test(self, pairs: DataFrame) -> None:
-        """Merge the classes of the linked ones of ``pairs`` (a, b, na, nb)."""
+    def test(self, pairs: DataFrame, count: bool = False) -> None:
+        """Merge the classes of the linked ones of ``pairs`` (a, b, na, nb); ``count`` the links of each document."""
         h = self.bins
         bounded = (
             pairs.join(h.select(F.col("doc_id").alias("a"), F.col("bins").alias("ha")), "a")
@@ -249,6 +255,9 @@ class _Search:
         discard(left)
         if not new.isEmpty():
             self.classes.merge(new)
+        if count:
+            discard(self.degrees)
+            self.degrees = stash(new.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count("*").alias("degree")), "degrees")
         discard(new)
 
     def apart(self, pairs: DataFrame) -> DataFrame:
@@ -293,34 +302,46 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, near_rounds:
     search.test(search.apart(met.drop("times")))
     discard(met)
     for k in range(near_rounds):
-        # in lists of several classes each document meets its neighbours in an order of the list's own: in a group of
-        # near copies that is another few documents in every list, which joins most of it before the counted search
-        linked = search.classes.of(live.select("shingle", "part", "doc", "n", "at"), "doc", "class")
-        mixed = linked.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("shingle")
-        order = a_list.orderBy(F.xxhash64(F.lit(k), "shingle", "doc"))
-        near = linked.join(mixed, "shingle", "left_semi").withColumn("near", F.lag(F.struct("doc", "n", "at")).over(order))
-        search.test(search.apart(_met(near.where("near is not null"), "near", num).distinct()))
+        # in lists of several classes each document meets its neighbours in an order of the list's own: in a group of near
+        # copies that is another few documents in every list. Then those with the most links meet the rest of their list
+        for hub in (False, True):
+            linked = search.classes.of(live.select("shingle", "part", "doc", "n", "at"), "doc", "class")
+            mixed = linked.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("shingle")
+            linked = linked.join(mixed, "shingle", "left_semi")
+            if not hub:
+                near = linked.withColumn("near", F.lag(F.struct("doc", "n", "at")).over(a_list.orderBy(F.xxhash64(F.lit(k), "shingle", "doc"))))
+            elif search.degrees is None:
+                continue
+            else:
+                most = F.max(F.when(F.col("degree").isNotNull(), F.struct("degree", "doc", "n", "at"))).over(a_list)
+                near = linked.join(search.degrees, "doc", "left").withColumn("near", most)
+            search.test(search.apart(_met(near.where("near is not null"), "near", num).distinct()), count=not hub)
     # T-occurrence search among documents of different classes
     linked = search.classes.of(live.select("shingle", "doc", "n", "at"), "doc", "class")
     mixed = linked.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("shingle")
     step = 1.000001 * math.log(100 / num)
-    rest = stash(linked.join(mixed, "shingle", "left_semi").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / step).cast("int")), "rest")
+    maps = rows.select(F.col("doc_id").alias("doc"), *[F.get("map", F.lit(i)).alias(f"m{i}") for i in range(MAP)])
+    rest = linked.join(mixed, "shingle", "left_semi").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / step).cast("int"))
+    rest = stash(rest.join(maps, "doc"), "rest")
     discard(live)
-    x = rest.select("shingle", *[F.col(c).alias(c + "x") for c in ("doc", "n", "at", "class")], F.explode(F.array(F.col("band") - 1, "band")).alias("band"))
-    y = rest.select("shingle", "band", *[F.col(c).alias(c + "y") for c in ("doc", "n", "at", "class")])
+    words = [f"m{i}" for i in range(MAP)]
+    x = rest.select("shingle", *[F.col(c).alias(c + "x") for c in ("doc", "n", "at", "class", *words)], F.explode(F.array(F.col("band") - 1, "band")).alias("band"))
+    y = rest.select("shingle", "band", *[F.col(c).alias(c + "y") for c in ("doc", "n", "at", "class", *words)])
     # each pair once: from the larger set, or the larger id, to the other. At the k-th list that two sets share, no more than
-    # k - 1 and what follows it can be shared in all: a linked pair passes in its first ``need`` lists, and is counted there
-    need = "least((n - n * {num} div 100) div 8 + 1, (n * {num} + 99) div 100)".format(num=num)
-    least = lambda n, m: f"least({need.replace('n ', n + ' ')}, {need.replace('n ', m + ' ')})"
-    room = f"({least('nx', 'ny')} - 1 + least(nx - atx, ny - aty)) * (100 + {num}) >= (nx + ny) * {num}"
-    pairs = x.join(y, ["shingle", "band"]).where(f"struct(nx, docx) > struct(ny, docy) and classx != classy and ny * 100 >= nx * {num} and {room}")
+    # k - 1 and what follows it can be shared in all: a linked pair passes in its first NEED lists, and is counted there
+    reached = f"(100 + {num}) >= (nx + ny) * {num}"
+    room = f"({NEED} - 1 + least(nx - atx, ny - aty)) * {reached}"
+    # a bit that only one of two sets has stands for a shingle that the other hasn't
+    only = lambda s, t: " + ".join(f"bit_count({m}{s} & ~{m}{t})" for m in words)
+    maps = f"(nx - ({only('x', 'y')})) * {reached} and (ny - ({only('y', 'x')})) * {reached}"
+    pairs = x.join(y, ["shingle", "band"]).where(f"struct(nx, docx) > struct(ny, docy) and classx != classy and ny * 100 >= nx * {num} and {room} and {maps}")
     counted = pairs.groupBy(F.col("docx").alias("a"), F.col("docy").alias("b"), F.col("nx").alias("na"), F.col("ny").alias("nb")).agg(F.count("*").alias("times"), F.min("atx").alias("ia"), F.min("aty").alias("ib"))
-    enough = f"times >= {least('na', 'nb')}"
+    enough = f"times >= least({NEED}, (nb * {num} + 99) div 100)"
     search.test(counted.where(F.expr(enough) & _may_link((F.col("na"), F.col("ia")), (F.col("nb"), F.col("ib")), num)).select("a", "b", "na", "nb"))
     discard(rest)
     rep = every.join(one.join(first, ["n", "s1", "s2"]).select("doc_id", "rep"), "doc_id", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep"))
     out = stash(search.classes.of(rep, "rep", "component").select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id")), "components")
-    for done in (seen, first, rows, search.classes.rows):
+    for done in (seen, first, rows, search.classes.rows, search.degrees):
         discard(done)
     return fewer(out)
 

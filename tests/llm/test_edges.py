@@ -166,10 +166,10 @@ def test_linked_sets_meet_in_enough_short_lists(num):
 
         def short(s, order=order):
             t = jaccard_join.least_overlap(len(s), num)
-            return set(sorted(s, key=order.get)[: len(s) - t + min(jaccard_join.needed(len(s), num), t)])
+            return set(sorted(s, key=order.get)[: len(s) - t + min(jaccard_join.NEED, t)])
 
         if both * (100 + num) >= num * (n + m):
-            need = min(min(jaccard_join.needed(k, num), jaccard_join.least_overlap(k, num)) for k in (int(n), int(m)))
+            need = min(jaccard_join.NEED, *(jaccard_join.least_overlap(k, num) for k in (int(n), int(m))))
             assert len(short(x) & short(y)) >= need
 
 
