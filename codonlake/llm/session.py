@@ -89,8 +89,9 @@ def bounded(df: DataFrame, rows: int, salt: str, key: str = "doc_id") -> DataFra
     return df.where(u < rows / n).limit(rows + rows // 4)
 
 
-def sieve(docs: DataFrame, ids: DataFrame, column: str, bits: int = 24) -> DataFrame:
-    """The rows of ``docs`` (doc_id first) whose id falls on a bit of the ids in ``column``: all with one of those ids, few others.
+def sieve(docs: DataFrame, ids: DataFrame, column: str, bits: int = 24, rest: bool = False) -> DataFrame:
+    """The rows of ``docs`` (doc_id first) whose id falls on a bit of the ids in ``column``: all with one of those ids, few
+    others; with ``rest`` the other rows.
 
     The bit table is broadcast and has a fixed size (2 MB); in front of a join it keeps most texts
     without a partner out of the shuffle. When it fills up it only lets more through.
@@ -109,6 +110,7 @@ def sieve(docs: DataFrame, ids: DataFrame, column: str, bits: int = 24) -> DataF
         for batch in batches:
             x = batch.column(0).to_numpy().view(np.uint64)
             b = (x ^ (x >> np.uint64(24)) ^ (x >> np.uint64(48))) & np.uint64(mask)
-            yield batch.filter(pa.array((table[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63))) & np.uint64(1) == 1))
+            bit = (table[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63))) & np.uint64(1)
+            yield batch.filter(pa.array(bit == (0 if rest else 1)))
 
     return docs.mapInArrow(run, docs.schema)

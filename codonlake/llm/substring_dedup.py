@@ -279,11 +279,19 @@ def _placed(part: np.ndarray, first: np.ndarray, at: int) -> tuple[int, float] |
     return best
 
 
-def repeated(own: np.ndarray, first: np.ndarray, frames: list[tuple[int, int, int]]) -> list[tuple[int, int, int, float]]:
+def repeated(own: np.ndarray, first: np.ndarray, frames: list[tuple[int, int, int]], ordered: np.ndarray | None = None) -> list[tuple[int, int, int, float]]:
     """(first shingle, last shingle, first shingle in the other text, similarity) of what ``own`` repeats of ``first``,
-    near the frames (start, end, shift)."""
-    order = np.argsort(first, kind="stable")
-    ordered = first[order]
+    near the frames (start, end, shift); ``ordered`` are the shingles of ``first`` in order."""
+    ordered = np.sort(first) if ordered is None else ordered
+    # what is the same word for word along a frame's shift
+    same = []
+    for shift in sorted({s for _, _, s in frames}):
+        i, j = max(0, shift), min(len(own), len(first) + shift)
+        if i >= j:
+            continue
+        lo, hi = runs(own[i:j] == first[i - shift : j - shift])
+        wide = hi - lo + 1 >= LEAST
+        same += [(p, q, p - shift, 1.0) for p, q in zip((lo[wide] + i).tolist(), (hi[wide] + i).tolist(), strict=True)]
     spans: list[list[int]] = []
     for a, b, _ in sorted(frames):
         a, b = max(0, a - LEAST), min(len(own) - 1, b + LEAST)
@@ -296,6 +304,11 @@ def repeated(own: np.ndarray, first: np.ndarray, frames: list[tuple[int, int, in
         x = own[a : b + 1]
         near = np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)
         hit = ordered[near] == x
+        more = hit.copy()
+        for p, q, _, _ in same:
+            more[max(0, p - a) : max(0, q - a + 1)] = False
+        if not more.any():
+            continue  # nothing is shared but what is the same word for word
         for p, q, _ in dense(hit):
             if q - p + 1 < LEAST:
                 continue
@@ -305,16 +318,7 @@ def repeated(own: np.ndarray, first: np.ndarray, frames: list[tuple[int, int, in
             got = _placed(x[p : q + 1], first, a + p - shift)
             if got is not None and got[1] >= SIMILAR:
                 out.append((a + p, a + q, *got))
-    # and what is the same word for word along a frame's shift
-    for shift in sorted({s for _, _, s in frames}):
-        i, j = max(0, shift), min(len(own), len(first) + shift)
-        if i >= j:
-            continue
-        lo, hi = runs(own[i:j] == first[i - shift : j - shift])
-        for p, q in zip((lo + i).tolist(), (hi + i).tolist(), strict=True):
-            if q - p + 1 >= LEAST and not any(u <= p and q <= v for u, v, _, _ in out):
-                out.append((p, q, p - shift, 1.0))
-    return out
+    return out + [(p, q, c, s) for p, q, c, s in same if not any(u <= p and q <= v for u, v, _, _ in out)]
 
 
 def _each(bodies: pa.Array) -> list[np.ndarray]:
@@ -330,12 +334,13 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows of one first occurrence follow one another: its shingles are made once
         lead = np.flatnonzero(np.concatenate([[True], (head[1:] != head[:-1]) | (first_lo[1:] != first_lo[:-1])])) if len(head) else np.zeros(0, np.int64)
         theirs = _each(t.column(6).take(pa.array(lead)))
+        ordered = [np.sort(x) for x in theirs]
         of = np.searchsorted(lead, np.arange(len(head)), "right") - 1
         for i, own in enumerate(_each(t.column(5))):
             u, v = max(0, int(lo[i])), max(0, int(first_lo[i]))
             frames = [(f["a"] - u, f["b"] - u, f["shift"] - u + v) for f in t.column(4)[i].as_py()]
             if len(own) and len(theirs[of[i]]):
-                rows += [(int(doc[i]), a + u, b + u + SHINGLE - 1, int(head[i]), c + v, s) for a, b, c, s in repeated(own, theirs[of[i]], frames)]
+                rows += [(int(doc[i]), a + u, b + u + SHINGLE - 1, int(head[i]), c + v, s) for a, b, c, s in repeated(own, theirs[of[i]], frames, ordered[of[i]])]
         cols = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
         yield pa.record_batch([pa.array(v, k) for v, k in zip(cols, [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.float64()], strict=True)], names)
 
@@ -385,8 +390,13 @@ def _met(rows: DataFrame, frames: list[Column], *places: str) -> DataFrame:
     """
     heads = stash(_heads(rows, *places), "heads")
     most = max(GROUP, (heads.agg(F.sum("times")).first()[0] or 0) // COMMON)
-    hot, cold = F.broadcast(heads.where(F.col("times") > most)), heads.where(F.col("times") <= most)
-    both = rows.join(hot, "key").unionByName(rows.join(hot.select("key"), "key", "left_anti").join(cold, "key")).where("doc != head.doc")
+    hot = heads.where(F.col("times") > most)
+    if hot.isEmpty():
+        both = rows.join(heads, "key")
+    else:
+        hot, cold = F.broadcast(hot), heads.where(F.col("times") <= most)
+        both = rows.join(hot, "key").unionByName(rows.join(hot.select("key"), "key", "left_anti").join(cold, "key"))
+    both = both.where("doc != head.doc")
     return both.select("key", "doc", F.col("head.doc").alias("first"), F.explode(F.array(*frames)).alias("frame")).withColumnRenamed("first", "head")
 
 
@@ -493,8 +503,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     several = F.min("doc").over(group) != F.max("doc").over(group)
     # texts that are the same as a whole are known by their hash; only the first of them is searched
     same = copies(docs)
-    rows = windows(docs, common_keys(docs)).withColumn("several", several).where("several or part >= 0").drop("several", "part")
-    rows = stash(rows.join(same.select("doc"), "doc", "left_anti").select("key", "doc", "at", "near"), "rows")
+    docs = sieve(docs, same, "doc", rest=True).unionByName(sieve(docs, same, "doc").join(same.select(F.col("doc").alias("doc_id")), "doc_id", "left_anti"))
+    rows = windows(docs, common_keys(docs)).withColumn("several", several).where("several or part >= 0")
+    rows = stash(rows.select("key", "doc", "at", "near"), "rows")
     by_context = _shared(rows)
     at, of = F.col("at"), F.col("head.at")
     found = [_verify(docs, _met(by_context, [_frame(at, of)], "at").where(_wide("frame")), "found")]
