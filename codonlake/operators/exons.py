@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from codonlake.functions.dna import split_codon_left, split_codon_right
 from codonlake.operators import ranges as R
 from codonlake.operators.chains import Rule
-from codonlake.operators.signals import coding_potentials, fragments, scan
+from codonlake.operators.signals import FRAGMENT, OVERLAP, coding_potentials, fragments, owned, scan
 from codonlake.sources.params import Isochore, Parameters
 
 BY = ["locus", "frag", "strand"]
@@ -46,7 +46,7 @@ def build(sites: DataFrame, most_donors: int) -> DataFrame:
     w = W.partitionBy(*BY, "phase").orderBy("at").rangeBetween(0, W.unboundedFollowing)
     closed = begun.unionByName(ends).withColumn("first", F.min("mark").over(w)).where("kind != 'stop'")
 
-    starts = closed.where("kind = 'start'").join(F.broadcast(last), BY)
+    starts = closed.where("kind = 'start'").join(last, BY)
     first = starts.select(*BY, F.col("pos").alias("left_pos"), F.col("score").alias("left_score"), (F.col("pos") + 2).alias("lo"), F.coalesce(F.col("first.pos") + 3, "far").alias("hi"))
     first = R.top_k(R.range_join(first, donors, BY, "lo", "hi", "right_pos", BIN), [*BY, "left_pos"], [F.desc("right_score"), F.asc("right_pos")], most_donors)
     rest = F.pmod(3 - F.pmod(F.col("right_pos") - (F.col("left_pos") + F.col("frame")) + 1, F.lit(3)), F.lit(3))
@@ -60,19 +60,25 @@ def build(sites: DataFrame, most_donors: int) -> DataFrame:
     terminals = _exons(terminal, "Terminal", F.col("f"), F.lit(0))
 
     three = acc.groupBy(*BY, F.col("pos").alias("left_pos")).agg(F.max("score").alias("left_score"), F.map_from_entries(F.collect_list(F.struct("f", F.coalesce(F.col("first.pos") + 3, F.lit(_FAR)).alias("end")))).alias("ends"))
-    three = three.join(F.broadcast(last), BY).withColumns({"lo": F.col("left_pos") + LEAST_INTERNAL, "hi": F.least(F.array_max(F.map_values("ends")), F.col("far"))})
+    three = three.join(last, BY).withColumns({"lo": F.col("left_pos") + LEAST_INTERNAL, "hi": F.least(F.array_max(F.map_values("ends")), F.col("far"))})
     inner = R.top_k(R.range_join(three, donors, BY, "lo", "hi", "right_pos", BIN), [*BY, "left_pos"], [F.desc("right_score"), F.desc("right_pos")], most_donors)
     inner = inner.select("*", F.explode("ends").alias("frame", "end")).where("right_pos < end")
     internals = _exons(inner, "Internal", F.col("frame"), rest)
     return reduce(DataFrame.unionByName, [firsts, internals, terminals, singles])
 
 
-def scored(exons: DataFrame, frags: DataFrame, iso: Isochore) -> DataFrame:
-    """Exons over their cutoffs, with score, coding potential and what their ends may add to a stop codon."""
-    pick = lambda name, i: iso.values[name][i]
-    by_type = lambda name: reduce(lambda c, i: c.when(F.col("type") == TYPES[i], pick(name, i)), range(4), F)
-    e = exons.withColumn("exon_id", F.xxhash64(*BY, "type", "left_pos", "right_pos", "frame"))
-    out = e.join(coding_potentials(e, frags, iso), "exon_id").where(F.col("potential") >= by_type("Coding_cutoff_oligos"))
+def scored(exons: DataFrame, frags: DataFrame, iso: Isochore | list[Isochore]) -> DataFrame:
+    """Exons over their cutoffs, with score, coding potential and what their ends may add to a stop codon; each by the values of its isochore."""
+    isos = iso if isinstance(iso, list) else [iso]
+
+    def by_type(name: str):
+        out = F
+        for k, one in enumerate(isos):
+            for i, kind in enumerate(TYPES):
+                out = out.when((F.col("isochore") == k) & (F.col("type") == kind), one.values[name][i])
+        return out
+
+    out = coding_potentials(exons, frags, isos).where(F.col("potential") >= by_type("Coding_cutoff_oligos"))
     total = by_type("Site_factor") * (F.col("left_score") + F.col("right_score")) + by_type("Exon_factor") * F.col("potential")
     out = out.withColumn("score", total).where(F.col("score") >= by_type("Absolute_cutoff_exons")).withColumn("score", (F.col("score") + by_type("Exon_weights")).cast("float"))
     one = F.col("type") == "Single"
@@ -167,14 +173,19 @@ def chain(exons: DataFrame, lengths: DataFrame, rules: list[Rule]) -> DataFrame:
     return full.groupBy("locus").applyInArrow(run, f"{kinds}, gene long")
 
 
-def predict(sequences: DataFrame, p: Parameters, strands: str = "+-") -> DataFrame:
-    """Exons of the predicted genes of (locus, length, seq): GFF coordinates in start and end_. The first isochore is used."""
-    iso = p.isochores[0]
-    frags = fragments(sequences, strands=strands)
-    sites = scan(frags, {k: v for k, v in iso.profiles.items() if k.split("_")[0] in ("Start", "Acceptor", "Donor", "Stop")})
-    sites = sites.withColumn("kind", F.lower(F.split("kind", "_")[0])).dropDuplicates([*BY, "kind", "pos"])
-    lengths = sequences.select("locus", "length")
-    out = chain(placed(scored(build(sites, iso.donors), frags, iso), lengths), lengths, p.rules)
+def candidates(sequences: DataFrame, p: Parameters, strands: str = "+-", fragment: int = FRAGMENT, overlap: int = OVERLAP) -> DataFrame:
+    """The scored exons of (locus, length, seq) on the sequence's coordinates, from fragments that each own their starts and acceptors."""
+    frags = fragments(sequences, fragment, overlap, strands)
+    wanted = ("Start", "Acceptor", "Donor", "Stop")
+    sets = [(iso.low, iso.high, {k: v for k, v in iso.profiles.items() if k.split("_")[0] in wanted}) for iso in p.isochores]
+    sites = scan(frags, sets).withColumn("kind", F.lower(F.split("kind", "_")[0])).dropDuplicates([*BY, "kind", "pos"])
+    exons = build(owned(sites, frags, overlap), max(iso.donors for iso in p.isochores))
+    return placed(scored(exons, frags, p.isochores), sequences.select("locus", "length"))
+
+
+def predict(sequences: DataFrame, p: Parameters, strands: str = "+-", fragment: int = FRAGMENT, overlap: int = OVERLAP) -> DataFrame:
+    """Exons of the predicted genes of (locus, length, seq): GFF coordinates in start and end_."""
+    out = chain(candidates(sequences, p, strands, fragment, overlap), sequences.select("locus", "length"), p.rules)
     # the stop codon belongs to the last exon
     stop = F.when(F.col("type").isin("Terminal", "Single"), 3).otherwise(0)
     return out.withColumns({"start": F.col("lo") + 1 - F.when(F.col("strand") == "-", stop).otherwise(0), "end_": F.col("hi") + 1 + F.when(F.col("strand") == "+", stop).otherwise(0)})

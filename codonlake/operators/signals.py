@@ -41,6 +41,21 @@ def fragments(sequences: DataFrame, fragment: int = FRAGMENT, overlap: int = OVE
     )
 
 
+#: Bases at the start of a fragment whose windows may begin before it: the widest profile.
+EDGE = 100
+
+
+def owned(sites: DataFrame, frags: DataFrame, overlap: int = OVERLAP) -> DataFrame:
+    """``sites`` with each start and acceptor in one fragment only: of two that share it the later one on the strand, but for
+    its first EDGE bases. So every exon of up to ``overlap`` - EDGE bases is built once, from whole lists of donors and stops."""
+    by = ["locus", "frag", "strand"]
+    lo = F.when(F.col("l1") == 0, F.lit(0).cast("long")).otherwise(F.col("l1") + EDGE)
+    hi = F.when(F.col("l2") >= F.col("length") - 1, F.col("l2")).otherwise(F.col("l2") - overlap + EDGE)
+    ends = frags.select(*by, lo.alias("__lo"), hi.alias("__hi"))
+    left = F.lower("kind").startswith("start") | F.lower("kind").startswith("acceptor")
+    return sites.join(ends, by).where(~left | F.col("pos").between(F.col("__lo"), F.col("__hi"))).drop("__lo", "__hi")
+
+
 def digits(seq: bytes) -> np.ndarray:
     return _DIGIT[np.frombuffer(seq, np.uint8)]
 
@@ -120,9 +135,22 @@ def profile_scores(d: np.ndarray, p: Profile, rescale: bool = True) -> tuple[np.
     return np.arange(n) + p.order + p.offset, (np.float32(p.a) + np.float32(p.b) * raw if rescale else raw)
 
 
-def scan(frags: DataFrame, profiles: dict[str, Profile]) -> DataFrame:
+def gc_percent(d: np.ndarray) -> float:
+    """G+C of the known bases in percent (0 without any)."""
+    known = int((d < 4).sum())
+    return 100.0 * int(((d == 1) | (d == 2)).sum()) / known if known else 0.0
+
+
+def isochore_of(gc: float, ranges: list[tuple[int, int]]) -> int:
+    """The first range that holds a percentage, both ends included; the last one if none does."""
+    return next((i for i, (low, high) in enumerate(ranges) if low <= gc <= high), len(ranges) - 1)
+
+
+def scan(frags: DataFrame, profiles: dict[str, Profile] | list[tuple[int, int, dict[str, Profile]]]) -> DataFrame:
     """Rows (locus, frag, strand, kind, pos, score) of the sites that reach their profile's cutoff. Stops need a stop codon
-    behind the last coding base and aren't rescaled; windows that begin before the fragment are left out."""
+    behind the last coding base and aren't rescaled; windows that begin before the fragment are left out. Of a list of
+    (low, high, profiles) those whose G+C range holds the fragment's percentage are used."""
+    profiles = [(0, 100, profiles)] if isinstance(profiles, dict) else profiles
     shared = frags.sparkSession.sparkContext.broadcast(profiles)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +159,9 @@ def scan(frags: DataFrame, profiles: dict[str, Profile]) -> DataFrame:
                 locus, frag, strand, l1, seq = (batch.column(k)[i].as_py() for k in range(5))
                 d = digits(seq.encode())
                 codon = words(d, 3, 5)
-                for kind, p in shared.value.items():
+                sets = shared.value
+                which = isochore_of(gc_percent(d), [(low, high) for low, high, _ in sets]) if len(sets) > 1 else 0
+                for kind, p in sets[which][2].items():
                     stop = kind.lower().startswith("stop")
                     pos, score = profile_scores(d, p, not stop)
                     ok = score >= np.float32(p.cutoff)
@@ -167,21 +197,41 @@ class CodingTrack:
         return float(self.initial[cp][begin] + (total[min(upper, len(total) - 1)] - total[max(0, begin - 1)]))
 
 
-def coding_potentials(exons: DataFrame, frags: DataFrame, iso: Isochore) -> DataFrame:
-    """Rows (exon_id, potential, head, tail: two bases at either end) of (exon_id, locus, frag, strand, left_pos, right_pos, frame): each fragment's exons meet its sequence in one task."""
-    shared = exons.sparkSession.sparkContext.broadcast(iso)
+#: Bases on either side of an exon whose G+C chooses its isochore.
+CONTEXT = 1000
+
+
+def coding_potentials(exons: DataFrame, frags: DataFrame, iso: Isochore | list[Isochore]) -> DataFrame:
+    """``exons`` (locus, frag, strand, left_pos, right_pos, frame and what else there is) with potential, isochore (its number) and
+    head and tail (two bases at either end). Each fragment's exons meet its sequence in one task; of several
+    isochores an exon has the first whose range holds the G+C of its bases and CONTEXT more on either side."""
+    isos = iso if isinstance(iso, list) else [iso]
+    shared = exons.sparkSession.sparkContext.broadcast(isos)
+    made = [("potential", pa.float64()), ("isochore", pa.int32()), ("head", pa.string()), ("tail", pa.string())]
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, out, heads, tails = left.column("exon_id"), [], [], []
-        if right.num_rows and left.num_rows:
+        rows: list[list] = [[], [], [], []]
+        if not right.num_rows:
+            left = left.slice(0, 0)
+        if left.num_rows:
             seq, l1 = right.column("seq")[0].as_py(), right.column("l1")[0].as_py()
-            track = CodingTrack(digits(seq.encode()), shared.value)
+            d, own = digits(seq.encode()), shared.value
+            tracks: dict[int, CodingTrack] = {}
+            gc, known = (np.concatenate([[0], np.cumsum(x)]) for x in ((d == 1) | (d == 2), d < 4))
+            ranges = [(i.low, i.high) for i in own]
             for a, b, f in zip(*(left.column(c).to_pylist() for c in ("left_pos", "right_pos", "frame")), strict=True):
                 a, b = a - l1, b - l1
-                out.append(track.potential(a, b, f))
-                heads.append(seq[a : a + 2])
-                tails.append(seq[max(0, b - 1) : b + 1])
-        return pa.table({"exon_id": ids if out else ids.slice(0, 0), "potential": pa.array(out, pa.float64()), "head": pa.array(heads, pa.string()), "tail": pa.array(tails, pa.string())})
+                u, v = max(0, a - CONTEXT), min(len(d), b + 1 + CONTEXT)
+                bases = int(known[v] - known[u])
+                k = isochore_of(100.0 * int(gc[v] - gc[u]) / bases if bases else 0.0, ranges) if len(own) > 1 else 0
+                if k not in tracks:
+                    tracks[k] = CodingTrack(d, own[k])
+                for col, x in zip(rows, (tracks[k].potential(a, b, f), k, seq[a : a + 2], seq[max(0, b - 1) : b + 1]), strict=True):
+                    col.append(x)
+        for (name, kind), col in zip(made, rows, strict=True):
+            left = left.append_column(name, pa.array(col, kind))
+        return left
 
     by = ["locus", "frag", "strand"]
-    return exons.groupBy(*by).cogroup(frags.select(*by, "l1", "seq").groupBy(*by)).applyInArrow(run, "exon_id long, potential double, head string, tail string")
+    kinds = ", ".join(f"{c} {k}" for c, k in exons.dtypes)
+    return exons.groupBy(*by).cogroup(frags.select(*by, "l1", "seq").groupBy(*by)).applyInArrow(run, f"{kinds}, potential double, isochore int, head string, tail string")

@@ -14,6 +14,15 @@ from pyspark.sql.window import Window as W
 FORCED, NO_GROUP = 10000.0, "NON_GROUPED"
 
 
+def input_size(spark: SparkSession, path: str) -> int:
+    """Bytes of the files at ``path``; nothing to read is an error."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+    if not size:
+        raise ValueError(f"{path} is empty")
+    return size
+
+
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """Rows (locus, length, seq): one for each record, upper case, white space left out.
 
@@ -37,13 +46,13 @@ def write_fasta(rows: DataFrame, path: str, name: str = "locus", seq: str = "seq
 
 
 def _gff(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of a tab-separated annotation file but comments and blank ones, with at least eight columns."""
+    """Lines of a tab-separated annotation file but comments and blank ones; one of less than eight columns is an error."""
     line = spark.read.text(path).where(~F.col("value").rlike(r"^\s*(#|$)"))
-    c = F.split("value", "\t")
+    parts = F.split("value", "\t")
+    c = F.when(F.size(parts) >= 8, parts).otherwise(F.raise_error(F.concat(F.lit("fewer than eight columns: "), F.col("value"))).cast("array<string>"))
     names = ("locus", "source", "feature", "start", "end", "score", "strand", "frame")
-    good = line.where(F.size(c) >= 8)
     cols = [c[i].alias(n) for i, n in enumerate(names)]
-    return good.select(*cols, F.trim(F.coalesce(F.get(c, F.lit(8)), F.lit(""))).alias("attributes"))
+    return line.select(*cols, F.trim(F.coalesce(F.get(c, F.lit(8)), F.lit(""))).alias("attributes"))
 
 
 def _frames(frame: Column) -> Column:

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from codonlake.sources import formats
@@ -46,3 +47,14 @@ def test_gff3_lines(spark):
     got = sorted(r.value for r in formats.gff3_lines(f).collect())
     assert got == ["s\t.\tgene\t1\t9\t.\t+\t.\t.", "s\tp\tCDS\t1\t9\t1.23\t+\t0\tID=a;Parent=b"]
     assert formats.gff3_lines(f.select("*").where(F.lit(False))).count() == 0
+
+
+def test_empty_input_and_short_lines_are_errors(spark, tmp_path):
+    p = tmp_path / "x.gff"
+    p.write_text("")
+    with pytest.raises(ValueError):
+        formats.input_size(spark, str(p))
+    p.write_text("s\tx\tsr\t1\t9\n")
+    assert formats.input_size(spark, str(p)) == 11
+    with pytest.raises(Exception, match="fewer than eight columns"):
+        formats.read_homology(spark, str(p)).collect()

@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from codonlake.functions import dna
@@ -67,3 +68,31 @@ def test_best_predecessor_that_fails_has_no_second_choice():
     rules = [Rule(frozenset("a"), frozenset("b"), 0, None, True)]
     total, before = best_chain(np.array([0, 1, 10]), np.array([2, 3, 12]), ["a", "a", "b"], np.array([5.0, 3.0, 1.0]), ["g", "h", "h"], rules)
     assert total.tolist() == [5.0, 3.0, 1.0] and before.tolist() == [-1, -1, -1]
+
+
+def test_sweep_in_bins_is_the_same(spark):
+    rnd = random.Random(8)
+    rows = [(rnd.choice("xyz"), a := rnd.randint(-50, 400), a + rnd.randint(0, 120)) for _ in range(300)]
+    frame = spark.createDataFrame(rows, "k string, a long, b long")
+    want = sorted(map(tuple, R.sweep(frame, ["k"], "a", "b").collect()))
+    for size in (1, 7, 100, 10_000):
+        assert sorted(map(tuple, R.sweep(frame, ["k"], "a", "b", size).collect())) == want
+
+
+def test_options_that_do_not_go_together():
+    from codonlake.operators.options import Options
+
+    assert Options(format="gff3", proteins=True, utr=True, homology="h.gff").check().format == "gff3"
+    for bad in ({"assemble": "x", "predict_only": True}, {"assemble": "x", "evidence": "e"}, {"predict_only": True, "proteins": True}, {"format": "xml", "sites": frozenset({"Donor"})}, {"format": "gff2", "coding": True}, {"utr": True}, {"homology": "h", "reads_per_million": 1.0}, {"strands": "*"}, {"format": "html"}, {"first_base": 5, "last_base": 4}):
+        with pytest.raises(ValueError):
+            Options(**bad).check()
+
+
+def test_one_gene_rules_keep_one_whole_gene():
+    from codonlake.operators.exons import best_genes
+    from codonlake.operators.options import one_gene_rules
+
+    gene = [("+", "First", 10, 40, 0, 0, 5.0, 0, 0), ("+", "Terminal", 100, 150, 0, 0, 6.0, 0, 0)]
+    other = [("+", "Single", 300, 400, 0, 0, 9.0, 0, 0)]
+    assert best_genes(gene + other, 500, one_gene_rules()) == [0, 1]
+    assert best_genes(other, 500, one_gene_rules()) == [0]

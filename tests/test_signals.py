@@ -66,6 +66,48 @@ def test_fragments_cover_and_overlap(spark):
         assert r.seq == whole[r.l1 : r.l2 + 1]
 
 
+def dna(n, seed, letters="ACGT"):
+    return "".join(np.random.default_rng(seed).choice(list(letters), n))
+
+
+def two_isochores():
+    """The small file twice, for G+C up to 50 and from 50; the second one asks for more and weighs double."""
+    p = params.parse(small_parameters())
+    low = p.isochores[0]
+    low.values = {k: [0.5 if k.endswith("factor") else -1000.0 if "cutoff" in k else 1.0] * 4 for k in low.values}
+    high = params.parse(small_parameters()).isochores[0]
+    high.values = {k: [2 * x if k.endswith("factor") or k == "Exon_weights" else x for x in v] for k, v in low.values.items()}
+    high.profiles = {k: params.Profile(v.dimension, v.offset, v.cutoff + 1, v.order, v.a, v.b, v.extra, v.weights) for k, v in high.profiles.items()}
+    low.high, high.low = 50, 50
+    return params.Parameters(p.no_score, [low, high], p.rules)
+
+
+def test_fragments_give_the_exons_of_the_whole(spark):
+    """A locus cut every 800 bases, against one uncut fragment: no exon is lost, doubled or made from half a list of donors,
+    as long as every frame is closed within the overlap."""
+    from codonlake.operators.exons import candidates
+
+    p = params.parse(small_parameters())
+    p.isochores[0].values = {k: [1.0 if k.endswith("factor") else -1000.0] * 4 for k in p.isochores[0].values}
+    seqs = spark.createDataFrame([("s", 4000, dna(4000, 5)), ("t", 90, dna(90, 6)), ("u", 0, "")], "locus string, length long, seq string")
+    keys = ("locus", "strand", "type", "lo", "hi", "frame", "rest", "left_score", "right_score")
+    whole, cut = ([tuple(r[k] for k in keys) for r in candidates(seqs, p, fragment=f, overlap=o).collect()] for f, o in ((5000, 500), (2000, 1200)))
+    assert sorted(cut) == sorted(whole) and len(set(cut)) == len(cut) > 1000
+
+
+def test_isochores_by_fragment_and_exon(spark):
+    from codonlake.operators.exons import candidates
+
+    p = two_isochores()
+    seqs = spark.createDataFrame([("at", 400, dna(400, 7, "AATTTACG")), ("gc", 400, dna(400, 8, "GGCCACGT"))], "locus string, length long, seq string")
+    low, high = (params.Parameters(p.no_score, [iso], p.rules) for iso in p.isochores)
+    rows = lambda x: sorted((r.locus, r.strand, r.type, r.lo, r.hi, r.frame, round(r.score, 3)) for r in x.collect())
+    got = rows(candidates(seqs, p))
+    want = rows(candidates(seqs.where("locus = 'at'"), low)) + rows(candidates(seqs.where("locus = 'gc'"), high))
+    assert got == sorted(want) and {x[0] for x in got} == {"at", "gc"}
+    assert signals.isochore_of(50.0, [(0, 50), (50, 100)]) == 0 and signals.isochore_of(-1, [(0, 50), (50, 100)]) == 1
+
+
 @there
 def test_printed_scores(spark):
     p = params.read(PARAM).isochores[0]
