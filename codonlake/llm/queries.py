@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codonlake.llm import bpe, decontamination, jaccard_join, language_id, license_scan, quality_classifier, quality_rules, substring_dedup, toxicity, url_filter
+from codonlake.llm import bpe, decontamination, jaccard_join, language_id, license_scan, merkle_manifest, quality_classifier, quality_rules, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
@@ -15,5 +15,9 @@ QUERIES = {
     "op8_language_id": language_id.op8_language_id,
     "op9_license_scan": license_scan.op9_license_scan,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op13_merkle_manifest": merkle_manifest.op13_merkle_manifest,
+}
+ORACLES: dict[str, str] = {
+    "op3_url_filter": url_filter.OP3_SQL,
+    "op13_merkle_manifest": merkle_manifest.OP13_SQL,
 }
-ORACLES: dict[str, str] = {"op3_url_filter": url_filter.OP3_SQL}
