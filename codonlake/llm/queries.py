@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codonlake.llm import bpe, decontamination, jaccard_join, language_id, license_scan, merkle_manifest, quality_classifier, quality_rules, substring_dedup, toxicity, url_filter
+from codonlake.llm import bpe, decontamination, jaccard_join, language_id, license_scan, merkle_manifest, prefix_trie, quality_classifier, quality_rules, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_language_id": language_id.op8_language_id,
     "op9_license_scan": license_scan.op9_license_scan,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
     "op13_merkle_manifest": merkle_manifest.op13_merkle_manifest,
 }
 ORACLES: dict[str, str] = {
     "op3_url_filter": url_filter.OP3_SQL,
+    "op11_prefix_trie": prefix_trie.OP11_SQL,
     "op13_merkle_manifest": merkle_manifest.OP13_SQL,
 }
