@@ -8,15 +8,17 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from codonlake.functions.dna import split_codon_left, split_codon_right
 from codonlake.operators import ranges as R
-from codonlake.operators.chains import Rule
+from codonlake.operators.chains import INTRONS, MINOR, Rule, linked, traced
 from codonlake.operators.signals import FRAGMENT, OVERLAP, coding_potentials, fragments, owned, scan
+from codonlake.sources.formats import NO_GROUP
 from codonlake.sources.params import Isochore, Parameters
+from codonlake.sources.scratch import kept
 
 BY = ["locus", "frag", "strand"]
 #: Least internal exon, least single gene with its stop, bins of range joins, score of the ends of a region.
@@ -41,8 +43,6 @@ def build(sites: DataFrame, most_donors: int) -> DataFrame:
     begun = begun.withColumns({"at": F.col("pos"), "phase": F.pmod(F.col("pos") + F.col("f"), F.lit(3)), "mark": F.lit(None).cast("struct<pos:bigint,score:float>")})
     # a stop's codon starts behind its last coding base
     ends = stops.select(*BY, F.lit("stop").alias("kind"), F.col("stop").alias("pos"), F.col("stop_score").alias("score"), F.lit(None).cast("int").alias("f"), (F.col("stop") + 1).alias("at"), F.pmod(F.col("stop") + 1, F.lit(3)).alias("phase"), F.struct(F.col("stop").alias("pos"), F.col("stop_score").alias("score")).alias("mark"))
-    from pyspark.sql.window import Window as W
-
     w = W.partitionBy(*BY, "phase").orderBy("at").rangeBetween(0, W.unboundedFollowing)
     closed = begun.unionByName(ends).withColumn("first", F.min("mark").over(w)).where("kind != 'stop'")
 
@@ -92,85 +92,71 @@ def placed(exons: DataFrame, lengths: DataFrame) -> DataFrame:
     return e.select("locus", "strand", "type", F.when(back, F.col("length") - 1 - F.col("right_pos")).otherwise(F.col("left_pos")).alias("lo"), F.when(back, F.col("length") - 1 - F.col("left_pos")).otherwise(F.col("right_pos")).alias("hi"), "frame", "rest", "score", "potential", "left_score", "right_score", "lvalue", "rvalue").dropDuplicates(["locus", "strand", "type", "lo", "hi", "frame"])
 
 
-_FORBIDDEN = {(1, 1), (2, 2), (3, 2), (3, 3)}
+#: Order of elements that begin at one base: types forwards, then backwards, then what is given.
+def _rank(type_, strand, given):
+    kinds = F.array(*[F.lit(t) for t in TYPES])
+    return F.when(given == 1, 100).otherwise(F.array_position(kinds, type_) + F.when(strand == "-", 50).otherwise(0))
 
 
-def best_genes(exons: list[tuple], length: int, rules: list[Rule]) -> list[int]:
-    """Indexes of the best chain, from left to right, of exons (strand, type, lo, hi, frame, rest, score, lvalue, rvalue).
+def elements(exons: DataFrame, lengths: DataFrame, given: DataFrame | None = None) -> DataFrame:
+    """Exons (as ``placed``) as elements of a chain: ends as they are printed, what is taken and left of codons in the order of
+    the sequence, and the ends of each locus as elements of their own, so that whole genes are preferred.
 
-    The ends of the region are elements of their own, so that whole genes are preferred. A
-    predecessor must leave as many bases of a codon as the exon takes, and must not make a stop
-    codon with it.
+    ``given`` has evidence as ``from_evidence`` makes it.
     """
-    rank = {t: i for i, t in enumerate(TYPES)}
-    order = sorted(range(len(exons)), key=lambda i: (exons[i][2], exons[i][0] == "-", rank[exons[i][1]], i))
-    ends = [("+", "Begin", 0), ("-", "Begin", 0)], [("+", "End", length), ("-", "End", length)]
-    rows = [(s, t, p, p, 0, 0, END_SCORE, 0, 0, -1) for s, t, p in ends[0]] + [(*exons[i], i) for i in order] + [(s, t, p, p, 0, 0, END_SCORE, 0, 0, -1) for s, t, p in ends[1]]
-    key = [r[1] + r[0] for r in rows]
-    need = [r[5] if r[0] == "-" else r[4] for r in rows]  # bases taken from, and left to, the neighbour
-    give = [r[4] if r[0] == "-" else r[5] for r in rows]
-    left, right = [r[2] for r in rows], [r[3] for r in rows]
-    total, before = [float(r[6]) for r in rows], [-1] * len(rows)
-    by_right = sorted(range(len(rows)), key=lambda i: right[i])
-    queues = [[i for i in by_right if key[i] in r.up] for r in rules]
-    into: dict[str, list[int]] = {}
-    for c, r in enumerate(rules):
-        for k in r.down:
-            into.setdefault(k, []).append(c)
-    taken, best = [0] * len(rules), [[-1] * 3 for _ in rules]
-    for e, row in enumerate(rows):
-        for c in into.get(key[e], ()):
-            rule, queue, k, own = rules[c], queues[c], taken[c], best[c]
-            while k < len(queue) and right[queue[k]] + rule.least <= left[e]:
-                p = queue[k]
-                g = give[p]
-                if total[p] > 0 and (own[g] < 0 or total[p] > total[own[g]]):
-                    own[g] = p
-                k += 1
-            taken[c] = k
-            f = need[e]
-            if rule.most is not None and own[f] >= 0 and left[e] - right[own[f]] > rule.most:
-                own[f] = -1
-                for j in range(k - 1, -1, -1):
-                    p = queue[j]
-                    if left[e] - right[p] > rule.most:
-                        break
-                    if give[p] == f and total[p] > 0 and (own[f] < 0 or total[p] > total[own[f]]):
-                        own[f] = p
-            p = own[f]
-            if p < 0 or total[p] + row[6] <= total[e]:
-                continue
-            if row[0] == rows[p][0] and ((rows[p][8], row[7]) if row[0] == "+" else (row[8], rows[p][7])) in _FORBIDDEN:
-                continue
-            total[e], before[e] = total[p] + row[6], p
-    at = max(range(len(rows)), key=lambda i: (total[i], -i))
-    out = []
-    while at >= 0:
-        if rows[at][9] >= 0:
-            out.append(rows[at][9])
-        at = before[at]
-    return out[::-1]
-
-
-def chain(exons: DataFrame, lengths: DataFrame, rules: list[Rule]) -> DataFrame:
-    """The exons of the best chain of each locus with their gene's number. A chain is sequential: one locus, one task."""
-    names = ["strand", "type", "lo", "hi", "frame", "rest", "score", "lvalue", "rvalue"]
-
-    def run(t: pa.Table) -> pa.Table:
-        rows = list(zip(*(t.column(c).to_pylist() for c in names), strict=True))
-        got = best_genes(rows, t.column("length")[0].as_py(), rules)
-        gene, numbers = 0, []
-        for k, i in enumerate(got):
-            s, kind = rows[i][0], rows[i][1]
-            prev = rows[got[k - 1]] if k else None
-            if prev is None or prev[0] != s or kind == "Single" or prev[1] == "Single" or (s == "+" and (kind == "First" or prev[1] == "Terminal")) or (s == "-" and (kind == "Terminal" or prev[1] == "First")):
-                gene += 1
-            numbers.append(gene)
-        return t.take(pa.array(got, pa.int64())).append_column("gene", pa.array(numbers, pa.int64()))
-
-    full = exons.join(lengths, "locus")
-    kinds = ", ".join(f"{c} {k}" for c, k in full.dtypes)
-    return full.groupBy("locus").applyInArrow(run, f"{kinds}, gene long")
+    back = F.col("strand") == "-"
+    stop = F.when(F.col("type").isin("Terminal", "Single"), 3).otherwise(0)
+    swap = lambda a, b: F.when(back, F.col(b)).otherwise(F.col(a))
+    found = exons.withColumns({
+        "left": F.col("lo") + 1 - F.when(back, stop).otherwise(0), "right": F.col("hi") + 1 + F.when(back, 0).otherwise(stop), "kind": F.concat("type", "strand"), "need": swap("frame", "rest"), "give": swap("rest", "frame"),
+        "evidence": F.lit(0), "grp": F.lit(None).cast("string"), "lscore": swap("left_score", "right_score"), "rscore": swap("right_score", "left_score"),
+    })
+    for c in ("lclass", "rclass"):
+        if c not in found.columns:
+            found = found.withColumn(c, F.lit(0))
+    ends = F.array(*[F.struct(F.lit(t).alias("type"), F.lit(s).alias("strand")) for t in ("Begin", "End") for s in "+-"])
+    ends = lengths.select("locus", "length", F.explode(ends).alias("e")).select("locus", "e.*", F.when(F.col("e.type") == "Begin", F.lit(0)).otherwise(F.col("length") + 1).cast("long").alias("left"))
+    ends = ends.withColumns({"right": F.col("left"), "kind": F.concat("type", "strand"), "score": F.lit(END_SCORE).cast("float"), "evidence": F.lit(0)})
+    out = found.unionByName(ends, allowMissingColumns=True)
+    if given is not None:
+        out = out.unionByName(given, allowMissingColumns=True)
+    zero = {c: F.coalesce(F.col(c), F.lit(0).cast(dict(out.dtypes)[c])) for c in ("need", "give", "lclass", "rclass", "lscore", "rscore", "lvalue", "rvalue")}
+    return out.withColumns(zero).withColumn("rank", F.coalesce(_rank(F.col("type"), F.col("strand"), F.col("evidence")), F.lit(0)))
+
+
+def from_evidence(evidence: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Rows of ``read_evidence`` as elements; a type that no rule names is left out."""
+    known = sorted({k for r in rules for k in r.up | r.down})
+    classes = F.create_map(*[x for i, c in enumerate(("U2", "U12gtag", "U12atac")) for x in (F.lit(c), F.lit(i))])
+    cls = lambda c: F.coalesce(F.try_element_at(classes, F.col(c)), F.lit(0))
+    back, joins = F.col("strand") == "-", F.col("feature").isin(*INTRONS)
+    rest = F.when(joins, F.col("frame")).otherwise(F.pmod(3 - F.pmod(F.col("end") - F.col("start") + 1 - F.col("frame"), F.lit(3)), F.lit(3)))
+    e = evidence.withColumns({"kind": F.concat("feature", "strand"), "rest": rest.cast("int"), "frame": F.col("frame").cast("int")}).where(F.col("kind").isin(*known))
+    return e.select(
+        "locus", "strand", F.col("feature").alias("type"), (F.col("start") - 1).alias("lo"), (F.col("end") - 1).alias("hi"), "frame", "rest", "score", "kind", F.col("start").alias("left"), F.col("end").alias("right"),
+        F.when(back, F.col("rest")).otherwise(F.col("frame")).alias("need"), F.when(back, F.col("frame")).otherwise(F.col("rest")).alias("give"), F.when(F.col("group") != NO_GROUP, F.col("group")).alias("grp"), F.lit(1).alias("evidence"),
+        F.when(back, cls("donor")).otherwise(cls("acceptor")).alias("lclass"), F.when(back, cls("acceptor")).otherwise(cls("donor")).alias("rclass"),
+    )
+
+
+def numbered(chain_rows: DataFrame) -> DataFrame:
+    """The elements of chains with the number of their gene: one begins at a change of strand, at what begins a gene, and after what ends one."""
+    w = W.partitionBy("locus").orderBy("nth")
+    e = chain_rows.withColumns({"__s": F.lag("strand").over(w), "__t": F.lag("type").over(w)})
+    kind, before = F.col("type"), F.col("__t")
+    forward = F.col("strand") == "+"
+    begins = F.when(forward, kind.isin("Promoter") | (kind.isin("First", "Single") & (before != "Promoter"))).otherwise(kind.isin("Terminal", "Single"))
+    ends = F.when(forward, before.isin("Terminal", "Single")).otherwise((before == "Promoter") | (before.isin("First", "Single") & (kind != "Promoter")))
+    new = F.col("__s").isNull() | (F.col("__s") != F.col("strand")) | begins | ends
+    return e.withColumn("gene", F.sum(new.cast("long")).over(w)).drop("__s", "__t")
+
+
+def chain(exons: DataFrame, lengths: DataFrame, rules: list[Rule], given: DataFrame | None = None, minor: tuple[float, float] = MINOR) -> DataFrame:
+    """The exons (and evidence) of the best chain of each locus with their gene's number. Elements stream through the state of their
+    locus' chain, then backwards along it."""
+    rows = linked(elements(exons, lengths, given), "locus", ["rank", "right", "need", "give"], rules, minor)
+    best = traced(kept(rows, "chain"), "locus").where(~F.col("type").isin("Begin", "End"))
+    return numbered(best)
 
 
 def candidates(sequences: DataFrame, p: Parameters, strands: str = "+-", fragment: int = FRAGMENT, overlap: int = OVERLAP) -> DataFrame:
@@ -179,13 +165,16 @@ def candidates(sequences: DataFrame, p: Parameters, strands: str = "+-", fragmen
     wanted = ("Start", "Acceptor", "Donor", "Stop")
     sets = [(iso.low, iso.high, {k: v for k, v in iso.profiles.items() if k.split("_")[0] in wanted}) for iso in p.isochores]
     sites = scan(frags, sets).withColumn("kind", F.lower(F.split("kind", "_")[0])).dropDuplicates([*BY, "kind", "pos"])
-    exons = build(owned(sites, frags, overlap), max(iso.donors for iso in p.isochores))
+    sites = kept(owned(sites, frags, overlap), "sites")  # each kind is read several times
+    exons = build(sites, max(iso.donors for iso in p.isochores))
     return placed(scored(exons, frags, p.isochores), sequences.select("locus", "length"))
 
 
-def predict(sequences: DataFrame, p: Parameters, strands: str = "+-", fragment: int = FRAGMENT, overlap: int = OVERLAP) -> DataFrame:
-    """Exons of the predicted genes of (locus, length, seq): GFF coordinates in start and end_."""
-    out = chain(candidates(sequences, p, strands, fragment, overlap), sequences.select("locus", "length"), p.rules)
-    # the stop codon belongs to the last exon
-    stop = F.when(F.col("type").isin("Terminal", "Single"), 3).otherwise(0)
-    return out.withColumns({"start": F.col("lo") + 1 - F.when(F.col("strand") == "-", stop).otherwise(0), "end_": F.col("hi") + 1 + F.when(F.col("strand") == "+", stop).otherwise(0)})
+def predict(sequences: DataFrame, p: Parameters, strands: str = "+-", fragment: int = FRAGMENT, overlap: int = OVERLAP, evidence: DataFrame | None = None) -> DataFrame:
+    """Exons of the predicted genes of (locus, length, seq): GFF coordinates in start and end_. ``evidence`` (as read_evidence) takes part
+    in the chains of its loci."""
+    lengths = sequences.select("locus", "length")
+    given = None if evidence is None else from_evidence(evidence, p.rules).join(lengths.select("locus"), "locus", "left_semi")
+    out = chain(candidates(sequences, p, strands, fragment, overlap), lengths, p.rules, given)
+    # printed ends: the stop codon belongs to the last exon
+    return out.withColumns({"start": F.col("left"), "end_": F.col("right")})

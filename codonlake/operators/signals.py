@@ -186,15 +186,18 @@ class CodingTrack:
         t = np.arange(len(step)) % 3
         self.total = [np.add.accumulate(at(iso.transition, (3 - j + t) % 3, step).astype(np.float32), dtype=np.float32) for j in range(3)]
 
-    def potential(self, begin: int, end: int, frame: int) -> float:
-        """Coding potential of the bases ``begin`` to ``end`` (from the fragment's start, stop codon left out)."""
-        if end - begin + 1 < 6:
-            return 0.0
+    def potentials(self, begin: np.ndarray, end: np.ndarray, frame: np.ndarray) -> np.ndarray:
+        """Coding potentials of the bases ``begin`` to ``end`` (from the fragment's start, stop codon left out)."""
         cp = (3 - frame) % 3
         j = (begin + 3 - cp) % 3
-        total = self.total[j]
-        upper = end if end <= self.k + 1 else end - self.k
-        return float(self.initial[cp][begin] + (total[min(upper, len(total) - 1)] - total[max(0, begin - 1)]))
+        last = len(self.total[0]) - 1
+        if last < 0:
+            return np.zeros(len(begin), np.float32)
+        total, initial = np.stack(self.total), np.stack(self.initial)
+        upper = np.minimum(np.where(end <= self.k + 1, end, end - self.k), last)
+        lower = np.clip(begin - 1, 0, last)
+        out = initial[cp, np.minimum(begin, initial.shape[1] - 1)] + (total[j, upper] - total[j, lower])
+        return np.where(end - begin + 1 < 6, np.float32(0), out)
 
 
 #: Bases on either side of an exon whose G+C chooses its isochore.
@@ -210,25 +213,26 @@ def coding_potentials(exons: DataFrame, frags: DataFrame, iso: Isochore | list[I
     made = [("potential", pa.float64()), ("isochore", pa.int32()), ("head", pa.string()), ("tail", pa.string())]
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        rows: list[list] = [[], [], [], []]
         if not right.num_rows:
             left = left.slice(0, 0)
-        if left.num_rows:
+        n = left.num_rows
+        potential, which, head, tail = np.zeros(n, np.float64), np.zeros(n, np.int32), [], []
+        if n:
             seq, l1 = right.column("seq")[0].as_py(), right.column("l1")[0].as_py()
             d, own = digits(seq.encode()), shared.value
-            tracks: dict[int, CodingTrack] = {}
-            gc, known = (np.concatenate([[0], np.cumsum(x)]) for x in ((d == 1) | (d == 2), d < 4))
-            ranges = [(i.low, i.high) for i in own]
-            for a, b, f in zip(*(left.column(c).to_pylist() for c in ("left_pos", "right_pos", "frame")), strict=True):
-                a, b = a - l1, b - l1
-                u, v = max(0, a - CONTEXT), min(len(d), b + 1 + CONTEXT)
-                bases = int(known[v] - known[u])
-                k = isochore_of(100.0 * int(gc[v] - gc[u]) / bases if bases else 0.0, ranges) if len(own) > 1 else 0
-                if k not in tracks:
-                    tracks[k] = CodingTrack(d, own[k])
-                for col, x in zip(rows, (tracks[k].potential(a, b, f), k, seq[a : a + 2], seq[max(0, b - 1) : b + 1]), strict=True):
-                    col.append(x)
-        for (name, kind), col in zip(made, rows, strict=True):
+            a, b, f = (left.column(c).to_numpy().astype(np.int64) for c in ("left_pos", "right_pos", "frame"))
+            a, b = a - l1, b - l1
+            if len(own) > 1:
+                gc, known = (np.concatenate([[0], np.cumsum(x)]) for x in ((d == 1) | (d == 2), d < 4))
+                u, v = np.maximum(0, a - CONTEXT), np.minimum(len(d), b + 1 + CONTEXT)
+                percent = 100.0 * (gc[v] - gc[u]) / np.maximum(known[v] - known[u], 1)
+                which = np.array([isochore_of(x, [(i.low, i.high) for i in own]) for x in percent.tolist()], np.int32)
+            for k in np.unique(which).tolist():
+                at = which == k
+                potential[at] = CodingTrack(d, own[k]).potentials(a[at], b[at], f[at])
+            head = [seq[x : x + 2] for x in a.tolist()]
+            tail = [seq[max(0, x - 1) : x + 1] for x in b.tolist()]
+        for (name, kind), col in zip(made, (potential, which, head, tail), strict=True):
             left = left.append_column(name, pa.array(col, kind))
         return left
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -16,4 +16,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", at)
-    return f"{at.rstrip('/')}/codonlake/{name}-{uuid.uuid4().hex}"
+    return f"{at.rstrip('/')}/codonlake/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a table in the shared folder and read back: what is read twice is made once, and a lost executor repeats only its own stage."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that this application has put into the shared folder; results that still read from there are void after it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_path(spark, "x")).getParent()
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
