@@ -9,13 +9,14 @@ sets, read from the texts.
 
 Equal sets meet by hash first and are one document from then on, so a group of copies is one row of each band.
 In the lists of documents that share a band no list emits all its pairs. A document's popularity is how
-many others it shares bands with; the most popular ones of a list (its middle, which the others were
-copied from) are compared with the rest of the list first, one, then eight, then 64 of them and so on, and links merge
-documents into classes after each round. Only members of other classes are compared, so a group of
-near copies costs about its size. A list is done when it has one class or each member
-has been compared with the others that are in other classes; no partner is dropped. Sizes and the low bits of the
-signatures rule pairs out before texts are read: a pair at the threshold differs in more
-than FAR of its bits once in a billion.
+many others it shares bands with. First each document is compared with one partner, of the most popular ones of its
+lists (their middle, which the others were copied from) the one it meets most often; links merge documents
+into classes. Then the most popular one of a list is compared with the members of other classes, then eight, 64
+and so on, with classes merged after each round, so a group of near copies costs about its size. A list is
+done when it has one class or each member has been compared with the others that are in other classes; no
+partner is dropped. Pairs are ruled out before texts are read by their sizes, by bitmaps of both sets (a bit that
+one set alone has stands for a shingle that the other lacks, which is exact) and by the low bits of the
+signatures: a pair at the threshold differs in more than FAR of those once in a billion.
 
 Edge cases: null and empty texts and those without words have the empty set, link with nothing
 and are their own component; a text of fewer words than n is one shingle; equal texts share a component;
@@ -44,6 +45,8 @@ _U = np.uint64
 ROWS, BANDS, COORDINATES = 5, 38, 192
 #: Sketch bits that may differ: a pair of similarity 0.8 differs in 19.2 of 192, with a deviation of 4.2.
 FAR = 45
+#: Words of 64 bits in a document's bitmap of shingle hashes.
+MAP = 32
 #: Documents of a list that are compared with the others in the first round, and the factor of each further round.
 GROW = 8
 
@@ -86,7 +89,7 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n, s1, s2, keys, sketch, bins) of each document: size and 128-bit hash of its set, band keys, low bits of the signature, histogram of hashes."""
+    """(doc_id, n, s1, s2, keys, sketch, map, bins) of each document: size and 128-bit hash of its set, band keys, low bits of the signature, bitmap and histogram of hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,13 +103,17 @@ def signed(docs: DataFrame, n: int) -> DataFrame:
                     sig = signatures([sets[i] for i in full])
                     keys = band_keys(sig).view(np.int64)
                     sketch = np.ascontiguousarray(np.packbits((sig & np.uint32(1)).astype(np.uint8), axis=1, bitorder="little")).view("<i8")
+                maps = np.zeros((len(full), 64 * MAP), np.uint8)
+                for k, i in enumerate(full):
+                    maps[k, ((sets[i] >> _U(8)) % _U(64 * MAP)).astype(np.int64)] = 1
+                maps = np.ascontiguousarray(np.packbits(maps, axis=1, bitorder="little")).view("<i8")
                 bins = [np.minimum(np.bincount((x & _U(BINS - 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes() for x in sets]
                 has = np.zeros(len(sets) + 1, np.int64)
                 has[1:] = np.cumsum(size > 0)
                 lists = lambda x, k: pa.ListArray.from_arrays(pa.array(k * has, pa.int32()), pa.array(np.ascontiguousarray(x).reshape(-1)))
-                yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(size), pa.array(s1), pa.array(s2), lists(keys, BANDS), lists(sketch, COORDINATES // 64), pa.array(bins, pa.binary())], ["doc_id", "n", "s1", "s2", "keys", "sketch", "bins"])
+                yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(size), pa.array(s1), pa.array(s2), lists(keys, BANDS), lists(sketch, COORDINATES // 64), lists(maps, MAP), pa.array(bins, pa.binary())], ["doc_id", "n", "s1", "s2", "keys", "sketch", "map", "bins"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, keys array<long>, sketch array<long>, bins binary")
+    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, keys array<long>, sketch array<long>, map array<long>, bins binary")
 
 
 def near_components(docs: DataFrame, n: int = 5, num: int = 80) -> DataFrame:
@@ -128,12 +135,18 @@ def near_components(docs: DataFrame, n: int = 5, num: int = 80) -> DataFrame:
     live = stash(shared.join(popular, "doc").withColumn("nth", F.row_number().over(a_list.orderBy(F.desc("popularity"), "doc"))), "live")
     discard(shared)
     search = _Search(docs.where("doc_id is not null"), rows.select("doc_id", "bins"), n, num)
-    sketches = rows.select(F.col("doc_id").alias("doc"), *[F.get("sketch", F.lit(i)).alias(f"w{i}") for i in range(COORDINATES // 64)])
+    sketches = rows.select(F.col("doc_id").alias("doc"), *[F.get("sketch", F.lit(i)).alias(f"w{i}") for i in range(COORDINATES // 64)], *[F.get("map", F.lit(i)).alias(f"m{i}") for i in range(MAP)])
+    # one partner for each document
+    head = live.where("nth = 1").select("key", F.col("doc").alias("h_doc"), F.col("n").alias("h_n"))
+    times = live.where("nth > 1").join(head, "key").where(f"least(n, h_n) * 100 >= greatest(n, h_n) * {num}").groupBy("doc", "n", "h_doc", "h_n").agg(F.count("*").alias("times"))
+    partner = times.groupBy("doc", "n").agg(F.max(F.struct("times", (-F.col("h_doc")).alias("neg"), "h_n")).alias("x")).select("doc", "n", (-F.col("x.neg")).alias("h_doc"), F.col("x.h_n").alias("h_n"))
+    search.test(_ordered(partner))
     low, high = 0, 1
     while True:
         open_ = search.classes.of(live, "doc", "class")
-        mixed = open_.groupBy("key").agg(F.min("class").alias("least"), F.max("class").alias("most"), F.max("size").alias("size")).where(f"least != most and size > {low}").select("key")
-        lists = stash(open_.join(mixed, "key", "left_semi").join(sketches, "doc"), "lists")
+        counted = open_.groupBy("key", "class").agg(F.count("*").alias("k"), F.max("size").alias("size"))
+        mixed = counted.groupBy("key").agg(F.count("*").alias("classes"), F.max("size").alias("size"), F.max(F.struct("k", "class"))["class"].alias("main")).where(f"classes > 1 and size > {low}").select("key", "main")
+        lists = stash(open_.join(mixed, "key").join(sketches, "doc"), "lists")
         if lists.isEmpty():
             discard(lists)
             break
@@ -151,13 +164,20 @@ def near_components(docs: DataFrame, n: int = 5, num: int = 80) -> DataFrame:
 
 
 def _met(lists: DataFrame, low: int, high: int, num: int) -> DataFrame:
-    """Distinct pairs (a, b, na, nb) of the members after ``low`` up to ``high`` of each list with those behind them that are in another class and may link."""
-    words = [f"w{i}" for i in range(COORDINATES // 64)]
-    heads = lists.where((F.col("nth") > low) & (F.col("nth") <= high)).select("key", *[F.col(c).alias(f"h_{c}") for c in ("doc", "n", "class", "nth", *words)])
+    """Distinct pairs (a, b, na, nb) that may link: members of a list that aren't of its main class, each with those members after
+    ``low`` up to ``high`` in order that are of another class than itself. Of two classes one isn't the main one, so every pair comes up."""
+    words, maps = [f"w{i}" for i in range(COORDINATES // 64)], [f"m{i}" for i in range(MAP)]
+    heads = lists.where((F.col("nth") > low) & (F.col("nth") <= high)).select("key", *[F.col(c).alias(f"h_{c}") for c in ("doc", "n", "class", *words, *maps)])
     far = " + ".join(f"bit_count({c} ^ h_{c})" for c in words)
-    met = lists.join(heads, "key").where(f"nth > h_nth and class != h_class and least(n, h_n) * 100 >= greatest(n, h_n) * {num} and {far} <= {FAR}")
-    pairs = met.select(F.least("doc", "h_doc").alias("a"), F.greatest("doc", "h_doc").alias("b"), F.when(F.col("doc") < F.col("h_doc"), F.col("n")).otherwise(F.col("h_n")).alias("na"), F.when(F.col("doc") < F.col("h_doc"), F.col("h_n")).otherwise(F.col("n")).alias("nb"))
-    return pairs.distinct()
+    apart = " + ".join(f"bit_count({c} ^ h_{c})" for c in maps)  # so many shingles at least are in one set alone
+    met = lists.where("class != main").join(heads, "key").where(f"class != h_class and least(n, h_n) * 100 >= greatest(n, h_n) * {num} and {far} <= {FAR} and (n + h_n - ({apart})) * (100 + {num}) >= 2 * {num} * (n + h_n)")
+    return _ordered(met).distinct()
+
+
+def _ordered(met: DataFrame) -> DataFrame:
+    """Pairs (a, b, na, nb), the smaller id first, of documents (doc, n) and partners (h_doc, h_n)."""
+    first = F.col("doc") < F.col("h_doc")
+    return met.select(F.least("doc", "h_doc").alias("a"), F.greatest("doc", "h_doc").alias("b"), F.when(first, F.col("n")).otherwise(F.col("h_n")).alias("na"), F.when(first, F.col("h_n")).otherwise(F.col("n")).alias("nb"))
 
 
 def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
