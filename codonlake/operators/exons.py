@@ -16,6 +16,7 @@ from codonlake.functions.dna import split_codon_left, split_codon_right
 from codonlake.operators import ranges as R
 from codonlake.operators.chains import INTRONS, MINOR, Rule, linked, traced
 from codonlake.operators.signals import FRAGMENT, OVERLAP, coding_potentials, fragments, owned, scan
+from codonlake.operators.tracks import homology, on_strand, tracks
 from codonlake.sources.formats import NO_GROUP
 from codonlake.sources.params import Isochore, Parameters
 from codonlake.sources.scratch import kept
@@ -67,8 +68,9 @@ def build(sites: DataFrame, most_donors: int) -> DataFrame:
     return reduce(DataFrame.unionByName, [firsts, internals, terminals, singles])
 
 
-def scored(exons: DataFrame, frags: DataFrame, iso: Isochore | list[Isochore]) -> DataFrame:
-    """Exons over their cutoffs, with score, coding potential and what their ends may add to a stop codon; each by the values of its isochore."""
+def scored(exons: DataFrame, frags: DataFrame, iso: Isochore | list[Isochore], bins: DataFrame | None = None, unset: float = 0.0, flank: int = 0) -> DataFrame:
+    """Exons over their cutoffs, with score, coding potential and what their ends may add to a stop codon; each by the values of its isochore.
+    With the ``bins`` of tracks the similarity or coverage of an exon counts by its factor; exons without enough coding potential aren't looked up."""
     isos = iso if isinstance(iso, list) else [iso]
 
     def by_type(name: str):
@@ -80,6 +82,10 @@ def scored(exons: DataFrame, frags: DataFrame, iso: Isochore | list[Isochore]) -
 
     out = coding_potentials(exons, frags, isos).where(F.col("potential") >= by_type("Coding_cutoff_oligos"))
     total = by_type("Site_factor") * (F.col("left_score") + F.col("right_score")) + by_type("Exon_factor") * F.col("potential")
+    if bins is not None:
+        out = kept(out.join(frags.where("frag = 0").select("locus", "strand", "length"), ["locus", "strand"]), "coding")
+        out = homology(out, bins, unset, flank).drop("length")
+        total = total + by_type("HSP_factor") * F.col("homology")
     out = out.withColumn("score", total).where(F.col("score") >= by_type("Absolute_cutoff_exons")).withColumn("score", (F.col("score") + by_type("Exon_weights")).cast("float"))
     one = F.col("type") == "Single"
     return out.withColumns({"lvalue": F.when(one, 0).otherwise(split_codon_left(F.col("frame"), F.col("head"))), "rvalue": F.when(one, 0).otherwise(split_codon_right(F.col("rest"), F.col("tail")))})
@@ -89,7 +95,7 @@ def placed(exons: DataFrame, lengths: DataFrame) -> DataFrame:
     """Exons on the sequence's own coordinates: ends of "-" swap, and so do frame and remainder for the chain."""
     back = F.col("strand") == "-"
     e = exons.join(lengths, "locus")
-    return e.select("locus", "strand", "type", F.when(back, F.col("length") - 1 - F.col("right_pos")).otherwise(F.col("left_pos")).alias("lo"), F.when(back, F.col("length") - 1 - F.col("left_pos")).otherwise(F.col("right_pos")).alias("hi"), "frame", "rest", "score", "potential", "left_score", "right_score", "lvalue", "rvalue").dropDuplicates(["locus", "strand", "type", "lo", "hi", "frame"])
+    return e.select("locus", "strand", "type", F.when(back, F.col("length") - 1 - F.col("right_pos")).otherwise(F.col("left_pos")).alias("lo"), F.when(back, F.col("length") - 1 - F.col("left_pos")).otherwise(F.col("right_pos")).alias("hi"), "frame", "rest", "score", "potential", "left_score", "right_score", "lvalue", "rvalue", *[c for c in ("homology",) if c in exons.columns]).dropDuplicates(["locus", "strand", "type", "lo", "hi", "frame"])
 
 
 #: Order of elements that begin at one base: types forwards, then backwards, then what is given.
@@ -159,22 +165,25 @@ def chain(exons: DataFrame, lengths: DataFrame, rules: list[Rule], given: DataFr
     return numbered(best)
 
 
-def candidates(sequences: DataFrame, p: Parameters, strands: str = "+-", fragment: int = FRAGMENT, overlap: int = OVERLAP) -> DataFrame:
-    """The scored exons of (locus, length, seq) on the sequence's coordinates, from fragments that each own their starts and acceptors."""
+def candidates(sequences: DataFrame, p: Parameters, strands: str = "+-", fragment: int = FRAGMENT, overlap: int = OVERLAP, segments: DataFrame | None = None, mode: str = "best") -> DataFrame:
+    """The scored exons of (locus, length, seq) on the sequence's coordinates, from fragments that each own their starts and acceptors;
+    with ``segments`` of similarity or coverage (as read_homology) in their scores. Tracks belong to loci, so fragments need no share of them."""
     frags = fragments(sequences, fragment, overlap, strands)
     wanted = ("Start", "Acceptor", "Donor", "Stop")
     sets = [(iso.low, iso.high, {k: v for k, v in iso.profiles.items() if k.split("_")[0] in wanted}) for iso in p.isochores]
     sites = scan(frags, sets).withColumn("kind", F.lower(F.split("kind", "_")[0])).dropDuplicates([*BY, "kind", "pos"])
     sites = kept(owned(sites, frags, overlap), "sites")  # each kind is read several times
     exons = build(sites, max(iso.donors for iso in p.isochores))
-    return placed(scored(exons, frags, p.isochores), sequences.select("locus", "length"))
+    lengths = sequences.select("locus", "length")
+    bins = None if segments is None else kept(tracks(on_strand(segments, lengths), mode, p.no_score), "tracks")
+    return placed(scored(exons, frags, p.isochores, bins, p.no_score), lengths)
 
 
-def predict(sequences: DataFrame, p: Parameters, strands: str = "+-", fragment: int = FRAGMENT, overlap: int = OVERLAP, evidence: DataFrame | None = None) -> DataFrame:
+def predict(sequences: DataFrame, p: Parameters, strands: str = "+-", fragment: int = FRAGMENT, overlap: int = OVERLAP, evidence: DataFrame | None = None, segments: DataFrame | None = None, mode: str = "best") -> DataFrame:
     """Exons of the predicted genes of (locus, length, seq): GFF coordinates in start and end_. ``evidence`` (as read_evidence) takes part
-    in the chains of its loci."""
+    in the chains of its loci, ``segments`` (as read_homology) in the scores of exons."""
     lengths = sequences.select("locus", "length")
     given = None if evidence is None else from_evidence(evidence, p.rules).join(lengths.select("locus"), "locus", "left_semi")
-    out = chain(candidates(sequences, p, strands, fragment, overlap), lengths, p.rules, given)
+    out = chain(candidates(sequences, p, strands, fragment, overlap, segments, mode), lengths, p.rules, given)
     # printed ends: the stop codon belongs to the last exon
     return out.withColumns({"start": F.col("left"), "end_": F.col("right")})
