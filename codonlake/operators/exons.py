@@ -15,7 +15,8 @@ from pyspark.sql.window import Window as W
 from codonlake.functions.dna import split_codon_left, split_codon_right
 from codonlake.operators import ranges as R
 from codonlake.operators.chains import INTRONS, MINOR, Rule, linked, traced
-from codonlake.operators.signals import FRAGMENT, OVERLAP, coding_potentials, fragments, owned, scan
+from codonlake.operators.signals import FRAGMENT, OVERLAP, coding_potentials, fragments, owned
+from codonlake.operators.splice import scan_sites
 from codonlake.operators.tracks import homology, on_strand, tracks
 from codonlake.sources.formats import NO_GROUP
 from codonlake.sources.params import Isochore, Parameters
@@ -29,40 +30,43 @@ _FAR = 1 << 40
 
 
 def _exons(df: DataFrame, kind: str, frame, rest, left="left_pos", right="right_pos") -> DataFrame:
-    return df.select(*BY, F.lit(kind).alias("type"), F.col(left).cast("long").alias("left_pos"), F.col(right).cast("long").alias("right_pos"), frame.cast("int").alias("frame"), rest.cast("int").alias("rest"), F.col("left_score"), F.col("right_score"))
+    return df.select(*BY, F.lit(kind).alias("type"), F.col(left).cast("long").alias("left_pos"), F.col(right).cast("long").alias("right_pos"), frame.cast("int").alias("frame"), rest.cast("int").alias("rest"), F.col("left_score"), F.col("right_score"), F.col("left_cls"), F.col("right_cls"))
 
 
 def build(sites: DataFrame, most_donors: int) -> DataFrame:
-    """First, Internal, Terminal and Single exons of all fragments and strands."""
+    """First, Internal, Terminal and Single exons of all fragments and strands; ``cls``, where there is one, is the splice class of a site."""
+    if "cls" not in sites.columns:
+        sites = sites.withColumn("cls", F.lit(0))
+    plain = F.lit(0).alias("left_cls")
     of = lambda kind: sites.where(F.col("kind") == kind)
     stops = of("stop").select(*BY, F.col("pos").alias("stop"), F.col("score").alias("stop_score"))
-    donors = of("donor").select(*BY, F.col("pos").alias("right_pos"), F.col("score").alias("right_score"))
+    donors = of("donor").select(*BY, F.col("pos").alias("right_pos"), F.col("score").alias("right_score"), F.col("cls").alias("right_cls"))
     last = sites.groupBy(*BY).agg((F.max("pos") + 1).alias("far"))  # where no stop closes a frame, any donor may end an exon
 
     # the first stop at or after each start in its frame, and after each acceptor in each of three
-    begun = of("start").select(*BY, F.lit("start").alias("kind"), "pos", "score", F.lit(0).alias("f")).unionByName(of("acceptor").select(*BY, F.lit("acceptor").alias("kind"), "pos", "score", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("f")))
+    begun = of("start").select(*BY, F.lit("start").alias("kind"), "pos", "score", "cls", F.lit(0).alias("f")).unionByName(of("acceptor").select(*BY, F.lit("acceptor").alias("kind"), "pos", "score", "cls", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("f")))
     begun = begun.withColumns({"at": F.col("pos"), "phase": F.pmod(F.col("pos") + F.col("f"), F.lit(3)), "mark": F.lit(None).cast("struct<pos:bigint,score:float>")})
     # a stop's codon starts behind its last coding base
-    ends = stops.select(*BY, F.lit("stop").alias("kind"), F.col("stop").alias("pos"), F.col("stop_score").alias("score"), F.lit(None).cast("int").alias("f"), (F.col("stop") + 1).alias("at"), F.pmod(F.col("stop") + 1, F.lit(3)).alias("phase"), F.struct(F.col("stop").alias("pos"), F.col("stop_score").alias("score")).alias("mark"))
+    ends = stops.select(*BY, F.lit("stop").alias("kind"), F.col("stop").alias("pos"), F.col("stop_score").alias("score"), F.lit(0).alias("cls"), F.lit(None).cast("int").alias("f"), (F.col("stop") + 1).alias("at"), F.pmod(F.col("stop") + 1, F.lit(3)).alias("phase"), F.struct(F.col("stop").alias("pos"), F.col("stop_score").alias("score")).alias("mark"))
     w = W.partitionBy(*BY, "phase").orderBy("at").rangeBetween(0, W.unboundedFollowing)
     closed = begun.unionByName(ends).withColumn("first", F.min("mark").over(w)).where("kind != 'stop'")
 
     starts = closed.where("kind = 'start'").join(last, BY)
-    first = starts.select(*BY, F.col("pos").alias("left_pos"), F.col("score").alias("left_score"), (F.col("pos") + 2).alias("lo"), F.coalesce(F.col("first.pos") + 3, "far").alias("hi"))
-    first = R.top_k(R.range_join(first, donors, BY, "lo", "hi", "right_pos", BIN), [*BY, "left_pos"], [F.desc("right_score"), F.asc("right_pos")], most_donors)
+    first = starts.select(*BY, F.col("pos").alias("left_pos"), F.col("score").alias("left_score"), plain, (F.col("pos") + 2).alias("lo"), F.coalesce(F.col("first.pos") + 3, "far").alias("hi"))
+    first = R.top_k(R.range_join(first, donors, BY, "lo", "hi", "right_pos", BIN), [*BY, "left_pos"], [F.desc("right_score"), F.asc("right_pos"), "right_cls"], most_donors)
     rest = F.pmod(3 - F.pmod(F.col("right_pos") - (F.col("left_pos") + F.col("frame")) + 1, F.lit(3)), F.lit(3))
     firsts = _exons(first.withColumn("frame", F.lit(0)), "First", F.col("frame"), rest)
 
-    single = starts.where(F.col("first").isNotNull() & (F.col("first.pos") + 3 - F.col("pos") + 1 >= LEAST_SINGLE)).select(*BY, F.col("pos").alias("left_pos"), F.col("first.pos").alias("right_pos"), F.col("score").alias("left_score"), F.col("first.score").alias("right_score"))
+    single = starts.where(F.col("first").isNotNull() & (F.col("first.pos") + 3 - F.col("pos") + 1 >= LEAST_SINGLE)).select(*BY, F.col("pos").alias("left_pos"), F.col("first.pos").alias("right_pos"), F.col("score").alias("left_score"), F.col("first.score").alias("right_score"), plain, F.lit(0).alias("right_cls"))
     singles = _exons(single, "Single", F.lit(0), F.lit(0))
 
     acc = closed.where("kind = 'acceptor'")
-    terminal = acc.where(F.col("first.pos") >= F.col("pos")).select(*BY, "f", F.col("pos").alias("left_pos"), F.col("first.pos").alias("right_pos"), F.col("score").alias("left_score"), F.col("first.score").alias("right_score"))
+    terminal = acc.where(F.col("first.pos") >= F.col("pos")).select(*BY, "f", F.col("pos").alias("left_pos"), F.col("first.pos").alias("right_pos"), F.col("score").alias("left_score"), F.col("first.score").alias("right_score"), F.col("cls").alias("left_cls"), F.lit(0).alias("right_cls"))
     terminals = _exons(terminal, "Terminal", F.col("f"), F.lit(0))
 
-    three = acc.groupBy(*BY, F.col("pos").alias("left_pos")).agg(F.max("score").alias("left_score"), F.map_from_entries(F.collect_list(F.struct("f", F.coalesce(F.col("first.pos") + 3, F.lit(_FAR)).alias("end")))).alias("ends"))
+    three = acc.groupBy(*BY, F.col("pos").alias("left_pos"), F.col("cls").alias("left_cls")).agg(F.max("score").alias("left_score"), F.map_from_entries(F.collect_list(F.struct("f", F.coalesce(F.col("first.pos") + 3, F.lit(_FAR)).alias("end")))).alias("ends"))
     three = three.join(last, BY).withColumns({"lo": F.col("left_pos") + LEAST_INTERNAL, "hi": F.least(F.array_max(F.map_values("ends")), F.col("far"))})
-    inner = R.top_k(R.range_join(three, donors, BY, "lo", "hi", "right_pos", BIN), [*BY, "left_pos"], [F.desc("right_score"), F.desc("right_pos")], most_donors)
+    inner = R.top_k(R.range_join(three, donors, BY, "lo", "hi", "right_pos", BIN), [*BY, "left_pos", "left_cls"], [F.desc("right_score"), F.desc("right_pos"), "right_cls"], most_donors)
     inner = inner.select("*", F.explode("ends").alias("frame", "end")).where("right_pos < end")
     internals = _exons(inner, "Internal", F.col("frame"), rest)
     return reduce(DataFrame.unionByName, [firsts, internals, terminals, singles])
@@ -86,7 +90,9 @@ def scored(exons: DataFrame, frags: DataFrame, iso: Isochore | list[Isochore], b
         out = kept(out.join(frags.where("frag = 0").select("locus", "strand", "length"), ["locus", "strand"]), "coding")
         out = homology(out, bins, unset, flank).drop("length")
         total = total + by_type("HSP_factor") * F.col("homology")
-    out = out.withColumn("score", total).where(F.col("score") >= by_type("Absolute_cutoff_exons")).withColumn("score", (F.col("score") + by_type("Exon_weights")).cast("float"))
+    out = out.withColumn("score", total).where(F.col("score") >= by_type("Absolute_cutoff_exons"))
+    minor = F.when((F.col("left_cls") > 0) & (F.col("right_cls") > 0), reduce(lambda c, k: c.when(F.col("isochore") == k, isos[k].values.get("U12_Exon_weight", [0.0])[0]), range(len(isos)), F)).otherwise(0.0)
+    out = out.withColumn("score", (F.col("score") + by_type("Exon_weights") + minor).cast("float"))
     one = F.col("type") == "Single"
     return out.withColumns({"lvalue": F.when(one, 0).otherwise(split_codon_left(F.col("frame"), F.col("head"))), "rvalue": F.when(one, 0).otherwise(split_codon_right(F.col("rest"), F.col("tail")))})
 
@@ -95,7 +101,7 @@ def placed(exons: DataFrame, lengths: DataFrame) -> DataFrame:
     """Exons on the sequence's own coordinates: ends of "-" swap, and so do frame and remainder for the chain."""
     back = F.col("strand") == "-"
     e = exons.join(lengths, "locus")
-    return e.select("locus", "strand", "type", F.when(back, F.col("length") - 1 - F.col("right_pos")).otherwise(F.col("left_pos")).alias("lo"), F.when(back, F.col("length") - 1 - F.col("left_pos")).otherwise(F.col("right_pos")).alias("hi"), "frame", "rest", "score", "potential", "left_score", "right_score", "lvalue", "rvalue", *[c for c in ("homology",) if c in exons.columns]).dropDuplicates(["locus", "strand", "type", "lo", "hi", "frame"])
+    return e.select("locus", "strand", "type", F.when(back, F.col("length") - 1 - F.col("right_pos")).otherwise(F.col("left_pos")).alias("lo"), F.when(back, F.col("length") - 1 - F.col("left_pos")).otherwise(F.col("right_pos")).alias("hi"), "frame", "rest", "score", "potential", "left_score", "right_score", "lvalue", "rvalue", "left_cls", "right_cls", *[c for c in ("homology",) if c in exons.columns]).dropDuplicates(["locus", "strand", "type", "lo", "hi", "frame", "left_cls", "right_cls"])
 
 
 #: Order of elements that begin at one base: types forwards, then backwards, then what is given.
@@ -115,11 +121,8 @@ def elements(exons: DataFrame, lengths: DataFrame, given: DataFrame | None = Non
     swap = lambda a, b: F.when(back, F.col(b)).otherwise(F.col(a))
     found = exons.withColumns({
         "left": F.col("lo") + 1 - F.when(back, stop).otherwise(0), "right": F.col("hi") + 1 + F.when(back, 0).otherwise(stop), "kind": F.concat("type", "strand"), "need": swap("frame", "rest"), "give": swap("rest", "frame"),
-        "evidence": F.lit(0), "grp": F.lit(None).cast("string"), "lscore": swap("left_score", "right_score"), "rscore": swap("right_score", "left_score"),
+        "evidence": F.lit(0), "grp": F.lit(None).cast("string"), "lscore": swap("left_score", "right_score"), "rscore": swap("right_score", "left_score"), "lclass": swap("left_cls", "right_cls"), "rclass": swap("right_cls", "left_cls"),
     })
-    for c in ("lclass", "rclass"):
-        if c not in found.columns:
-            found = found.withColumn(c, F.lit(0))
     ends = F.array(*[F.struct(F.lit(t).alias("type"), F.lit(s).alias("strand")) for t in ("Begin", "End") for s in "+-"])
     ends = lengths.select("locus", "length", F.explode(ends).alias("e")).select("locus", "e.*", F.when(F.col("e.type") == "Begin", F.lit(0)).otherwise(F.col("length") + 1).cast("long").alias("left"))
     ends = ends.withColumns({"right": F.col("left"), "kind": F.concat("type", "strand"), "score": F.lit(END_SCORE).cast("float"), "evidence": F.lit(0)})
@@ -165,25 +168,30 @@ def chain(exons: DataFrame, lengths: DataFrame, rules: list[Rule], given: DataFr
     return numbered(best)
 
 
-def candidates(sequences: DataFrame, p: Parameters, strands: str = "+-", fragment: int = FRAGMENT, overlap: int = OVERLAP, segments: DataFrame | None = None, mode: str = "best") -> DataFrame:
+def candidates(sequences: DataFrame, p: Parameters, strands: str = "+-", fragment: int = FRAGMENT, overlap: int = OVERLAP, segments: DataFrame | None = None, mode: str = "best", minor: bool = True) -> DataFrame:
     """The scored exons of (locus, length, seq) on the sequence's coordinates, from fragments that each own their starts and acceptors;
-    with ``segments`` of similarity or coverage (as read_homology) in their scores. Tracks belong to loci, so fragments need no share of them."""
+    with ``segments`` of similarity or coverage (as read_homology) in their scores. Tracks belong to loci, so fragments need no share of them.
+    ``minor``: scan for splice sites of the minor classes, too, where there are profiles."""
     frags = fragments(sequences, fragment, overlap, strands)
-    wanted = ("Start", "Acceptor", "Donor", "Stop")
-    sets = [(iso.low, iso.high, {k: v for k, v in iso.profiles.items() if k.split("_")[0] in wanted}) for iso in p.isochores]
-    sites = scan(frags, sets).withColumn("kind", F.lower(F.split("kind", "_")[0])).dropDuplicates([*BY, "kind", "pos"])
-    sites = kept(owned(sites, frags, overlap), "sites")  # each kind is read several times
+    found = scan_sites(frags, p.isochores, minor)
+    sites = kept(owned(found.dropDuplicates([*BY, "kind", "pos", "cls"]), frags, overlap), "sites")  # each kind is read several times
     exons = build(sites, max(iso.donors for iso in p.isochores))
     lengths = sequences.select("locus", "length")
     bins = None if segments is None else kept(tracks(on_strand(segments, lengths), mode, p.no_score), "tracks")
     return placed(scored(exons, frags, p.isochores, bins, p.no_score), lengths)
 
 
-def predict(sequences: DataFrame, p: Parameters, strands: str = "+-", fragment: int = FRAGMENT, overlap: int = OVERLAP, evidence: DataFrame | None = None, segments: DataFrame | None = None, mode: str = "best") -> DataFrame:
+def thresholds(p: Parameters) -> tuple[float, float]:
+    """Least sums of splice and of exon scores over an intron of the minor kind."""
+    values = p.isochores[0].values
+    return tuple(values.get(k, [x])[0] for k, x in zip(("U12_Splice_Score_Threshold", "U12_Exon_Score_Threshold"), MINOR, strict=True))
+
+
+def predict(sequences: DataFrame, p: Parameters, strands: str = "+-", fragment: int = FRAGMENT, overlap: int = OVERLAP, evidence: DataFrame | None = None, segments: DataFrame | None = None, mode: str = "best", minor: bool = True) -> DataFrame:
     """Exons of the predicted genes of (locus, length, seq): GFF coordinates in start and end_. ``evidence`` (as read_evidence) takes part
     in the chains of its loci, ``segments`` (as read_homology) in the scores of exons."""
     lengths = sequences.select("locus", "length")
     given = None if evidence is None else from_evidence(evidence, p.rules).join(lengths.select("locus"), "locus", "left_semi")
-    out = chain(candidates(sequences, p, strands, fragment, overlap, segments, mode), lengths, p.rules, given)
+    out = chain(candidates(sequences, p, strands, fragment, overlap, segments, mode, minor), lengths, p.rules, given, thresholds(p))
     # printed ends: the stop codon belongs to the last exon
     return out.withColumns({"start": F.col("left"), "end_": F.col("right")})
