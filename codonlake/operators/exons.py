@@ -14,6 +14,7 @@ from pyspark.sql.window import Window as W
 
 from codonlake.functions.dna import split_codon_left, split_codon_right
 from codonlake.operators import ranges as R
+from codonlake.operators import utr as U
 from codonlake.operators.chains import INTRONS, MINOR, Rule, linked, traced
 from codonlake.operators.signals import FRAGMENT, OVERLAP, coding_potentials, fragments, owned
 from codonlake.operators.splice import scan_sites
@@ -26,6 +27,8 @@ BY = ["locus", "frag", "strand"]
 #: Least internal exon, least single gene with its stop, bins of range joins, score of the ends of a region.
 LEAST_INTERNAL, LEAST_SINGLE, BIN, END_SCORE = 18, 60, 512, 10000.0
 TYPES = ("First", "Internal", "Terminal", "Single")
+#: Types that end before a start codon, and that begin behind a stop codon: of their two sites one counts.
+BEFORE_START, BEHIND_STOP = ("UTR_First_Half", "UTR_5prime_Internal_Half"), ("UTR_Terminal_Half", "UTR_3prime_Internal_Half")
 _FAR = 1 << 40
 
 
@@ -82,10 +85,14 @@ def scored(exons: DataFrame, frags: DataFrame, iso: Isochore | list[Isochore], b
         for k, one in enumerate(isos):
             for i, kind in enumerate(TYPES):
                 out = out.when((F.col("isochore") == k) & (F.col("type") == kind), one.values[name][i])
+            out = out.when(F.col("isochore") == k, one.values[name][-1])  # untranslated exons: a fifth value, else that of single ones
         return out
 
-    out = coding_potentials(exons, frags, isos).where(F.col("potential") >= by_type("Coding_cutoff_oligos"))
-    total = by_type("Site_factor") * (F.col("left_score") + F.col("right_score")) + by_type("Exon_factor") * F.col("potential")
+    coding, back = F.col("type").isin(*TYPES), F.col("strand") == "-"
+    out = coding_potentials(exons, frags, isos).withColumn("potential", F.when(coding, F.col("potential")).otherwise(0.0)).where(~coding | (F.col("potential") >= by_type("Coding_cutoff_oligos")))
+    left, right = F.col("left_score"), F.col("right_score")
+    ends = F.when(F.col("type").isin(*BEFORE_START), F.when(back, right).otherwise(left)).when(F.col("type").isin(*BEHIND_STOP), F.when(back, left).otherwise(right)).otherwise(left + right)
+    total = by_type("Site_factor") * ends + by_type("Exon_factor") * F.col("potential")
     if bins is not None:
         out = kept(out.join(frags.where("frag = 0").select("locus", "strand", "length"), ["locus", "strand"]), "coding")
         out = homology(out, bins, unset, flank).drop("length")
@@ -93,7 +100,7 @@ def scored(exons: DataFrame, frags: DataFrame, iso: Isochore | list[Isochore], b
     out = out.withColumn("score", total).where(F.col("score") >= by_type("Absolute_cutoff_exons"))
     minor = F.when((F.col("left_cls") > 0) & (F.col("right_cls") > 0), reduce(lambda c, k: c.when(F.col("isochore") == k, isos[k].values.get("U12_Exon_weight", [0.0])[0]), range(len(isos)), F)).otherwise(0.0)
     out = out.withColumn("score", (F.col("score") + by_type("Exon_weights") + minor).cast("float"))
-    one = F.col("type") == "Single"
+    one = ~F.col("type").isin("First", "Internal", "Terminal")
     return out.withColumns({"lvalue": F.when(one, 0).otherwise(split_codon_left(F.col("frame"), F.col("head"))), "rvalue": F.when(one, 0).otherwise(split_codon_right(F.col("rest"), F.col("tail")))})
 
 
@@ -106,7 +113,7 @@ def placed(exons: DataFrame, lengths: DataFrame) -> DataFrame:
 
 #: Order of elements that begin at one base: types forwards, then backwards, then what is given.
 def _rank(type_, strand, given):
-    kinds = F.array(*[F.lit(t) for t in TYPES])
+    kinds = F.array(*[F.lit(t) for t in (*TYPES, *[k for k, *_ in U.KINDS])])
     return F.when(given == 1, 100).otherwise(F.array_position(kinds, type_) + F.when(strand == "-", 50).otherwise(0))
 
 
@@ -117,10 +124,12 @@ def elements(exons: DataFrame, lengths: DataFrame, given: DataFrame | None = Non
     ``given`` has evidence as ``from_evidence`` makes it.
     """
     back = F.col("strand") == "-"
-    stop = F.when(F.col("type").isin("Terminal", "Single"), 3).otherwise(0)
+    # the stop codon belongs to the last exon; untranslated halves end before the start codon and begin behind the stop codon
+    begin = F.when(F.col("type").isin(*BEHIND_STOP), 4).otherwise(0)
+    end = F.when(F.col("type").isin("Terminal", "Single"), 3).when(F.col("type").isin(*BEFORE_START), -1).otherwise(0)
     swap = lambda a, b: F.when(back, F.col(b)).otherwise(F.col(a))
     found = exons.withColumns({
-        "left": F.col("lo") + 1 - F.when(back, stop).otherwise(0), "right": F.col("hi") + 1 + F.when(back, 0).otherwise(stop), "kind": F.concat("type", "strand"), "need": swap("frame", "rest"), "give": swap("rest", "frame"),
+        "left": F.col("lo") + 1 + F.when(back, -end).otherwise(begin), "right": F.col("hi") + 1 + F.when(back, -begin).otherwise(end), "kind": F.concat("type", "strand"), "need": swap("frame", "rest"), "give": swap("rest", "frame"),
         "evidence": F.lit(0), "grp": F.lit(None).cast("string"), "lscore": swap("left_score", "right_score"), "rscore": swap("right_score", "left_score"), "lclass": swap("left_cls", "right_cls"), "rclass": swap("right_cls", "left_cls"),
     })
     ends = F.array(*[F.struct(F.lit(t).alias("type"), F.lit(s).alias("strand")) for t in ("Begin", "End") for s in "+-"])
@@ -168,17 +177,28 @@ def chain(exons: DataFrame, lengths: DataFrame, rules: list[Rule], given: DataFr
     return numbered(best)
 
 
-def candidates(sequences: DataFrame, p: Parameters, strands: str = "+-", fragment: int = FRAGMENT, overlap: int = OVERLAP, segments: DataFrame | None = None, mode: str = "best", minor: bool = True) -> DataFrame:
+def candidates(sequences: DataFrame, p: Parameters, strands: str = "+-", fragment: int = FRAGMENT, overlap: int = OVERLAP, segments: DataFrame | None = None, mode: str = "best", minor: bool = True, utr: bool = False, flank: int = 0) -> DataFrame:
     """The scored exons of (locus, length, seq) on the sequence's coordinates, from fragments that each own their starts and acceptors;
     with ``segments`` of similarity or coverage (as read_homology) in their scores. Tracks belong to loci, so fragments need no share of them.
-    ``minor``: scan for splice sites of the minor classes, too, where there are profiles."""
+    ``minor``: scan for splice sites of the minor classes, too, where there are profiles.
+    ``utr``: the segments are read coverage; splice sites are scored by its edges as well (those that fall below their cutoff aren't looked for), and
+    untranslated exons are built from its beginnings and ends.
+    """
     frags = fragments(sequences, fragment, overlap, strands)
     found = scan_sites(frags, p.isochores, minor)
-    sites = kept(owned(found.dropDuplicates([*BY, "kind", "pos", "cls"]), frags, overlap), "sites")  # each kind is read several times
-    exons = build(sites, max(iso.donors for iso in p.isochores))
     lengths = sequences.select("locus", "length")
-    bins = None if segments is None else kept(tracks(on_strand(segments, lengths), mode, p.no_score), "tracks")
-    return placed(scored(exons, frags, p.isochores, bins, p.no_score), lengths)
+    bins = None
+    if segments is not None:
+        bins = kept(tracks(on_strand(segments, lengths), "cover" if utr else mode, p.no_score, logs=utr), "tracks")
+    sites = owned(found.dropDuplicates([*BY, "kind", "pos", "cls"]), frags, overlap)
+    sites = kept(U.with_edges(sites, bins, lengths) if utr else sites, "sites")  # each kind is read several times
+    exons = build(sites, max(iso.donors for iso in p.isochores))
+    if utr:
+        spans = frags.select(*BY, "l1", "l2")
+        ends = U.termini(bins, lengths, sites).join(spans, ["locus", "strand"]).where("pos between l1 and l2").select(*BY, "kind", "pos", F.col("score").cast("float").alias("score"), F.lit(0).alias("cls"))
+        more = U.build(sites.select(*BY, "kind", "pos", "score", "cls").unionByName(ends), BY)
+        exons = exons.unionByName(more.withColumns({"frame": F.lit(0), "rest": F.lit(0)}))
+    return placed(scored(exons, frags, p.isochores, bins, p.no_score, flank), lengths)
 
 
 def thresholds(p: Parameters) -> tuple[float, float]:
@@ -187,11 +207,11 @@ def thresholds(p: Parameters) -> tuple[float, float]:
     return tuple(values.get(k, [x])[0] for k, x in zip(("U12_Splice_Score_Threshold", "U12_Exon_Score_Threshold"), MINOR, strict=True))
 
 
-def predict(sequences: DataFrame, p: Parameters, strands: str = "+-", fragment: int = FRAGMENT, overlap: int = OVERLAP, evidence: DataFrame | None = None, segments: DataFrame | None = None, mode: str = "best", minor: bool = True) -> DataFrame:
+def predict(sequences: DataFrame, p: Parameters, strands: str = "+-", fragment: int = FRAGMENT, overlap: int = OVERLAP, evidence: DataFrame | None = None, segments: DataFrame | None = None, mode: str = "best", minor: bool = True, utr: bool = False, flank: int = 0) -> DataFrame:
     """Exons of the predicted genes of (locus, length, seq): GFF coordinates in start and end_. ``evidence`` (as read_evidence) takes part
     in the chains of its loci, ``segments`` (as read_homology) in the scores of exons."""
     lengths = sequences.select("locus", "length")
     given = None if evidence is None else from_evidence(evidence, p.rules).join(lengths.select("locus"), "locus", "left_semi")
-    out = chain(candidates(sequences, p, strands, fragment, overlap, segments, mode, minor), lengths, p.rules, given, thresholds(p))
+    out = chain(candidates(sequences, p, strands, fragment, overlap, segments, mode, minor, utr, flank), lengths, p.rules, given, thresholds(p))
     # printed ends: the stop codon belongs to the last exon
     return out.withColumns({"start": F.col("left"), "end_": F.col("right")})
