@@ -3,10 +3,10 @@
 import duckdb
 import pytest
 
-from codonlake.plans import chaining, files, homology, intervals, signals, splicing
+from codonlake.plans import chaining, coverage, files, homology, intervals, signals, splicing
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-PLANS = {k: (m.QUERIES[k], m.ORACLES[k]) for m in (signals, intervals, files, chaining, homology, splicing) for k in m.QUERIES}
+PLANS = {k: (m.QUERIES[k], m.ORACLES[k]) for m in (signals, intervals, files, chaining, homology, splicing, coverage) for k in m.QUERIES}
 
 
 def plain(v):
