@@ -51,7 +51,7 @@ def build(sites: DataFrame, most_donors: int) -> DataFrame:
     begun = begun.withColumns({"at": F.col("pos"), "phase": F.pmod(F.col("pos") + F.col("f"), F.lit(3)), "mark": F.lit(None).cast("struct<pos:bigint,score:float>")})
     # a stop's codon starts behind its last coding base
     ends = stops.select(*BY, F.lit("stop").alias("kind"), F.col("stop").alias("pos"), F.col("stop_score").alias("score"), F.lit(0).alias("cls"), F.lit(None).cast("int").alias("f"), (F.col("stop") + 1).alias("at"), F.pmod(F.col("stop") + 1, F.lit(3)).alias("phase"), F.struct(F.col("stop").alias("pos"), F.col("stop_score").alias("score")).alias("mark"))
-    w = W.partitionBy(*BY, "phase").orderBy("at").rangeBetween(0, W.unboundedFollowing)
+    w = W.partitionBy(*BY, "phase").orderBy(F.desc("at")).rangeBetween(W.unboundedPreceding, 0)  # a frame that grows; one that shrinks is summed anew for each row
     closed = begun.unionByName(ends).withColumn("first", F.min("mark").over(w)).where("kind != 'stop'")
 
     starts = closed.where("kind = 'start'").join(last, BY)

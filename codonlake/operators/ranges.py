@@ -13,7 +13,7 @@ from pyspark.sql.window import Window as W
 
 def next_at_or_after(df: DataFrame, by: list[str], pos: str, marked: Column, out: str) -> DataFrame:
     """Forward as-of: the first position at or after each row's at which ``marked`` holds."""
-    w = W.partitionBy(*by).orderBy(pos).rangeBetween(0, W.unboundedFollowing)
+    w = W.partitionBy(*by).orderBy(F.desc(pos)).rangeBetween(W.unboundedPreceding, 0)
     return df.withColumn(out, F.min(F.when(marked, F.col(pos))).over(w))
 
 
