@@ -36,8 +36,16 @@ def _exons(df: DataFrame, kind: str, frame, rest, left="left_pos", right="right_
     return df.select(*BY, F.lit(kind).alias("type"), F.col(left).cast("long").alias("left_pos"), F.col(right).cast("long").alias("right_pos"), frame.cast("int").alias("frame"), rest.cast("int").alias("rest"), F.col("left_score"), F.col("right_score"), F.col("left_cls"), F.col("right_cls"))
 
 
-def build(sites: DataFrame, most_donors: int) -> DataFrame:
-    """First, Internal, Terminal and Single exons of all fragments and strands; ``cls``, where there is one, is the splice class of a site."""
+#: Types that are scored like another one, and the site scores that a recursive splice site needs unless given: fixed values.
+LIKE, RECURSIVE = {"RSS": "Internal", "ORF": "Single"}, (4.0, 4.0)
+
+
+def build(sites: DataFrame, most_donors: int, recursive: tuple[float, float] | None = None, orfs: bool = False) -> DataFrame:
+    """First, Internal, Terminal and Single exons of all fragments and strands; ``cls``, where there is one, is the splice class of a site.
+
+    ``recursive``: also exons of no bases (RSS), where a donor and an acceptor over these scores meet. ``orfs``: also what lies between two
+    stops of a frame (ORF).
+    """
     if "cls" not in sites.columns:
         sites = sites.withColumn("cls", F.lit(0))
     plain = F.lit(0).alias("left_cls")
@@ -72,7 +80,18 @@ def build(sites: DataFrame, most_donors: int) -> DataFrame:
     inner = R.top_k(R.range_join(three, donors, BY, "lo", "hi", "right_pos", BIN), [*BY, "left_pos", "left_cls"], [F.desc("right_score"), F.desc("right_pos"), "right_cls"], most_donors)
     inner = inner.select("*", F.explode("ends").alias("frame", "end")).where("right_pos < end")
     internals = _exons(inner, "Internal", F.col("frame"), rest)
-    return reduce(DataFrame.unionByName, [firsts, internals, terminals, singles])
+    out = [firsts, internals, terminals, singles]
+    if recursive is not None:
+        d = donors.where(F.col("right_score") > recursive[0]).withColumn("left_pos", F.col("right_pos") + 1)
+        a = of("acceptor").where(F.col("score") > recursive[1]).select(*BY, F.col("pos").alias("left_pos"), F.col("score").alias("left_score"), F.col("cls").alias("left_cls"))
+        met = a.join(d, [*BY, "left_pos"]).select("*", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("frame"))
+        out.append(_exons(met, "RSS", F.col("frame"), F.col("frame")))
+    if orfs:
+        w = W.partitionBy(*BY, F.pmod(F.col("stop"), F.lit(3))).orderBy("stop")
+        two = stops.withColumns({"right_pos": F.lead("stop").over(w), "right_score": F.lead("stop_score").over(w)}).where(F.col("right_pos") + 3 - F.col("stop") + 1 >= LEAST_SINGLE)
+        two = two.select(*BY, F.col("stop").alias("left_pos"), "right_pos", F.col("stop_score").alias("left_score"), "right_score", plain, F.lit(0).alias("right_cls"))
+        out.append(_exons(two, "ORF", F.lit(0), F.lit(0)))
+    return reduce(DataFrame.unionByName, out)
 
 
 def scored(exons: DataFrame, frags: DataFrame, iso: Isochore | list[Isochore], bins: DataFrame | None = None, unset: float = 0.0, flank: int = 0) -> DataFrame:
@@ -84,12 +103,13 @@ def scored(exons: DataFrame, frags: DataFrame, iso: Isochore | list[Isochore], b
         out = F
         for k, one in enumerate(isos):
             for i, kind in enumerate(TYPES):
-                out = out.when((F.col("isochore") == k) & (F.col("type") == kind), one.values[name][i])
+                out = out.when((F.col("isochore") == k) & F.col("type").isin(kind, *[x for x, y in LIKE.items() if y == kind]), one.values[name][i])
             out = out.when(F.col("isochore") == k, one.values[name][-1])  # untranslated exons: a fifth value, else that of single ones
         return out
 
-    coding, back = F.col("type").isin(*TYPES), F.col("strand") == "-"
-    out = coding_potentials(exons, frags, isos).withColumn("potential", F.when(coding, F.col("potential")).otherwise(0.0)).where(~coding | (F.col("potential") >= by_type("Coding_cutoff_oligos")))
+    coding, back = F.col("type").isin(*TYPES, *LIKE), F.col("strand") == "-"
+    empty = reduce(lambda c, k: c.when(F.col("isochore") == k, isos[k].values.get("RSS_Markov_Score", [0.0])[0]), range(len(isos)), F)
+    out = coding_potentials(exons, frags, isos).withColumn("potential", F.when(F.col("type") == "RSS", empty).when(coding, F.col("potential")).otherwise(0.0)).where(~coding | (F.col("potential") >= by_type("Coding_cutoff_oligos")))
     left, right = F.col("left_score"), F.col("right_score")
     ends = F.when(F.col("type").isin(*BEFORE_START), F.when(back, right).otherwise(left)).when(F.col("type").isin(*BEHIND_STOP), F.when(back, left).otherwise(right)).otherwise(left + right)
     total = by_type("Site_factor") * ends + by_type("Exon_factor") * F.col("potential")
@@ -113,7 +133,7 @@ def placed(exons: DataFrame, lengths: DataFrame) -> DataFrame:
 
 #: Order of elements that begin at one base: types forwards, then backwards, then what is given.
 def _rank(type_, strand, given):
-    kinds = F.array(*[F.lit(t) for t in (*TYPES, *[k for k, *_ in U.KINDS])])
+    kinds = F.array(*[F.lit(t) for t in (*TYPES, *LIKE, *[k for k, *_ in U.KINDS])])
     return F.when(given == 1, 100).otherwise(F.array_position(kinds, type_) + F.when(strand == "-", 50).otherwise(0))
 
 
@@ -125,8 +145,8 @@ def elements(exons: DataFrame, lengths: DataFrame, given: DataFrame | None = Non
     """
     back = F.col("strand") == "-"
     # the stop codon belongs to the last exon; untranslated halves end before the start codon and begin behind the stop codon
-    begin = F.when(F.col("type").isin(*BEHIND_STOP), 4).otherwise(0)
-    end = F.when(F.col("type").isin("Terminal", "Single"), 3).when(F.col("type").isin(*BEFORE_START), -1).otherwise(0)
+    begin = F.when(F.col("type").isin(*BEHIND_STOP), 4).when(F.col("type") == "ORF", 1).otherwise(0)
+    end = F.when(F.col("type").isin("Terminal", "Single", "ORF"), 3).when(F.col("type").isin(*BEFORE_START), -1).otherwise(0)
     swap = lambda a, b: F.when(back, F.col(b)).otherwise(F.col(a))
     found = exons.withColumns({
         "left": F.col("lo") + 1 + F.when(back, -end).otherwise(begin), "right": F.col("hi") + 1 + F.when(back, -begin).otherwise(end), "kind": F.concat("type", "strand"), "need": swap("frame", "rest"), "give": swap("rest", "frame"),
@@ -177,14 +197,15 @@ def chain(exons: DataFrame, lengths: DataFrame, rules: list[Rule], given: DataFr
     return numbered(best)
 
 
-def candidates(sequences: DataFrame, p: Parameters, strands: str = "+-", fragment: int = FRAGMENT, overlap: int = OVERLAP, segments: DataFrame | None = None, mode: str = "best", minor: bool = True, utr: bool = False, flank: int = 0) -> DataFrame:
+def candidates(sequences: DataFrame, p: Parameters, strands: str = "+-", fragment: int = FRAGMENT, overlap: int = OVERLAP, segments: DataFrame | None = None, mode: str = "best", minor: bool = True, utr: bool = False, flank: int = 0, frags: DataFrame | None = None, recursive: bool = False, orfs: bool = False) -> DataFrame:
     """The scored exons of (locus, length, seq) on the sequence's coordinates, from fragments that each own their starts and acceptors;
     with ``segments`` of similarity or coverage (as read_homology) in their scores. Tracks belong to loci, so fragments need no share of them.
     ``minor``: scan for splice sites of the minor classes, too, where there are profiles.
     ``utr``: the segments are read coverage; splice sites are scored by its edges as well (those that fall below their cutoff aren't looked for), and
-    untranslated exons are built from its beginnings and ends.
+    untranslated exons are built from its beginnings and ends. ``frags``: the fragments, where they come from a file
+    (sources.chromosomes) and ``sequences`` has lengths only.
     """
-    frags = fragments(sequences, fragment, overlap, strands)
+    frags = fragments(sequences, fragment, overlap, strands) if frags is None else frags
     found = scan_sites(frags, p.isochores, minor)
     lengths = sequences.select("locus", "length")
     bins = None
@@ -192,7 +213,9 @@ def candidates(sequences: DataFrame, p: Parameters, strands: str = "+-", fragmen
         bins = kept(tracks(on_strand(segments, lengths), "cover" if utr else mode, p.no_score, logs=utr), "tracks")
     sites = owned(found.dropDuplicates([*BY, "kind", "pos", "cls"]), frags, overlap)
     sites = kept(U.with_edges(sites, bins, lengths) if utr else sites, "sites")  # each kind is read several times
-    exons = build(sites, max(iso.donors for iso in p.isochores))
+    values = p.isochores[0].values
+    least = tuple(values.get(k, [x])[0] for k, x in zip(("RSS_Donor_Score_Cutoff", "RSS_Acceptor_Score_Cutoff"), RECURSIVE, strict=True))
+    exons = build(sites, max(iso.donors for iso in p.isochores), least if recursive else None, orfs)
     if utr:
         spans = frags.select(*BY, "l1", "l2")
         ends = U.termini(bins, lengths, sites).join(spans, ["locus", "strand"]).where("pos between l1 and l2").select(*BY, "kind", "pos", F.col("score").cast("float").alias("score"), F.lit(0).alias("cls"))
@@ -207,11 +230,15 @@ def thresholds(p: Parameters) -> tuple[float, float]:
     return tuple(values.get(k, [x])[0] for k, x in zip(("U12_Splice_Score_Threshold", "U12_Exon_Score_Threshold"), MINOR, strict=True))
 
 
-def predict(sequences: DataFrame, p: Parameters, strands: str = "+-", fragment: int = FRAGMENT, overlap: int = OVERLAP, evidence: DataFrame | None = None, segments: DataFrame | None = None, mode: str = "best", minor: bool = True, utr: bool = False, flank: int = 0) -> DataFrame:
+def predict(sequences: DataFrame, p: Parameters, strands: str = "+-", fragment: int = FRAGMENT, overlap: int = OVERLAP, evidence: DataFrame | None = None, **options) -> DataFrame:
     """Exons of the predicted genes of (locus, length, seq): GFF coordinates in start and end_. ``evidence`` (as read_evidence) takes part
-    in the chains of its loci, ``segments`` (as read_homology) in the scores of exons."""
-    lengths = sequences.select("locus", "length")
+    in the chains of its loci; other options are those of ``candidates``."""
+    return assembled(candidates(sequences, p, strands, fragment, overlap, **options), sequences.select("locus", "length"), p, evidence)
+
+
+def assembled(exons: DataFrame, lengths: DataFrame, p: Parameters, evidence: DataFrame | None = None) -> DataFrame:
+    """The best chains of scored exons (as ``candidates``) and evidence."""
     given = None if evidence is None else from_evidence(evidence, p.rules).join(lengths.select("locus"), "locus", "left_semi")
-    out = chain(candidates(sequences, p, strands, fragment, overlap, segments, mode, minor, utr, flank), lengths, p.rules, given, thresholds(p))
+    out = chain(exons, lengths, p.rules, given, thresholds(p))
     # printed ends: the stop codon belongs to the last exon
     return out.withColumns({"start": F.col("left"), "end_": F.col("right")})

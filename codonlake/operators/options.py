@@ -31,6 +31,10 @@ class Options:
     single_gene: bool = False
     predict_only: bool = False  # no assembly
     assemble: str | None = None  # a file of exons instead of a prediction
+    minor: bool = False  # scan for the minor splice classes
+    recursive: bool = False  # exons of no bases at recursive splice sites
+    orfs: bool = False  # what lies between two stops
+    flank: int = 0  # bases on either side whose mean coverage is background
 
     def check(self) -> Options:
         writes = bool(self.sites or self.exons or self.introns)

@@ -14,6 +14,7 @@ from codonlake.operators import exons as X
 from codonlake.operators.signals import fragments, motif_sites, scan
 from codonlake.plans.signals import _BASE, _SEQ, CUTOFF, FRAGMENT, OVERLAP, WEIGHTS, sequences
 from codonlake.sources import formats
+from codonlake.sources.chromosomes import read_fragments
 from codonlake.sources.params import Profile
 from codonlake.sources.scratch import scratch_path
 
@@ -25,6 +26,14 @@ def fasta_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formats.read_fasta(spark, path).select("locus", "length", F.md5(F.col("seq").cast("binary")).alias("digest"))
 
 
+def fasta_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same file read as overlapping fragments, no sequence held whole: ends and bases of each."""
+    path = scratch_path(spark, "fasta")
+    formats.write_fasta(sequences(spark, sf_dir).select(F.col("doc_id").cast("string").alias("locus"), "seq"), path)
+    found = read_fragments(spark, path, FRAGMENT, OVERLAP, "+")
+    return found.select(F.col("locus").cast("long").alias("doc_id"), F.col("frag").alias("fragment"), "l1", "l2", F.md5(F.col("seq").cast("binary")).alias("digest"))
+
+
 def _written(lines: DataFrame, name: str) -> str:
     path = scratch_path(lines.sparkSession, name)
     lines.write.text(path)
@@ -130,6 +139,7 @@ _BUILT = _W4 + """, t AS (SELECT doc_id, CASE WHEN kind = 'stop' THEN pos - 1 EL
 
 ORACLES = {
     "fasta_round_trip": f"WITH {_SEQ} SELECT CAST(doc_id AS VARCHAR) AS locus, length(seq) AS length, md5(seq) AS digest FROM seqs",
+    "fasta_fragments": f"WITH {_SEQ}, q AS (SELECT doc_id, seq, unnest(range(greatest(0, (length(seq) - 1 - {OVERLAP}) // {FRAGMENT - OVERLAP}) + 1)) AS fragment FROM seqs WHERE seq <> '') SELECT doc_id, fragment, fragment * {FRAGMENT - OVERLAP} AS l1, least(fragment * {FRAGMENT - OVERLAP} + {FRAGMENT}, length(seq)) - 1 AS l2, md5(substr(seq, fragment * {FRAGMENT - OVERLAP} + 1, {FRAGMENT})) AS digest FROM q",
     "evidence_scan": f"""WITH o AS (SELECT o_orderkey AS k, CAST(o_custkey AS VARCHAR) AS locus, o_orderstatus AS s, {_D} AS start FROM orders WHERE o_orderstatus IN ('F', 'O')),
  f AS (SELECT *, unnest(CASE WHEN s = 'F' THEN ['Internal'] ELSE ['Intron', 'UTR_5prime_Intron', 'UTR_3prime_Intron'] END) AS feature FROM o), g AS (SELECT *, unnest(CASE WHEN k % 4 = 0 THEN [0, 1, 2] ELSE [k % 3] END) AS fr FROM f)
  SELECT locus, feature, start, start + k % 50 AS stop, CASE WHEN k % 5 = 0 THEN 10000.0 ELSE 2.0 * (k % 1000) + 1 END::DOUBLE AS score, CASE WHEN k % 2 = 0 THEN '+' ELSE '-' END AS strand,

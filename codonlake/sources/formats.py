@@ -45,14 +45,16 @@ def write_fasta(rows: DataFrame, path: str, name: str = "locus", seq: str = "seq
     rows.select(F.concat(F.lit(">"), F.col(name), F.lit("\n"), wrapped).alias("value")).write.text(path)
 
 
-def _gff(spark: SparkSession, path: str) -> DataFrame:
+def _gff(spark: SparkSession, path: str, numbered: bool = False) -> DataFrame:
     """Lines of a tab-separated annotation file but comments and blank ones; one of less than eight columns is an error."""
     line = spark.read.text(path).where(~F.col("value").rlike(r"^\s*(#|$)"))
     parts = F.split("value", "\t")
     c = F.when(F.size(parts) >= 8, parts).otherwise(F.raise_error(F.concat(F.lit("fewer than eight columns: "), F.col("value"))).cast("array<string>"))
     names = ("locus", "source", "feature", "start", "end", "score", "strand", "frame")
     cols = [c[i].alias(n) for i, n in enumerate(names)]
-    return line.select(*cols, F.trim(F.coalesce(F.get(c, F.lit(8)), F.lit(""))).alias("attributes"))
+    # splits of a file are numbered in their order, lines within each
+    order = [F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("ord")] if numbered else []
+    return line.select(*order, *cols, F.trim(F.coalesce(F.get(c, F.lit(8)), F.lit(""))).alias("attributes"))
 
 
 def _frames(frame: Column) -> Column:
@@ -60,14 +62,15 @@ def _frames(frame: Column) -> Column:
     return F.when(frame == ".", F.array(F.lit(0), F.lit(1), F.lit(2))).otherwise(F.array(frame.try_cast("int")))
 
 
-def read_evidence(spark: SparkSession, path: str, kinds: list[str] | None = None, factor: float = 1.0, weight: float = 0.0, lo: int | None = None, hi: int | None = None, strands: str = "+-") -> DataFrame:
-    """Rows (locus, feature, start, end, score, strand, frame, group, donor, acceptor) of annotations that serve as evidence.
+def read_evidence(spark: SparkSession, path: str, kinds: list[str] | None = None, factor: float = 1.0, weight: float = 0.0, lo: int | None = None, hi: int | None = None, strands: str = "+-", numbered: bool = False) -> DataFrame:
+    """Rows (locus, feature, start, end, score, strand, frame, group, donor, acceptor) of annotations that serve as evidence; ``numbered``: also ord, the order of lines.
 
     A score of "." is FORCED, another one is ``factor * score + weight``; a frame of "." gives three
     rows; introns also give rows of their two UTR kinds, with frame and remainder swapped. Region,
     strands and kinds cut rows before they multiply.
     """
-    g = _gff(spark, path).where(F.col("strand").isin(*strands))
+    g = _gff(spark, path, numbered).where(F.col("strand").isin(*strands))
+    extra = ["ord"] if numbered else []
     g = g.withColumns({"start": F.col("start").cast("long"), "end": F.col("end").cast("long")})
     if lo is not None:
         g = g.where(F.col("start") >= lo)
@@ -80,8 +83,8 @@ def read_evidence(spark: SparkSession, path: str, kinds: list[str] | None = None
     score = F.when(F.col("score") == ".", F.lit(FORCED)).otherwise(F.col("score").cast("double") * factor + weight)
     group = F.when(F.col("attributes").isin("", "."), F.lit(NO_GROUP)).otherwise(F.coalesce(pick("Parent"), F.when(F.col("attrs").isNull(), F.col("attributes")), F.lit(NO_GROUP)))
     own = F.when(F.col("feature") == "Intron", F.array(F.lit("Intron"), F.lit("UTR_5prime_Intron"), F.lit("UTR_3prime_Intron"))).otherwise(F.array("feature"))
-    out = g.withColumn("attrs", attrs).select("locus", F.explode(own).alias("feature"), "start", "end", score.cast("float").alias("score"), "strand", _frames(F.col("frame")).alias("frames"), group.alias("group"), F.coalesce(pick("donor"), F.lit("U2")).alias("donor"), F.coalesce(pick("acceptor"), F.lit("U2")).alias("acceptor"))
-    out = out.select("locus", "feature", "start", "end", "score", "strand", F.explode("frames").alias("frame"), "group", "donor", "acceptor")
+    out = g.withColumn("attrs", attrs).select(*extra, "locus", F.explode(own).alias("feature"), "start", "end", score.cast("float").alias("score"), "strand", _frames(F.col("frame")).alias("frames"), group.alias("group"), F.coalesce(pick("donor"), F.lit("U2")).alias("donor"), F.coalesce(pick("acceptor"), F.lit("U2")).alias("acceptor"))
+    out = out.select(*extra, "locus", "feature", "start", "end", "score", "strand", F.explode("frames").alias("frame"), "group", "donor", "acceptor")
     utr = F.col("feature").startswith("UTR_") & F.col("feature").endswith("_Intron")
     return out.withColumns({"remainder": F.when(utr, F.col("frame")), "frame": F.when(utr, F.pmod(3 - F.col("frame"), F.lit(3))).otherwise(F.col("frame"))})
 
