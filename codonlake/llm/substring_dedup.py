@@ -490,7 +490,13 @@ def _verify(docs: DataFrame, met: DataFrame, name: str) -> DataFrame:
 
 def _unsettled(rest: DataFrame, found: DataFrame, *ats: str) -> DataFrame:
     """The rows of ``rest`` none of whose shingles ``ats`` is in a passage of ``found``."""
-    spans = found.groupBy(F.col("doc_id").alias("doc")).agg(F.collect_list(F.struct(F.col("first_word").alias("p"), (F.col("last_word") - (SHINGLE - 1)).alias("q"))).alias("spans"))
+    # passages of a document overlap (one for each first text): laid together they are few
+    own = found.select(F.col("doc_id").alias("doc"), F.col("first_word").alias("p"), (F.col("last_word") - (SHINGLE - 1)).alias("q")).distinct()
+    order = W.partitionBy("doc").orderBy("p", "q")
+    starts = F.coalesce(F.col("p") > F.max("q").over(order.rowsBetween(W.unboundedPreceding, -1)) + 1, F.lit(True))
+    islands = own.withColumn("new", starts.cast("int")).withColumn("part", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    laid = islands.groupBy("doc", "part").agg(F.min("p").alias("p"), F.max("q").alias("q"))
+    spans = laid.groupBy("doc").agg(F.collect_list(F.struct("p", "q")).alias("spans"))
     inside = F.exists("spans", lambda s: functools.reduce(Column.__or__, [(s["p"] <= _place(F.col(c))) & (_place(F.col(c)) <= s["q"]) for c in ats]))
     return rest.join(spans, "doc", "left").where(~F.coalesce(inside, F.lit(False))).drop("spans")
 
