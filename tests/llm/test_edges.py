@@ -414,3 +414,14 @@ def test_pipeline_stages_with_odd_rows(spark, sf):
     assert stages["byte_bpe"](spark, docs, sf).count() == len(rows)
     for name, stage in C.STAGES:
         assert stage(spark, docs.limit(0), sf).count() == 0, name
+
+
+def test_windows_in_passages_that_overlap(spark):
+    """Passages of a document are laid together before windows are held against them; each place is as if they weren't."""
+    rng = np.random.default_rng(12)
+    found = [(int(d), int(a), int(a + n + substring_dedup.SHINGLE - 1)) for d, a, n in zip(rng.integers(0, 4, 60), rng.integers(0, 400, 60), rng.integers(0, 30, 60), strict=True)]
+    rows = [(d, at << 12, (at + 7) << 12) for d in range(5) for at in range(0, 440, 3)]
+    spans = spark.createDataFrame(found, "doc_id long, first_word int, last_word int")
+    left = substring_dedup._unsettled(spark.createDataFrame(rows, "doc long, at long, by long"), spans, "at", "by")
+    inside = lambda d, at: any(x == d and p <= at >> 12 <= q - substring_dedup.SHINGLE + 1 for x, p, q in found)
+    assert sorted(map(tuple, left.collect())) == sorted(r for r in rows if not inside(r[0], r[1]) and not inside(r[0], r[2]))
