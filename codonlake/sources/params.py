@@ -132,3 +132,61 @@ def parse(text: str, blanks_block: bool = True) -> Parameters:
 def read(path: str, blanks_block: bool = True) -> Parameters:
     with open(path, encoding="latin-1") as f:
         return parse(f.read(), blanks_block)
+
+
+def _word(number: int, k: int) -> str:
+    out = ""
+    for _ in range(k):
+        out, number = "ACGT"[number % 4] + out, number // 4
+    return out
+
+
+def _four(table: np.ndarray, k: int) -> np.ndarray:
+    """The part of a table over words of ACGTN (last axis) that is over words of ACGT."""
+    t = table.reshape(*table.shape[:-1], *[5] * k)
+    return t[(..., *[slice(0, 4)] * k)].reshape(*table.shape[:-1], 4**k)
+
+
+def _short(x: float) -> str:
+    return repr(float(np.float32(x))) if x != int(x) else str(int(x))
+
+
+def rule_line(r: Rule) -> str:
+    return f"{':'.join(sorted(r.up))} {':'.join(sorted(r.down))} {r.least}:{'Infinity' if r.most is None else r.most}{' block' if r.block else ''}"
+
+
+def text(p: Parameters) -> str:
+    """A parameter file that ``parse`` reads back as ``p``."""
+    out = ["NO_SCORE", _short(p.no_score), "number_of_isochores", str(len(p.isochores))]
+    for iso in p.isochores:
+        out += ["boundaries_of_isochore", f"{iso.low} {iso.high}"]
+        for name, values in iso.values.items():
+            out += [name, " ".join(map(_short, values))]
+        for name, f in iso.profiles.items():
+            k = f.order + 1
+            out += [name, " ".join([str(f.dimension), str(f.offset), _short(f.cutoff), str(f.order), _short(f.a), _short(f.b), *map(_short, f.extra)])]
+            out += [f"{i + 1} {_word(w, k)} {_short(x)}" for i, row in enumerate(_four(f.weights, k)) for w, x in enumerate(row.tolist())]
+        out += ["Markov_order", str(iso.word)]
+        for name, table, k in (("Initial", iso.initial, iso.word), ("Transition", iso.transition, iso.word + 1)):
+            out += [name, *[f"{_word(w, k)} {w} {f} {_short(x)}" for w in range(4**k) for f, x in enumerate(table[:, w].tolist())]]
+        out += ["Donors_per_acceptor", str(iso.donors)]
+    return "\n".join([*out, "General_Gene_Model", *map(rule_line, p.rules)]) + "\n"
+
+
+def grafted(p: Parameters, other: Parameters) -> Parameters:
+    """``p`` with the profiles and values of the minor splice classes of ``other``, isochore by isochore (the last one for further ones); its own stay."""
+    out = []
+    for i, iso in enumerate(p.isochores):
+        of = other.isochores[min(i, len(other.isochores) - 1)]
+        mine = {k: v for k, v in iso.profiles.items() if not k.startswith("U12")}
+        theirs = {k: v for k, v in of.profiles.items() if k.startswith("U12")}
+        # acceptors and branch points stand before the acceptor profile, donors before the donor profile
+        profiles: dict[str, Profile] = {}
+        for name, f in mine.items():
+            kind = "Acceptor" if name == "Acceptor_profile" else "Donor" if name == "Donor_profile" else None
+            if kind:
+                profiles |= {k: v for k, v in theirs.items() if (k.endswith("Donor_profile")) == (kind == "Donor")}
+            profiles[name] = f
+        values = iso.values | {k: v for k, v in of.values.items() if k.startswith("U12")}
+        out.append(Isochore(iso.low, iso.high, values, profiles, iso.word, iso.initial, iso.transition, iso.donors))
+    return Parameters(p.no_score, out, p.rules)
