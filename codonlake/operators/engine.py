@@ -73,11 +73,15 @@ class Run:
         return assembled(replace_exons(self), self.sequences.select("locus", "length"), self.parameters, given)
 
     def report(self, source: str = "codonlake") -> DataFrame:
-        """The ordered GFF3 report (report.lines)."""
+        """The ordered report in the format asked for: rows (report.PLACE, value)."""
         o = self.options
         if o.predict_only:
             raise ValueError("a prediction without assembly has no genes to write")
         genes = kept(self.genes(), "genes")
+        if o.format == "xml":
+            return report.xml_lines(genes, self.sequences, source, o.prefix, o.proteins, o.coding, o.transcripts)
+        if o.format in ("text", "gff2"):
+            return report.plain_lines(genes, self.sequences, source, o.prefix, o.format == "gff2")
         return report.lines(genes, self.sequences, source, o.prefix, o.introns, o.proteins, o.coding, o.transcripts)
 
 

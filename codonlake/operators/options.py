@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from codonlake.operators.chains import Rule
 
-FORMATS = ("text", "gff2", "gff3", "extended", "xml")
+FORMATS = ("text", "gff2", "gff3", "xml")
 
 
 @dataclass(frozen=True)

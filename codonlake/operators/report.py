@@ -121,6 +121,68 @@ def lines(exons: DataFrame, sequences: DataFrame, source: str = "codonlake", pre
     return reduce(DataFrame.unionByName, out)
 
 
+def _ends(strand: Column) -> tuple[Column, Column]:
+    """Names of the left and right sites of an exon on the sequence, by its type: fixed names."""
+    first = F.when(F.col("type").isin("First", "Single"), "Start").otherwise("Acceptor")
+    last = F.when(F.col("type").isin("Terminal", "Single"), "Stop").otherwise("Donor")
+    back = strand == "-"
+    return F.when(back, last).otherwise(first), F.when(back, first).otherwise(last)
+
+
+def plain_lines(exons: DataFrame, sequences: DataFrame, source: str = "codonlake", prefix: str = "", gff2: bool = False) -> DataFrame:
+    """Rows (PLACE, value): a line for each exon, in the default text (type, ends, score, strand, frame, remainder, both sites, coding
+    potential, similarity, amino acids) or as GFF of the second version; genes have a line of comment."""
+    gene_id = F.concat(F.lit(f"{prefix}-" if prefix else ""), F.col("locus"), F.lit("_"), F.col("gene").cast("string"))
+    e = placed_in_genes(exons)
+    back = F.col("strand") == "-"
+    homology = F.coalesce(F.col("homology"), F.lit(0.0)) if "homology" in exons.columns else F.lit(0.0)
+    lo, hi = F.when(back, F.col("right_score")).otherwise(F.col("left_score")), F.when(back, F.col("left_score")).otherwise(F.col("right_score"))
+    score = lambda c: c.cast("double")
+    if gff2:
+        tag = F.lit(source + (f"-{prefix}" if prefix else ""))
+        line = F.concat_ws("\t", "locus", tag, "type", F.col("start").cast("string"), F.col("end_").cast("string"), _two("score"), "strand", F.col("frame").cast("string"), gene_id)
+    else:
+        line = F.format_string("%8s %8d %8d\t%5.2f\t%s %d %d\t%5.2f\t%5.2f\t%5.2f\t%5.2f\tAA %3d:%3d %s", "type", "start", "end_", score(F.col("score")), "strand", F.col("frame"), (3 - F.col("rest")) % 3, score(lo), score(hi), score(F.col("potential")), score(homology), "aa1", "aa2", gene_id)
+    lines_ = e.select("locus", F.lit(1).alias("section"), F.col("gene").cast("long").alias("gene"), F.col("start").cast("long").alias("at"), F.lit(1).alias("sub"), line.alias("value"))
+    head = lines(exons, sequences, source, prefix, proteins=False, cds=False, transcripts=False).where("(section = 0 and sub = 1) or (section = 1 and at = 0 and sub = 0)")
+    top = sequences.select("locus", F.lit(0).alias("section"), F.lit(0).cast("long").alias("gene"), F.lit(0).cast("long").alias("at"), F.lit(0).alias("sub"), F.concat(F.lit("# Sequence "), "locus", F.lit(" - Length = "), F.col("length").cast("string"), F.lit(" bps")).alias("value"))
+    return top.unionByName(head).unionByName(lines_)
+
+
+def xml_lines(exons: DataFrame, sequences: DataFrame, source: str = "codonlake", prefix: str = "", proteins: bool = True, cds: bool = True, transcripts: bool = True) -> DataFrame:
+    """Rows (PLACE, value) of predictions as XML: genes with exons, their two sites and the sequences that are asked for."""
+    id_ = F.concat(F.lit(prefix), F.col("locus"), F.lit(".G"), F.col("gene").cast("string"))
+    quoted = lambda name, c: F.concat(F.lit(f'{name}="'), c.cast("string"), F.lit('"'))
+    e = placed_in_genes(exons)
+    texts = sequences_of(exons, sequences)
+    back = F.col("strand") == "-"
+    g = e.groupBy("locus", "gene", "strand").agg(F.count("*").alias("k"), F.sum(F.col("score").cast("double")).alias("score"))
+    total = g.groupBy("locus").agg(F.count("*").alias("genes"), F.sum("score").alias("score"))
+    head = sequences.select("locus", "length").join(total, "locus", "left").withColumns({"gene": F.lit(0), "genes": F.coalesce("genes", F.lit(0)), "score": F.coalesce("score", F.lit(0.0))})
+    row = lambda df, section, at, sub, value: df.select("locus", F.lit(section).alias("section"), F.col("gene").cast("long").alias("gene"), at.cast("long").alias("at"), F.lit(sub).alias("sub"), value.alias("value"))
+    join = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    zero, end = F.lit(0), F.lit(1 << 60)
+    left, right = _ends(F.col("strand"))
+    lo, hi = F.when(back, F.col("right_score")).otherwise(F.col("left_score")), F.when(back, F.col("left_score")).otherwise(F.col("right_score"))
+    exon = F.concat(id_, F.lit("E"), F.col("number").cast("string"))
+    site = lambda k, kind, at, score: join('         <site idSite="', exon, f'S{k}" type="', kind, '" position="', at.cast("string"), '" score="', _two(score), '" />')
+    out = [
+        row(head, 0, zero, 0, join("<prediction ", quoted("locus", F.col("locus")), " ", quoted("length", F.col("length")), f' source="{source}" ', quoted("genes", F.col("genes")), ' score ="', _two("score"), '">')),
+        row(head, 2, zero, 0, F.lit("</prediction>")),
+        row(g, 1, zero, 0, join('   <gene idGene="', id_, '" strand ="', F.when(back, "rvs").otherwise("fwd"), '" exons="', F.col("k").cast("string"), '" score="', _two("score"), '">')),
+        row(e, 1, F.col("start"), 0, join('      <exon idExon="', exon, '" type="', F.col("type"), '" frame="', F.col("frame").cast("string"), '" score="', _two("score"), '">')),
+        row(e, 1, F.col("start"), 1, site(1, left, F.col("start"), lo)),
+        row(e, 1, F.col("start"), 2, site(2, right, F.col("end_"), hi)),
+        row(e, 1, F.col("start"), 3, F.lit("      </exon>")),
+        row(g, 1, end, 9, F.lit("   </gene>")),
+    ]
+    for k, (name, want, c, kind) in enumerate((("tDNA", transcripts, "transcript", "transcript"), ("cDNA", cds, "cds", "CDS"), ("protein", proteins, "protein", "protein"))):
+        if want:
+            body = F.regexp_replace(F.col(c), f"(.{{{WIDTH}}})(?!$)", "$1\n")
+            out.append(row(texts.where(F.length(c) > 0), 1, end, k, join(f'      <{name} length="', F.length(c).cast("string"), f'">\n>{source}_predicted_{kind}_', F.col("locus"), "_", F.col("gene").cast("string"), "\n", body, f"\n      </{name}>")))
+    return reduce(DataFrame.unionByName, out)
+
+
 def write(rows: DataFrame, path: str) -> None:
     """The report as text files that follow each other in order."""
     rows.repartitionByRange(*PLACE).sortWithinPartitions(*PLACE).select("value").write.text(path)

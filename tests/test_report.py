@@ -88,3 +88,28 @@ def test_known_report(spark):
     source = next(x.split("\t")[1] for x in want if x.count("\t") == 8)
     got = [x for r in P.lines(exons, seqs, source).orderBy(*P.PLACE).collect() for x in r.value.split("\n")]
     assert [x for x in got if x] == [x for x in want if x and not x.startswith(("##gff", "# source", "# date"))]
+
+
+def test_plain_and_gff2(small):
+    _, exons, seqs = small
+    text = [r.value for r in P.plain_lines(exons, seqs, "made").orderBy(*P.PLACE).collect()]
+    assert text[0] == "# Sequence a - Length = 600 bps" and text[2].startswith("# Gene 1 (Forward). 3 exons. 9 aa.")
+    assert text[3] == "Internal       11       27\t 1.50\t+ 1 2\t 1.00\t 2.00\t 2.25\t 0.00\tAA   1:  6 a_1"
+    assert text[7] == "Terminal      101      130\t 0.50\t- 0 0\t 0.00\t 1.25\t 0.50\t 0.00\tAA   4: 13 a_2"
+    gff = [r.value for r in P.plain_lines(exons, seqs, "made", "p", gff2=True).orderBy(*P.PLACE).collect()]
+    assert gff[3] == "a\tmade-p\tInternal\t11\t27\t1.50\t+\t1\tp-a_1"
+
+
+def test_xml(small):
+    import xml.etree.ElementTree as X
+
+    _, exons, seqs = small
+    rows = P.xml_lines(exons, seqs, "made").orderBy(*P.PLACE).collect()
+    tree = X.fromstring("<all>" + "\n".join(r.value for r in rows) + "</all>")
+    a, none = tree.findall("prediction")
+    assert a.attrib == {"locus": "a", "length": "600", "source": "made", "genes": "2", "score": "6.00"} and none.attrib["genes"] == "0"
+    one, two = a.findall("gene")
+    assert [x.attrib["type"] for x in one.findall("exon/site")] == ["Acceptor", "Donor"] * 3
+    assert [(x.attrib["type"], x.attrib["position"], x.attrib["score"]) for x in two.findall("exon/site")] == [("Stop", "101", "0.00"), ("Acceptor", "130", "1.25"), ("Donor", "141", "6.00"), ("Start", "149", "5.00")]
+    texts = {r.gene: r for r in P.sequences_of(exons, seqs).collect()}
+    assert "".join(two.find("cDNA").text.strip().split("\n")[1:]) == texts[2].cds and two.find("protein").attrib["length"] == "13"
