@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from codonlake.operators.signals import digits, gc_percent, isochore_of, profile_scores, words
 from codonlake.sources.params import Isochore, Profile
@@ -177,3 +178,31 @@ def scan_sites(frags: DataFrame, isochores: list[Isochore], minor: bool = True,
             yield pa.record_batch([*[batch.column(j).take(row) for j in range(3)], *[x.take(fam) for x in by_family], column("pos", np.int64), column("score", np.float32), column("bp", np.float32), column("bp_at", np.int32), ppt, column("ppt_at", np.int32)], [c.split()[0] for c in SCHEMA.split(", ")])
 
     return frags.select("locus", "frag", "strand", "l1", "seq").mapInArrow(run, SCHEMA)
+
+
+#: A site that isn't found, and what sums and scores of a minor intron have to reach: fixed values.
+ABSENT, MINOR_SUM, MINOR_END = -100.0, 2.0, -1.0
+
+
+def classify(introns: DataFrame, sites: DataFrame, lengths: DataFrame) -> DataFrame:
+    """``introns`` (locus, strand, start, end_ from 1, on the sequence) with the best scores and subtypes of their ends among ``sites`` (scan_sites,
+    both strands, minor classes included), donor_type and acceptor_type (U2, U12 or unknown), and intron_type.
+
+    An intron whose usual scores sum up to more is U2; else it is U12 where the sum and both scores of the minor classes are high
+    enough, U2 where both ends are known, and non-canonical otherwise.
+    """
+    back = F.col("strand") == "-"
+    rows = introns.join(lengths.select("locus", "length"), "locus").withColumns({"__donor": F.when(back, F.col("length") - 1 - F.col("end_")).otherwise(F.col("start") - 2), "__acceptor": F.when(back, F.col("length") + 1 - F.col("start")).otherwise(F.col("end_"))})
+    for kind in ("donor", "acceptor"):
+        own = sites.where(F.col("kind") == kind).groupBy("locus", "strand", F.col("pos").alias(f"__{kind}"))
+        found = own.agg(*[best_of.alias(f"__{c}") for c, best_of in (("u2", F.max(F.when(F.col("cls") == 0, F.struct("score", "subtype")))), ("u12", F.max(F.when(F.col("cls") > 0, F.struct("score", "subtype")))))])
+        rows = rows.join(found, ["locus", "strand", f"__{kind}"], "left")
+        u2, u12 = (F.coalesce(F.col(f"__{c}.score").cast("double"), F.lit(ABSENT)) for c in ("u2", "u12"))
+        minor = (u12 > 0) & (u12 > u2)
+        rows = rows.withColumns({
+            f"u2_{kind}": u2, f"u12_{kind}": u12, f"{kind}_type": F.when(minor, "U12").when(u2 > ABSENT, "U2").otherwise("unknown"),
+            f"{kind}_subtype": F.when(minor, F.col("__u12.subtype")).when(u2 > ABSENT, F.col("__u2.subtype")).otherwise("unknown"),
+        }).drop("__u2", "__u12")
+    usual, minor = F.col("u2_donor") + F.col("u2_acceptor"), F.col("u12_donor") + F.col("u12_acceptor")
+    kind = F.when(usual > minor, "U2").when((minor >= MINOR_SUM) & (F.col("u12_donor") > MINOR_END) & (F.col("u12_acceptor") > MINOR_END), "U12").when((F.col("donor_type") != "unknown") & (F.col("acceptor_type") != "unknown"), "U2").otherwise("non-canonical")
+    return rows.withColumn("intron_type", kind).drop("__donor", "__acceptor", "length")

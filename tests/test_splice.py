@@ -142,3 +142,34 @@ def test_minor_introns_join_equal_classes(spark):
             assert x.rclass == y.lclass
             if x.rclass:
                 assert x.rscore + y.lscore > 5.0
+
+
+def test_introns_are_classified(spark):
+    """Ends on both strands, by the scores of the sites that lie there."""
+    p = minor_parameters()
+    seqs = spark.createDataFrame([("s", 1200, dna(1200, 77))], "locus string, length long, seq string")
+    sites = S.scan_sites(fragments(seqs), p.isochores).cache()
+    known: dict = {}
+    for r in sites.where("kind in ('donor', 'acceptor')").collect():
+        key = (r.strand, r.kind, r.pos, r.cls > 0)
+        known[key] = max(known.get(key, (-100.0, "")), (r.score, r.subtype))
+    rng = np.random.default_rng(6)
+    pick = lambda strand, kind: [k[2] for k in known if k[:2] == (strand, kind)]
+    rows = []
+    for strand in "+-":
+        for _ in range(60):
+            d, a = int(rng.choice(pick(strand, "donor"))), int(rng.choice(pick(strand, "acceptor")))
+            d, a = (d + int(rng.integers(0, 2)) * 3, a) if rng.random() < 0.3 else (d, a)
+            if d + 2 < a:
+                rows.append(("s", strand, d + 2, a) if strand == "+" else ("s", strand, 1200 + 1 - a, 1200 - 1 - d))
+    got = S.classify(spark.createDataFrame(sorted(set(rows)), "locus string, strand string, start long, end_ long"), sites, seqs).collect()
+    kinds = set()
+    for r in got:
+        d, a = (r.start - 2, r.end_) if r.strand == "+" else (1199 - r.end_, 1201 - r.start)
+        at = lambda kind, pos, minor: known.get((r.strand, kind, pos, minor), (-100.0, ""))[0]
+        u2, u12 = [at("donor", d, False), at("acceptor", a, False)], [at("donor", d, True), at("acceptor", a, True)]
+        types = ["U12" if y > 0 and y > x else "U2" if x > -100 else "unknown" for x, y in zip(u2, u12, strict=True)]
+        want = "U2" if sum(u2) > sum(u12) else "U12" if sum(u12) >= 2 and min(u12) > -1 else "U2" if "unknown" not in types else "non-canonical"
+        assert (r.donor_type, r.acceptor_type, r.intron_type) == (*types, want)
+        kinds.add(want)
+    assert {"U2", "U12"} <= kinds
