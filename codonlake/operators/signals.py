@@ -146,17 +146,19 @@ def isochore_of(gc: float, ranges: list[tuple[int, int]]) -> int:
     return next((i for i, (low, high) in enumerate(ranges) if low <= gc <= high), len(ranges) - 1)
 
 
-def scan(frags: DataFrame, profiles: dict[str, Profile] | list[tuple[int, int, dict[str, Profile]]]) -> DataFrame:
+def scan(frags: DataFrame, profiles: dict[str, Profile] | list[tuple[int, int, dict[str, Profile]]], once: int | None = None) -> DataFrame:
     """Rows (locus, frag, strand, kind, pos, score) of the sites that reach their profile's cutoff. Stops need a stop codon
     behind the last coding base and aren't rescaled; windows that begin before the fragment are left out. Of a list of
-    (low, high, profiles) those whose G+C range holds the fragment's percentage are used."""
+    (low, high, profiles) those whose G+C range holds the fragment's percentage are used. With ``once``, the overlap of fragments, a
+    window that the next fragment has whole is left to it, so each site comes up once and nothing is shuffled."""
     profiles = [(0, 100, profiles)] if isinstance(profiles, dict) else profiles
     shared = frags.sparkSession.sparkContext.broadcast(profiles)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            parts = []
             for i in range(batch.num_rows):
-                locus, frag, strand, l1, seq = (batch.column(k)[i].as_py() for k in range(5))
+                locus, frag, strand, l1, seq, length = (batch.column(k)[i].as_py() for k in range(6))
                 d = digits(seq.encode())
                 codon = words(d, 3, 5)
                 sets = shared.value
@@ -168,10 +170,14 @@ def scan(frags: DataFrame, profiles: dict[str, Profile] | list[tuple[int, int, d
                     if stop:
                         near = np.minimum(pos + 1, max(0, len(codon) - 1))
                         ok &= (pos + 1 < len(codon)) & np.isin(codon[near], [75, 77, 85])  # TAA, TAG and TGA in base 5 with T = 3: 75+0, 75+2, 75+10
+                    if once is not None and l1 + len(seq) < length:
+                        ok &= pos - p.offset < len(seq) - once
                     m = int(ok.sum())
-                    yield pa.record_batch([pa.array([locus] * m, pa.string()), pa.array([frag] * m, pa.int64()), pa.array([strand] * m, pa.string()), pa.array([kind] * m, pa.string()), pa.array(pos[ok] + l1, pa.int64()), pa.array(score[ok], pa.float32())], ["locus", "frag", "strand", "kind", "pos", "score"])
+                    parts.append(pa.record_batch([pa.array([locus] * m, pa.string()), pa.array([frag] * m, pa.int64()), pa.array([strand] * m, pa.string()), pa.array([kind] * m, pa.string()), pa.array(pos[ok] + l1, pa.int64()), pa.array(score[ok], pa.float32())], ["locus", "frag", "strand", "kind", "pos", "score"]))
+            if parts:  # one batch for all fragments and kinds
+                yield from pa.Table.from_batches(parts).combine_chunks().to_batches()
 
-    return frags.select("locus", "frag", "strand", "l1", "seq").mapInArrow(run, "locus string, frag long, strand string, kind string, pos long, score float")
+    return frags.select("locus", "frag", "strand", "l1", "seq", "length").mapInArrow(run, "locus string, frag long, strand string, kind string, pos long, score float")
 
 
 class CodingTrack:

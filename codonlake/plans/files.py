@@ -97,8 +97,8 @@ def strand_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profile sites of both strands, scanned in fragments: each site once, in places of its strand."""
     seqs = sequences(spark, sf_dir).select(F.col("doc_id").cast("string").alias("locus"), F.length("seq").cast("long").alias("length"), "seq")
     frags = fragments(seqs, FRAGMENT, OVERLAP)
-    found = scan(frags, {"site": Profile(6, 0, CUTOFF + 4, 0, weights=np.array(WEIGHTS, np.float32))})
-    return found.select(F.col("locus").cast("long").alias("doc_id"), "strand", "pos", F.col("score").cast("long").alias("score")).distinct()
+    found = scan(frags, {"site": Profile(6, 0, CUTOFF + 4, 0, weights=np.array(WEIGHTS, np.float32))}, once=OVERLAP)
+    return found.select(F.col("locus").cast("long").alias("doc_id"), "strand", "pos", F.col("score").cast("long").alias("score"))
 
 
 MOST_DONORS = 4

@@ -55,9 +55,8 @@ def pwm_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of six whose summed weights reach the cutoff, by the engine's own scan (whole numbers, so sums are exact)."""
     seqs = sequences(spark, sf_dir).select(F.col("doc_id").cast("string").alias("locus"), F.length("seq").cast("long").alias("length"), "seq")
     profile = Profile(6, 0, CUTOFF, 0, weights=np.array(WEIGHTS, np.float32))
-    found = scan(fragments(seqs, FRAGMENT, OVERLAP, "+"), {"site": profile})
-    # a window in an overlap is found in both fragments
-    return found.select(F.col("locus").cast("long").alias("doc_id"), "pos", F.col("score").cast("long").alias("score")).distinct()
+    found = scan(fragments(seqs, FRAGMENT, OVERLAP, "+"), {"site": profile}, once=OVERLAP)
+    return found.select(F.col("locus").cast("long").alias("doc_id"), "pos", F.col("score").cast("long").alias("score"))
 
 
 def gc_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
