@@ -15,7 +15,7 @@ from pyspark.sql.window import Window as W
 from codonlake.functions.dna import split_codon_left, split_codon_right
 from codonlake.operators import ranges as R
 from codonlake.operators import utr as U
-from codonlake.operators.chains import INTRONS, MINOR, Rule, linked, traced
+from codonlake.operators.chains import COLUMNS, INTRONS, MINOR, ChainState, Rule, linked, traced
 from codonlake.operators.signals import FRAGMENT, OVERLAP, coding_potentials, fragments, owned
 from codonlake.operators.splice import scan_sites
 from codonlake.operators.tracks import homology, on_strand, tracks
@@ -189,6 +189,21 @@ def numbered(chain_rows: DataFrame) -> DataFrame:
     return e.withColumn("gene", F.sum(new.cast("long")).over(w)).drop("__s", "__t")
 
 
+def best_genes(exons: list[tuple], length: int, rules: list[Rule]) -> list[int]:
+    """Indexes of the best chain, from left to right, of a few exons (strand, type, lo, hi, frame, rest, score, lvalue, rvalue) of one locus, by the kernel of ``chain``."""
+    rows = [(e[2] + 1, e[3] + 1, e[1] + e[0], e[6], *((e[5], e[4]) if e[0] == "-" else (e[4], e[5])), e[7], e[8], i) for i, e in enumerate(exons)]
+    rows += [(at, at, t + s, END_SCORE, 0, 0, 0, 0, -1) for t, at in (("Begin", 0), ("End", length + 1)) for s in "+-"]
+    rows.sort(key=lambda r: r[0])
+    named = dict(zip(("left", "right", "kind", "score", "need", "give", "lvalue", "rvalue"), map(list, zip(*rows, strict=True)), strict=False))
+    state = ChainState(rules)
+    _, before = state.feed({c: named.get(c, [default] * len(rows)) for c, default in COLUMNS.items()})
+    out, at = [], state.best[1] if state.best else None
+    while at is not None:
+        out.append(rows[at][-1])
+        at = before[at]
+    return [i for i in reversed(out) if i >= 0]
+
+
 def chain(exons: DataFrame, lengths: DataFrame, rules: list[Rule], given: DataFrame | None = None, minor: tuple[float, float] = MINOR) -> DataFrame:
     """The exons (and evidence) of the best chain of each locus with their gene's number. Elements stream through the state of their
     locus' chain, then backwards along it."""
