@@ -36,6 +36,12 @@ GRIDS = [[round(a * (b / a) ** (i / (STEPS - 1)), 4) for i in range(STEPS)] for
 STRATA = 3
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_shouts", "n_lines")
 P = "__quality_"
+#: Bits of a number that hold the place of a window, the others are its hash.
+SPOT_BITS = 22
+
+
+def _window_hash(w: str) -> str:
+    return f"xxhash64({w}[i], {w}[i + 1], {w}[i + 2], {w}[i + 3], {w}[i + 4])"
 
 
 def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -44,47 +50,59 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     one = docs.withColumns(
         {
             P + "words": F.array_remove(F.split(body, GAP), ""),
-            P + "lines": F.filter(F.split(body, "\n", -1), lambda x: F.length(F.regexp_replace(x, GAP, "")) > 0),
-            P + "n_symbols": F.regexp_count(body, F.lit("[#*$%&|<>]")).cast("long"),
-            P + "n_shouts": F.regexp_count(body, F.lit("[A-Z!]")).cast("long"),
+            P + "lines": F.filter(F.split(body, "\n", -1), lambda x: F.ltrim(x, F.lit(" \t\n\v\f\r")) != ""),
+            P + "n_symbols": F.length(F.regexp_replace(body, "[^#*$%&|<>]+", "")).cast("long"),
+            P + "n_shouts": F.length(F.regexp_replace(body, "[^A-Z!]+", "")).cast("long"),
         }
     )
-    w = P + "words"
+    w, h, d, s = (P + c for c in ("words", "hashes", "again", "sorted"))
+    spot, windows = (1 << SPOT_BITS) - 1, f"sequence(0, size({w}) - 5)"
     two = one.withColumns(
         {
             P + "n_words": F.size(w).cast("long"),
             P + "word_chars": F.length(F.array_join(w, "")).cast("long"),
             P + "n_lines": F.size(P + "lines").cast("long"),
             P + "n_dup_lines": (F.size(P + "lines") - F.size(F.array_distinct(P + "lines"))).cast("long"),
-            # windows of five words
-            P + "hashes": F.expr(
-                f"if(size({w}) < 5, cast(array() as array<bigint>), transform(sequence(0, size({w}) - 5), i -> xxhash64({w}[i], {w}[i + 1], {w}[i + 2], {w}[i + 3], {w}[i + 4])))"
+            # windows of five words as plain numbers, which sort without objects: bits of a hash, then the place
+            h: F.expr(
+                f"if(size({w}) < 5, cast(array() as array<bigint>), sort_array(transform({windows}, i -> ({_window_hash(w)} & {~spot}L) | (cast(i as bigint) & {spot}L))))"
             ),
         }
     )
     # equal windows have equal hashes: where all hashes differ nothing repeats
-    h = P + "hashes"
+    same = f"(shiftright({{a}}, {SPOT_BITS}) = shiftright({{b}}, {SPOT_BITS}))"
+    before, after = same.format(a="x", b=f"{h}[i - 1]"), same.format(a="x", b=f"{h}[i + 1]")
     three = two.withColumn(
-        P + "sorted",
-        F.expr(f"if(size(array_distinct({h})) = size({h}), null, sort_array(transform({h}, (x, i) -> struct(x as h, array({w}[i], {w}[i + 1], {w}[i + 2], {w}[i + 3], {w}[i + 4]) as g, i as at))))"),
+        d,
+        F.expr(
+            f"if(size(filter({h}, (x, i) -> i > 0 and {before})) = 0, cast(array() as array<bigint>),"
+            f" filter({h}, (x, i) -> (i > 0 and {before}) or (i < size({h}) - 1 and {after})))"
+        ),
     ).drop(h)
-    s = P + "sorted"
-    same = "({a}.h = {b}.h and {a}.g = {b}.g)"
+    # a text in which windows share a hash but no words, or of more words than there are places, has its windows sorted whole
+    one_, other = (f"cast({d}[i{back}] & {spot}L as int)" for back in ("", " - 1"))
+    differ = " or ".join(f"{w}[{one_} + {k}] != {w}[{other} + {k}]" for k in range(5))
+    mixed = f"exists(sequence(0, size({d}) - 1), i -> i > 0 and {same.format(a=f'{d}[i]', b=f'{d}[i - 1]')} and ({differ}))"
     four = three.withColumn(
-        P + "places",
+        s,
         F.expr(
-            f"sort_array(transform(filter({s}, (x, i) -> coalesce(i > 0 and {same.format(a='x', b=f'{s}[i - 1]')}, false)"
-            f" or coalesce(i < size({s}) - 1 and {same.format(a='x', b=f'{s}[i + 1]')}, false)), x -> x.at))"
+            f"if(size({d}) > 0 and (size({w}) > {spot} or {mixed}),"
+            f" sort_array(transform({windows}, i -> struct(array({w}[i], {w}[i + 1], {w}[i + 2], {w}[i + 3], {w}[i + 4]) as g, i as at))), null)"
         ),
-    ).drop(s)
+    )
+    whole = f"filter({s}, (x, i) -> (i > 0 and x.g = {s}[i - 1].g) or (i < size({s}) - 1 and x.g = {s}[i + 1].g))"
+    five = four.withColumn(
+        P + "places",
+        F.expr(f"sort_array(if({s} is null, transform({d}, x -> cast(x & {spot}L as int)), transform({whole}, x -> x.at)))"),
+    ).drop(d, s)
     covered = F.expr(
         f"aggregate({P}places, named_struct('n', 0L, 'e', 0), (s, x) -> named_struct('n', s.n + (x + 5 - greatest(x, s.e)), 'e', x + 5), s -> s.n)"
     )
-    five = four.withColumn(P + "n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
+    six = five.withColumn(P + "n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
     # a generator is a fence: filters on the statistics must not be pushed down, which would put
     # the splitting of the text inside the lambdas over its words
     made = [P + c for c in STATS]
-    return five.select(*docs.columns, F.inline(F.array(F.struct(*made))).alias(*made))
+    return six.select(*docs.columns, F.inline(F.array(F.struct(*made))).alias(*made))
 
 
 def _ratio(over: str, under: str) -> Column:
@@ -124,13 +142,17 @@ def fit_cutoffs(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
 
     All labelled documents are counted.
     """
+    return _fit(with_statistics(docs.select("doc_id", "text")), labels, alpha, delta)
+
+
+def _fit(stats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """fit_cutoffs() of rows with a doc_id and STATS. Only ids and numbers meet the labels: no text is shuffled."""
     marked = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    held = docs.select("doc_id", "text").join(marked, "doc_id")
-    seen = with_statistics(held).where(~base_failed())
     # the first step at which any rule rejects: all tighter ones do, too
     values = _rule_values()
     first = F.least(*[F.size(F.filter(F.array(*[F.lit(c) for c in grid]), _reaches(values[r]))) for r, grid in enumerate(GRIDS)])
-    hits = seen.select(_stratum().alias("stratum"), "quality", first.alias("step"))
+    steps_of = stats.where(~base_failed()).select("doc_id", _stratum().alias("stratum"), first.alias("step"))
+    hits = steps_of.join(marked, "doc_id")
     side = lambda good: F.sum(F.when((F.col("quality") == 1) == good, 1).otherwise(0))
     counts = stash(hits.groupBy("stratum", "step").agg(side(True).alias("good"), side(False).alias("bad")), "counts")
     upto = W.partitionBy("stratum").orderBy("step").rowsBetween(W.unboundedPreceding, 0)
@@ -147,20 +169,31 @@ def fit_cutoffs(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
     return stash(best.select("stratum", cutoffs.alias("cutoffs")), "cutoffs")
 
 
-def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with STATS, ``base_failed`` and ``kept``, all after the prefix P."""
-    cutoffs = fit_cutoffs(docs, labels).select(F.col("stratum").alias(P + "stratum"), F.col("cutoffs").alias(P + "cutoffs"))
-    seen = with_statistics(docs).withColumns({P + "stratum": _stratum(), P + "values": _rule_values()})
-    out = seen.join(F.broadcast(cutoffs), P + "stratum", "left")  # three rows
+def _verdicts(stats: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    """Rows with STATS get ``base_failed`` and ``kept``, both after the prefix P."""
+    named = cutoffs.select(F.col("stratum").alias(P + "stratum"), F.col("cutoffs").alias(P + "cutoffs"))
+    seen = stats.withColumns({P + "stratum": _stratum(), P + "values": _rule_values()})
+    out = seen.join(F.broadcast(named), P + "stratum", "left")  # three rows
     over = F.coalesce(F.expr(f"exists(arrays_zip({P}values, {P}cutoffs), x -> coalesce(x.{P}values > x.{P}cutoffs, false))"), F.lit(False))
     return out.withColumns({P + "base_failed": base_failed(), P + "kept": ~base_failed() & ~over}).drop(P + "stratum", P + "values", P + "cutoffs")
 
 
+def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` with STATS, ``base_failed`` and ``kept``, all after the prefix P. Texts are scanned twice and never shuffled."""
+    return _verdicts(with_statistics(docs), fit_cutoffs(docs, labels))
+
+
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, as they are."""
     return judged(docs, labels).where(P + "kept").select(*docs.columns)
 
 
-def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = judged(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id and what judged() says, without the texts, which are scanned once."""
+    stats = stash(with_statistics(docs.select("doc_id", "text")).drop("text"), "statistics", scan=True)
+    out = _verdicts(stats, _fit(stats, labels))
     return out.select("doc_id", *[F.col(P + c).alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

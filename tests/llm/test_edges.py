@@ -356,6 +356,55 @@ def test_quality_cutoffs_against_brute_force(spark):
     assert len([d for d in range(600, 720) if d not in kept]) > 60
 
 
+def test_quality_moves_no_texts(spark, monkeypatch):
+    """Labels of any number meet ids and numbers: the texts are in no shuffle, and the query reads them once."""
+    stash, plans = session.stash, []
+
+    def below(node):
+        yield node
+        for i in range(node.children().size()):
+            yield from below(node.children().apply(i))
+
+    def seen(df, name, **how):
+        plans.append(df._jdf.queryExecution().optimizedPlan())
+        return stash(df, name, **how)
+
+    monkeypatch.setattr(quality_rules, "stash", seen)
+    docs = spark.createDataFrame([(i, f"{'word ' if i % 3 == 1 else ''}" + " ".join(f"w{i}x{k}" for k in range(12))) for i in range(40)], TEXT)
+    marks = spark.createDataFrame([(i, i % 2) for i in range(0, 40, 3)], "doc_id long, quality int")
+    want = {r.doc_id: r[quality_rules.P + "kept"] for r in quality_rules.judged(docs, marks).collect()}
+    joins = [x for p in plans for x in below(p) if x.nodeName() == "Join"]
+    assert joins and not any("text#" in x.children().apply(i).output().toString() for x in joins for i in (0, 1))
+    plans.clear()
+    assert {r.doc_id: r.kept for r in quality_rules.digest(docs, marks).collect()} == want and len(want) == 40
+    assert sum("split(" in p.toString() for p in plans) == 1
+
+
+def test_quality_windows_of_one_hash(spark, monkeypatch):
+    """Windows that share a hash but no words don't repeat; also where places outgrow their bits."""
+    rng = np.random.default_rng(21)
+    base = made_up(rng, 40)
+    texts = ["", "a b c", " ".join(base), " ".join(base + base[3:9] + made_up(rng, 9)), " ".join(base[:6] * 4), " ".join(["a"] * 30 + base), None, " ".join(base[:12] + ["x"] + base[:12] + ["y"] + base[2:12])]
+
+    def covered(t):
+        w = (t or "").split()
+        grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+        n = Counter(grams)
+        return len({k for i, g in enumerate(grams) if n[g] > 1 for k in range(i, i + 5)})
+
+    docs = spark.createDataFrame(list(enumerate(texts)), TEXT)
+    want = {i: covered(t) for i, t in enumerate(texts)}
+    assert sorted(x > 0 for x in want.values()) == [False] * 4 + [True] * 4
+    run = lambda: {r.doc_id: r[quality_rules.P + "n_repeat_words"] for r in quality_rules.with_statistics(docs).collect()}
+    assert run() == want
+    monkeypatch.setattr(quality_rules, "SPOT_BITS", 3)
+    assert run() == want
+    monkeypatch.undo()
+    for one in ("5L", "cast(i % 3 as bigint) << 40"):
+        monkeypatch.setattr(quality_rules, "_window_hash", lambda w, one=one: one)
+        assert run() == want
+
+
 def test_presence_kernel_against_sets(spark):
     rng = np.random.default_rng(15)
     texts = ["", "a", "ab", "Été ñandú", *["".join(rng.choice(list("abcdeé "), rng.integers(1, 60))) for _ in range(40)]]
