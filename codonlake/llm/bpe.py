@@ -29,7 +29,7 @@ from codonlake.llm.kernels import blocks, mix, span_hashes
 from codonlake.llm.session import table, tune, whole_texts
 
 _U = np.uint64
-#: Merged pre-tokens that a Python worker remembers, in each of two generations, and the longest of them in bytes.
+#: Merged pre-tokens that a Python worker remembers during a task, in each of two generations, and the longest of them in bytes.
 REMEMBERED, LONGEST = 600_000, 64
 LETTER, NUMBER, SPACE, OTHER = range(4)
 
@@ -198,6 +198,17 @@ class Coder:
             self.older: dict[bytes, bytes] = {}
         return self
 
+    def texts(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+        """Ids, bytes and offsets of each block of texts. After the last one the worker gives back what it remembers:
+        Spark keeps idle workers, several for a core, whose memory counts in the stages that follow."""
+        try:
+            for batch in batches:
+                for a, b, buf, offs in blocks(batch):
+                    yield batch.column(0).slice(a, b - a), buf, offs
+        finally:
+            self.memory, self.older = {}, {}
+            pa.default_memory_pool().release_unused()
+
     def merge(self, piece: bytes) -> bytes:
         """Merge the pair of lowest rank, the leftmost first, until no neighbours form a token; the ids as 32-bit numbers."""
         ranks, n = self.ranks, len(piece)
@@ -305,11 +316,10 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value.ready()
-        for batch in batches:
-            for a, b, buf, offs in blocks(batch):
-                ids, upto = own.encode(buf, offs)
-                lists = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(ids.astype(np.int32)))
-                yield pa.record_batch([batch.column(0).slice(a, b - a), lists], ["doc_id", "ids"])
+        for doc_ids, buf, offs in own.texts(batches):
+            ids, upto = own.encode(buf, offs)
+            lists = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(ids.astype(np.int32)))
+            yield pa.record_batch([doc_ids, lists], ["doc_id", "ids"])
 
     return whole_texts(docs).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -335,20 +345,19 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value.ready()
-        for batch in batches:
-            for a, b, buf, offs in blocks(batch):
-                ids, upto = own.encode(buf, offs)
-                decoded = own.decode(ids)
-                after = np.concatenate([[0], np.cumsum(own.size[ids])])[upto]
-                little, raw, back = ids.astype("<u4"), memoryview(buf), memoryview(decoded)
-                rows = range(b - a)
-                digests = [hashlib.sha256(little[upto[k] : upto[k + 1]]).hexdigest() for k in rows]
-                texts = [hashlib.sha256(back[after[k] : after[k + 1]]).hexdigest() for k in rows]
-                same = [bool(back[after[k] : after[k + 1]] == raw[offs[k] : offs[k + 1]]) for k in rows]
-                yield pa.record_batch(
-                    [batch.column(0).slice(a, b - a), pa.array(np.diff(upto), pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string()), pa.array(same, pa.bool_())],
-                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "lossless"],
-                )
+        for doc_ids, buf, offs in own.texts(batches):
+            ids, upto = own.encode(buf, offs)
+            decoded = own.decode(ids)
+            after = np.concatenate([[0], np.cumsum(own.size[ids])])[upto]
+            little, raw, back = ids.astype("<u4"), memoryview(buf), memoryview(decoded)
+            rows = range(len(doc_ids))
+            digests = [hashlib.sha256(little[upto[k] : upto[k + 1]]).hexdigest() for k in rows]
+            texts = [hashlib.sha256(back[after[k] : after[k + 1]]).hexdigest() for k in rows]
+            same = [bool(back[after[k] : after[k + 1]] == raw[offs[k] : offs[k + 1]]) for k in rows]
+            yield pa.record_batch(
+                [doc_ids, pa.array(np.diff(upto), pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string()), pa.array(same, pa.bool_())],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "lossless"],
+            )
 
     return whole_texts(docs).mapInArrow(run, SCHEMA)
 

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,6 +46,15 @@ def test_bpe_tells_pretokens_of_one_hash_apart(monkeypatch):
     assert [coder.decode(got[a:b]).tobytes() for a, b in zip(upto[:-1], upto[1:], strict=True)] == raw
 
 
+def test_bpe_workers_give_memory_back():
+    coder = bpe.coder(bpe.vocabulary()).ready()
+    batch = pa.record_batch([pa.array([1, 2]), pa.array(["qzxjvk wqpzzt", "the cat"])], ["doc_id", "text"])
+    for doc_ids, buf, offs in coder.texts(iter([batch, batch])):
+        coder.encode(buf, offs)
+        assert doc_ids.to_pylist() == [1, 2] and coder.memory
+    assert not coder.memory and not coder.older
+
+
 def test_decontamination_keeps_rows_of_one_id_apart(spark):
     rng = np.random.default_rng(1)
     passage = made_up(rng, 30)
