@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import itertools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,6 +15,9 @@ from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch; long texts are cut into smaller blocks again inside the kernels.
 ARROW_ROWS = 1000
+#: Stashed tables between two looks at the driver's heap, and the share of its limit over which garbage is collected.
+LOOK, FULL = 4, 0.5
+_stashed = itertools.count(1)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,6 +39,19 @@ def fewer(df: DataFrame) -> DataFrame:
     return df.coalesce(max(4 * spark.sparkContext.defaultParallelism, -(-shuffle // 8)))
 
 
+def tidy(spark: SparkSession) -> None:
+    """Collect the driver's garbage if its heap has grown.
+
+    Each query leaves plans, broadcast tables and send buffers of megabytes; where many small ones follow one another
+    the JVM would rather grow its heap to the limit. A collection packs what lives, gives memory back and lets
+    broadcasts and shuffle files of finished queries be deleted.
+    """
+    heap = spark._jvm.java.lang.Runtime.getRuntime()
+    if heap.totalMemory() > FULL * heap.maxMemory():
+        gc.collect()  # plans that only Python's cycles hold
+        spark._jvm.System.gc()
+
+
 def stash(df: DataFrame, name: str, scan: bool = False) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back: cuts lineage, survives lost executors.
 
@@ -42,6 +60,8 @@ def stash(df: DataFrame, name: str, scan: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/codonlake/{name}-{uuid.uuid4().hex}"
     (df if scan else fewer(df)).write.parquet(path)
+    if next(_stashed) % LOOK == 0:
+        tidy(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._stash_path = path
     return out

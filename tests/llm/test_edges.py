@@ -484,3 +484,18 @@ def test_windows_in_passages_that_overlap(spark):
     left = substring_dedup._unsettled(spark.createDataFrame(rows, "doc long, at long, by long"), spans, "at", "by")
     inside = lambda d, at: any(x == d and p <= at >> 12 <= q - substring_dedup.SHINGLE + 1 for x, p, q in found)
     assert sorted(map(tuple, left.collect())) == sorted(r for r in rows if not inside(r[0], r[1]) and not inside(r[0], r[2]))
+
+
+def test_stashing_collects_the_drivers_garbage(spark, monkeypatch):
+    """Once the driver's heap has grown, every few stashed tables give it back; a small heap is left alone."""
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    some = spark.range(3).withColumnRenamed("id", "doc_id")
+    counts = []
+    for share in (0.0, 1.0):
+        monkeypatch.setattr(session, "FULL", share)
+        before = full()
+        for _ in range(2 * session.LOOK):
+            assert session.stash(some, "some").count() == 3
+        counts.append(full() - before)
+    assert counts == [2, 0]
