@@ -26,8 +26,8 @@ Jaccard similarity with the matching part of the first document is at least SIMI
 occurrence stays; repeats within one document are not looked at.
 
 Every text that a group joins is its first one, so work grows with the windows, not with pairs. Keys
-that a part of the documents (1 in SAMPLED) shows to be common are dealt over several groups; that
-only places rows.
+that a part of the documents (1 in SAMPLED) shows to be common are dealt out by document; that only
+places rows.
 
 Edge cases: null and empty texts and those under 50 words have no windows; rows of one doc_id are
 one document (windows of all its texts count, passages are verified on one of them); rows with a null
@@ -57,8 +57,12 @@ SHINGLE, LEAST, FUNCTIONS, AGREE, SIMILAR = 5, 46, 4, 2, 0.8
 STEP = 64
 #: Gaps of this many shingles can lie within a passage whose parts are too short to count alone.
 BRIDGE = 2 * LEAST // 8
-#: One in so many documents is looked at for common keys; windows of one key and group, and keys dealt out, at most.
+#: One in so many documents is looked at for common keys; windows that a key that isn't one may have; keys dealt out, at most.
 SAMPLED, GROUP, COMMON = 64, 2000, 10_000
+#: In larger tables a key may have one in so many windows, but not more than a task holds with ease.
+SHARE, HELD = 2500, 200_000
+#: Rows of windows, at least, that are looked at together (a key isn't cut); bit of windows whose key is dealt out.
+CHUNK, DEALT = 1 << 16, 1 << 62
 _SALTS = [_U(0x9E3779B97F4A7C15 * (2 * f + 1) & (2**64 - 1)) for f in range(16)]
 _ODD = _U(0xD1342543DE82EF95)
 SPANS = "__repeated_spans"
@@ -144,14 +148,14 @@ def contexts(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (ahead >> _U(48)).astype(np.int64), (back >> _U(48)).astype(np.int64)
 
 
-def windows(docs: DataFrame, common: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
-    """Rows (key, part, doc, at, near): the key stands for hash function and value, ``at`` packs c with c - l and r - c (45
-    at most, more than that never matters to LEAST shingles around c), ``near`` the two contexts. ``part`` is the group of
-    a common key (keys, numbers of groups), else -1."""
-    shared = docs.sparkSession.sparkContext.broadcast(common) if common is not None and len(common[0]) else None
+def windows(docs: DataFrame, common: np.ndarray | None = None) -> DataFrame:
+    """Rows (key, doc, at, near): the key stands for hash function and value, ``at`` packs c with c - l and r - c (45 at most,
+    more than that never matters to LEAST shingles around c), ``near`` the two contexts. Keys of ``common`` carry the bit
+    DEALT in ``at``."""
+    shared = docs.sparkSession.sparkContext.broadcast(common) if common is not None and len(common) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, groups = shared.value if shared is not None else (None, None)
+        keys = shared.value if shared is not None else None
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for a, _, buf, offs in blocks(batch):
@@ -171,14 +175,88 @@ def windows(docs: DataFrame, common: tuple[np.ndarray, np.ndarray] | None = None
                     out.append((x[c].view(np.int64), ids[a + text], at, (ahead << 16) | back))
                 if any(len(o[0]) for o in out):
                     key, doc, at, near = (np.concatenate(v) for v in zip(*out, strict=True))
-                    part = np.full(len(key), -1, np.int32)
                     if keys is not None:
-                        place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                        hit = keys[place] == key
-                        part[hit] = (mix(doc[hit].astype(np.int64).view(_U)) % groups[place[hit]].astype(_U)).astype(np.int32)
-                    yield pa.record_batch([pa.array(key), pa.array(part), pa.array(doc, pa.int64()), pa.array(at), pa.array(near)], ["key", "part", "doc", "at", "near"])
-
-    return docs.mapInArrow(run, "key long, part int, doc long, at long, near long")
+                        at[keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] == key] |= DEALT
+                    yield pa.record_batch([pa.array(key), pa.array(doc, pa.int64()), pa.array(at), pa.array(near)], ["key", "doc", "at", "near"])
+
+    return docs.mapInArrow(run, "key long, doc long, at long, near long")
+
+
+def _joined(group: np.ndarray, bits: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row of a context (group, bits): whether it is of several documents, and doc and at of the first of them."""
+    if not len(group):
+        return np.zeros(0, bool), doc, at
+    same = (group << 16) | bits
+    order = np.argsort(same, kind="stable")
+    same, d, a = same[order], doc[order], at[order]
+    lead = np.flatnonzero(np.concatenate([[True], same[1:] != same[:-1]]))
+    each = np.repeat(np.arange(len(lead)), np.diff(np.append(lead, len(same))))
+    head = np.minimum.reduceat(d, lead)
+    several = head != np.maximum.reduceat(d, lead)
+    place = np.minimum.reduceat(np.where(d == head[each], a, np.iinfo(np.int64).max), lead)
+    back = np.empty(len(order), np.int64)
+    back[order] = each
+    return several[back], head[back], place[back]
+
+
+def _overlap(at: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Shingles that the spans of two windows have in common when laid over one another."""
+    return np.minimum((at >> 6) & 63, (of >> 6) & 63) + np.minimum(at & 63, of & 63) + 1
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What several documents share, from the rows of windows() in the order of their keys; see grouped()."""
+
+    def whole(key: np.ndarray, doc: np.ndarray, at: np.ndarray, near: np.ndarray) -> pa.RecordBatch:
+        lead = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        each = np.repeat(np.arange(len(lead)), np.diff(np.append(lead, len(key))))
+        several = np.minimum.reduceat(doc, lead) != np.maximum.reduceat(doc, lead)
+        keep = several[each] | (at >= DEALT)
+        each, key, doc, at, near = each[keep], key[keep], doc[keep], at[keep], near[keep]
+        dealt, at = at >= DEALT, at & (DEALT - 1)
+        shared, met = np.where(dealt, 4, 0), []
+        for side, fits, bits in ((1, (at & 63) >= 22, near >> 16), (2, ((at >> 6) & 63) >= 23, near & 0xFFFF)):
+            shared[fits & dealt] |= side
+            rows = np.flatnonzero(fits & ~dealt)
+            more, head, place = _joined(each[rows], bits[rows], doc[rows], at[rows])
+            shared[rows[more]] |= side
+            has, of_doc, of_at = np.zeros(len(key), bool), np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
+            has[rows] = more & (doc[rows] != head) & (_overlap(at[rows], place) >= LEAST)
+            of_doc[rows], of_at[rows] = head, place
+            met.append((has, of_doc, of_at))
+        (has, of_doc, of_at), (too, too_doc, too_at) = met
+        too = too & ~(has & (of_doc == too_doc) & (of_at == too_at))
+        heads = [pa.array(v, mask=~h) for h, *both in ((has, of_doc, of_at), (too, too_doc, too_at)) for v in both]
+        return pa.record_batch([pa.array(v) for v in (key, doc, at, near, shared.astype(np.int32))] + heads, ["key", "doc", "at", "near", "shared", "of_doc", "of_at", "too_doc", "too_at"])
+
+    held: list[list[np.ndarray]] = []
+    n = 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append([c.to_numpy() for c in batch.columns])
+            n += batch.num_rows
+        if n < CHUNK:
+            continue
+        cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+        end = int(np.searchsorted(cols[0], cols[0][-1]))  # the last key may go on
+        if end:
+            yield whole(*(c[:end] for c in cols))
+        held, n = [[c[end:] for c in cols]], 0
+    if held:
+        yield whole(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+
+def grouped(rows: DataFrame) -> DataFrame:
+    """Rows (key, doc, at, near, shared, of_doc, of_at, too_doc, too_at): the windows whose key several documents have.
+
+    Rows of a key lie together but for those of common keys, which are dealt by document. ``shared``: 1 if several
+    documents have the context ahead, 2 the one behind, 4 if the key is a common one; then all its rows stay, and its
+    contexts count as shared and have no heads here. ``of`` and ``too`` are the first
+    occurrences that it joins by a context in another document (null: none, or the same one).
+    """
+    out = "key long, doc long, at long, near long, shared int, of_doc long, of_at long, too_doc long, too_at long"
+    dealt = rows.repartition(F.when(F.col("at") >= DEALT, F.col("doc")).otherwise(F.col("key")))
+    return dealt.sortWithinPartitions("key").mapInArrow(_grouped, out)
 
 
 def copies(docs: DataFrame) -> DataFrame:
@@ -202,13 +280,19 @@ def copies(docs: DataFrame) -> DataFrame:
     return out
 
 
-def common_keys(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Keys that many documents have, sorted, and over how many groups each is dealt; COMMON keys at most."""
+def common_keys(docs: DataFrame, known: DataFrame | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Keys that many documents have but for the ``known`` (doc_id), sorted, and about how many windows have each; COMMON keys
+    at most."""
     some = docs.where(F.pmod(F.xxhash64(F.lit("common"), "doc_id"), F.lit(SAMPLED)) == 0)
-    n = windows(some).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") * SAMPLED >= GROUP).orderBy(F.desc("n"), "key").limit(COMMON).toArrow()
+    if known is not None:
+        some = some.join(known, "doc_id", "left_anti")
+    counts = stash(windows(some).groupBy("key").agg(F.count("*").alias("n")), "counts")
+    least = max(GROUP, min(HELD, (counts.agg(F.sum("n")).first()[0] or 0) * SAMPLED // SHARE))
+    n = counts.where(F.col("n") * SAMPLED >= least).orderBy(F.desc("n"), "key").limit(COMMON).toArrow()
+    discard(counts)
     keys, n = n.column(0).to_numpy(), n.column(1).to_numpy()
     order = np.argsort(keys)
-    return keys[order], (1 + n * SAMPLED // GROUP)[order]
+    return keys[order], (n * SAMPLED)[order]
 
 
 def slices(docs: DataFrame) -> DataFrame:
@@ -235,7 +319,9 @@ def slices(docs: DataFrame) -> DataFrame:
 
 def runs(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and last positions of runs of hits."""
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
+    pad = np.zeros(len(hit) + 2, bool)
+    pad[1:-1] = hit
+    edge = (pad[1:] != pad[:-1]).nonzero()[0]
     return edge[::2], edge[1::2] - 1
 
 
@@ -264,57 +350,63 @@ def dense(hit: np.ndarray) -> list[tuple[int, int, float]]:
     return sorted([z for z in out if not any(p <= z[0] and z[1] <= q for p, q, _ in wide)] + wide) if wide else out
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])]
+
+
+def _among(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which of ``x`` are in ``ordered``, of one at least."""
+    return ordered[np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)] == x
+
+
 def _placed(part: np.ndarray, first: np.ndarray, at: int) -> tuple[int, float] | None:
     """Start of the part of ``first`` near ``at`` that is most like ``part``, and their Jaccard similarity."""
     u, v = max(0, at - LEAST), min(len(first), at + len(part) + LEAST)
-    mine, best = np.unique(part), None
-    for lo, hi, _ in dense(np.isin(first[u:v], part)):
+    mine, best = _distinct(part), None
+    for lo, hi, _ in dense(_among(first[u:v], mine)):
         if hi - lo + 1 < SIMILAR * len(mine):
             continue
-        theirs = np.unique(first[u + lo : u + hi + 1])
-        both = len(np.intersect1d(mine, theirs, assume_unique=True))
+        theirs = _distinct(first[u + lo : u + hi + 1])
+        both = int(np.count_nonzero(_among(theirs, mine)))
         like = both / (len(mine) + len(theirs) - both)
         if best is None or like > best[1]:
             best = u + lo, like
     return best
 
 
-def repeated(own: np.ndarray, first: np.ndarray, frames: list[tuple[int, int, int]], ordered: np.ndarray | None = None) -> list[tuple[int, int, int, float]]:
+def repeated(own: np.ndarray, first: np.ndarray, frames: np.ndarray, ordered: np.ndarray | None = None) -> list[tuple[int, int, int, float]]:
     """(first shingle, last shingle, first shingle in the other text, similarity) of what ``own`` repeats of ``first``,
-    near the frames (start, end, shift); ``ordered`` are the shingles of ``first`` in order."""
+    near the frames (rows of starts, ends and shifts); ``ordered`` are the shingles of ``first`` in order."""
     ordered = np.sort(first) if ordered is None else ordered
+    begin, end, shifts = frames
     # what is the same word for word along a frame's shift
-    same = []
-    for shift in sorted({s for _, _, s in frames}):
+    same, more = [], np.ones(len(own), bool)
+    for shift in np.unique(shifts).tolist():
         i, j = max(0, shift), min(len(own), len(first) + shift)
         if i >= j:
             continue
         lo, hi = runs(own[i:j] == first[i - shift : j - shift])
-        wide = hi - lo + 1 >= LEAST
-        same += [(p, q, p - shift, 1.0) for p, q in zip((lo[wide] + i).tolist(), (hi[wide] + i).tolist(), strict=True)]
-    spans: list[list[int]] = []
-    for a, b, _ in sorted(frames):
-        a, b = max(0, a - LEAST), min(len(own) - 1, b + LEAST)
-        if spans and a <= spans[-1][1] + 1:
-            spans[-1][1] = max(b, spans[-1][1])
-        else:
-            spans.append([a, b])
+        for k in (hi - lo >= LEAST - 1).nonzero()[0].tolist():
+            p, q = int(lo[k]) + i, int(hi[k]) + i
+            same.append((p, q, p - shift, 1.0))
+            more[p : q + 1] = False
+    order = np.argsort(begin, kind="stable")
+    start = np.maximum(0, begin[order] - LEAST)
+    stop = np.maximum.accumulate(np.minimum(len(own) - 1, end[order] + LEAST))
+    new = np.flatnonzero(start[1:] > stop[:-1] + 1) + 1
     out = []
-    for a, b in spans:
+    for a, b in zip(start[[0, *new]].tolist(), stop[[*(new - 1), -1]].tolist(), strict=True):
         x = own[a : b + 1]
-        near = np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)
-        hit = ordered[near] == x
-        more = hit.copy()
-        for p, q, _, _ in same:
-            more[max(0, p - a) : max(0, q - a + 1)] = False
-        if not more.any():
+        hit = _among(x, ordered)
+        if not (hit & more[a : b + 1]).any():
             continue  # nothing is shared but what is the same word for word
         for p, q, _ in dense(hit):
             if q - p + 1 < LEAST:
                 continue
             # where it lies in the first text: by the shift of the frames on it
-            shifts = sorted(s for f, g, s in frames if f <= a + q and g >= a + p)
-            shift = shifts[len(shifts) // 2] if shifts else 0
+            on = np.sort(shifts[(begin <= a + q) & (end >= a + p)])
+            shift = int(on[len(on) // 2]) if len(on) else 0
             got = _placed(x[p : q + 1], first, a + p - shift)
             if got is not None and got[1] >= SIMILAR:
                 out.append((a + p, a + q, *got))
@@ -336,9 +428,11 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         theirs = _each(t.column(6).take(pa.array(lead)))
         ordered = [np.sort(x) for x in theirs]
         of = np.searchsorted(lead, np.arange(len(head)), "right") - 1
+        edges, inner = t.column(4).offsets.to_numpy().tolist(), t.column(4).values
+        laid = np.stack([inner.field(k).to_numpy() for k in range(3)])
         for i, own in enumerate(_each(t.column(5))):
             u, v = max(0, int(lo[i])), max(0, int(first_lo[i]))
-            frames = [(f["a"] - u, f["b"] - u, f["shift"] - u + v) for f in t.column(4)[i].as_py()]
+            frames = laid[:, edges[i] : edges[i + 1]] - np.array([[u], [u], [u - v]])
             if len(own) and len(theirs[of[i]]):
                 rows += [(int(doc[i]), a + u, b + u + SHINGLE - 1, int(head[i]), c + v, s) for a, b, c, s in repeated(own, theirs[of[i]], frames, ordered[of[i]])]
         cols = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
@@ -363,6 +457,12 @@ def _frame(at: Column, of: Column) -> Column:
     return F.struct((_place(at) - left).alias("a"), (_place(at) + right).alias("b"), (_place(at) - _place(of)).alias("shift"))
 
 
+def _framed(at: Column, head: Column, of: Column) -> Column:
+    """_frame() with the document of the other window."""
+    frame = _frame(at, of)
+    return F.struct(head.alias("head"), *(frame.getField(k).alias(k) for k in ("a", "b", "shift")))
+
+
 def _wide(frame: str) -> Column:
     return F.col(frame + ".b") - F.col(frame + ".a") + 1 >= LEAST
 
@@ -373,18 +473,18 @@ def _heads(rows: DataFrame, *places: str) -> DataFrame:
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """Rows (key, doc, at) of windows by key and context; a window has the contexts that lie within its span."""
+    """Rows (key, doc, at) of windows by key and context; a window has the contexts that lie within its span and are shared."""
     near = lambda side, bits: F.struct(F.lit(side).alias("side"), bits.alias("bits"))
     sides = F.array(
-        F.when(_after(F.col("at")) >= 22, near(0, F.shiftright("near", 16))),
-        F.when(_before(F.col("at")) >= 23, near(1, F.col("near").bitwiseAND(0xFFFF))),
+        F.when(F.col("shared").bitwiseAND(1) > 0, near(0, F.shiftright("near", 16))),
+        F.when(F.col("shared").bitwiseAND(2) > 0, near(1, F.col("near").bitwiseAND(0xFFFF))),
     )
     each = rows.select("key", "doc", "at", F.explode(F.filter(sides, lambda x: x.isNotNull())).alias("x"))
     return each.select(F.xxhash64("key", "x.side", "x.bits").alias("key"), "doc", "at")
 
 
-def _met(rows: DataFrame, frames: list[Column], *places: str) -> DataFrame:
-    """Rows (key, doc, head, frame): windows of a key and its first occurrence in another document.
+def _beside(rows: DataFrame, *places: str) -> DataFrame:
+    """The rows whose key several documents have, with its first occurrence (head).
 
     The first occurrences of common keys (COMMON of them at most) are broadcast, so the rows of such a key stay where they are.
     """
@@ -392,10 +492,13 @@ def _met(rows: DataFrame, frames: list[Column], *places: str) -> DataFrame:
     most = max(GROUP, (heads.agg(F.sum("times")).first()[0] or 0) // COMMON)
     hot = heads.where(F.col("times") > most)
     if hot.isEmpty():
-        both = rows.join(heads, "key")
-    else:
-        hot, cold = F.broadcast(hot), heads.where(F.col("times") <= most)
-        both = rows.join(hot, "key").unionByName(rows.join(hot.select("key"), "key", "left_anti").join(cold, "key"))
+        return rows.join(heads, "key")
+    hot, cold = F.broadcast(hot), heads.where(F.col("times") <= most)
+    return rows.join(hot, "key").unionByName(rows.join(hot.select("key"), "key", "left_anti").join(cold, "key"))
+
+
+def _met(both: DataFrame, frames: list[Column]) -> DataFrame:
+    """Rows (key, doc, head, frame): windows of a key and its first occurrence in another document, from _beside()."""
     both = both.where("doc != head.doc")
     return both.select("key", "doc", F.col("head.doc").alias("first"), F.explode(F.array(*frames)).alias("frame")).withColumnRenamed("first", "head")
 
@@ -433,21 +536,22 @@ def couples(rest: DataFrame) -> DataFrame:
             lists = batch.column(1)
             ends, inner = lists.offsets.to_numpy().tolist(), lists.values
             keys, ats, docs = inner.field(0).to_numpy(), inner.field(1).to_numpy(), batch.column(0).to_numpy()
-            for i in range(batch.num_rows):
-                key, at = keys[ends[i] : ends[i + 1]], ats[ends[i] : ends[i + 1]]
-                order = np.argsort(at, kind="stable")
-                key, at = key[order], at[order]
-                c = at >> 12
-                lo, hi = c - ((at >> 6) & 63), c + (at & 63)
-                u, v = np.searchsorted(c, lo), np.searchsorted(c, hi, "right")
-                for p in range(0, len(c), 4096):
-                    n = (v - u)[p : p + 4096]
-                    x = np.repeat(np.arange(p, p + len(n)), n)
-                    y = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(u[p : p + 4096], n)
-                    keep = (key[x] < key[y]) & (lo[y] <= c[x]) & (c[x] <= hi[y]) & (np.minimum(hi[x], hi[y]) - np.maximum(lo[x], lo[y]) + 1 >= LEAST)
-                    x, y = x[keep], y[keep]
-                    both = mix(mix(key[x].view(_U)) ^ key[y].view(_U)).view(np.int64)
-                    yield pa.record_batch([pa.array(k, pa.int64()) for k in (both, np.full(len(x), docs[i]), at[x], at[y])], ["key", "doc", "at", "by"])
+            # each document has places of its own, so all are looked at together
+            of = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+            key, at = keys[ends[0] : ends[-1]], ats[ends[0] : ends[-1]]
+            order = np.lexsort((at, of))
+            key, at, of = key[order], at[order], of[order]
+            c = (of << 40) + (at >> 12)
+            lo, hi = c - ((at >> 6) & 63), c + (at & 63)
+            u, v = np.searchsorted(c, lo), np.searchsorted(c, hi, "right")
+            for p in range(0, len(c), 4096):
+                n = (v - u)[p : p + 4096]
+                x = np.repeat(np.arange(p, p + len(n)), n)
+                y = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(u[p : p + 4096], n)
+                keep = (key[x] < key[y]) & (lo[y] <= c[x]) & (c[x] <= hi[y]) & (np.minimum(hi[x], hi[y]) - np.maximum(lo[x], lo[y]) + 1 >= LEAST)
+                x, y = x[keep], y[keep]
+                both = mix(mix(key[x].view(_U)) ^ key[y].view(_U)).view(np.int64)
+                yield pa.record_batch([pa.array(k, pa.int64()) for k in (both, docs[of[x]], at[x], at[y])], ["key", "doc", "at", "by"])
 
     return rest.groupBy("doc").agg(F.collect_set(F.struct("key", "at")).alias("all")).mapInArrow(run, "key long, doc long, at long, by long")
 
@@ -505,33 +609,48 @@ def repeats(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, first_word, last_word, of_doc_id, of_first_word, similarity): passages that a document of a smaller id has, too."""
     tune(docs.sparkSession)
     docs = whole_texts(docs).where(F.col("doc_id").isNotNull())
-    group = W.partitionBy("key", "part")
-    several = F.min("doc").over(group) != F.max("doc").over(group)
     # texts that are the same as a whole are known by their hash; only the first of them is searched
     same = copies(docs)
-    docs = sieve(docs, same, "doc", rest=True).unionByName(sieve(docs, same, "doc").join(same.select(F.col("doc").alias("doc_id")), "doc_id", "left_anti"))
-    rows = windows(docs, common_keys(docs)).withColumn("several", several).where("several or part >= 0")
-    rows = stash(rows.select("key", "doc", "at", "near"), "rows")
-    by_context = _shared(rows)
+    known = same.select(F.col("doc").alias("doc_id"))
+    common, _ = common_keys(docs, known)
+    once = sieve(docs, same, "doc", rest=True).unionByName(sieve(docs, same, "doc").join(known, "doc_id", "left_anti"))
+    rows = stash(grouped(windows(once, common)), "rows")
     at, of = F.col("at"), F.col("head.at")
-    found = [_verify(docs, _met(by_context, [_frame(at, of)], "at").where(_wide("frame")), "found")]
+    one, two = (_framed(at, F.col(k + "_doc"), F.col(k + "_at")) for k in ("of", "too"))
+    ones = F.when(F.col("too_doc").isNull(), F.array(one)).when(F.col("of_doc").isNull(), F.array(two)).otherwise(F.array(one, two))
+    met = rows.where("of_doc is not null or too_doc is not null").select("doc", ones.alias("met"))
+    dealt = None
+    if len(common):
+        # a document's windows of a common context meet its head at once
+        dealt = stash(_shared(rows.where("shared >= 4")).groupBy("key", "doc").agg(F.min("at").alias("at"), F.collect_list("at").alias("ats")), "dealt")
+        many = F.transform("ats", lambda x: _framed(x, F.col("head.doc"), of))
+        met = met.unionByName(_beside(dealt, "at").where("doc != head.doc").select("doc", F.filter(many, lambda x: x["b"] - x["a"] + 1 >= LEAST).alias("met")))
+    met = met.select("doc", F.explode("met").alias("x")).select("doc", "x.head", F.struct("x.a", "x.b", "x.shift").alias("frame"))
+    # ids of copies are in no row, so the texts need no sieve for them from here on
+    found = [_verify(docs, met, "found")]
+    discard(dealt)
+    left = stash(_unsettled(rows.select("key", "doc", "at", "near", "shared"), found[0], "at"), "left")
+    discard(rows)
     # contexts that several unexplained documents share, word for word
-    rest = _unsettled(by_context, found[0], "at")
-    rest = stash(rest.join(_heads(rest, "at").select("key"), "key", "left_semi").select("doc", "at").distinct(), "rest")
+    rest = _shared(left.where("(shared & 3) > 0"))
+    several = rest.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first != last").select("key")
+    rest = stash(rest.join(several, "key", "left_semi").select("doc", "at").distinct(), "rest")
     exact = stash(_positions(docs, rest), "exact")
     discard(rest)
     frame = F.struct(at.alias("a"), (at + LEAST - 1).alias("b"), (at - of).alias("shift"))
-    found.append(_verify(docs, _met(exact, [frame], "at"), "found"))
+    found.append(_verify(docs, _met(_beside(exact, "at"), [frame]), "found"))
     discard(exact)
     # what is left: couples, and documents whose windows have a first occurrence in common under AGREE keys
-    rest = stash(_unsettled(rows, found[0].union(found[1]), "at").select("key", "doc", "at"), "rest")
-    discard(rows)
-    pairs = stash(couples(rest), "couples")
-    both = _met(pairs, [_frame(at, of), _frame(F.col("by"), F.col("head.by"))], "at", "by").where(_wide("frame"))
-    single = _met(rest, [_frame(at, of)], "at").where(_wide("frame")).groupBy("doc", "head").agg(F.collect_set(F.struct("key", "frame")).alias("all"))
+    rest = stash(_unsettled(left.select("key", "doc", "at"), found[1], "at"), "rest")
+    discard(left)
+    several = stash(_beside(rest, "at"), "several")  # a couple that documents share is made of keys that they share
+    discard(rest)
+    pairs = stash(couples(several), "couples")
+    both = _met(_beside(pairs, "at", "by"), [_frame(at, of), _frame(F.col("by"), F.col("head.by"))]).where(_wide("frame"))
+    single = _met(several, [_frame(at, of)]).where(_wide("frame")).groupBy("doc", "head").agg(F.collect_set(F.struct("key", "frame")).alias("all"))
     single = single.where(F.size(F.array_distinct("all.key")) >= AGREE).select("doc", "head", F.explode("all.frame").alias("frame"))
     found.append(_verify(docs, both.drop("key").unionByName(single), "found"))
-    discard(rest)
+    discard(several)
     discard(pairs)
     # later frames may cover a passage of the same two documents again
     whole = same.select("doc", F.lit(0), (F.col("n") - 1).cast("int"), "head", F.lit(0), F.lit(1.0))

@@ -499,3 +499,54 @@ def test_stashing_collects_the_drivers_garbage(spark, monkeypatch):
             assert session.stash(some, "some").count() == 3
         counts.append(full() - before)
     assert counts == [2, 0]
+
+
+def test_substring_dedup_couples_only_what_documents_still_share(spark, monkeypatch):
+    """The first text of a passage keeps its windows when all others are explained; alone they make no couples."""
+    rng = np.random.default_rng(13)
+    passage = made_up(rng, 400)
+    texts = [made_up(rng, 60) + passage + made_up(rng, 60) for _ in range(3)]
+    made = {}
+
+    def counted(df, name, scan=False):
+        out = session.stash(df, name, scan)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(substring_dedup, "stash", counted)
+    found = substring_dedup.repeats(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], TEXT)).collect()
+    assert sorted((r.doc_id, r.first_word, r.last_word, r.of_doc_id) for r in found) == [(1, 60, 459, 0), (2, 60, 459, 0)]
+    assert made["rows"] > 100 and made["couples"] == 0
+
+
+def test_substring_dedup_contexts_of_a_key(spark, monkeypatch):
+    """What windows of a key share, told in one pass over sorted rows however these are cut, is what single looks tell."""
+    rng = np.random.default_rng(14)
+    monkeypatch.setattr(substring_dedup, "CHUNK", 7)
+    dealt, least = substring_dedup.DEALT, substring_dedup.LEAST
+    rows = []
+    for _ in range(3000):
+        key, before, after = int(rng.integers(-90, 90)), int(rng.choice([0, 22, 23, 45])), int(rng.choice([0, 21, 22, 45]))
+        at = int(rng.integers(0, 50)) << 12 | before << 6 | after
+        rows.append((key, int(rng.integers(-3, 4 if key % 2 else -2)), at | (dealt if key % 10 == 0 else 0), int(rng.integers(0, 2)) << 16 | int(rng.integers(0, 2))))
+    want = []
+    for key, doc, at, near in rows:
+        mine = [(d, a) for k, d, a, _ in rows if k == key]
+        if at < dealt and len({d for d, _ in mine}) == 1:
+            continue
+        place, shared, heads = at & (dealt - 1), 4 if at >= dealt else 0, []
+        fits = lambda a, side: a & 63 >= 22 if side == 1 else a >> 6 & 63 >= 23
+        bits = lambda n, side: n >> 16 if side == 1 else n & 0xFFFF
+        for side in (1, 2):
+            if not fits(place, side):
+                continue
+            met = sorted((d, a) for k, d, a, n in rows if k == key and fits(a, side) and bits(n, side) == bits(near, side))
+            if at >= dealt or met[0][0] != met[-1][0]:
+                shared |= side
+            d, a = met[0]
+            if at < dealt and d != doc and min(a >> 6 & 63, place >> 6 & 63) + min(a & 63, place & 63) + 1 >= least:
+                heads.append((d, a))
+        want.append((key, doc, place, near, shared, frozenset(heads)))
+    table = spark.createDataFrame(rows, "key long, doc long, at long, near long")
+    got = [(*r[:5], frozenset(h for h in (r[5:7], r[7:9]) if h[0] is not None)) for r in map(tuple, substring_dedup.grouped(table).collect())]
+    assert Counter(got) == Counter(want) and sum(len(w[-1]) for w in want) > 50 and any(len(w[-1]) == 2 for w in want)
