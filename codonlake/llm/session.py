@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import itertools
 import tempfile
@@ -10,13 +11,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch; long texts are cut into smaller blocks again inside the kernels.
 ARROW_ROWS = 1000
 #: Stashed tables between two looks at the driver's heap, and the share of its limit over which garbage is collected.
-LOOK, FULL = 4, 0.5
+LOOK, FULL = 2, 0.5
 _stashed = itertools.count(1)
 
 
@@ -44,12 +46,29 @@ def tidy(spark: SparkSession) -> None:
 
     Each query leaves plans, broadcast tables and send buffers of megabytes; where many small ones follow one another
     the JVM would rather grow its heap to the limit. A collection packs what lives, gives memory back and lets
-    broadcasts and shuffle files of finished queries be deleted.
+    broadcasts and shuffle files of finished queries be deleted; trim() does the same for memory beside the heap.
     """
     heap = spark._jvm.java.lang.Runtime.getRuntime()
     if heap.totalMemory() > FULL * heap.maxMemory():
         gc.collect()  # plans that only Python's cycles hold
         spark._jvm.System.gc()
+        trim(spark)
+
+
+def trim(spark: SparkSession) -> None:
+    """Let the driver's C library give back what the JVM has freed, as ``jcmd PID System.trim_native_heap`` does.
+
+    Compiling the classes of many plans allocates outside the heap, in hundreds of threads, each with free lists that
+    the library keeps. A JVM without that command is left as it is.
+    """
+    jvm = spark._jvm
+    beans = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    # the server's own class isn't exported, so the method is taken from its interface
+    invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+    args = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)
+    args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    with contextlib.suppress(Py4JJavaError):
+        invoke.invoke(beans, args)
 
 
 def stash(df: DataFrame, name: str, scan: bool = False) -> DataFrame:

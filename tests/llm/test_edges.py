@@ -550,3 +550,25 @@ def test_substring_dedup_contexts_of_a_key(spark, monkeypatch):
     table = spark.createDataFrame(rows, "key long, doc long, at long, near long")
     got = [(*r[:5], frozenset(h for h in (r[5:7], r[7:9]) if h[0] is not None)) for r in map(tuple, substring_dedup.grouped(table).collect())]
     assert Counter(got) == Counter(want) and sum(len(w[-1]) for w in want) > 50 and any(len(w[-1]) == 2 for w in want)
+
+
+def test_stashing_gives_back_memory_beside_the_heap(spark, monkeypatch):
+    """What the driver's JVM has freed outside its heap goes back to the system, though blocks in use lie between."""
+    jvm = spark._jvm
+    status = f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/status"
+
+    def resident():
+        jvm.System.gc()
+        with open(status) as f:
+            return next(int(x.split()[1]) for x in f if x.startswith("RssAnon")) >> 10
+
+    made = [jvm.java.util.zip.Deflater() for _ in range(400)]  # a quarter of a MB each
+    for x in made[::2] + made[1:-1:2]:
+        x.end()
+    some, before = spark.range(3).withColumnRenamed("id", "doc_id"), resident()
+    monkeypatch.setattr(session, "FULL", 0.0)
+    for _ in range(session.LOOK):
+        session.stash(some, "some")
+    after = resident()
+    made[-1].end()
+    assert before - after > 40
