@@ -6,10 +6,12 @@ summed in order, since that is part of the result.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,6 +58,20 @@ def owned(sites: DataFrame, frags: DataFrame, overlap: int = OVERLAP) -> DataFra
     return sites.join(ends, by).where(~left | F.col("pos").between(F.col("__lo"), F.col("__hi"))).drop("__lo", "__hi")
 
 
+#: Bases that are worked on at once.
+PIECE = 1 << 20
+
+
+def row_groups(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows (first, behind the last) of (id, seq), each of ``size`` bytes at most or a single sequence."""
+    ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy())])
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, ends[at] + size, "right")) - 1)
+        yield at, end
+        at = end
+
+
 def digits(seq: bytes) -> np.ndarray:
     return _DIGIT[np.frombuffer(seq, np.uint8)]
 
@@ -109,20 +125,58 @@ def running_tracks(seqs: DataFrame, tables: dict[str, list[int]], step: int = 1)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = {name: np.array(t, np.int64) for name, t in tables.items()}
         for batch in batches:
-            out: dict[str, list[np.ndarray]] = {name: [] for name in own}
-            for seq in batch.column(1).to_pylist():
-                d = digits(seq.encode())
-                for name, table in own.items():
-                    v = table[words(d, sizes[name], 5)]
-                    for f in range(step):
-                        v[f::step] = np.cumsum(v[f::step])
-                    out[name].append(v)
-            cols = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in v])]), pa.int32()), pa.array(np.concatenate(v) if v else np.zeros(0, np.int64))) for v in out.values()]
-            yield pa.record_batch([batch.column(0), *cols], ["doc_id", *own])
+            for at, end in row_groups(batch, PIECE):
+                out: dict[str, list[np.ndarray]] = {name: [] for name in own}
+                for i in range(at, end):
+                    d = digits(batch.column(1)[i].as_buffer())
+                    for name, table in own.items():
+                        v = table[words(d, sizes[name], 5)]
+                        for f in range(step):
+                            v[f::step] = np.cumsum(v[f::step])
+                        out[name].append(v)
+                cols = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in v])]), pa.int32()), pa.array(np.concatenate(v))) for v in out.values()]
+                yield pa.record_batch([batch.column(0).slice(at, end - at), *cols], ["doc_id", *own])
 
     return seqs.select("doc_id", "seq").mapInArrow(run, "doc_id long, " + ", ".join(f"{name} array<long>" for name in tables))
 
 
+def listed(v: np.ndarray) -> bytes:
+    """Whole numbers from 0 as text, with a comma behind each."""
+    width = len(str(int(v.max(initial=0))))
+    rest = v.astype(np.uint32 if width < 10 else np.uint64)
+    out = np.full((len(v), width + 1), ord(","), np.uint8)
+    shown = np.ones(out.shape, bool)
+    for k in range(width - 1, -1, -1):
+        shown[:, k] = (rest > 0) | (k == width - 1)
+        less = rest // 10
+        out[:, k] = rest - less * 10 + ord("0")
+        rest = less
+    return out[shown].tobytes()
+
+
+def running_digests(seqs: DataFrame, table: list[int]) -> DataFrame:
+    """Rows (doc_id, n, total, digest) of (doc_id, seq): how many bases, the sum of their values, and the MD5 of the running sums as text with
+    commas between. A table has a value from 0 for each of A, C, G, T and N. Sums are made and digested piece by piece, so a sequence takes
+    no more memory than its text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.array(table, np.int64)[_DIGIT]
+        for batch in batches:
+            size, total, digest = [], [], []
+            for seq in batch.column(1):
+                b, upto, track = np.frombuffer(seq.as_buffer(), np.uint8), 0, hashlib.md5(usedforsecurity=False)
+                for at in range(0, len(b), PIECE):
+                    v = np.cumsum(own[b[at : at + PIECE]]) + upto
+                    upto, text = int(v[-1]), memoryview(listed(v))
+                    track.update(text if at + PIECE < len(b) else text[:-1])
+                size.append(len(b))
+                total.append(upto)
+                digest.append(track.hexdigest())
+            yield pa.record_batch([batch.column(0), pa.array(size, pa.int64()), pa.array(total, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "n", "total", "digest"])
+
+    return seqs.select("doc_id", "seq").mapInArrow(run, "doc_id long, n long, total long, digest string")
+
+
 def profile_scores(d: np.ndarray, p: Profile, rescale: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(position, score) of every whole window; a position is the window's start plus the profile's offset."""
     w = words(d, p.order + 1, 5)

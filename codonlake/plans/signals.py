@@ -12,7 +12,7 @@ from pyspark.sql.window import Window as W
 
 from codonlake.functions.dna import AS_BASES, CODONS, LETTERS, STOPS, amino_acids, oligo_index, pseudo_dna, remainder, reverse_complement, split_codon_left, split_codon_right, split_words, words_of_bases
 from codonlake.operators import ranges as R
-from codonlake.operators.signals import fragments, motif_sites, running_tracks, scan
+from codonlake.operators.signals import fragments, motif_sites, running_digests, running_tracks, scan
 from codonlake.sources.params import Profile
 
 #: A made-up weight matrix of six positions for ACGTN, in eighths, so that sums are exact.
@@ -61,8 +61,7 @@ def pwm_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gc_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running G+C at every base, as a digest of the whole track."""
-    t = running_tracks(sequences(spark, sf_dir), {"gc": [0, 1, 1, 0, 0]})
-    return t.select("doc_id", F.size("gc").cast("long").alias("n"), F.coalesce(F.element_at("gc", -1), F.lit(0)).alias("total"), F.md5(F.array_join(F.col("gc").cast("array<string>"), ",").cast("binary")).alias("digest"))
+    return running_digests(sequences(spark, sf_dir), [0, 1, 1, 0, 0])
 
 
 def gc_context(spark: SparkSession, sf_dir: str) -> DataFrame:

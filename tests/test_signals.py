@@ -182,3 +182,32 @@ def test_known_genes(spark):
     assert len(lines) == 3 + 3 + 2 * len(got) and all(x.count("\t") == 8 for x in lines)
     gaps = introns(exons).collect()
     assert len(gaps) == len(got) - 3 and all(r.start <= r.end_ for r in gaps)
+
+
+def test_running_digests_in_pieces(spark):
+    """A sequence of many pieces, an empty one and sums of several widths, as text."""
+    from hashlib import md5
+    from itertools import accumulate
+
+    from codonlake.operators.signals import PIECE, listed, running_digests
+
+    assert listed(np.array([0, 7, 10, 99, 100, 12345678901])) == b"0,7,10,99,100,12345678901,"
+    seqs = [(1, "ACGTN" * 41), (2, ""), (3, dna(PIECE + 7, 5)), (4, "G" * PIECE), (5, "N")]
+    got = {r.doc_id: (r.n, r.total, r.digest) for r in running_digests(spark.createDataFrame(seqs, "doc_id long, seq string"), [0, 1, 1, 0, 0]).collect()}
+    for i, seq in seqs:
+        sums = list(accumulate(int(c in "CG") for c in seq))
+        assert got[i] == (len(seq), sums[-1] if sums else 0, md5(",".join(map(str, sums)).encode()).hexdigest())
+
+
+def test_track_of_a_long_text_is_no_row(spark, tmp_path):
+    """Running sums of 40 million bases never are a row: as an array of texts they took more than the heap."""
+    from hashlib import md5
+
+    from codonlake.plans.signals import gc_prefix
+
+    n, track = 40_000_000, md5()
+    spark.range(1).selectExpr("id as doc_id", f"repeat('Abc', {n // 3} + 1) as text").write.parquet(str(tmp_path / "documents.parquet"))
+    for at in range(0, n // 3 + 1, 100_000):
+        track.update("".join(f"{',' if i else ''}{2 * i},{2 * i + 1},{2 * i + 2}" for i in range(at, min(at + 100_000, n // 3 + 1))).encode())
+    row = gc_prefix(spark, str(tmp_path)).first()
+    assert (row.n, row.total, row.digest) == (3 * (n // 3 + 1), 2 * (n // 3 + 1), track.hexdigest())
