@@ -84,6 +84,19 @@ def words(d: np.ndarray, k: int, cardinal: int) -> np.ndarray:
     return out
 
 
+def places(b: np.ndarray, words: tuple[str, ...]) -> np.ndarray:
+    """Where one of a few words of one length begins."""
+    size = len(words[0])
+    n = max(0, len(b) - size + 1)
+    hit = np.zeros(n, bool)
+    for word in words:
+        one = b[:n] == ord(word[0])
+        for j in range(1, size):
+            one &= b[j : n + j] == ord(word[j])
+        hit |= one
+    return np.flatnonzero(hit)
+
+
 def motif_sites(seqs: DataFrame, motifs: dict[str, tuple[str, ...]]) -> DataFrame:
     """Rows (doc_id, pos, kind) of (doc_id, seq): where a word of each kind begins. Only sites become rows."""
 
@@ -94,18 +107,7 @@ def motif_sites(seqs: DataFrame, motifs: dict[str, tuple[str, ...]]) -> DataFram
             found: list[tuple[int, int, np.ndarray]] = []
             for i, seq in enumerate(seqs):
                 b = np.frombuffer(seq.encode(), np.uint8)
-                for k, name in enumerate(names):
-                    size = len(motifs[name][0])
-                    n = len(b) - size + 1
-                    if n <= 0:
-                        continue
-                    hit = np.zeros(n, bool)
-                    for word in motifs[name]:
-                        one = b[:n] == ord(word[0])
-                        for j in range(1, size):
-                            one &= b[j : n + j] == ord(word[j])
-                        hit |= one
-                    found.append((i, k, np.flatnonzero(hit)))
+                found += [(i, k, places(b, motifs[name])) for k, name in enumerate(names)]
             size = [len(x) for *_, x in found]
             doc, kind = (np.repeat([f[c] for f in found], size).astype(np.int64) if found else np.zeros(0, np.int64) for c in (0, 1))
             pos = np.concatenate([x for *_, x in found]) if found else np.zeros(0, np.int64)

@@ -1,4 +1,4 @@
-"""Untranslated exons: ends of transcripts from the edges of read coverage, edge scores of sites, and seven range joins from one table.
+"""Untranslated exons: ends of transcripts from the edges of read coverage, edge scores of sites, and seven joins of left and right sites.
 
 Coverage comes as tracks of log(reads + 1). A transcript may begin where coverage rises from nothing or where the change of its slope has a
 peak, and end where it falls to nothing or the change has a peak downwards; not where a strong splice site lies
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from codonlake.operators import lists as L
 from codonlake.operators import ranges as R
 from codonlake.operators.tracks import BIN, with_sums
 
@@ -100,15 +101,50 @@ def with_edges(sites: DataFrame, bins: DataFrame, lengths: DataFrame) -> DataFra
     return s.withColumn("score", (F.col("score") + sign * edge).cast("float")).select(*sites.columns)
 
 
-def build(sites: DataFrame, by: list[str], bin_size: int = 512) -> DataFrame:
-    """Rows (by, type, left_pos, right_pos, left_score, right_score) of all seven types: for each left site the MOST right sites that
-    score best after what their distance takes off; of equal ones the nearer. One join for all types."""
-    cls = ["cls"] if "cls" in sites.columns else []
-    kinds = F.array(*[F.struct(F.lit(t).alias("type"), F.lit(a).alias("from"), F.lit(b).alias("to"), F.lit(n).alias("most")) for t, a, b, n in KINDS])
-    end = lambda side: sites.select(*by, "kind", "pos", "score", *cls, F.explode(F.filter(kinds, lambda k: k[side] == F.col("kind"))).alias("k"))
-    left = end("from").select(*by, "k.type", F.col("pos").alias("left_pos"), F.col("score").alias("left_score"), *[F.col(c).alias("left_cls") for c in cls], (F.col("pos") + 1).alias("lo"), (F.col("pos") + F.col("k.most")).alias("hi"))
-    right = end("to").select(*by, "k.type", F.col("pos").alias("right_pos"), F.col("score").alias("right_score"), *[F.col(c).alias("right_cls") for c in cls])
-    pairs = R.range_join(left, right, [*by, "type"], "lo", "hi", "right_pos", bin_size)
-    worth = F.col("right_score") - PER_BASE * (F.col("right_pos") - F.col("left_pos") + 1)
-    own = ["left_cls"] if cls else []
-    return R.top_k(pairs, [*by, "type", "left_pos", *own], [F.desc(worth), F.asc("right_pos"), *(["right_cls"] if cls else [])], MOST).drop("lo", "hi")
+def paired(left: dict[str, L.Sites], right: dict[str, L.Sites]) -> Iterator[tuple[str, L.Sites, L.Sites]]:
+    """(type, left sites, right sites) of all seven types, pair by pair and in pieces: for each left site the MOST right sites that score best
+    after what their distance takes off; of equal ones the nearer."""
+    for name, a, b, most in KINDS:
+        x, y = left.get(a, L.NONE), right.get(b, L.NONE)
+        lo, hi = np.searchsorted(y.at, x.at, "right"), np.searchsorted(y.at, x.at + most, "left")
+        upto = np.concatenate([[0], np.cumsum(hi - lo)])
+        i = 0
+        while i < len(lo):
+            j = max(i + 1, int(np.searchsorted(upto, upto[i] + PAIRS, "right")) - 1)
+            run, member = L.runs(lo[i:j], hi[i:j])
+            many = (hi - lo)[i:j][run] > MOST
+            k, m = run[many], member[many]
+            # in a run, members lie in order of place and class, which a stable sort keeps
+            order = np.lexsort((-(y.score[m].astype(np.float64) - PER_BASE * (y.at[m] - x.at[i + k] + 1)), k))
+            nth = np.arange(len(k)) - np.searchsorted(k, k, "left")
+            best = order[nth < MOST]
+            run, member = np.concatenate([run[~many], k[best]]), np.concatenate([member[~many], m[best]])
+            if len(run):
+                yield name, x.take(i + run), y.take(member)
+            i = j
+
+
+#: The longest of all types, and pairs of sites that are looked at at once.
+REACH, PAIRS = max(n for *_, n in KINDS), 1 << 18
+
+
+def build(sites: DataFrame, by: list[str], piece: int = 1 << 17) -> DataFrame:
+    """Rows (by, type, left_pos, right_pos, left_score, right_score) of all seven types, as ``paired``. Sites are dealt once, to pieces of a
+    sequence that have the right sites of the next one within reach, too; pairs meet in the task of their piece and are never dealt."""
+    if piece < REACH:
+        raise ValueError("a piece is as long as the longest type at least")
+    cls, kinds = ["cls"] if "cls" in sites.columns else [], dict(sites.dtypes)
+    cut = lambda c: f"greatest({c}, 0) div {piece}"
+    known = sites.where(" and ".join(f"{c} is not null" for c in [*by, "pos"])).select(*by, "kind", F.col("pos").cast("long").alias("pos"), "score", *cls)
+    dealt = known.withColumn("__piece", F.explode(F.array_distinct(F.array(F.expr(cut("pos")), F.expr(cut(f"pos - {REACH}"))))))
+    columns = [*by, "type", "left_pos", "left_score", *["left_cls" for _ in cls], "right_pos", "right_score", *["right_cls" for _ in cls]]
+    types = {"type": "string", "left_pos": "long", "right_pos": "long", "left_score": kinds["score"], "right_score": kinds["score"]} | {f"{side}_{c}": kinds[c] for side in ("left", "right") for c in cls}
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        every, at = L.table_lists(table), key[-1].as_py()
+        own = {kind: s.take(np.maximum(s.at, 0) // piece == at) for kind, s in every.items()}
+        found = list(paired(own, every)) or [("", *[next(iter(every.values())).take(slice(0, 0))] * 2)]
+        width = 2 + len(cls)
+        return pa.concat_tables(pa.table([*[pa.repeat(k, len(x.at)) for k in key[:-1]], pa.repeat(name, len(x.at)), *[pa.array(c) for s in (x, y) for c in s[:width]]], columns) for name, x, y in found)
+
+    return dealt.groupBy(*by, "__piece").applyInArrow(run, ", ".join(f"{c} {types.get(c, kinds.get(c))}" for c in columns))

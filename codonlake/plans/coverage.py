@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codonlake.functions.dna import STOPS
 from codonlake.operators import utr as U
-from codonlake.operators.signals import motif_sites
+from codonlake.operators.lists import Sites, group_of, motif_lists
 from codonlake.operators.tracks import CAP, PER_READ, tracks
 from codonlake.plans.signals import _BASE, sequences
 from codonlake.sources.scratch import kept
@@ -34,10 +38,20 @@ MOTIFS = {"tss": ("TATAA",), "tes": ("AATAA",), "acceptor": ("CAGG", "TAGG"), "d
 
 
 def utr_exons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All seven types of untranslated exons over whole texts: the best right sites of each left one."""
-    found = motif_sites(sequences(spark, sf_dir), MOTIFS)
-    sites = found.select("doc_id", "kind", "pos", F.pmod(F.col("pos") * 7919 + F.col("doc_id") * 31, F.lit(10)).cast("double").alias("score"))
-    return U.build(sites, ["doc_id"]).select("doc_id", "type", "left_pos", "right_pos", F.col("left_score").cast("long").alias("left_score"), F.col("right_score").cast("long").alias("right_score"))
+    """All seven types of untranslated exons over whole texts: the best right sites of each left one. A text's sites meet in the task that reads
+    it, so nothing is dealt."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, base, found in motif_lists(batches, MOTIFS, U.REACH):
+            sites = {}
+            for kind, at in found.items():
+                doc = group_of(base, at)
+                sites[kind] = Sites(at, np.fmod((at - base[doc]) * 7919 + ids[doc] * 31, 10), np.zeros(len(at), np.int32))
+            for name, x, y in U.paired(sites, sites):
+                doc = group_of(base, x.at)
+                yield pa.record_batch([pa.array(ids[doc]), pa.repeat(name, len(doc)), *[pa.array(c) for c in (x.at - base[doc], y.at - base[doc], x.score, y.score)]], ["doc_id", "type", "left_pos", "right_pos", "left_score", "right_score"])
+
+    return sequences(spark, sf_dir).where("doc_id is not null").mapInArrow(run, "doc_id long, type string, left_pos long, right_pos long, left_score long, right_score long")
 
 
 _E = f"""WITH b AS (SELECT l_orderkey % {LOCI} AS locus, CASE WHEN l_linenumber % 2 = 0 THEN '+' ELSE '-' END AS strand, 1 + (l_partkey * 37 + l_orderkey) % {PLACES} AS lo, l_quantity::BIGINT AS n, l_suppkey % 90 + 10 AS score FROM lineitem),

@@ -133,3 +133,57 @@ def test_prediction_with_coverage(spark):
     assert [x[3] for x in f] == ["UTR_First_Half", "Single", "UTR_Terminal_Half"]
     assert f[0][1] + 1 == f[1][0] and f[1][1] + 1 == f[2][0]
     assert abs(f[0][0] - 200) < 4 and abs(f[2][1] - 1200) < 4
+
+
+def test_pieces_of_a_sequence_are_joined_once(spark):
+    """Sites of a long sequence are dealt to pieces; pairs over a border come up, and each once, as in one piece."""
+    rng = random.Random(7)
+    rows = [("a", k, p, float(rng.randrange(10)), rng.randrange(2)) for k in ("tss", "tes", "acceptor", "donor", "start", "stop") for p in rng.sample(range(40000), 400)]
+    sites = spark.createDataFrame(rows, "locus string, kind string, pos long, score double, cls int")
+    cols = ["type", "left_pos", "left_cls", "right_pos", "right_cls", "left_score", "right_score"]
+    whole, cut = (sorted(map(tuple, U.build(sites, ["locus"], piece).select(*cols).collect())) for piece in (1 << 17, U.REACH))
+    assert whole == cut and len(whole) > 2000 and len(set(cut)) == len(cut)
+    assert U.build(sites.where("kind = 'tss'"), ["locus"]).count() == 0
+
+
+def test_untranslated_exons_of_texts_are_never_dealt(spark, tmp_path):
+    """Odd texts (null, empty, short, of motifs only) in one task, against SQL; the plan has no exchange."""
+    import duckdb
+
+    from codonlake.functions.dna import AS_BASES, LETTERS
+    from codonlake.plans import coverage
+
+    letter = {b: LETTERS[AS_BASES.index(b)] for b in "ACGTN"}
+    rng = random.Random(3)
+    texts = ["".join(rng.choice([*U_MOTIFS, "ACGTN"[rng.randrange(5)]]) for _ in range(rng.choice([0, 1, 3, 200, 900]))) for _ in range(40)] + ["TAATAA" * 900, "", "TA"]
+    rows = [(i * 5, "".join(letter[b] for b in t)) for i, t in enumerate(texts)] + [(-3, None), (-8, "".join(letter[b] for b in texts[0] + "TATAAGTAAGTAATAA"))]
+    at = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(at)
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{at}/*.parquet'")
+    found = coverage.utr_exons(spark, str(tmp_path))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    cols = ["doc_id", "type", "left_pos", "right_pos", "left_score", "right_score"]
+    want = con.execute(f"select {', '.join(cols)} from ({coverage.ORACLES['utr_exons']})").fetchall()
+    assert sorted(map(tuple, found.select(*cols).collect())) == sorted(want) and len(want) > 5000
+
+
+U_MOTIFS = ("TATAA", "AATAA", "CAGG", "TAGG", "GTAAG", "GTGAG", "ATGG", "TAA")
+
+
+def test_pairs_come_out_in_pieces(monkeypatch):
+    """However few pairs are looked at at once (a left site with all of its own at least), they are the same."""
+    import numpy as np
+
+    from codonlake.operators.lists import Sites
+
+    rng = np.random.default_rng(1)
+    sites = {k: Sites(np.sort(rng.choice(20000, 900, False)), rng.integers(0, 5, 900).astype(float), np.zeros(900, np.int32)) for k in ("tss", "tes", "acceptor", "donor", "start", "stop")}
+    whole, parts = [], []
+    for size, out in ((1 << 40, whole), (64, parts)):
+        monkeypatch.setattr(U, "PAIRS", size)
+        n = 0
+        for name, x, y in U.paired(sites, sites):
+            n += 1
+            out += zip([name] * len(x.at), x.at.tolist(), y.at.tolist(), strict=True)
+    assert sorted(whole) == sorted(parts) and n > 1000
