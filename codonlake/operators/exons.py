@@ -1,4 +1,4 @@
-"""Exons from sites by as-of and range joins, their scores, and the best chain of exons of a locus.
+"""Exons from sites by as-of, range and top-k searches in sorted lists, their scores, and the best chain of exons of a locus.
 
 Sites are rows (locus, frag, strand, kind, pos, score) with kinds start, acceptor, donor and stop;
 positions of "-" are those of the reverse complement until exons are put on the sequence.
@@ -6,14 +6,17 @@ positions of "-" are those of the reverse complement until exons are put on the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from codonlake.functions.dna import split_codon_left, split_codon_right
-from codonlake.operators import ranges as R
+from codonlake.operators import lists as L
 from codonlake.operators import utr as U
 from codonlake.operators.chains import COLUMNS, INTRONS, MINOR, ChainState, Rule, linked, traced
 from codonlake.operators.signals import FRAGMENT, OVERLAP, coding_potentials, fragments, owned
@@ -24,74 +27,118 @@ from codonlake.sources.params import Isochore, Parameters
 from codonlake.sources.scratch import kept
 
 BY = ["locus", "frag", "strand"]
-#: Least internal exon, least single gene with its stop, bins of range joins, score of the ends of a region.
-LEAST_INTERNAL, LEAST_SINGLE, BIN, END_SCORE = 18, 60, 512, 10000.0
+#: Least internal exon, least single gene with its stop, score of the ends of a region.
+LEAST_INTERNAL, LEAST_SINGLE, END_SCORE = 18, 60, 10000.0
 TYPES = ("First", "Internal", "Terminal", "Single")
 #: Types that end before a start codon, and that begin behind a stop codon: of their two sites one counts.
 BEFORE_START, BEHIND_STOP = ("UTR_First_Half", "UTR_5prime_Internal_Half"), ("UTR_Terminal_Half", "UTR_3prime_Internal_Half")
 _FAR = 1 << 40
 
 
-def _exons(df: DataFrame, kind: str, frame, rest, left="left_pos", right="right_pos") -> DataFrame:
-    return df.select(*BY, F.lit(kind).alias("type"), F.col(left).cast("long").alias("left_pos"), F.col(right).cast("long").alias("right_pos"), frame.cast("int").alias("frame"), rest.cast("int").alias("rest"), F.col("left_score"), F.col("right_score"), F.col("left_cls"), F.col("right_cls"))
-
-
 #: Types that are scored like another one, and the site scores that a recursive splice site needs unless given: fixed values.
 LIKE, RECURSIVE = {"RSS": "Internal", "ORF": "Single"}, (4.0, 4.0)
 
 
+#: What ``joined`` gives, and its types in rows of exons.
+PARTS = {"type": "string", "left_pos": "long", "right_pos": "long", "frame": "int", "rest": "int", "left_score": None, "right_score": None, "left_cls": "int", "right_cls": "int"}
+
+
+def joined(sites: dict[str, L.Sites], base: np.ndarray, most_donors: int, recursive: tuple[float, float] | None = None, orfs: bool = False) -> Iterator[tuple]:
+    """(type, left and right places on the axis, frame, rest, scores and classes of both ends) of all exons of a few sequences, in pieces;
+    ``recursive`` and ``orfs`` as for ``build``."""
+    start, acceptor, donor, stop = (sites.get(k, L.NONE) for k in ("start", "acceptor", "donor", "stop"))
+    last = np.full(len(base) - 1, -1, np.int64)
+    for s in sites.values():
+        before = np.searchsorted(s.at, base[1:]) - 1
+        last = np.maximum(last, np.where(before >= 0, s.at[np.maximum(before, 0)] if len(s.at) else -1, -1))
+    far = last + 1  # where no stop closes a frame, any donor may end an exon
+    # a stop's codon starts behind its last coding base
+    frames = [np.flatnonzero((stop.at + 1) % 3 == p) for p in range(3)]
+    stop_at, stop_score = np.append(stop.at, _FAR), np.append(stop.score, 0)
+    listed = [(stop.at[own], np.append(own, len(stop.at))) for own in frames]
+
+    def closing(at: np.ndarray, frame: int, end: np.ndarray) -> np.ndarray:
+        """The first stop at or after each place in its frame, of the same sequence; the number of stops where there is none."""
+        out = np.full(len(at), len(stop.at), np.int64)
+        for p, (own_at, own) in enumerate(listed):
+            mine = np.flatnonzero((at + frame) % 3 == p)
+            out[mine] = own[np.searchsorted(own_at, at[mine] - 1)]
+        return np.where(stop_at[out] < end, out, len(stop.at))
+
+    def rest(left: np.ndarray, right: np.ndarray, frame: int) -> np.ndarray:
+        return (3 - (right - (left + frame) + 1) % 3) % 3
+
+    def closed(kind: str, left: L.Sites, which: np.ndarray, frame: int) -> tuple:
+        zero = np.zeros(len(which), np.int32)
+        return kind, left.at, stop_at[which], zero + frame, zero, left.score, stop_score[which], left.cls, zero
+
+    def until(left: L.Sites, lo: int, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.searchsorted(donor.at, left.at + lo), np.searchsorted(donor.at, hi)
+
+    def ranked(nearest: bool) -> L.Best:
+        return L.Best(np.lexsort((donor.cls, donor.at if nearest else -donor.at, -donor.score)))
+
+    best = ranked(True) if len(start.at) else None
+    for cut in L.pieces(len(start.at)):
+        x = start.take(cut)
+        x = x._replace(cls=np.zeros(len(x.at), np.int32))
+        g = L.group_of(base, x.at)
+        which = closing(x.at, 0, base[g + 1])
+        some = which < len(stop.at)
+        i, j = best.first(*until(x, 2, np.where(some, stop_at[which] + 3, far[g])), most_donors)
+        left, right = x.take(i), donor.take(j)
+        yield "First", left.at, right.at, np.zeros(len(i), np.int32), rest(left.at, right.at, 0), left.score, right.score, left.cls, right.cls
+        long = np.flatnonzero(some & (stop_at[which] + 3 - x.at + 1 >= LEAST_SINGLE))
+        yield closed("Single", x.take(long), which[long], 0)
+
+    best = ranked(False) if len(acceptor.at) else None
+    strong = donor.take(donor.score > recursive[0]) if recursive else L.NONE
+    for cut in L.pieces(len(acceptor.at)):
+        x = acceptor.take(cut)
+        g = L.group_of(base, x.at)
+        three = [closing(x.at, frame, base[g + 1]) for frame in range(3)]
+        for frame, which in enumerate(three):
+            ends = np.flatnonzero((which < len(stop.at)) & (stop_at[which] >= x.at))
+            yield closed("Terminal", x.take(ends), which[ends], frame)
+        ends = [np.where(which < len(stop.at), stop_at[which] + 3, _FAR) for which in three]
+        i, j = best.first(*until(x, LEAST_INTERNAL, np.minimum(np.max(ends, 0), far[g])), most_donors)
+        for frame, end in enumerate(ends):
+            open_ = donor.at[j] < end[i]
+            left, right = x.take(i[open_]), donor.take(j[open_])
+            yield "Internal", left.at, right.at, np.full(len(left.at), frame, np.int32), rest(left.at, right.at, frame), left.score, right.score, left.cls, right.cls
+        if recursive is not None:
+            y = x.take(x.score > recursive[1])
+            i, j = L.runs(np.searchsorted(strong.at, y.at - 1), np.searchsorted(strong.at, y.at))
+            left, right = y.take(i), strong.take(j)
+            for frame in range(3):
+                both = np.full(len(i), frame, np.int32)
+                yield "RSS", left.at, right.at, both, both, left.score, right.score, left.cls, right.cls
+    if orfs:
+        g = L.group_of(base, stop.at)
+        for own in frames:
+            x, y = own[:-1], own[1:]
+            far_on = (g[x] == g[y]) & (stop.at[y] + 3 - stop.at[x] + 1 >= LEAST_SINGLE)
+            left = stop.take(x[far_on])
+            yield closed("ORF", left._replace(cls=np.zeros(len(left.at), np.int32)), y[far_on], 0)
+
+
 def build(sites: DataFrame, most_donors: int, recursive: tuple[float, float] | None = None, orfs: bool = False) -> DataFrame:
-    """First, Internal, Terminal and Single exons of all fragments and strands; ``cls``, where there is one, is the splice class of a site.
+    """First, Internal, Terminal and Single exons of all fragments and strands; ``cls``, where there is one, is the splice class of a site. Sites
+    are dealt once, by fragment and strand, and their lists are joined there.
 
     ``recursive``: also exons of no bases (RSS), where a donor and an acceptor over these scores meet. ``orfs``: also what lies between two
     stops of a frame (ORF).
     """
-    if "cls" not in sites.columns:
-        sites = sites.withColumn("cls", F.lit(0))
-    plain = F.lit(0).alias("left_cls")
-    of = lambda kind: sites.where(F.col("kind") == kind)
-    stops = of("stop").select(*BY, F.col("pos").alias("stop"), F.col("score").alias("stop_score"))
-    donors = of("donor").select(*BY, F.col("pos").alias("right_pos"), F.col("score").alias("right_score"), F.col("cls").alias("right_cls"))
-    last = sites.groupBy(*BY).agg((F.max("pos") + 1).alias("far"))  # where no stop closes a frame, any donor may end an exon
-
-    # the first stop at or after each start in its frame, and after each acceptor in each of three
-    begun = of("start").select(*BY, F.lit("start").alias("kind"), "pos", "score", "cls", F.lit(0).alias("f")).unionByName(of("acceptor").select(*BY, F.lit("acceptor").alias("kind"), "pos", "score", "cls", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("f")))
-    begun = begun.withColumns({"at": F.col("pos"), "phase": F.pmod(F.col("pos") + F.col("f"), F.lit(3)), "mark": F.lit(None).cast("struct<pos:bigint,score:float>")})
-    # a stop's codon starts behind its last coding base
-    ends = stops.select(*BY, F.lit("stop").alias("kind"), F.col("stop").alias("pos"), F.col("stop_score").alias("score"), F.lit(0).alias("cls"), F.lit(None).cast("int").alias("f"), (F.col("stop") + 1).alias("at"), F.pmod(F.col("stop") + 1, F.lit(3)).alias("phase"), F.struct(F.col("stop").alias("pos"), F.col("stop_score").alias("score")).alias("mark"))
-    w = W.partitionBy(*BY, "phase").orderBy(F.desc("at")).rangeBetween(W.unboundedPreceding, 0)  # a frame that grows; one that shrinks is summed anew for each row
-    closed = begun.unionByName(ends).withColumn("first", F.min("mark").over(w)).where("kind != 'stop'")
-
-    starts = closed.where("kind = 'start'").join(last, BY)
-    first = starts.select(*BY, F.col("pos").alias("left_pos"), F.col("score").alias("left_score"), plain, (F.col("pos") + 2).alias("lo"), F.coalesce(F.col("first.pos") + 3, "far").alias("hi"))
-    first = R.top_k(R.range_join(first, donors, BY, "lo", "hi", "right_pos", BIN), [*BY, "left_pos"], [F.desc("right_score"), F.asc("right_pos"), "right_cls"], most_donors)
-    rest = F.pmod(3 - F.pmod(F.col("right_pos") - (F.col("left_pos") + F.col("frame")) + 1, F.lit(3)), F.lit(3))
-    firsts = _exons(first.withColumn("frame", F.lit(0)), "First", F.col("frame"), rest)
-
-    single = starts.where(F.col("first").isNotNull() & (F.col("first.pos") + 3 - F.col("pos") + 1 >= LEAST_SINGLE)).select(*BY, F.col("pos").alias("left_pos"), F.col("first.pos").alias("right_pos"), F.col("score").alias("left_score"), F.col("first.score").alias("right_score"), plain, F.lit(0).alias("right_cls"))
-    singles = _exons(single, "Single", F.lit(0), F.lit(0))
-
-    acc = closed.where("kind = 'acceptor'")
-    terminal = acc.where(F.col("first.pos") >= F.col("pos")).select(*BY, "f", F.col("pos").alias("left_pos"), F.col("first.pos").alias("right_pos"), F.col("score").alias("left_score"), F.col("first.score").alias("right_score"), F.col("cls").alias("left_cls"), F.lit(0).alias("right_cls"))
-    terminals = _exons(terminal, "Terminal", F.col("f"), F.lit(0))
-
-    three = acc.groupBy(*BY, F.col("pos").alias("left_pos"), F.col("cls").alias("left_cls")).agg(F.max("score").alias("left_score"), F.map_from_entries(F.collect_list(F.struct("f", F.coalesce(F.col("first.pos") + 3, F.lit(_FAR)).alias("end")))).alias("ends"))
-    three = three.join(last, BY).withColumns({"lo": F.col("left_pos") + LEAST_INTERNAL, "hi": F.least(F.array_max(F.map_values("ends")), F.col("far"))})
-    inner = R.top_k(R.range_join(three, donors, BY, "lo", "hi", "right_pos", BIN), [*BY, "left_pos", "left_cls"], [F.desc("right_score"), F.desc("right_pos"), "right_cls"], most_donors)
-    inner = inner.select("*", F.explode("ends").alias("frame", "end")).where("right_pos < end")
-    internals = _exons(inner, "Internal", F.col("frame"), rest)
-    out = [firsts, internals, terminals, singles]
-    if recursive is not None:
-        d = donors.where(F.col("right_score") > recursive[0]).withColumn("left_pos", F.col("right_pos") + 1)
-        a = of("acceptor").where(F.col("score") > recursive[1]).select(*BY, F.col("pos").alias("left_pos"), F.col("score").alias("left_score"), F.col("cls").alias("left_cls"))
-        met = a.join(d, [*BY, "left_pos"]).select("*", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("frame"))
-        out.append(_exons(met, "RSS", F.col("frame"), F.col("frame")))
-    if orfs:
-        w = W.partitionBy(*BY, F.pmod(F.col("stop"), F.lit(3))).orderBy("stop")
-        two = stops.withColumns({"right_pos": F.lead("stop").over(w), "right_score": F.lead("stop_score").over(w)}).where(F.col("right_pos") + 3 - F.col("stop") + 1 >= LEAST_SINGLE)
-        two = two.select(*BY, F.col("stop").alias("left_pos"), "right_pos", F.col("stop_score").alias("left_score"), "right_score", plain, F.lit(0).alias("right_cls"))
-        out.append(_exons(two, "ORF", F.lit(0), F.lit(0)))
-    return reduce(DataFrame.unionByName, out)
+    kinds = dict(sites.dtypes)
+    known = sites.where(" and ".join(f"{c} is not null" for c in [*BY, "pos"])).select(*BY, "kind", F.col("pos").cast("long").alias("pos"), "score", *[F.col(c).cast("int").alias(c) for c in kinds if c == "cls"])
+    ints = {"long": pa.int64(), "int": pa.int32()}
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        found, score = L.table_lists(table), table.schema.field("score").type
+        out = [pa.table([*[pa.repeat(k, len(at)) for k in key], pa.repeat(name, len(at)), *[pa.array(c, ints.get(t, score)) for c, t in zip((at, *more), list(PARTS.values())[1:], strict=True)]], [*BY, *PARTS]) for name, at, *more in joined(found, np.array([0, _FAR]), most_donors, recursive, orfs)]
+        return pa.concat_tables(out) if out else pa.table([pa.array([], x) for x in (*[k.type for k in key], pa.string(), *[ints.get(t, score) for t in list(PARTS.values())[1:]])], [*BY, *PARTS])
+
+    return known.groupBy(*BY).applyInArrow(run, ", ".join(f"{c} {PARTS.get(c) or kinds[c if c in BY else 'score']}" for c in [*BY, *PARTS]))
 
 
 def scored(exons: DataFrame, frags: DataFrame, iso: Isochore | list[Isochore], bins: DataFrame | None = None, unset: float = 0.0, flank: int = 0) -> DataFrame:

@@ -79,18 +79,18 @@ class Best:
     powers of two), then by what lies before and behind that member, so the work doesn't grow with the length of runs.
     """
 
-    def __init__(self, order: np.ndarray, longest: int):
+    def __init__(self, order: np.ndarray):
         self.order, self.n = order, len(order)
         rank = np.empty(self.n, np.int32)
         rank[order] = np.arange(self.n, dtype=np.int32)
-        self.least, step = [rank], 1
-        while 2 * step <= min(longest, self.n):
-            self.least.append(np.minimum(self.least[-1][:-step], self.least[-1][step:]))
-            step *= 2
+        self.least = [rank]
 
     def _rank(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         out = np.full(len(lo), self.n, np.int64)
         level = np.frexp(np.maximum(hi - lo, 0))[1] - 1
+        while len(self.least) <= level.max(initial=0):  # as long as runs are
+            step = 1 << len(self.least) - 1
+            self.least.append(np.minimum(self.least[-1][:-step], self.least[-1][step:]))
         for k in range(len(self.least)):
             at = np.flatnonzero(level == k)
             if len(at):

@@ -5,13 +5,17 @@ And exons built by the engine's own joins. Each query has the same rows as its S
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codonlake.functions.dna import STOPS
 from codonlake.operators import exons as X
-from codonlake.operators.signals import fragments, motif_sites, scan
+from codonlake.operators.lists import Sites, group_of, motif_lists
+from codonlake.operators.signals import fragments, scan
 from codonlake.plans.signals import _BASE, _SEQ, CUTOFF, FRAGMENT, OVERLAP, WEIGHTS, sequences
 from codonlake.sources import formats
 from codonlake.sources.chromosomes import read_fragments
@@ -105,13 +109,26 @@ MOST_DONORS = 4
 
 
 def exons_built(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First, internal, terminal and single exons by the engine's range, as-of and top-k joins over sites of whole sequences."""
-    found = motif_sites(sequences(spark, sf_dir), {"start": ("ATG",), "stop": STOPS, "acceptor": tuple("AG" + b for b in "ACGTN"), "donor": tuple("GTA" + b for b in "ACGTN")})
-    score = F.pmod(F.col("pos") * 7919 + F.col("doc_id") * 31, F.lit(1000)).cast("float")
-    # a stop's place is that of the last coding base
-    sites = found.where("kind != 'stop' or pos > 0").select(F.col("doc_id").cast("string").alias("locus"), F.lit(0).cast("long").alias("frag"), F.lit("+").alias("strand"), "kind", (F.col("pos") - F.when(F.col("kind") == "stop", 1).otherwise(0)).alias("pos"), score.alias("score"))
-    out = X.build(sites, MOST_DONORS)
-    return out.select(F.col("locus").cast("long").alias("doc_id"), F.col("type").alias("kind"), "left_pos", "right_pos", F.col("frame").cast("long").alias("frame"), F.col("rest").cast("long").alias("rest"), F.col("left_score").cast("long").alias("left_score"), F.col("right_score").cast("long").alias("right_score"))
+    """First, internal, terminal and single exons by the engine's as-of, range and top-k searches over sites of whole sequences. A text's sites
+    meet in the task that reads it, so nothing is dealt."""
+    motifs = {"start": ("ATG",), "stop": STOPS, "acceptor": tuple("AG" + b for b in "ACGTN"), "donor": tuple("GTA" + b for b in "ACGTN")}
+    names = ["doc_id", "kind", "left_pos", "right_pos", "frame", "rest", "left_score", "right_score"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, base, found in motif_lists(batches, motifs, 6):
+            sites = {}
+            for kind, at in found.items():
+                doc = group_of(base, at)
+                score = np.fmod((at - base[doc]) * 7919 + ids[doc] * 31, 1000)
+                if kind == "stop":  # a stop's place is that of the last coding base
+                    inside = at > base[doc]
+                    at, score = at[inside] - 1, score[inside]
+                sites[kind] = Sites(at, score, np.zeros(len(at), np.int32))
+            for kind, left, right, frame, rest, left_score, right_score, *_ in X.joined(sites, base, MOST_DONORS):
+                doc = group_of(base, left)
+                yield pa.record_batch([pa.array(ids[doc], pa.int64()), pa.repeat(kind, len(doc)), *[pa.array(c, pa.int64()) for c in (left - base[doc], right - base[doc], frame, rest, left_score, right_score)]], names)
+
+    return sequences(spark, sf_dir).mapInArrow(run, ", ".join(f"{c} {'string' if c == 'kind' else 'long'}" for c in names))
 
 
 _D = "CAST(o_orderdate::DATE - DATE '1970-01-01' AS BIGINT)"
