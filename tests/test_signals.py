@@ -211,3 +211,17 @@ def test_track_of_a_long_text_is_no_row(spark, tmp_path):
         track.update("".join(f"{',' if i else ''}{2 * i},{2 * i + 1},{2 * i + 2}" for i in range(at, min(at + 100_000, n // 3 + 1))).encode())
     row = gc_prefix(spark, str(tmp_path)).first()
     assert (row.n, row.total, row.digest) == (3 * (n // 3 + 1), 2 * (n // 3 + 1), track.hexdigest())
+
+
+def test_texts_without_letters_have_an_empty_track(spark, tmp_path):
+    """Asking an empty array for its last element is an error."""
+    import duckdb
+
+    from codonlake.plans.signals import ORACLES, gc_prefix
+
+    rows = [(1, "abc"), (2, ""), (3, None), (4, "123 ... 456"), (5, "\u0434 \u4e2d")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(at := str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{at}/*.parquet'")
+    want = con.execute(ORACLES["gc_prefix"]).fetchall()
+    assert sorted(map(tuple, gc_prefix(spark, str(tmp_path)).collect())) == sorted(want) and len(want) == 5
